@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+from .bpe import encode_decode
 from .common import table
+from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import pack
+from .span_dedup import remove_repeats
+
+
+def op2_exact_dedup(spark, sf_dir):
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_span_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op6_bpe(spark, sf_dir):
+    return encode_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def op9_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_near_dedup,)}
-SQL: dict[str, str] = {}
+def op10_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_span_dedup, op6_bpe, op9_near_dedup, op10_packing)}
+SQL = {
+    "op2_exact_dedup": """
+        with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)
+    """,
+}
