@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import chat, secrets
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import judged
+from .sharding import shards
 from .span_dedup import remove_repeats
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    live = F.size(F.filter("spans", lambda s: s["live"]))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.described("spans").alias("spans"), live.alias("n_live"))
+
+
+def op4_chat(spark, sf_dir):
+    own = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("select * from values (-1L, 0L, 'user'), (-1L, 1L, 'assistant') t(conv_id, turn, role)").withColumn("text", F.lit(own))
+    return chat.digests(chat.formatted(turns.unionByName(more)))
+
+
 def op5_span_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -22,6 +45,14 @@ def op6_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_quality(spark, sf_dir):
+    return judged(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark, sf_dir):
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,7 +61,7 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_span_dedup, op6_bpe, op9_near_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing)}
 SQL = {
     "op2_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
