@@ -13,9 +13,11 @@ cover, and only buckets with more than one member are looked at:
    windows share a bucket. Neighbouring windows that choose the same string form
    a run, about one for 35 bytes, and a run has one hash over all its bytes.
 2. Runs are sorted by bucket, run hash and place. A run whose hash was seen
-   before repeats as a whole; a run alone in its bucket has no repeat.
-3. The windows of the other runs, at the edges of repeated passages, are
-   hashed one by one and sorted by hash and place.
+   before repeats as a whole. For the others: a window reaches at least half of
+   ``length - SEED`` bytes to the left or to the right of its seed, so it can
+   only repeat if the seed with as many bytes on that side occurs in another run.
+3. The windows that this leaves, at the edges of repeated passages, are hashed one by one
+   and sorted by hash and place.
 
 Defined results: null text counts as empty. Null ids come before all others. Rows that repeat an id
 are ordered by the hash of their text; of rows that repeat both, the first is the earliest and
@@ -57,9 +59,9 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Per run: row, first window (place in ``data``), number of windows, hash of the seed and of all its bytes."""
+    """Per run: row, first window (place in ``data``), number of windows, bytes from there to the seed, and hashes of the seed, of all bytes, and of the seed with its left and right side."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 8
     hashes = seed_hashes(data, seed)
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     packed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -67,13 +69,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(chosen)]
     at = np.flatnonzero(np.arange(len(chosen)) + length <= offsets[1:][row])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 8
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(chosen[at]) != 0) | (np.diff(row[at]) != 0)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     start = at[first]
-    return row[start], start, count, hashes[chosen[start]].view(np.int64), range_hashes(data, start, start + count - 1 + length).view(np.int64)
+    row, at_seed, side = row[start], chosen[start], (length - seed) // 2
+    left = range_hashes(data, np.maximum(at_seed - side, offsets[:-1][row]), at_seed + seed)
+    right = range_hashes(data, at_seed, np.minimum(at_seed + seed + side, offsets[1:][row]))
+    whole = range_hashes(data, start, start + count - 1 + length)
+    return row, start, count, at_seed - start, *[h.view(np.int64) for h in (hashes[at_seed], whole, left, right)]
 
 
 def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -83,14 +89,15 @@ def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
             step = max(CHUNK, 2 * length) if batch.num_rows == 1 else max(1, len(data))
             for low in range(0, max(1, len(data)), step):
                 part = data[low : low + step + length - 1]
-                row, start, count, key, whole = runs(part, offsets if batch.num_rows > 1 else np.array([0, len(part)]), length, seed)
+                row, start, count, before, key, whole, left, right = runs(part, offsets if batch.num_rows > 1 else np.array([0, len(part)]), length, seed)
                 row_ = pa.array(row)
                 place = low + start - offsets[row]
-                cols = [pa.array((key >> 32).astype(np.int32)), pa.array(whole), batch.column(0).take(row_), batch.column(2).take(row_), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "whole", "id", "sub", "at", "n"])
+                ints = [pa.array(x.astype(np.int32)) for x in (key >> 32, left >> 32, right >> 32, place, count, before)]
+                cols = [*ints[:3], pa.array(whole), batch.column(0).take(row_), batch.column(2).take(row_), *ints[3:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "left", "right", "whole", "id", "sub", "at", "n", "before"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"bucket int, whole bigint, id {kind}, sub bigint, at int, n int")
+    return docs.mapInArrow(run, f"bucket int, left int, right int, whole bigint, id {kind}, sub bigint, at int, n int, before int")
 
 
 def _windows(asked: DataFrame, length: int) -> DataFrame:
@@ -158,10 +165,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     else:
         docs = docs.withColumn("copy", F.lit(1))
     dealt = _runs(docs.select("id", "text", "sub"), length, seed).repartition(partitions(docs), "bucket")
-    bucket = Window.partitionBy("bucket")
     seen = F.rank().over(Window.partitionBy("bucket", "whole").orderBy("id", "sub", "at")) > 1
-    shared = F.min("whole").over(bucket) != F.max("whole").over(bucket)
-    found = dealt.withColumn("seen", seen).withColumn("shared", shared).filter("seen or shared")
+    shared = lambda side: F.min("whole").over(Window.partitionBy("bucket", side)) != F.max("whole").over(Window.partitionBy("bucket", side))
+    found = dealt.withColumn("seen", seen).withColumn("by_left", shared("left")).withColumn("by_right", shared("right")).filter("seen or by_left or by_right")
+    # windows that reach far to the left come first in a run, then those that reach far to the right
+    found = found.withColumn("lefts", F.greatest(F.lit(0), F.least("n", F.col("before") - (length - seed) // 2 + 1)))
+    skip = F.when(F.col("seen") | F.col("by_left"), 0).otherwise(F.col("lefts"))
+    take = F.when(F.col("seen"), F.col("n")).otherwise(F.when(F.col("by_left"), F.col("lefts")).otherwise(0) + F.when(F.col("by_right"), F.col("n") - F.col("lefts")).otherwise(0))
+    found = found.select("id", "sub", "seen", (F.col("at") + skip).alias("at"), take.alias("n")).filter("n > 0")
     found = settle(found.groupBy("id", "sub").agg(*[F.collect_list(F.when(c, F.struct("at", "n"))).alias(k) for k, c in (("seen", F.col("seen")), ("edges", ~F.col("seen")))]))
 
     def beside(spans: DataFrame, how: str) -> DataFrame:
