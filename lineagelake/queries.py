@@ -730,12 +730,6 @@ def hashed_embedding(spark, sf):
     return similar.hashed(read(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query("select e.vec_id as src, count(*) as n from embeddings e group by e.vec_id having e.vec_id % 100 = 0")
-def vector_queries(spark, sf):
-    e = read(spark, sf, "embeddings")
-    return e.filter("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("src")).agg(F.count("*").alias("n"))
-
-
 @query("""with q as (select * from embeddings where vec_id % 100 = 0), p as (select q.vec_id as src, e.vec_id as dst, list_sum(list_transform(generate_series(1, 64), lambda i: cast(q.embedding[i] as double) * e.embedding[i])) as s from q, embeddings e where q.vec_id <> e.vec_id)
   select src, dst, round(greatest(0, least(1, s)), 4) as similarity from p where s >= 0.1 qualify row_number() over (partition by src order by s desc, dst) <= 5""")
 def vector_search(spark, sf):
@@ -817,3 +811,135 @@ def event_windows(spark, sf):
   select min(ts) as "start", max(ts) + interval '2 hours' as "end", user_id, count(*) as events from s group by user_id, n""")
 def event_sessions(spark, sf):
     return feed.sessions(read(spark, sf, "events"), "2 hours").select(F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "user_id", "events")
+
+
+# ---- reports, media, sync
+
+from .operators import media, reports, sync  # noqa: E402
+
+_REPORT = """with r as (select doc_id as id, case when doc_id % 11 = 0 then ' ' else concat('rule-', toxic) end as rule, concat('found ', quality) as title, case when doc_id % 13 = 0 then concat('../d/', doc_id) when doc_id % 17 = 0 then concat('/d/', doc_id) else concat('d/', doc_id) end as path from labels
+  union all select doc_id, 'again', 'again', 'd/x' from labels where doc_id % 19 = 0) """
+
+
+@query(_REPORT + """, t as (select id from r group by id having count(*) > 1) select r.id, rule, case when trim(rule) = '' then 'rule' when trim(title) = '' then 'title' when regexp_matches(path, '^/|(^|/)\\.\\.(/|$)') then 'path' when t.id is not null then 'duplicate' end as fault from r left join t on r.id = t.id""")
+def report_faults(spark, sf):
+    d = read(spark, sf, "labels")
+    i = F.col("doc_id")
+    path = F.when(i % 13 == 0, F.concat(F.lit("../d/"), i.cast("string"))).when(i % 17 == 0, F.concat(F.lit("/d/"), i.cast("string"))).otherwise(F.concat(F.lit("d/"), i.cast("string")))
+    rows = d.select(i.alias("id"), F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("rule-"), F.col("toxic").cast("string"))).alias("rule"), F.concat(F.lit("found "), F.col("quality").cast("string")).alias("title"), path.alias("path"))
+    more = d.filter("doc_id % 19 = 0").select(i.alias("id"), F.lit("again").alias("rule"), F.lit("again").alias("title"), F.lit("d/x").alias("path"))
+    return reports.faults(rows.unionByName(more)).select("id", "rule", "fault")
+
+
+@query("select concat('check:', o_orderkey) as rule, case o_orderstatus when 'F' then 'high' when 'O' then 'medium' else 'low' end as severity, concat('d/', o_custkey) as path, o_orderkey % 100 as line from orders")
+def report_adapter(spark, sf):
+    o = read(spark, sf, "orders")
+    level = F.when(F.col("o_orderstatus") == "F", "ERROR").when(F.col("o_orderstatus") == "O", "WARNING").otherwise("NOTE")
+    entry = F.struct(F.concat(F.lit("check:"), F.col("o_orderkey").cast("string")).alias("check_id"), F.concat(F.lit("d/"), F.col("o_custkey").cast("string")).alias("path"), F.struct((F.col("o_orderkey") % 100).alias("line")).alias("start"), F.struct(F.lit("m").alias("message"), level.alias("severity")).alias("extra"))
+    json = o.select(F.to_json(F.struct(F.array(entry).alias("results"))).alias("json"))
+    return reports.semgrep(json).select("rule", "severity", "path", "line")
+
+
+@query("select p_partkey, concat('finding:', replace(replace(concat(p_name, ':', chr(92), p_brand), chr(92), concat(chr(92), chr(92))), ':', concat(chr(92), ':')), ':', p_type) as key, 3 as parts, concat(p_name, ':', chr(92), p_brand) as second from part")
+def finding_keys(spark, sf):
+    p = read(spark, sf, "part")
+    odd = F.concat(F.col("p_name"), F.lit(":\\"), F.col("p_brand"))
+    out = p.select("p_partkey", reports.escaped_key([F.lit("finding"), odd, F.col("p_type")]).alias("key"))
+    parts = reports.key_parts(F.col("key"))
+    return out.select("p_partkey", "key", F.size(parts).alias("parts"), parts[1].alias("second"))
+
+
+@query("select concat('db/', o_orderkey) as layer, case when o_orderkey % 6 > 0 then date_diff('day', cast(o_orderdate as date), date '1999-01-01') else -1 end as age_days from orders")
+def layer_staleness(spark, sf):
+    o = read(spark, sf, "orders")
+    told = F.when(F.col("o_orderkey") % 6 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("not a time")
+    return reports.staleness(o.select(F.concat(F.lit("db/"), F.col("o_orderkey").cast("string")).alias("layer"), told.alias("updated")), "1999-01-01").fillna(-1)
+
+
+@query("select event_type as blob, max(abs(value)) as peak, round(sqrt(avg(value * value)), 6) as rms, round(avg(value), 6) as mean, round(greatest(0, avg(value * value) - avg(value) * avg(value)), 4) as variance from events group by event_type")
+def media_signal(spark, sf):
+    out = media.signal(read(spark, sf, "events").withColumnRenamed("event_type", "blob"), "blob", "value")
+    return out.select("blob", "peak", F.round("rms", 6).alias("rms"), F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+_MEDIA = """with tree as (select md5(name) as blob, kind from nodes where kind in ('part', 'supplier', 'customer')), rec as (select md5(p_name) as blob, p_brand as producer, 'part' as kind, p_size % 4 = 0 as skipped, p_partkey as created from part where p_size % 3 > 0
+  union all select md5(concat('gone', s_suppkey)), 'Brand#0', 'supplier', false, s_suppkey from supplier) """
+
+
+def _media(spark, sf):
+    tree = nodes(spark, sf, ("part", "supplier", "customer")).select(F.md5("name").alias("blob"), "kind")
+    p, s = read(spark, sf, "part"), read(spark, sf, "supplier")
+    rec = p.filter("p_size % 3 > 0").select(F.md5("p_name").alias("blob"), F.col("p_brand").alias("producer"), F.lit("part").alias("kind"), (F.col("p_size") % 4 == 0).alias("skipped"), F.col("p_partkey").alias("created"))
+    gone = s.select(F.md5(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string"))).alias("blob"), F.lit("Brand#0").alias("producer"), F.lit("supplier").alias("kind"), F.lit(False).alias("skipped"), F.col("s_suppkey").alias("created"))
+    return tree, rec.unionByName(gone)
+
+
+@query(_MEDIA + "select producer, kind, count(*) as records, count(*) filter (where skipped) as skips, max(created) as latest from rec group by producer, kind")
+def producer_summary(spark, sf):
+    return media.summary(_media(spark, sf)[1])
+
+
+@query(_MEDIA + ", t as (select blob, bool_or(not skipped) as told from rec group by blob) select kind, count(*) as blobs, count(*) filter (where told) as described, count(*) filter (where not told) as skipped, count(*) filter (where told is null) as open from tree left join t on tree.blob = t.blob group by kind")
+def media_status(spark, sf):
+    return media.status(*_media(spark, sf))
+
+
+@query(_MEDIA + "select blob, created from rec where blob not in (select blob from tree)")
+def orphan_media(spark, sf):
+    tree, rec = _media(spark, sf)
+    return media.orphans(rec, tree).select("blob", "created")
+
+
+@query("select key, producer, created from nodes join (select md5(p_name) as blob, p_brand as producer, p_partkey as created from part where p_size % 3 > 0) r on blob_hash = r.blob where kind = 'part'")
+def content_by_blob(spark, sf):
+    rec = read(spark, sf, "part").filter("p_size % 3 > 0").select(F.md5("p_name").alias("blob"), F.col("p_brand").alias("producer"), F.col("p_partkey").alias("created"))
+    return media.by_blob(nodes(spark, sf, ("part",)), rec).select("key", "producer", "created")
+
+
+@query("""with k as (select case when o_orderkey % 9 = 0 then concat('odd', o_orderkey) else concat(md5(cast(o_orderkey as varchar)), '-ff-v', o_custkey % 12, '-e1') end as key from orders), v as (select key, try_cast(nullif(regexp_extract(key, '-v(\\d+)-e', 1), '') as integer) as v from k)
+  select key, case when v is null then 'unrecognised' when v = 8 then 'current' when v > 8 then 'ahead' when v >= 5 then 'recent' else 'superseded' end as fate from v""")
+def cache_sweep(spark, sf):
+    o = read(spark, sf, "orders")
+    key = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("odd"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("-ff-v"), (F.col("o_custkey") % 12).cast("string"), F.lit("-e1")))
+    return sync.sweep(o.select(key.alias("key")), 8, 3)
+
+
+@query("""with ch as (select concat('part/', p_brand) as path from part where p_partkey < 5), own as (select key, path from nodes where kind = 'part' and path in (select path from ch)),
+  s as (select path, count(*) as symbols from own group by path), c as (select path, count(distinct src) as callers from edges join own on dst = own.key where edges.kind = 'calls' group by path), o as (select path, count(distinct dst) as callees from edges join own on src = own.key where edges.kind = 'calls' group by path)
+  select path, symbols, coalesce(callers, 0) as callers, coalesce(callees, 0) as callees, cast(0 as bigint) as governed_by from s left join c using (path) left join o using (path)""")
+def change_review(spark, sf):
+    changes = read(spark, sf, "part").filter("p_partkey < 5").select(F.concat(F.lit("part/"), "p_brand").alias("path")).distinct()
+    return sync.reviewed(changes, nodes(spark, sf, ("part",)), edges(spark, sf, ("calls", "references")))
+
+
+@query("""with g as (select path from nodes where kind = 'part' and path = 'part/Brand#3'), n as (select key from nodes where kind in ('part', 'supplier') and path <> 'part/Brand#3' union all select 'part:new')
+  select src, dst, edges.kind from edges where edges.kind = 'calls' and src in (select key from n) and dst in (select key from n) union all select 'part:new', 'supplier:1', 'calls'""")
+def incremental_sync(spark, sf):
+    n, e = nodes(spark, sf, ("part", "supplier")), edges(spark, sf, ("calls",))
+    e = e.join(n.select("key"), e["src"] == n["key"], "left_semi")
+    touched = spark.createDataFrame([("part/Brand#3",)], "path string")
+    new_node = n.limit(1).select(F.lit("part:new").alias("key"), *[F.lit("part/Brand#3" if c == "path" else None).cast("string").alias(c) for c in n.columns[1:]])
+    new_edge = e.limit(1).select(F.lit("part:new").alias("src"), F.lit("supplier:1").alias("dst"), "kind", "provenance", "confidence", "src_ref")
+    return sync.incremental(n, e, touched, new_node, new_edge)[1].select("src", "dst", "kind")
+
+
+@query("""with im as (select p_brand as project, concat('v', p_size) as tag from part), re as (select cast(p_partkey as varchar) as name, concat('u', p_partkey) as url from part where p_partkey between 40 and 60), ur as (select p_brand as project, concat('u', p_partkey) as url from part where p_partkey % 10 = 0),
+  a as (select project, min(name) as by_url from ur join re using (url) group by project), b as (select project, min(name) as by_tag from im join re on substring(im.tag, 2) = re.name group by project)
+  select p as project, coalesce(by_url, by_tag) as revision from (select distinct project as p from im union select project from ur) x left join a on x.p = a.project left join b on x.p = b.project""")
+def project_pins(spark, sf):
+    p = read(spark, sf, "part")
+    i = F.col("p_partkey")
+    images = p.select(F.col("p_brand").alias("project"), F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("tag"))
+    urls = p.filter(i % 10 == 0).select(F.col("p_brand").alias("project"), F.concat(F.lit("u"), i.cast("string")).alias("url"))
+    revisions = p.filter(i.between(40, 60)).select(i.cast("string").alias("name"), F.concat(F.lit("u"), i.cast("string")).alias("url"))
+    return sync.pinned(images, urls, revisions)
+
+
+@query()
+def inferred_edges(spark, sf):
+    """Related files by hashed embedding: every hundredth against all, at 0.4 or more, the best five."""
+    d = read(spark, sf, "documents")
+    sparse = similar.hashed(d, "doc_id", "text").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    dense = sparse.select(F.col("key").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(hashing.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0))).alias("vector"))
+    found = similar.neighbours_of(dense.filter("id % 100 = 0"), dense, 5, 0.4)
+    return found.select(graph.keyed("file", "src").alias("src"), graph.keyed("file", "dst").alias("dst"), F.lit("related").alias("kind"), F.lit("inferred").alias("provenance"), F.round("similarity", 4).alias("confidence"), F.lit("embedding:hash/v1").alias("src_ref"))
