@@ -62,7 +62,23 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing)}
+
+
+def _escaped(column: str) -> str:
+    out = f"replace(coalesce({column}, ''), chr(92), concat(chr(92), chr(92)))"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', concat('{c[0]}', chr(92), '{c[1:]}'))"
+    return out
+
+
 SQL = {
+    "op4_chat": f"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+          cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+          cast(sum(10 + length({_escaped("role")}) + length({_escaped("text")})) as bigint) as formatted_chars from t group by conv_id
+    """,
     "op2_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
