@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import WHITE, flat, mix, portions, settle, word_hashes
 
-WIDTH, ENOUGH = 4.0, 50
+WIDTH, ENOUGH = 3.0, 50
 #: Least half widths of the bands, in the measures' own units.
 LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.08}
 LONG = 500_000
