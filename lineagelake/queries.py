@@ -943,3 +943,64 @@ def inferred_edges(spark, sf):
     dense = sparse.select(F.col("key").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(hashing.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0))).alias("vector"))
     found = similar.neighbours_of(dense.filter("id % 100 = 0"), dense, 5, 0.4)
     return found.select(graph.keyed("file", "src").alias("src"), graph.keyed("file", "dst").alias("dst"), F.lit("related").alias("kind"), F.lit("inferred").alias("provenance"), F.round("similarity", 4).alias("confidence"), F.lit("embedding:hash/v1").alias("src_ref"))
+
+
+# ---- contexts
+
+from .operators import context  # noqa: E402
+
+
+@query("""with p as (select concat(case p_size % 3 when 0 then 'sym:rust:' when 1 then 'sym:go:' else 'file:' end, p_partkey) as a, concat(case p_size % 2 when 0 then 'sym:rust:' else 'sym:go:' end, p_name) as b from part)
+  select a, b, coalesce(nullif(regexp_extract(a, '^sym:([^:]+):', 1), '') = nullif(regexp_extract(b, '^sym:([^:]+):', 1), ''), true) as allowed from p""")
+def language_guard(spark, sf):
+    p = read(spark, sf, "part")
+    size = F.col("p_size")
+    a = F.concat(F.when(size % 3 == 0, "sym:rust:").when(size % 3 == 1, "sym:go:").otherwise("file:"), F.col("p_partkey").cast("string"))
+    b = F.concat(F.when(size % 2 == 0, "sym:rust:").otherwise("sym:go:"), F.col("p_name"))
+    return p.select(a.alias("a"), b.alias("b")).select("a", "b", context.same_language(F.col("a"), F.col("b")).alias("allowed"))
+
+
+@query("""with r as (select concat('Brand#', p_size % 30, '::', p_name) as ref from part), k as (select distinct p_brand as project, p_name as key from part where p_partkey % 2 = 0)
+  select ref, string_split(ref, '::')[1] as project, string_split(ref, '::')[2] as key, k.key is null as drift from r left join k on k.project = string_split(ref, '::')[1] and k.key = string_split(ref, '::')[2]""")
+def qualified_resolution(spark, sf):
+    p = read(spark, sf, "part")
+    refs = p.select(F.concat(F.lit("Brand#"), (F.col("p_size") % 30).cast("string"), F.lit("::"), "p_name").alias("ref"))
+    return context.qualified(refs, p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("project"), F.col("p_name").alias("key")).distinct())
+
+
+@query(_MEMORY + """, s as (select r.id, r.kind, e.props as body, coalesce(confidence, 0.5) * case state when 'valid' then 1.0 when 'unanchored' then 0.9 when 'unverifiable' then 0.5 when 'vanished' then 0.35 else 0.25 end as evidence from r join events e on r.id = e.event_id where superseded_by is null)
+  select id, cast(round(8 * evidence + 8 * evidence) as bigint) as score from s where contains(lower(body), 'k') and contains(lower(body), '7')""")
+def memory_search(spark, sf):
+    body = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("props").alias("body"))
+    return context.memory_search(memory.recall(_memory(spark, sf), _anchors(spark, sf)).join(body, "id"), ["k", "7"]).select("id", "score")
+
+
+_TURN_SCORE = "select path as key, cast(case when contains(lower(text), 'the') then 25 + 8 else 3 end as bigint) as score from (select concat('conv/', conv_id, '/', turn) as path, text, role = 'system' as skipped from conversations) where not skipped and contains(lower(text), 'the')"
+
+
+@query("with g as (" + _search_sql("widget").replace("with s as", "with s as", 1) + "), t as (" + _TURN_SCORE + ") select * from (select 'graph' as channel, key, score from g order by score desc, key limit 10) union all select * from (select 'content' as channel, key, score from t order by score desc, key limit 10)")
+def search_channels(spark, sf):
+    turns = search.content_search(_turns(spark, sf), "the").withColumnRenamed("path", "key")
+    return context.channels(10, graph=search.graph_search(_searchable(spark, sf), "widget"), content=turns)
+
+
+@query("with g as (" + _search_sql("widget") + """), top as (select key, score from g where key like 'part:%' order by score desc, key limit 10)
+  select t.key, t.score, (select count(distinct dst) from edges where kind = 'calls' and src = t.key) as calls, (select count(distinct src) from edges where kind = 'calls' and dst = t.key) as callers, (select min(src) from edges where kind = 'contains' and dst = t.key) as container from top t""")
+def topic_context(spark, sf):
+    return context.topic(_searchable(spark, sf), edges(spark, sf, ("calls", "contains")), "widget", ("part",), 10)
+
+
+@query()
+def fingerprints(spark, sf):
+    return context.fingerprints(nodes(spark, sf, ("region", "nation", "customer", "supplier")), edges(spark, sf, ("contains", "related")))
+
+
+@query(_FINDINGS + "select layer, count(*) as findings, least(count(*), 20) as returned, count(*) > 20 as truncated from f group by layer")
+def findings_totals(spark, sf):
+    return context.totals(_findings(spark, sf), 20)
+
+
+@query("select o_orderstatus as analyzer, o_custkey % 50 as worktree, o_orderkey as run from orders qualify row_number() over (partition by o_orderstatus, o_custkey % 50 order by o_orderdate desc, o_orderkey desc) = 1")
+def newest_layers(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_orderstatus").alias("analyzer"), (F.col("o_custkey") % 50).alias("worktree"), F.col("o_orderdate").alias("started"), F.col("o_orderkey").alias("run"))
+    return context.ranked_layers(o).drop("started")
