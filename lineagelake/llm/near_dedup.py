@@ -10,9 +10,10 @@ missed with probability (1 - 0.85**4)**20, below 1e-6.
    to the bucket's least class; no pairs are emitted.
 3. Small clusters: each shingle set is sent once, and all links of the cluster
    are confirmed on full sets in one task.
-4. Large clusters (over ``BLOCK`` classes or ``BLOCK_HASHES`` hashes): the stars are
-   confirmed first. What they join needs no further check; every other class
-   is then held against all classes of its cluster in blocks of bounded size.
+4. Large clusters (over ``BLOCK`` classes or ``BLOCK_HASHES`` hashes) are checked in pairs of
+   blocks of bounded size. Over ``DIRECT`` blocks the stars are
+   confirmed first: what they join needs no further check, and every other class
+   is held against all classes of its cluster.
 
 Defined results: words are compared after lowering A-Z. A text without words,
 or null, has no shingles, is linked with nothing and stays. A row whose id is
@@ -33,7 +34,9 @@ from .common import by_group, flat, group_bounds, lowered, mix, partitions, port
 
 PERMUTATIONS, ROWS = 40, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-BLOCK, BLOCK_HASHES = 512, 1_000_000
+BLOCK, BLOCK_HASHES = 1024, 1_000_000
+#: Clusters of at most this many blocks are checked block by block at once.
+DIRECT = 8
 #: Ids that are sent to every task rather than joined by a shuffle, at most: 8 MB.
 BROADCAST_IDS = 1_000_000
 _A = np.random.default_rng(9).integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,21 +117,20 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` of every end of ``edges(u, v)``: the least node that is reachable. Alternates large and small stars until nothing changes."""
+    """``node, label`` of every end of ``edges(u, v)``: the least node that is reachable. Alternates large and small stars until all are stars."""
 
     def least(e):
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    def mark(e):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def all_stars(e):  # no node has two partners below it, or is itself below another
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), "v").unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(None).cast(e.schema["v"].dataType).alias("v")))
+        return ends.groupBy("n").agg(F.max("up").alias("a"), F.min("up").alias("b"), F.min("v").alias("c"), F.max("v").alias("d")).filter("a <> b or c <> d").isEmpty()
 
     e = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    last = None
-    while (now := mark(e)) != last:
-        last = now
+    while not all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = least(e)
         near = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settle(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
@@ -237,24 +239,52 @@ def _small(sets: DataFrame, percent: int) -> DataFrame:
 
 def _large(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """``digest, label`` in large clusters, of the classes that have a link."""
+    sets = sets.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)))
+    direct, huge = sets.filter(F.col("blocks") <= DIRECT), sets.filter(F.col("blocks") > DIRECT)
+    # every block meets every block, each pair of blocks in one cell
+    own = direct.select("digest", "cluster", _at("digest", 1, "blocks").alias("b"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
+    cells = own.select(_cell(F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "digest", (F.col("b") <= F.col("o")).alias("outer"))
+    links = _held_against(cells, sets, percent)
+    if not huge.isEmpty():
+        links = links.unionByName(_huge_links(huge, stars, percent))
+    return components(links).select(F.col("node").alias("digest"), "label")
 
-    def confirm(batches):
-        for batch in batches:
-            ok = [similar(a, b, percent) for a, b in zip(_rows(batch, 2), _rows(batch, 3), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    def held_against(batch):
+def _at(column: str, salt: int, n: str):
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.col(n))
+
+
+def _cell(i, j):
+    return F.concat_ws(":", F.hex("cluster"), i, j)
+
+
+def _held_against(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the ``outer`` sets of each cell and all of its sets, as a forest."""
+
+    def work(batch):
         bounds = group_bounds(batch.column(0)).tolist()
-        digest, outer, hashes = batch.column(1).to_pylist(), batch.column(2).to_pylist(), _rows(batch, 3)
+        digest, inner, hashes = batch.column(1).to_pylist(), batch.column(2).to_pylist(), _rows(batch, 3)
         u, v = [], []
         for a, b in zip(bounds, bounds[1:], strict=False):
-            left = sum(outer[a:b])  # these come first
+            left = b - a - sum(inner[a:b])  # the outer ones come first
             for i, r in enumerate(_union(b - a, linked(hashes[a:b], percent, left))):
                 if digest[a + i] != digest[a + r]:
                     u.append(digest[a + i])
                     v.append(digest[a + r])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
+    full = cells.withColumn("inner", ~F.col("outer")).join(sets.select("digest", "hashes"), "digest").select("cell", "digest", "inner", "hashes")
+    return by_group(full, "cell", ["inner", "digest"], work, "u binary, v binary", size=BLOCK)
+
+
+def _huge_links(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links in clusters of many blocks: first the stars, then all classes outside a cluster's main component against all."""
+
+    def confirm(batches):
+        for batch in batches:
+            ok = [similar(a, b, percent) for a, b in zip(_rows(batch, 2), _rows(batch, 3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
     def ends(name):
         return sets.select(F.col("digest").alias(name), F.col("hashes").alias(f"h{name}"))
 
@@ -264,13 +294,9 @@ def _large(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     first = settle(sets.drop("hashes").join(first, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
     main = first.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     first = first.join(main, "cluster").withColumn("outer", F.col("label") != F.col("main"))
-    outer = first.filter("outer").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / (BLOCK // 2)), F.ceil(F.sum("n") / (BLOCK_HASHES // 2))).alias("rows"))
-    grid = first.join(outer, "cluster").withColumn("columns", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)))
-    at = lambda salt, n: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(n))
-    cell = lambda i, j: F.concat_ws(":", F.hex("cluster"), i, j)
-    across = grid.filter("outer").select("digest", F.lit(True).alias("outer"), at(1, "rows").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), "cluster")
-    down = grid.select("digest", F.lit(False).alias("outer"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), at(2, "columns").alias("j"), "cluster")
-    cells = across.unionByName(down).select(cell("i", "j").alias("cell"), "digest", "outer").join(sets.select("digest", "hashes"), "digest").select("cell", "digest", "outer", "hashes")
-    cells = cells.withColumn("turn", ~F.col("outer"))
-    more = by_group(cells, "cell", ["turn", "digest"], held_against, "u binary, v binary", size=BLOCK)
-    return components(links.unionByName(more)).select(F.col("node").alias("digest"), "label")
+    outer = first.filter("outer").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("rows"))
+    grid = first.join(outer, "cluster")
+    across = grid.filter("outer").select("digest", F.lit(True).alias("outer"), _at("digest", 1, "rows").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "cluster")
+    down = grid.select("digest", F.lit(False).alias("outer"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), _at("digest", 2, "blocks").alias("j"), "cluster")
+    cells = across.unionByName(down).select(_cell("i", "j").alias("cell"), "digest", "outer")
+    return links.unionByName(_held_against(cells, sets, percent))

@@ -35,9 +35,10 @@ def got(spark, rows):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_like_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "direct"), [(1024, 8), (4, 100), (4, 1)])
+def test_like_brute_force(spark, monkeypatch, block, direct):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "DIRECT", direct)
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     base = " ".join(f"w{i}" for i in range(120)).split()
     for v in range(30):  # a chain of near copies: neighbours are linked, ends are not
