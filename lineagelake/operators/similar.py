@@ -21,15 +21,27 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parts.select("key", "bucket", (F.col("sum") / length).alias("weight"))
 
 
+#: Query vectors that are held against the base in one pass; 256 floats each make 50 MB.
+PORTION = 50_000
+
+
 def neighbours_of(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFrame:
     """For each query vector the ``k`` most similar base vectors other than itself, exactly.
 
-    Both: ``id, vector``. Queries are the stated small side (checked to fit, 64 MB); each task holds them against its base vectors in
-    blocks and keeps its own best ``k`` of each query, so ``tasks * queries * k`` rows meet, not all pairs.
+    Both: ``id, vector``. Queries are the stated small side and go in portions of about ``PORTION``, one pass over the base each. A
+    task holds a portion against its base vectors in blocks and keeps its own best ``k`` of each query, so tasks times queries times
+    ``k`` rows meet, not all pairs.
     """
-    rows = queries.select("id", "vector").limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("queries must be at most 200,000 vectors; run them in portions")
+    n = max(1, -(-queries.count() // PORTION))
+    found = None
+    for part in range(n):
+        one = _portion(queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == part) if n > 1 else queries, base, k, least)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _portion(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFrame:
+    rows = queries.select("id", "vector").collect()  # a portion
     ids = np.array([r[0] for r in rows], np.int64)
     mine = np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1)
     mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
