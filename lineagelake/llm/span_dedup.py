@@ -12,7 +12,10 @@ cover, and only buckets with more than one member are looked at:
    least hash, the leftmost of equals. Equal windows choose alike, so equal
    windows share a bucket. Neighbouring windows that choose the same string form
    a run, about one for 35 bytes, and a run has one hash over all its bytes.
-2. Runs are sorted by bucket, run hash and place. A run whose hash was seen
+2. Of equal runs in one portion of the input all but the first are known to repeat
+   before any shuffle, and are dealt out at random rather than to their bucket; so a passage that a third of
+   all documents share costs its bucket a row for each portion. The other
+   runs are sorted by bucket, run hash and place. A run whose hash was seen
    before repeats as a whole. For the others: a window reaches at least half of
    ``length - SEED`` bytes to the left or to the right of its seed, so it can
    only repeat if the seed with as many bytes on that side occurs in another run.
@@ -30,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,22 +86,36 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple
     return row, start, count, at_seed - start, *[h.view(np.int64) for h in (hashes[at_seed], whole, left, right)]
 
 
+def repeated(bucket: np.ndarray, whole: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which runs are equal to an earlier one of these; runs of a row come in order of place."""
+    at = np.argsort(order, kind="stable")
+    out = np.ones(len(bucket), bool)
+    key = (mix(bucket.view(np.uint64)) ^ whole.view(np.uint64))[at]
+    out[at[np.unique(key, return_index=True)[1]]] = False
+    return out
+
+
 def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches):
         for batch in portions(batches):
             data, offsets = flat(batch.column(1))
+            order = np.empty(batch.num_rows, np.int64)  # of the rows by id
+            order[pa.compute.sort_indices(batch.select([0, 2]), [(n, "ascending") for n in batch.schema.names[::2]], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
             step = max(CHUNK, 2 * length) if batch.num_rows == 1 else max(1, len(data))
             for low in range(0, max(1, len(data)), step):
                 part = data[low : low + step + length - 1]
                 row, start, count, before, key, whole, left, right = runs(part, offsets if batch.num_rows > 1 else np.array([0, len(part)]), length, seed)
                 row_ = pa.array(row)
                 place = low + start - offsets[row]
-                ints = [pa.array(x.astype(np.int32)) for x in (key >> 32, left >> 32, right >> 32, place, count, before)]
-                cols = [*ints[:3], pa.array(whole), batch.column(0).take(row_), batch.column(2).take(row_), *ints[3:]]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "left", "right", "whole", "id", "sub", "at", "n", "before"])
+                bucket = key >> 32
+                known = repeated(bucket, whole, order[row])
+                bucket = np.where(known, (1 << 32) + (mix((whole + place).view(np.uint64)) >> np.uint64(32)).astype(np.int64), bucket)
+                ints = [pa.array(x.astype(np.int32)) for x in (left >> 32, right >> 32, place, count, before)]
+                cols = [pa.array(bucket), pa.array(known), *ints[:2], pa.array(whole), batch.column(0).take(row_), batch.column(2).take(row_), *ints[2:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "known", "left", "right", "whole", "id", "sub", "at", "n", "before"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"bucket int, left int, right int, whole bigint, id {kind}, sub bigint, at int, n int, before int")
+    return docs.mapInArrow(run, f"bucket bigint, known boolean, left int, right int, whole bigint, id {kind}, sub bigint, at int, n int, before int")
 
 
 def _windows(asked: DataFrame, length: int) -> DataFrame:
@@ -165,7 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     else:
         docs = docs.withColumn("copy", F.lit(1))
     dealt = _runs(docs.select("id", "text", "sub"), length, seed).repartition(partitions(docs), "bucket")
-    seen = F.rank().over(Window.partitionBy("bucket", "whole").orderBy("id", "sub", "at")) > 1
+    seen = (F.rank().over(Window.partitionBy("bucket", "whole").orderBy("id", "sub", "at")) > 1) | F.col("known")
     shared = lambda side: F.min("whole").over(Window.partitionBy("bucket", side)) != F.max("whole").over(Window.partitionBy("bucket", side))
     found = dealt.withColumn("seen", seen).withColumn("by_left", shared("left")).withColumn("by_right", shared("right")).filter("seen or by_left or by_right")
     # windows that reach far to the left come first in a run, then those that reach far to the right

@@ -93,6 +93,11 @@ def _greatest(z: np.ndarray, row: np.ndarray, rows: int, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - first[row[order]] < k]
 
 
+def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of the rows of each group."""
+    return np.stack([np.bincount(group, rows[:, c], groups) for c in range(rows.shape[1])], axis=1)
+
+
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 64, seed: int = 1) -> tuple[np.ndarray, float]:
     """Value of each bucket and bias: the trained embeddings times the difference of the softmax's columns."""
     rng = np.random.default_rng(seed)
@@ -104,21 +109,19 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float =
     row, rows = grams.row, len(texts)
     weight = 0.5 * rows / np.maximum(1, np.where(toxic, toxic.sum(), (~toxic).sum()))
     for epoch in range(epochs):
-        z = grams.means(table @ (softmax[:, 1] - softmax[:, 0]).astype(np.float32))
+        if epoch >= 3 and (epoch < 6 or epoch % 2):  # the greatest segments move slowly
+            z = grams.means(table @ (softmax[:, 1] - softmax[:, 0]).astype(np.float32))
+            lead, top = _greatest(z, row, rows, 1), _greatest(z, row, rows, 3)
         if epoch < 3:  # first any segments, until the greatest ones mean something
             chosen = np.flatnonzero(rng.random(len(row)) < 12 / np.bincount(row, minlength=rows)[row])
         else:
-            top = _greatest(z, row, rows, 3)
-            lead = _greatest(z, row, rows, 1)
             chosen = np.concatenate((lead[toxic[row[lead]]], top[~toxic[row[top]]], np.flatnonzero(~toxic[row] & (rng.random(len(row)) < 2 / np.bincount(row, minlength=rows)[row]))))
         chosen = rng.permutation(chosen)
         for a in range(0, len(chosen), batch):
             segments = chosen[a : a + batch]
             own, owner = grams.of(segments)
             count = np.maximum(np.bincount(owner, minlength=len(segments)), 1)[:, None]
-            mean = np.zeros((len(segments), WIDTH))
-            np.add.at(mean, owner, table[own])
-            mean /= count
+            mean = _sums(table[own], owner, len(segments)) / count
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -126,14 +129,15 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float =
             p[np.arange(len(segments)), label] -= 1
             trust = 1 - np.abs(p[np.arange(len(segments)), label])[:, None]  # a label that the rest contradicts teaches less
             error = p * weight[row[segments]][:, None] * (trust**0.5 if epoch >= 8 else 1 if epoch >= 3 else 0.25)
-            back = ((error @ softmax.T) / np.sqrt(count))[owner]
+            back = (error @ softmax.T) / np.sqrt(count)
             step = mean.T @ error
             past_softmax += float((step**2).mean())
             softmax -= 0.1 * step / np.sqrt(past_softmax)
             past_bias += float((error.sum(axis=0) ** 2).mean())
             bias -= 0.1 * error.sum(axis=0) / np.sqrt(past_bias)
-            np.add.at(past, own, (back**2).mean(axis=1).astype(np.float32))
-            np.add.at(table, own, (-rate * back / np.sqrt(past[own])[:, None]).astype(np.float32))
+            met, at = np.unique(own, return_inverse=True)
+            past[met] += np.bincount(at, (back**2).mean(axis=1)[owner]).astype(np.float32)
+            table[met] -= (rate * _sums(back[owner], at, len(met)) / np.sqrt(past[met])[:, None]).astype(np.float32)
     return (table @ (softmax[:, 1] - softmax[:, 0]).astype(np.float32)).astype(np.float32), float(bias[1] - bias[0])
 
 
