@@ -12,7 +12,7 @@ from ..plans.lineage import settle
 
 #: The white space that separates words, 0x20 and 0x09 to 0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
-PORTION = 3_000_000
+PORTION = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

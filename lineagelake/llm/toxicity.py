@@ -55,22 +55,31 @@ class Grams:
         new = np.ones(len(start), bool)
         new[1:] = (np.diff(row) != 0) | (np.diff(nth) != 0)
         self.row, begin = row[new], start[new] - 1  # an n-gram belongs where its second byte is
-        spaces = np.append(0, np.cumsum(space))
+        spaces = np.zeros(len(text) + 1, np.int32)
+        np.cumsum(space, out=spaces[1:])
         h = np.zeros(len(text), np.uint64)
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, max(GRAMS) + 1):
             size = max(0, len(text) - n + 1)
-            h = h[:size] * np.uint64(257) + text[n - 1 :][:size]
+            h = h[:size]
+            h *= np.uint64(257)
+            h += text[n - 1 :][:size]
             if n in GRAMS:  # white space only at the ends
                 at = np.flatnonzero(spaces[n - 1 : n - 1 + size] == spaces[1 : 1 + size])
-                bucket = ((h[at] + np.uint64(n)) * _PRIME >> np.uint64(64 - BITS)).astype(np.int32)
-                self.parts.append((bucket, np.append(np.searchsorted(at, begin), len(at))))
+                bounds = np.append(np.searchsorted(at, begin), len(at))
+                bucket = h[at]
+                del at
+                bucket += np.uint64(n)
+                bucket *= _PRIME
+                bucket >>= np.uint64(64 - BITS)
+                self.parts.append((bucket.astype(np.int32), bounds))
 
     def means(self, of_bucket: np.ndarray) -> np.ndarray:
         """Per segment: the average of its n-grams' values."""
         total, count = np.zeros(len(self.row)), np.zeros(len(self.row), np.int64)
         for bucket, bounds in self.parts:
-            sums = np.append(0.0, np.cumsum(of_bucket[bucket], dtype=np.float64))
+            sums = np.zeros(len(bucket) + 1)
+            np.cumsum(of_bucket[bucket], dtype=np.float64, out=sums[1:])
             total += sums[bounds[1:]] - sums[bounds[:-1]]
             count += np.diff(bounds)
         return total / np.maximum(count, 1)
