@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
+
 BAND = 10
 
 
@@ -20,18 +21,21 @@ def band_pairs(rows: DataFrame, findings: DataFrame, band: int = BAND) -> DataFr
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matching, nearest first, ties by row, line and finding. Sequential within a file of a commit, whose pairs go to one task."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_rows, used_findings, keep = set(), set(), []
-        for r in pdf.sort_values(["distance", "row", "line", "finding"]).itertuples():
-            if r.row not in used_rows and r.finding not in used_findings:
-                used_rows.add(r.row)
-                used_findings.add(r.finding)
-                keep.append((r.row, r.finding, r.distance))
-        return pd.DataFrame(keep, columns=["row", "finding", "distance"])
-
-    return pairs.groupBy("sha", "path").applyInPandas(match, "row bigint, finding bigint, distance bigint")
+    """One-to-one matching, nearest first, ties by row, line and finding.
+
+    In rounds: a pair that is the least of what is left for its row and for its finding is matched, and both leave. The order is strict,
+    so this gives what one pass over the sorted pairs would, and no group goes to one task.
+    """
+    group, order = ["sha", "path"], ["distance", "row", "line", "finding"]
+    left, matched = settle(pairs.select(*group, *order).distinct()), None
+    while not left.isEmpty():
+        row, finding = [left.groupBy(*group, c).agg(F.min(F.struct(*order)).alias("least")).select(*group, "least.*") for c in ("row", "finding")]
+        found = settle(row.intersect(finding))
+        for c in ("row", "finding"):
+            gone = found.select(*[F.col(k).alias(f"_{k}") for k in (*group, c)])
+            left = left.join(gone, [left[k].eqNullSafe(gone[f"_{k}"]) for k in (*group, c)], "left_anti")
+        left, matched = settle(left), found if matched is None else matched.unionByName(found)
+    return (left if matched is None else matched).select("row", "finding", "distance")
 
 
 def class_recall(rows: DataFrame, matched: DataFrame, classes: DataFrame) -> DataFrame:

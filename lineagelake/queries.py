@@ -617,6 +617,19 @@ def _review(spark, sf):
     return rows, found
 
 
+#: The whole tables; a commit is a twentieth of the orders and a path one supplier or fifteen customers, so groups keep their size as the tables grow.
+_REVIEW_ALL = """with r as (select o_orderkey as id, concat('sha', o_orderkey % 20) as sha, concat('f', o_custkey // 15) as path, cast(floor(o_totalprice) as bigint) % 400 as line, case when o_orderkey % 3 = 0 then 'false' else 'real' end as verdict, o_orderpriority as class from orders),
+  f as (select l_orderkey * 10 + l_linenumber as id, concat('sha', l_orderkey % 20) as sha, concat('f', l_suppkey) as path, cast(floor(l_extendedprice) as bigint) % 400 as line from lineitem) """
+
+
+def _review_all(spark, sf):
+    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
+    sha = lambda c: F.concat(F.lit("sha"), (F.col(c) % 20).cast("string")).alias("sha")
+    rows = o.select(F.col("o_orderkey").alias("id"), sha("o_orderkey"), F.concat(F.lit("f"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("path"), (F.floor("o_totalprice") % 400).alias("line"), F.when(F.col("o_orderkey") % 3 == 0, "false").otherwise("real").alias("verdict"), F.col("o_orderpriority").alias("class"))
+    found = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), sha("l_orderkey"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), (F.floor("l_extendedprice") % 400).alias("line"))
+    return rows, found
+
+
 @query(_REVIEW + 'select r.id as "row", f.id as finding, abs(r.line - f.line) as distance from r join f on r.sha = f.sha and r.path = f.path and abs(r.line - f.line) <= 10')
 def band_join(spark, sf):
     return review.band_pairs(*_review(spark, sf)).select("row", "finding", "distance")
@@ -624,7 +637,7 @@ def band_join(spark, sf):
 
 @query()
 def greedy_match(spark, sf):
-    return review.greedy_match(review.band_pairs(*_review(spark, sf)))
+    return review.greedy_match(review.band_pairs(*_review_all(spark, sf)))
 
 
 @query(_REVIEW + """, m as (select distinct r.id from r join f on r.sha = f.sha and r.path = f.path and abs(r.line - f.line) <= 10), c as (select distinct o_orderpriority as class from orders)
@@ -651,6 +664,35 @@ def chance_baseline(spark, sf):
     return review.chance_baseline(*_review(spark, sf)).withColumn("chance", F.round("chance", 6))
 
 
+# The SQL of the four above names subsets of the tables; these are the same over all rows.
+
+
+def _whole(sql):
+    return sql.replace(_REVIEW, _REVIEW_ALL)
+
+
+@query(_whole(SQL["band_join"]))
+def band_join_all(spark, sf):
+    return review.band_pairs(*_review_all(spark, sf)).select("row", "finding", "distance")
+
+
+@query(_whole(SQL["class_recall"]))
+def class_recall_all(spark, sf):
+    rows, found = _review_all(spark, sf)
+    return review.class_recall(rows, review.band_pairs(rows, found), read(spark, sf, "orders").select(F.col("o_orderpriority").alias("class")).distinct())
+
+
+@query(_whole(SQL["merged_intervals"]))
+def merged_intervals_all(spark, sf):
+    found = _review_all(spark, sf)[1]
+    return review.merged_intervals(found.select("sha", "path", (F.col("line") - 10).alias("start"), (F.col("line") + 10).alias("end")), ["sha", "path"])
+
+
+@query(_whole(SQL["chance_baseline"]))
+def chance_baseline_all(spark, sf):
+    return review.chance_baseline(*_review_all(spark, sf)).withColumn("chance", F.round("chance", 6))
+
+
 @query("""with s as (select o_orderkey as site, concat('sha', o_custkey % 50) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features, cast(null as varchar) as toolchain from orders where o_orderkey % 10 = 0),
   r as (select concat('sha', l_suppkey % 60) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, concat('job', l_orderkey) as job from lineitem where l_returnflag = 'R' and l_orderkey % 7 = 0),
   j as (select site, job, (platform is null or p is null or platform = p) as on_p, (features is null or f is null or features = f) as on_f from s left join r using (sha)),
