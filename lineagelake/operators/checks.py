@@ -42,6 +42,15 @@ def faithfulness(segments: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each point (id, path, at) the shortest span [start, end) of its path that holds it, ties by key."""
-    inside = points.join(spans, "path").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
-    return inside.groupBy("id").agg(F.min_by("key", F.struct((F.col("end") - F.col("start")).alias("n"), "key")).alias("key"))
+    """For each point (id, path, at) the shortest span [start, end) of its path that holds it, ties by key.
+
+    A span of up to 2**level places lies in at most two blocks of that size; a point looks in its block of each level that its path has.
+    """
+    n = F.col("end") - F.col("start")
+    level = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+    block = lambda place: F.expr(f"shiftright(cast({place} as bigint), cast(level as int))")
+    one = spans.filter(n > 0).groupBy("path", "start", "end").agg(F.min("key").alias("key")).withColumn("level", level)
+    held = one.withColumn("block", F.explode(F.array_distinct(F.array(block("start"), block("end - 1")))))
+    asked = points.join(one.select("path", "level").distinct(), "path").withColumn("block", block("at"))
+    inside = asked.join(held, ["path", "level", "block"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    return inside.groupBy("id").agg(F.min_by("key", F.struct(n.alias("n"), "key")).alias("key"))

@@ -65,8 +65,9 @@ def chance_baseline(rows: DataFrame, findings: DataFrame, band: int = BAND) -> D
 
 
 def claim_coverage(sites: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per claim site the least green job whose platform, features and toolchain match or are open, and the reason if there is none."""
+    """Per claim site the least green job whose platform, features and toolchain match or are open, and the reason if there is none. Sites meet the distinct profiles of a sha's runs, not the runs."""
     green = runs.filter("conclusion = 'success'").select("sha", F.col("platform").alias("p"), F.col("features").alias("f"), F.col("toolchain").alias("t"), "job")
+    green = green.groupBy("sha", "p", "f", "t").agg(F.min("job").alias("job"))
     fits = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
     joined = sites.join(green, "sha", "left")
     ok = F.col("job").isNotNull() & fits("platform", "p") & fits("features", "f") & fits("toolchain", "t")

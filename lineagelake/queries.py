@@ -604,6 +604,15 @@ def correspondence(spark, sf):
     return links.correspond(o.filter("o_orderkey % 10 = 0").select(src, F.col("o_orderstatus").alias("target"), F.lit(0.9).alias("confidence")), o.filter("o_orderkey % 3 = 0").select(src, F.col("o_orderpriority").alias("target"), F.lit(0.5).alias("confidence")))
 
 
+@query("""with o as (select concat('a', o_custkey, '/', month(o_orderdate)) as src, o_orderpriority as target, o_orderstatus is not distinct from 'F' as persisted from orders),
+  p as (select src, target, 0.9 as confidence from o where persisted), l as (select src, target, 0.5 as confidence from o where not persisted)
+  select distinct src, target, confidence, true as persisted from p union all select distinct src, target, confidence, false from l where src not in (select src from p)""")
+def correspondence_all(spark, sf):
+    src = F.concat(F.lit("a"), F.col("o_custkey").cast("string"), F.lit("/"), F.month("o_orderdate").cast("string")).alias("src")
+    o = read(spark, sf, "orders").select(src, F.col("o_orderpriority").alias("target"), F.col("o_orderstatus").eqNullSafe("F").alias("persisted"))
+    return links.correspond(o.filter("persisted").select("src", "target", F.lit(0.9).alias("confidence")), o.filter("not persisted").select("src", "target", F.lit(0.5).alias("confidence")))
+
+
 # ---- review and checks
 
 _REVIEW = """with r as (select o_orderkey as id, concat('sha', o_custkey % 20) as sha, o_orderstatus as path, cast(floor(o_totalprice) as bigint) % 400 as line, case when o_orderkey % 3 = 0 then 'false' else 'real' end as verdict, o_orderpriority as class from orders where o_orderkey % 40 = 0),
@@ -705,6 +714,18 @@ def claim_coverage(spark, sf):
     return review.claim_coverage(sites, runs)
 
 
+@query("""with s as (select o_orderkey as site, concat('sha', o_custkey // 15) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features from orders),
+  r as (select concat('sha', l_suppkey) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, concat('job', l_orderkey) as job from lineitem where l_returnflag = 'R'),
+  j as (select site, job, (platform is null or p is null or platform = p) as on_p, (features is null or f is null or features = f) as on_f from s left join r using (sha)),
+  a as (select site, min(job) filter (where on_p and on_f) as job, count(job) as runs, count(job) filter (where on_p) as plat from j group by site)
+  select site, job, case when job is not null then 'covered' when runs = 0 then 'no_green_run' when plat = 0 then 'platform' else 'features_or_toolchain' end as reason from a""")
+def claim_coverage_all(spark, sf):
+    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
+    sites = o.select(F.col("o_orderkey").alias("site"), F.concat(F.lit("sha"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("platform"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("features"), F.lit(None).cast("string").alias("toolchain"))
+    runs = l.select(F.concat(F.lit("sha"), F.col("l_suppkey").cast("string")).alias("sha"), F.col("l_linestatus").alias("platform"), F.when(F.col("l_linenumber") % 2 == 0, "1-URGENT").alias("features"), F.lit(None).cast("string").alias("toolchain"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failure").alias("conclusion"), F.concat(F.lit("job"), F.col("l_orderkey").cast("string")).alias("job"))
+    return review.claim_coverage(sites, runs)
+
+
 @query()
 def budget_fit(spark, sf):
     l = read(spark, sf, "lineitem")  # noqa: E741
@@ -750,6 +771,17 @@ def innermost_span(spark, sf):
     return checks.innermost(points, spans)
 
 
+@query("""with p as (select l_orderkey * 10 + l_linenumber as id, concat('f', l_suppkey, '/', l_orderkey % 8) as path, cast(floor(l_extendedprice) as bigint) % 5000 as pos from lineitem), s as (select concat('o', o_orderkey) as key, concat('f', o_custkey // 15, '/', o_orderkey % 8) as path, cast(floor(o_totalprice) as bigint) % 4000 as a, 100 + o_orderkey % 900 as n from orders)
+  select id, s.key from p join s on p.path = s.path and pos >= a and pos < a + n qualify row_number() over (partition by id order by n, s.key) = 1""")
+def innermost_span_all(spark, sf):
+    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
+    path = lambda one, order: F.concat(F.lit("f"), one.cast("string"), F.lit("/"), (F.col(order) % 8).cast("string")).alias("path")
+    points = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), path(F.col("l_suppkey"), "l_orderkey"), (F.floor("l_extendedprice") % 5000).alias("at"))
+    start = F.floor("o_totalprice") % 4000
+    spans = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), path(F.floor(F.col("o_custkey") / 15), "o_orderkey"), start.alias("start"), (start + 100 + F.col("o_orderkey") % 900).alias("end"))
+    return checks.innermost(points, spans)
+
+
 # ---- similarity
 
 
