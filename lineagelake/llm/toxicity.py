@@ -7,9 +7,10 @@ as toxic as its most toxic segment, so a few words stand out in a long text,
 and in training each document teaches its own greatest segments. Misspelled
 or inflected words share most n-grams with those seen.
 
-The model is fitted on the driver to a bounded sample of labelled rows: at
-most ``SAMPLE`` rows of each class, lowest hash first, and ``SAMPLE_BYTES`` of text. Its size is
-fixed, so it is sent to every task.
+The model is fitted on the driver to a bounded sample of labelled rows: of each class
+at most ``SAMPLE`` rows, lowest hash first, that fit half of ``SAMPLE_BYTES``; a row that does not fit is
+passed over. Rows over ``ROW_BYTES`` are scored as all others, but teach only if their class has no shorter one, and
+then the shortest that fits. The model's size is fixed, so it is sent to every task.
 
 Defined results: a null or empty text has the score of no segment, that of the softmax's
 bias alone. Held out is false for a null id. Null labels are left out, and a row labelled both ways is toxic.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, flat, portions
+from .common import _LOWER, _SPACE, flat, portions, settle
 
 GRAMS = (3, 4, 5, 6)
 BITS, WIDTH, WORDS = 20, 12, 3
-SAMPLE, SAMPLE_BYTES = 1500, 6_000_000
+SAMPLE, SAMPLE_BYTES, ROW_BYTES = 1500, 6_000_000, 100_000
 EPOCHS, RATE = 30, 0.1
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,21 +151,31 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float =
     return (table @ (softmax[:, 1] - softmax[:, 0]).astype(np.float32)).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _filled(rows: list, size: int, row_size: int) -> list:
+    """Rows in their order, each if it still fits ``size`` bytes; one over ``row_size`` only as the first."""
+    out, used = [], 0
+    for r in rows:
+        if used + r.size <= size and (r.size <= row_size or not out):
+            out.append(r)
+            used += r.size
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
-    """A model from labelled rows that are not held out."""
+    """A model from labelled rows that are not held out. Texts are fetched once the sample is chosen by their sizes."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    own = own.groupBy("id").agg(F.max("label").alias("label"))
-    chosen = own.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample).unionByName(own.filter("label <> 1").orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter("text is not null").select("id", "label", "text", F.octet_length("text").alias("size"))
-    got, used = [], 0
-    for r in rows.orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample).toLocalIterator():
-        used += r.size
-        if used > sample_bytes and got:
-            break
-        got.append((r.text, r.label == 1))
-    if not got:
+    own = own.groupBy("id").agg((F.max("label") == 1).alias("toxic"))
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    sizes = told.select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    known = settle(sizes.join(own, "id").distinct())
+    order = [F.when(F.col("size") > ROW_BYTES, F.col("size")).otherwise(0), F.xxhash64("id"), "id", "hash"]  # over-long rows last
+    chosen = [r for c in ("toxic", "not toxic") for r in _filled(known.filter(c).orderBy(*order).limit(sample).collect(), sample_bytes // 2, ROW_BYTES)]
+    if not chosen:
         return np.zeros(1 << BITS, np.float32), -5.0
-    return fit([t for t, _ in got], np.array([x for _, x in got], bool))
+    names = docs.sparkSession.createDataFrame([(r.id, r.hash) for r in chosen], known.select("id", "hash").schema)
+    texts = told.withColumn("hash", F.xxhash64("text")).join(F.broadcast(names), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    of = {(r.id, r.hash): r.text for r in texts.toLocalIterator()}
+    return fit([of[r.id, r.hash] for r in chosen], np.array([r.toxic for r in chosen], bool))
 
 
 def scores(values: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
