@@ -303,6 +303,12 @@ def k_hop(spark, sf):
     return traverse.k_hop(edges(spark, sf, ("contains", "related", "references")), ["nation:3"], 2)
 
 
+@query()
+def k_hop_all(spark, sf):
+    return traverse.k_hop(edges(spark, sf), ["nation:3"], 2)
+
+
+SQL["k_hop_all"] = SQL["k_hop"]  # every edge; that of k_hop leaves out one kind
 SQL["k_hop"] = SQL["k_hop"].replace("distinct key, other from ends", "distinct key, other from ends where kind <> 'calls'")
 
 
@@ -1066,7 +1072,7 @@ def topic_context(spark, sf):
 
 @query()
 def fingerprints(spark, sf):
-    return context.fingerprints(nodes(spark, sf, ("region", "nation", "customer", "supplier")), edges(spark, sf, ("contains", "related")))
+    return context.fingerprints(nodes(spark, sf), edges(spark, sf))
 
 
 @query(_FINDINGS + "select layer, count(*) as findings, least(count(*), 20) as returned, count(*) > 20 as truncated from f group by layer")
