@@ -8,18 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Parts of names that mark a secret.
-SECRET_WORDS = ("password", "passwd", "secret", "token", "apikey", "privatekey", "accesskey", "credential", "auth", "passphrase")
+SECRET_WORDS = ("secret", "password", "passwd", "passphrase", "token", "apikey", "credential", "privatekey", "accesskey", "pwd")
+#: Fixed value: what stands for a secret's value.
+REDACTED = "<redacted>"
 
 
 def normalised_key(key: Column) -> Column:
-    """Words of a config key, lower case, joined by dots."""
-    return F.trim(F.regexp_replace(F.lower(key), r"[^\p{L}\p{N}]+", "."), F.lit("."))
+    """Words of ASCII letters and digits of a config key, lower case, joined by dots."""
+    return F.lower(F.trim(F.regexp_replace(key, "[^A-Za-z0-9]+", "."), F.lit(".")))
 
 
 def canonical_key(key: Column) -> Column:
-    """Each dotted segment without other than letters and digits; empty segments go."""
-    parts = F.transform(F.split(F.lower(key), r"\."), lambda s: F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
-    return F.array_join(F.filter(parts, lambda s: s != ""), ".")
+    """Each dotted segment without other than ASCII letters and digits, lower case; empty segments go."""
+    plain = F.regexp_replace(key, "[^A-Za-z0-9.]", "")
+    return F.lower(F.trim(F.regexp_replace(plain, r"\.+", "."), F.lit(".")))
 
 
 def slug(heading: Column) -> Column:
@@ -58,7 +60,12 @@ def glob_regex(glob: str) -> str:
 
 
 def secret_named(key: Column, words: tuple[str, ...] = SECRET_WORDS) -> Column:
-    return F.regexp_replace(F.lower(key), r"[^\p{L}\p{N}]", "").rlike("|".join(words))
+    return F.lower(F.regexp_replace(key, "[^A-Za-z0-9]", "")).rlike("|".join(words))
+
+
+def redacted(key: Column, value: Column) -> Column:
+    """``value``, but :data:`REDACTED` where the key is named like a secret and there is a value."""
+    return F.when(secret_named(key) & value.isNotNull(), REDACTED).otherwise(value)
 
 
 def rounded(value: Column, places: int = 2) -> Column:
@@ -80,3 +87,13 @@ def image_reference(ref: Column) -> list[Column]:
 def version(text: Column) -> Column:
     """``major.minor`` as a struct that orders by number."""
     return F.struct(F.regexp_extract(text, r"^(\d+)\.(\d+)$", 1).cast("int").alias("major"), F.regexp_extract(text, r"^(\d+)\.(\d+)$", 2).cast("int").alias("minor"))
+
+
+def normal_url(url: Column) -> Column:
+    """A git url without trailing slashes and ``.git``, ASCII letters in lower case."""
+    return F.translate(F.regexp_replace(F.regexp_replace(url, r"/+\z", ""), r"(\.git)+\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def repository(url: Column) -> Column:
+    """Name of the repository in a git url: what follows the last slash or colon."""
+    return F.regexp_extract(F.regexp_replace(F.regexp_replace(url, r"/+\z", ""), r"(\.git)+\z", ""), r"([^/:]*)\z", 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Structural texts that need no citation.
-STRUCTURAL = ("summary", "findings", "no findings", "details", "notes", "end of report")
+from ..functions.text import collapsed
+
+#: Structural texts that need no citation; they claim nothing, so none counts findings or denies them.
+STRUCTURAL = ("Findings:", "Here are the findings:", "In summary:", "Summary:", "Details:", "Recommended next steps:")
 
 
 def unresolved_links(links: DataFrame, keys: DataFrame) -> DataFrame:
@@ -30,14 +32,14 @@ def faithfulness(segments: DataFrame, findings: DataFrame) -> DataFrame:
     """Defects of rendered segments: ``rendering, place, defect``.
 
     A claim without text is empty, one without citations uncited, a citation of no finding dangling; structural text
-    must be listed. ``segments``: rendering, place, kind, text, citations; ``findings``: key.
+    must be listed, in this case and with any white space. ``segments``: rendering, place, kind, text, citations; ``findings``: key.
     """
     claims = segments.filter("kind = 'claim'")
     empty = claims.filter(F.trim("text") == "").select("rendering", "place", F.lit("empty").alias("defect"))
     uncited = claims.filter(F.coalesce(F.size("citations"), F.lit(0)) <= 0).select("rendering", "place", F.lit("uncited").alias("defect"))
     cited = claims.select("rendering", "place", F.explode("citations").alias("key"))
     dangling = cited.join(findings.select("key"), "key", "left_anti").select("rendering", "place", F.lit("dangling").alias("defect")).distinct()
-    unlisted = segments.filter("kind = 'structural'").filter(~F.lower(F.trim("text")).isin(*STRUCTURAL)).select("rendering", "place", F.lit("unlisted").alias("defect"))
+    unlisted = segments.filter("kind = 'structural'").filter(~collapsed(F.col("text")).isin(*STRUCTURAL)).select("rendering", "place", F.lit("unlisted").alias("defect"))
     return empty.unionByName(uncited).unionByName(dangling).unionByName(unlisted)
 
 

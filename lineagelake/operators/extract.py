@@ -7,15 +7,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import image_reference, slug
+from ..plans.lineage import settle
 
 
 def json_keys(rows: DataFrame, ident: str, column: str) -> DataFrame:
-    """``file, key, value`` of the fields of JSON objects, nested ones dotted; values as text, null stays unknown."""
-    top = rows.select(F.col(ident).alias("file"), F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
-    nested = F.from_json("value", "map<string,string>")
-    deep = top.filter(F.col("value").startswith("{")).select("file", F.col("key").alias("outer"), F.explode(nested).alias("inner", "value"))
-    flat = top.filter(~F.coalesce(F.col("value").startswith("{"), F.lit(False)))
-    return flat.unionByName(deep.select("file", F.concat_ws(".", "outer", "inner").alias("key"), "value"))
+    """``file, key, value`` of the leaves of JSON objects at any depth, keys dotted; arrays are leaves, values text, null stays unknown.
+
+    Each level of objects is one pass over what is left; the depth of the deepest ends the loop. Text that is no JSON gives nothing.
+    """
+    json = F.try_parse_json(column)
+    left = rows.select(F.col(ident).alias("file"), F.lit("").alias("key"), json.alias("value")).filter("value is not null")
+    found = None
+    while True:
+        inner = F.try_variant_get("value", "$", "map<string,variant>")
+        object_ = F.schema_of_variant("value").startswith("OBJECT")
+        leaves = left.filter(~object_ & (F.col("key") != "")).select("file", "key", F.try_variant_get("value", "$", "string").alias("value"))
+        found = leaves if found is None else found.unionByName(leaves)
+        objects = left.filter(object_)
+        if objects.isEmpty():
+            return found
+        deep = objects.select("file", F.col("key").alias("outer"), F.explode(inner).alias("inner", "value"))
+        left = settle(deep.select("file", F.when(F.col("outer") == "", F.col("inner")).otherwise(F.concat_ws(".", "outer", "inner")).alias("key"), "value"))
 
 
 def config_keys(files: DataFrame) -> DataFrame:

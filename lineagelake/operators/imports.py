@@ -89,9 +89,10 @@ def forgotten(memory: DataFrame, ident: int) -> DataFrame:
     return memory.filter(F.col("id") != ident).withColumn("superseded_by", revive)
 
 
-def escalation(reply: Column, rounds: Column, called: Column, most: int) -> Column:
-    """Why a reply should go to a stronger model, or null; the first reason counts."""
-    return F.when(F.trim(reply) == "", "empty").when((rounds >= most) & ~called, "no_tool_call").when(F.char_length(F.trim(reply)) < 16, "short")
+def escalation(reply: Column, rounds: Column, called: Column, most: int, floor: int = 16) -> Column:
+    """Why a reply should go to a stronger model, or null; the first reason counts. ``most`` or ``floor`` 0 is none."""
+    stalled = (rounds >= most) & ~called if most > 0 else F.lit(False)
+    return F.when(F.char_length(reply) == 0, "empty_output").when(stalled, "no_tool_call_after_max_rounds").when(F.char_length(reply) < floor, "below_length_floor")
 
 
 def already_shown(body: Column, signature: Column, probe: int = 60) -> Column:

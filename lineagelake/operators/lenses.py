@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_regex, rounded, secret_named
+from ..functions.text import REDACTED, glob_regex, rounded, secret_named
 
 
 def window(df: DataFrame, order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:
@@ -34,9 +37,19 @@ def listing(nodes: DataFrame, kinds: list[str], needle: str = "", provenance: st
     return page.select("key", "kind", "name", "path", "lang").crossJoin(F.broadcast(total))  # one row
 
 
+def language(key: Column) -> Column:
+    """Language of a symbol's key, null for other keys."""
+    return F.nullif(F.regexp_extract(key, "^sym:([^:]+):", 1), F.lit(""))
+
+
+def same_language(a: Column, b: Column) -> Column:
+    """Whether two keys may call each other: equal languages, or one has none."""
+    return F.coalesce(language(a) == language(b), F.lit(True))
+
+
 def coupling(edges: DataFrame) -> DataFrame:
-    """Distinct partners by ``calls``, self calls left out: fan_in, fan_out, total, instability."""
-    calls = edges.filter("kind = 'calls' and src <> dst").select("src", "dst")
+    """Distinct partners by ``calls``: fan_in, fan_out, total, instability. Self calls and calls from one language to another are left out."""
+    calls = edges.filter("kind = 'calls' and src <> dst").filter(same_language(F.col("src"), F.col("dst"))).select("src", "dst")
     ins = calls.groupBy(F.col("dst").alias("key")).agg(F.countDistinct("src").alias("fan_in"))
     outs = calls.groupBy(F.col("src").alias("key")).agg(F.countDistinct("dst").alias("fan_out"))
     both = ins.join(outs, "key", "full_outer").fillna(0, ["fan_in", "fan_out"])
@@ -44,8 +57,18 @@ def coupling(edges: DataFrame) -> DataFrame:
     return both.select("key", "fan_in", "fan_out", total.alias("total"), rounded(F.col("fan_out") / total).alias("instability"))
 
 
-def coupling_order() -> list[Column]:
-    return [F.desc("total"), F.desc("fan_in"), F.desc("fan_out"), F.asc("key")]
+def coupling_counts(edges: DataFrame) -> DataFrame:
+    """One row: edges of kind ``calls``, how many are self calls or cross languages, and the nodes that the others couple."""
+    calls = edges.filter("kind = 'calls'").select("src", "dst", (F.col("src") == F.col("dst")).alias("own"))
+    calls = calls.withColumn("cross", ~F.col("own") & ~same_language(F.col("src"), F.col("dst")))
+    nodes = calls.filter("not own and not cross").select(F.explode(F.array("src", "dst")).alias("key")).distinct().agg(F.count("*").alias("coupled_nodes"))
+    sums = calls.agg(F.count("*").alias("call_edges"), F.count_if("own").alias("self_calls"), F.count_if("cross").alias("cross_language_calls"))
+    return sums.crossJoin(nodes)  # one row each
+
+
+def coupling_order(by: str = "total") -> list[Column]:
+    """By total, fan_in or fan_out, ties by key."""
+    return [F.desc(by), F.asc("key")]
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,34 +88,108 @@ def neighbours(edges: DataFrame, keys: list[str], direction: str = "both") -> Da
 def explained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node with sorted lists of what leads out of it and into it."""
     entry = F.struct("kind", "other", "provenance", "confidence")
-    per = endpoints(edges).groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("direction") == "out", entry))).alias("outgoing"), F.array_sort(F.collect_list(F.when(F.col("direction") == "in", entry))).alias("incoming"))
+    ends = endpoints(edges).join(nodes.select("key"), "key", "left_semi")
+    per = ends.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("direction") == "out", entry))).alias("outgoing"), F.array_sort(F.collect_list(F.when(F.col("direction") == "in", entry))).alias("incoming"))
     return nodes.join(per, "key", "left")
 
 
-#: Default rules of the marker scan: category, pattern; the first that matches a line counts.
-MARKER_RULES = (("todo", r"\bTODO\b"), ("fixme", r"\bFIXME\b"), ("hack", r"\b(HACK|XXX)\b"), ("deferred", r"(?i)\b(deferred|follow-up|for now)\b"))
+#: The rules of the marker scan in their order: text, category, mode, and whether only comments count in code.
+MARKER_RULES = (
+    ("todo!(", "stub", "text", False), ("unimplemented!(", "stub", "text", False), ("todo", "todo", "phrase", False), ("fixme", "fixme", "phrase", False), ("BUG", "fixme", "word", False),
+    ("HACK", "hack", "word", False), ("XXX", "hack", "word", False), ("bug", "fixme", "annotation", False), ("hack", "hack", "annotation", False), ("xxx", "hack", "annotation", False),
+    ("not yet implemented", "stub", "phrase", True), ("not implemented", "stub", "phrase", True), ("placeholder implementation", "stub", "phrase", True), ("returns a placeholder", "stub", "phrase", True),
+    ("for now", "deferred", "phrase", True), ("deferred", "deferred", "phrase", True), ("follow-up", "deferred", "phrase", True), ("followup", "deferred", "phrase", True), ("tbd", "deferred", "phrase", True),
+)
+#: Fixed value: an open item of a Markdown list is deferred work where no rule matches.
+OPEN_ITEM = ("deferred", r"^\s*[-*+] \[ \]")
+#: Extensions of code by the start of a line comment and whether ``/* */`` are comments too; other files are prose.
+COMMENTS = {
+    ("//", True): "rs c h cc cpp cxx hpp hh js jsx mjs cjs ts tsx go java kt kts swift scala cs php m mm rust dart zig v",
+    ("#", False): "py rb sh bash zsh pl pm tcl r nim",
+    ("--", True): "sql",
+    ("--", False): "lua hs elm adb ads",
+    (";", False): "el lisp clj cljs cljc scm ss rkt",
+}
+IGNORE_LINE, IGNORE_FILE = "lineagelake:ignore", "lineagelake:ignore-file"
+
+
+def rule_pattern(needle: str, mode: str) -> str:
+    """Pattern of a rule: text as it is, a word in its case, a phrase in any, or an annotation, which a colon or bracket follows; ``pattern`` is one already."""
+    quoted = re.sub(r"([^A-Za-z0-9 _-])", r"\\\1", needle)
+    start, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    return {"text": quoted, "word": start + quoted + end, "phrase": f"(?i){start}{quoted}{end}", "annotation": f"(?i){start}{quoted}[:(]", "pattern": needle}[mode]
+
+
+def comments_only(path: Column, content: Column) -> Column:
+    """``content`` without its code: all but comments goes, line ends stay. Texts of no known language are comments as a whole.
+
+    String literals are not told apart, so a comment's start inside one begins a comment.
+    """
+    out = content
+    ending = F.lower(F.substring_index(path, ".", -1))
+    for (line, block), names in COMMENTS.items():
+        comment = f"({line}[^\\n]*)" + (r"|/\*([\s\S]*?)(?:\*/|\z)" if block else "|(\\b\\B)")
+        first = re.escape(line[0]) + ("/" if block else "")
+        out = F.when(ending.isin(*names.split()), F.regexp_replace(content, f"{comment}|[^\\n{first}]+|[{first}]", "$1$2")).otherwise(out)
+    return out
+
 
+def markers(files: DataFrame, rules: tuple[tuple, ...] = MARKER_RULES, ignore: tuple[str, ...] = (), items: bool = True) -> DataFrame:
+    """Lines of file contents that match a rule, the first of them for each line: ``path, line, category, text``.
 
-def markers(files: DataFrame, rules: tuple[tuple[str, str], ...] = MARKER_RULES, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Lines of file contents that match a rule: ``path, line, category, text``."""
+    A rule's text must occur for it to match; a rule that is a pattern names such texts, in lower case, as its fifth part. Files and lines without
+    any are passed over by plain search. Each line is classified once, and only the lines that match are laid out as rows. A line with :data:`IGNORE_LINE` and a file with :data:`IGNORE_FILE` are passed over.
+    """
     for glob in ignore:
         files = files.filter(~F.col("path").rlike(glob_regex(glob)))
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    category = F.lit(None).cast("string")
-    for name, pattern in reversed(rules):
-        category = F.when(F.col("text").rlike(pattern), name).otherwise(category)
-    return lines.withColumn("category", category).filter("category is not null").select("path", (F.col("at") + 1).cast("bigint").alias("line"), "category", F.trim("text").alias("text"))
+    patterns = [(name, rule_pattern(needle, mode), inside, hints[0] if hints else (needle.lower(),)) for needle, name, mode, inside, *hints in rules]
+    patterns += [(*OPEN_ITEM, False, (" [ ]",))] if items else []
+    some = lambda low, hints: reduce(lambda a, b: a | b, [low.contains(h) for h in hints])
+    hints = sorted({h for *_, hs in patterns for h in hs})
+    content = F.col("content")
+    # in a lambda, so that the text is lowered once
+    found = files.filter(F.exists(F.array(F.lower(content)), lambda low: some(low, hints)) & ~content.contains(IGNORE_FILE))
+    parts = [F.split(content, "\n").alias("text"), F.split(F.lower(content), "\n").alias("low")]
+    if any(only for _, _, only, _ in patterns):
+        parts.append(F.split(comments_only(F.col("path"), content), "\n").alias("comment"))
+
+    def category(line: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern, only, of in reversed(patterns):
+            out = F.when(some(line["low"], of) & line["comment" if only else "text"].rlike(pattern), name).otherwise(out)
+        return F.when(~line["text"].contains(IGNORE_LINE), out)
+
+    told = F.transform(F.arrays_zip(*parts), lambda line, at: F.struct((at + 1).cast("bigint").alias("line"), category(line).alias("category"), line["text"].alias("text")))
+    # the outer form, as the plain one would evaluate the array once more to pass over empty ones
+    rows = found.select("path", F.explode_outer(F.filter(told, lambda m: m["category"].isNotNull())).alias("m")).filter("m is not null").select("path", "m.*")
+    text = F.trim(F.regexp_replace("text", r"\r\z", ""))
+    return rows.withColumn("text", F.when(F.char_length(text) > MARKER_TEXT, F.concat(F.substring(text, 1, MARKER_TEXT), F.lit("…"))).otherwise(text))
+
+
+#: Fixed value: characters of a marked line that are kept.
+MARKER_TEXT = 200
+
+
+def marker_items(found: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
+    """Markers by path, line and key, of some categories or all."""
+    found = found.filter(F.col("category").isin(*categories)) if categories else found
+    return found.select(F.concat(F.lit("marker:"), "path", F.lit("#"), F.col("line").cast("string")).alias("key"), F.coalesce("category", F.lit("other")).alias("category"), "text", "path", "line").orderBy("path", "line", "key")
 
 
 def marker_inventory(found: DataFrame) -> DataFrame:
-    return found.groupBy("category").agg(F.count("*").alias("markers"), F.countDistinct("path").alias("files"))
+    return found.groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(F.count("*").alias("markers"), F.countDistinct("path").alias("files"))
 
 
 def density(found: DataFrame, files: DataFrame, min_lines: int = 50) -> DataFrame:
-    """Markers per thousand lines of files with at least ``min_lines``."""
-    per = found.groupBy("path").agg(F.count("*").alias("markers"))
+    """Markers per thousand lines of files with at least ``min_lines``, with the markers of each category."""
+    per = found.groupBy("path", "category").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("markers"), F.array_sort(F.collect_list(F.struct("category", "n"))).alias("by_category"))
     rate = F.col("markers") / F.col("lines")
-    return per.join(files.select("path", "lines"), "path").filter((F.col("lines") >= min_lines) & (F.col("lines") > 0)).select("path", "markers", "lines", rounded(rate * 1000).alias("per_kloc"), rate.alias("rate"))
+    return per.join(files.select("path", "lines"), "path").filter((F.col("lines") >= min_lines) & (F.col("lines") > 0)).select("path", "markers", "lines", rounded(rate * 1000).alias("per_kloc"), rate.alias("rate"), "by_category")
+
+
+def density_order(by: str = "rate") -> list[Column]:
+    """By rate, markers or lines, ties by path."""
+    return [F.desc(by), F.asc("path")]
 
 
 def density_totals(found: DataFrame, files: DataFrame, min_lines: int = 50) -> DataFrame:
@@ -106,23 +203,37 @@ def density_totals(found: DataFrame, files: DataFrame, min_lines: int = 50) -> D
     return sums.withColumn("per_kloc", F.when(F.col("lines") > 0, rounded(F.col("markers") * 1000 / F.col("lines"))))
 
 
-def secret_report(keys: DataFrame) -> DataFrame:
-    """Config keys by file: how many are secret-named, and of these how many declared, empty or present.
+def secret_state(value: Column) -> Column:
+    """State of a secret-named key: declared without a value, redacted, or present, also if empty."""
+    return F.when(value.isNull(), "declared").when(value == REDACTED, "redacted").otherwise("present")
+
+
+def secret_items(keys: DataFrame) -> DataFrame:
+    """Secret-named keys (file, key, value) with their state instead of the value."""
+    return keys.filter(secret_named(F.col("key"))).select("file", "key", secret_state(F.col("value")).alias("state"))
+
+
+def secret_report(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of ``by``: keys, secret-named ones by state, values redacted under other names, files with secret-named keys.
 
     ``keys``: file, key, value; a null value is unknown, which is not an empty one.
     """
-    secret = secret_named(F.col("key"))
-    return keys.groupBy("file").agg(
-        F.count("*").alias("keys"), F.count_if(secret).alias("secrets"), F.count_if(secret & F.col("value").isNull()).alias("declared"),
-        F.count_if(secret & (F.col("value") == "")).alias("empty"), F.count_if(secret & (F.col("value") != "")).alias("present"),
+    secret, state = secret_named(F.col("key")), secret_state(F.col("value"))
+    return keys.groupBy(*(by or [])).agg(
+        F.count("*").alias("keys"), F.count_if(secret).alias("secrets"), *[F.count_if(secret & (state == s)).alias(s) for s in ("declared", "redacted", "present")],
+        F.count_if(~secret & (state == "redacted")).alias("redacted_other"), F.countDistinct(F.when(secret, F.col("file"))).alias("files"),
     )
 
 
 def round_robin(ends: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` edges per key and direction, dealt one per kind and round; with what each kind leaves out."""
-    kind = Window.partitionBy("key", "direction", "kind")
-    turn = F.row_number().over(kind.orderBy("other", "provenance"))
-    ranked = ends.withColumn("turn", turn).withColumn("of_kind", F.count("*").over(kind))
+    """At most ``cap`` edges per key and direction, dealt one per kind and round, and what each kind leaves out: ``key, direction, kind, other, provenance, turn, omitted``.
+
+    The first window is limited to ``cap`` rows of each kind before its shuffle, so a hub sends ``cap`` rows a task.
+    """
+    kind = ["key", "direction", "kind"]
+    turn = F.row_number().over(Window.partitionBy(*kind).orderBy("other", "provenance"))
+    first = ends.withColumn("turn", turn).filter(F.col("turn") <= cap)
     place = F.row_number().over(Window.partitionBy("key", "direction").orderBy("turn", "kind"))
-    kept = ranked.withColumn("place", place).filter(F.col("place") <= cap)
-    return kept.groupBy("key", "direction", "kind").agg(F.count("*").alias("kept"), (F.max("of_kind") - F.count("*")).alias("omitted"))
+    kept = first.withColumn("place", place).filter(F.col("place") <= cap).withColumn("kept", F.count("*").over(Window.partitionBy(*kind)))
+    of_kind = ends.groupBy(*kind).agg(F.count("*").alias("of_kind"))
+    return kept.join(of_kind, kind).select(*kind, "other", "provenance", "turn", (F.col("of_kind") - F.col("kept")).alias("omitted"))

@@ -9,14 +9,14 @@ from ..functions.text import canonical_key, normalised_key
 
 
 def match_keys(spokes: DataFrame, hub: DataFrame) -> DataFrame:
-    """Best tier for each spoke key against hub keys: ``target, tier, confidence``, nulls for orphans.
+    """Best tier for each spoke key against hub keys: ``target, hub_file, tier, confidence``, nulls for orphans.
 
     Tier 1: equal normalised key (0.98 with equal values, else 0.90), the first hub row of a key. Tier 2: equal
     canonical key that names one key text (0.95 or 0.85). Tier 3: last token that names one key (0.55).
-    ``spokes``: file, key, value; ``hub``: seq, key, value. The hub's maps hold one row for each key.
+    ``spokes``: file, key, value; ``hub``: seq, file, key, value. The hub's maps hold one row for each key. Null values agree with nothing.
     """
-    h = hub.select("seq", "key", "value", normalised_key(F.col("key")).alias("norm"), canonical_key(F.col("key")).alias("canon"))
-    first = F.min_by(F.struct("key", "value"), "seq")
+    h = hub.select("seq", "file", "key", "value", normalised_key(F.col("key")).alias("norm"), canonical_key(F.col("key")).alias("canon"))
+    first = F.min_by(F.struct("key", "value", "file"), "seq")
     by_norm = h.groupBy("norm").agg(first.alias("t1"))
     by_canon = h.groupBy("canon").agg(first.alias("t2"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo = hi").select("canon", "t2")
     last = F.substring_index("norm", ".", -1)
@@ -26,13 +26,20 @@ def match_keys(spokes: DataFrame, hub: DataFrame) -> DataFrame:
     same = lambda t: F.coalesce(F.col("value") == F.col(f"{t}.value"), F.lit(False))
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
     confidence = F.when(tier == 1, F.when(same("t1"), 0.98).otherwise(0.90)).when(tier == 2, F.when(same("t2"), 0.95).otherwise(0.85)).when(tier == 3, 0.55)
-    return s.select("file", "key", F.coalesce("t1.key", "t2.key", "t3.key").alias("target"), tier.cast("int").alias("tier"), confidence.alias("confidence"))
+    return s.select("file", "key", F.coalesce("t1.key", "t2.key", "t3.key").alias("target"), F.when(F.col("t1").isNotNull(), F.col("t1.file")).when(F.col("t2").isNotNull(), F.col("t2.file")).otherwise(F.col("t3.file")).alias("hub_file"), tier.cast("int").alias("tier"), confidence.alias("confidence"))
 
 
-def link_facts(matches: DataFrame, project: str) -> DataFrame:
-    """Inferred ``references`` edges of matched keys."""
-    found = matches.filter("target is not null")
-    return found.select(F.concat(F.lit("cfgkey:"), "file", F.lit("#"), "key").alias("src"), F.concat(F.lit(f"{project}::cfgkey:"), "target").alias("dst"), F.lit("references").alias("kind"), F.lit("inferred").alias("provenance"), "confidence")
+#: Fixed value: the reference that inferred links carry as a layer.
+LINKS = "import:links"
+
+
+def link_facts(matches: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """Placeholder nodes of the hub's keys, and inferred ``references`` edges of matched keys to them."""
+    there = F.concat(F.lit(f"{project}::cfgkey:"), "hub_file", F.lit("#"), "target")
+    found = matches.filter("target is not null").withColumn("there", there)
+    nodes = found.select(F.concat(F.lit("extref:"), "there").alias("key"), F.lit("external_ref").alias("kind"), F.col("there").alias("name"), F.lit("inferred").alias("provenance")).distinct()
+    edges = found.select(F.concat(F.lit("cfgkey:"), "file", F.lit("#"), "key").alias("src"), F.concat(F.lit("extref:"), "there").alias("dst"), F.lit("references").alias("kind"), F.lit("inferred").alias("provenance"), "confidence", F.lit(LINKS).alias("src_ref"))
+    return nodes, edges
 
 
 def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:

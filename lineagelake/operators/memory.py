@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
+
 #: What the state of an anchor multiplies a memory's score by.
 PENALTY = {"valid": 1.0, "unanchored": 0.9, "unverifiable": 0.5, "vanished": 0.35, "drifted": 0.25}
 SPAN, HALF_LIFE = 200, 50
@@ -18,6 +20,16 @@ def anchor_state(anchor: Column, anchor_blob: Column, node_key: Column, node_blo
     )
 
 
+def applies(state: Column) -> Column:
+    """Whether what is anchored still speaks of this tree."""
+    return state.isin("unanchored", "valid")
+
+
+def stale(state: Column) -> Column:
+    """Whether the anchor's content changed or is gone."""
+    return state.isin("drifted", "vanished")
+
+
 def resolved(memory: DataFrame, nodes: DataFrame) -> DataFrame:
     """``memory`` with ``state``; columns id, anchor_key, anchor_blob are needed."""
     known = nodes.select(F.col("key").alias("node_key"), F.col("blob_hash").alias("node_blob"))
@@ -47,19 +59,41 @@ def recall(memory: DataFrame, nodes: DataFrame, kind: str = "none", parameter: f
     return out.withColumn("score", F.coalesce("confidence", F.lit(0.5)) * penalty * decay(F.col("age"), kind, parameter))
 
 
-def evicted(cache: DataFrame, budget: int) -> DataFrame:
-    """Entries with ``evict``: those that do not apply first, then least recently used, until the total fits.
+def evicted(cache: DataFrame, budget: int, generation: int | None = None) -> DataFrame:
+    """Entries with ``pinned`` and ``evict``: those that do not apply first, then least recently used, then by key, until the total fits.
 
-    The running total is global by definition: the order's prefix sums come from sorted ranges, each with the sum of those before it.
+    With a generation, the most recently used entry and those of this generation or later that apply are pinned and never go.
+    The running total is global by definition: the order's prefix sums come from sorted ranges, each with the sum of those before it. The
+    ranges are settled, so sums and rows agree.
     """
-    ranges = cache.repartitionByRange(F.asc("applies"), F.asc("last_used"), F.asc("key")).withColumn("part", F.spark_partition_id())
+    names = cache.columns
+    if generation is None:
+        cache = cache.withColumn("pinned", F.lit(False))
+    else:
+        newest = cache.agg(F.max_by("key", F.struct("last_used", "key")).alias("newest"))
+        cache = cache.crossJoin(F.broadcast(newest)).withColumn("pinned", (F.col("key") == F.col("newest")) | ((F.col("generation") >= generation) & F.col("applies")))  # one row
+    order = ["pinned", "applies", "last_used", "key"]  # the pinned come last, so all of them count for each candidate
+    parts = int(cache.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = settle(cache.select(*names, "pinned").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sums = ranges.groupBy("part").agg(F.sum("bytes").alias("bytes"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.bytes"), F.lit(0)).alias("before"))
-    total = cache.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
-    inside = Window.partitionBy("part").orderBy("applies", "last_used", "key").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = sums.select("part", F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("before"))
+    total = ranges.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranges.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))  # one row for each partition; one row
     gone = F.col("before") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))
-    return out.withColumn("evict", F.col("total") - gone > budget).drop("part", "before", "total")
+    return out.withColumn("evict", ~F.col("pinned") & (F.col("total") - gone > budget)).select(*names, "pinned", "evict")
+
+
+def cache_swept(cache: DataFrame, budget: int, generation: int) -> DataFrame:
+    """One row: entries, pinned ones, those that go, bytes freed and kept, whether the rest is over the budget, and the next generation."""
+    told = evicted(cache, budget, generation)
+    size = F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint")
+    freed = F.coalesce(F.sum(F.when(F.col("evict"), F.col("bytes"))), F.lit(0)).cast("bigint")
+    return told.agg(
+        F.count("*").alias("scanned"), F.count_if("pinned").alias("pinned"), F.count_if("evict").alias("evicted"), freed.alias("freed_bytes"), (size - freed).alias("retained_bytes"),
+        (size - freed > budget).alias("over_budget"), F.lit(generation + 1).alias("generation"),
+    )
 
 
 def cache_state(log: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def overview_path(path: Column) -> Column:
 
 
 def test_path(path: Column) -> Column:
-    return F.coalesce(path.rlike("(^|/)tests?/"), F.lit(False))
+    """Whether a folder inside the path is named test or tests, in any case; the first segment doesn't count."""
+    return F.coalesce(F.lower(path).rlike("/tests?/"), F.lit(False))
 
 
 def graph_search(nodes: DataFrame, query: str) -> DataFrame:

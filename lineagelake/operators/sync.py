@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_url, repository
 from .layers import tree_diff
 
 
@@ -23,18 +24,29 @@ def incremental(nodes: DataFrame, edges: DataFrame, touched: DataFrame, new_node
     return kept.join(loose, "key", "left_anti"), rest
 
 
+#: Fixed value: versions count features in steps of this above the generation.
+STRIDE = 100
+
+
 def generation(key: Column) -> Column:
-    """Number of the extractor version in a cache key ``...-v<number>-e...``; null if there is none."""
-    return F.nullif(F.regexp_extract(key, r"-v(\d+)-e", 1), F.lit("")).cast("int")
+    """Generation in a cache key that ends in ``-v<number>-e<16 hex digits>``, without the feature namespace; null for any other key."""
+    number = F.nullif(F.regexp_extract(key, r"-v([0-9]+)-e[0-9A-Fa-f]{16}\z", 1), F.lit("")).try_cast("bigint")
+    return F.when(number < 2**32, (number % STRIDE).cast("int"))
 
 
 def sweep(keys: DataFrame, current: int, recent: int) -> DataFrame:
     """``key, fate``: current, recent, ahead and unrecognised keys stay, superseded ones go."""
     v = generation(F.col("key"))
-    fate = F.when(v.isNull(), "unrecognised").when(v == current, "current").when(v > current, "ahead").when(v >= current - recent, "recent").otherwise("superseded")
+    fate = F.when(v.isNull(), "unrecognised").when(v == current, "current").when(v > current, "ahead").when(v >= max(0, current - recent), "recent").otherwise("superseded")
     return keys.select("key", fate.alias("fate"))
 
 
+def swept(keys: DataFrame, current: int, recent: int) -> DataFrame:
+    """One row: keys by why they stay, those that go, and all."""
+    fates = sweep(keys, current, recent)
+    return fates.agg(*[F.count_if(F.col("fate") == f).alias(f) for f in ("current", "recent", "ahead", "unrecognised", "superseded")], F.count("*").alias("scanned"))
+
+
 def reviewed(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per changed path: its symbols, their distinct callers and callees, and documents that govern them."""
     own = nodes.join(changes.select("path"), "path", "left_semi").select("key", "path")
@@ -47,13 +59,25 @@ def reviewed(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return symbols.join(ends, "path", "left").fillna(0, ["callers", "callees", "governed_by"])
 
 
-def pinned(images: DataFrame, urls: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Revision each project is pinned to: its submodule's by url first, else a tag that is a revision's name, with or without ``v``."""
-    by_url = urls.join(revisions.select("url", F.col("name").alias("by_url")).dropDuplicates(["url"]), "url").groupBy("project").agg(F.min("by_url").alias("by_url"))
-    names = revisions.select(F.col("name").alias("tag")).distinct()
-    tags = images.select("project", F.regexp_replace("tag", "^v", "").alias("tag")).join(names.select(F.regexp_replace("tag", "^v", "").alias("tag"), F.col("tag").alias("by_tag")), "tag").groupBy("project").agg(F.min("by_tag").alias("by_tag"))
-    every = urls.select("project").unionByName(images.select("project")).distinct()
-    return every.join(by_url, "project", "left").join(tags, "project", "left").select("project", F.coalesce("by_url", "by_tag").alias("revision"))
-
-
-__all__ = ["generation", "incremental", "pinned", "reviewed", "sweep", "to_extract", "tree_diff"]
+def pinned(submodules: DataFrame, images: DataFrame, revisions: DataFrame, hub: str, origin: str | None = None, template: str | None = None) -> DataFrame:
+    """``project, revision, via``: the revision of the hub that each project deploys; projects that pin none are left out.
+
+    A submodule whose url is the hub's origin, or whose repository is named like the hub, gives its commit. Else the tag of an image named
+    like the hub, as the first that is one of ``revisions`` (name): the template with ``{tag}`` filled in, the tag, ``v`` and the tag.
+    ``submodules``: project, seq, url, sha, path; ``images``: project, seq, image, tag; the first of each by ``seq`` counts.
+    """
+    url = F.col("url")
+    named = repository(url) == hub
+    ours = named | (normal_url(url) == normal_url(F.lit(origin))) if origin else named
+    by_url = submodules.filter(ours & F.col("sha").isNotNull()).groupBy("project").agg(F.min_by(F.struct("sha", "path"), "seq").alias("m"))
+    by_url = by_url.select("project", F.col("m.sha").alias("revision"), F.concat(F.lit("submodule "), F.coalesce("m.path", F.lit("?"))).alias("via"))
+    mine = images.filter((F.substring_index("image", "/", -1) == hub) & F.col("tag").isNotNull())
+    tries = [F.replace(F.lit(template), F.lit("{tag}"), F.col("tag"))] if template else []
+    tries = F.array(*tries, F.col("tag"), F.concat(F.lit("v"), F.col("tag")))
+    told = mine.select("project", "seq", "image", "tag", F.posexplode(tries).alias("turn", "name")).join(revisions.select("name").distinct(), "name", "left_semi")
+    by_tag = told.groupBy("project").agg(F.min_by(F.struct("name", "image", "tag"), F.struct("seq", "turn")).alias("m"))
+    by_tag = by_tag.select("project", F.col("m.name").alias("revision"), F.concat(F.lit("image "), "m.image", F.lit(":"), "m.tag").alias("via"))
+    return by_url.unionByName(by_tag.join(by_url, "project", "left_anti"))
+
+
+__all__ = ["generation", "incremental", "pinned", "reviewed", "sweep", "swept", "to_extract", "tree_diff"]

@@ -77,32 +77,32 @@ def nodes_by_kind_and_name(spark, sf):
 
 @query("select key, kind from nodes where path = 'orders/O'")
 def nodes_by_path(spark, sf):
-    return nodes(spark, sf).filter("path = 'orders/O'").select("key", "kind")
+    return nodes(spark, sf, path="orders/O").select("key", "kind")
 
 
 @query("select key, kind from nodes where provenance = 'authored'")
 def nodes_by_provenance(spark, sf):
-    return nodes(spark, sf).filter("provenance = 'authored'").select("key", "kind")
+    return nodes(spark, sf, provenance="authored").select("key", "kind")
 
 
 @query("select * from nodes where key = 'part:7'")
 def node_lookup(spark, sf):
-    return nodes(spark, sf, ("part",)).filter("key = 'part:7'")
+    return nodes(spark, sf, key="part:7")
 
 
 @query("select dst, kind, provenance from edges where src = 'customer:1'")
 def edges_from(spark, sf):
-    return edges(spark, sf).filter("src = 'customer:1'").select("dst", "kind", "provenance")
+    return edges(spark, sf, src="customer:1").select("dst", "kind", "provenance")
 
 
 @query("select src, kind, provenance from edges where dst = 'supplier:1'")
 def edges_to(spark, sf):
-    return edges(spark, sf).filter("dst = 'supplier:1'").select("src", "kind", "provenance")
+    return edges(spark, sf, dst="supplier:1").select("src", "kind", "provenance")
 
 
 @query("select src, dst, confidence from edges where provenance = 'inferred'")
 def edges_by_provenance(spark, sf):
-    return edges(spark, sf).filter("provenance = 'inferred'").select("src", "dst", "confidence")
+    return edges(spark, sf, provenance="inferred").select("src", "dst", "confidence")
 
 
 @query("select 'node' as what, kind, count(*) as n from nodes group by kind union all select 'edge', kind, count(*) from edges group by kind")
@@ -146,7 +146,7 @@ def glob_match(spark, sf):
     return nodes(spark, sf).filter(F.col("path").rlike(either)).select("key", "path")
 
 
-@query("""select key, coalesce(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(readme|overview)'), false) as overview, coalesce(regexp_matches(path, '(^|/)tests?/'), false) as test,
+@query("""select key, coalesce(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(readme|overview)'), false) as overview, coalesce(regexp_matches(lower(path), '/tests?/'), false) as test,
   case when contains(regexp_extract(path, '[^/]*$'), '.') then lower(regexp_extract(path, '[^.]*$')) else '' end as ext from nodes""")
 def path_classes(spark, sf):
     p = F.col("path")
@@ -165,7 +165,29 @@ def coupling(spark, sf):
     return lenses.coupling(edges(spark, sf, ("calls",)))
 
 
-@query("with r as (" + _COUPLING.replace("with c", "with c", 1) + ") select r.*, n.name, n.kind from r join nodes n on r.key = n.key order by total desc, fan_in desc, fan_out desc, r.key limit 20".replace("r.*", "r.key, fan_in, fan_out, total, instability"))
+_SYMBOLS = """with e as (select concat('sym:', ['rust', 'go', 'py'][l_suppkey % 3 + 1], ':a#', l_suppkey) as src, case when l_linenumber = 1 then concat('sym:', ['rust', 'go', 'py'][l_suppkey % 3 + 1], ':a#', l_suppkey) when l_linenumber = 2 then concat('file:', l_partkey) else concat('sym:', ['rust', 'go', 'py'][l_partkey % 3 + 1], ':a#', l_partkey) end as dst from lineitem),
+  g as (select *, src = dst as own, src <> dst and starts_with(dst, 'sym:') and string_split(src, ':')[2] <> string_split(dst, ':')[2] as crosses from e) """
+
+
+def _symbol_calls(spark, sf):
+    named = lambda c: F.concat(F.lit("sym:"), F.get(F.array(F.lit("rust"), F.lit("go"), F.lit("py")), (F.col(c) % 3).cast("int")), F.lit(":a#"), F.col(c).cast("string"))
+    n = F.col("l_linenumber")
+    dst = F.when(n == 1, named("l_suppkey")).when(n == 2, F.concat(F.lit("file:"), F.col("l_partkey").cast("string"))).otherwise(named("l_partkey"))
+    return read(spark, sf, "lineitem").select(named("l_suppkey").alias("src"), dst.alias("dst"), F.lit("calls").alias("kind"))
+
+
+@query(_SYMBOLS + "select count(*) as call_edges, count(*) filter (where own) as self_calls, count(*) filter (where crosses) as cross_language_calls, (select count(*) from (select src from g where not own and not crosses union select dst from g where not own and not crosses)) as coupled_nodes from g")
+def coupling_counts(spark, sf):
+    return lenses.coupling_counts(_symbol_calls(spark, sf))
+
+
+@query(_SYMBOLS + """, c as (select src, dst from g where not own and not crosses), b as (select key, count(distinct case when i then other end) as fan_in, count(distinct case when not i then other end) as fan_out from (select dst as key, src as other, true as i from c union all select src, dst, false from c) group by key)
+  select key, fan_in, fan_out, fan_in + fan_out as total, round(fan_out / (fan_in + fan_out) * 100) / 100 as instability from b order by fan_out desc, key limit 50""")
+def coupling_by_callees(spark, sf):
+    return lenses.window(lenses.coupling(_symbol_calls(spark, sf)), lenses.coupling_order("fan_out"), 50)
+
+
+@query("with r as (" + _COUPLING.replace("with c", "with c", 1) + ") select r.*, n.name, n.kind from r join nodes n on r.key = n.key order by total desc, r.key limit 20".replace("r.*", "r.key, fan_in, fan_out, total, instability"))
 def coupling_top(spark, sf):
     top = lenses.window(lenses.coupling(edges(spark, sf, ("calls",))), lenses.coupling_order(), 20)
     return nodes(spark, sf, ("customer", "part", "supplier")).select("key", "name", "kind").join(F.broadcast(top), "key")  # twenty rows
@@ -184,33 +206,79 @@ def explain_nodes(spark, sf):
     return lenses.explained(nodes(spark, sf, ("nation", "supplier")), edges(spark, sf)).select("key", told("outgoing"), told("incoming"))
 
 
-_RULES = (("licence", r"(?i)licen[cs]e|rights reserved"), ("credential", r"(?i)(key|password|secret|token)\s*[=:]"), ("contact", r"[a-z0-9.]+@[a-z0-9.]+"))
+_RULES = ((r"(?i)licen[cs]e|rights reserved", "licence", "pattern", False, ("licence", "license", "rights reserved")), (r"(?i)(key|password|secret|token)\s*[=:]", "credential", "pattern", False, ("key", "password", "secret", "token")), (r"[a-z0-9.]@[a-z0-9.]", "contact", "pattern", False, ("@",)))
 _MARKERS = """with l as (select path, lines, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files),
-  m as (select path, lines, cast(line as bigint) as line, trim(text) as text, case when regexp_matches(text, '(?i)licen[cs]e|rights reserved') then 'licence' when regexp_matches(text, '(?i)(key|password|secret|token)\\s*[=:]') then 'credential'
+  m as (select path, lines, cast(line as bigint) as line, case when length(trim(text)) > 200 then concat(substring(trim(text), 1, 200), '…') else trim(text) end as text, case when regexp_matches(text, '(?i)licen[cs]e|rights reserved') then 'licence' when regexp_matches(text, '(?i)(key|password|secret|token)\\s*[=:]') then 'credential'
   when regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') then 'contact' end as category from l), k as (select * from m where category is not null) """
 
 
 @query(_MARKERS + "select path, line, category, text from k")
 def marker_scan(spark, sf):
-    return lenses.markers(files(spark, sf), _RULES)
+    return lenses.markers(files(spark, sf), _RULES, items=False)
 
 
 @query(_MARKERS + "select category, count(*) as markers, count(distinct path) as files from k group by category")
 def marker_inventory(spark, sf):
-    return lenses.marker_inventory(lenses.markers(files(spark, sf), _RULES))
+    return lenses.marker_inventory(lenses.markers(files(spark, sf), _RULES, items=False))
+
+
+@query(_MARKERS + "select concat('marker:', path, '#', line) as key, category, text, path, line from k where category in ('licence', 'contact') order by path, line, key")
+def marker_items(spark, sf):
+    return lenses.marker_items(lenses.markers(files(spark, sf), _RULES, items=False), ("licence", "contact"))
+
+
+_DENSE = _MARKERS + "select path, count(*) as markers, any_value(lines) as lines, count(*) filter (where category = 'contact') as contacts from k where lines >= 5 group by path order by count(*) / any_value(lines) desc, path limit 100"
+
+
+@query(_DENSE)
+def debt_density_top(spark, sf):
+    f = files(spark, sf)
+    top = lenses.window(lenses.density(lenses.markers(f, _RULES, items=False), f, 5), lenses.density_order(), 100)
+    contacts = F.get(F.filter("by_category", lambda c: c["category"] == "contact"), 0)["n"]
+    return top.select("path", "markers", "lines", F.coalesce(contacts, F.lit(0)).alias("contacts"))
+
+
+def _sources(spark, sf):
+    """Documents as source files: marked lines between their own, in code with comments and in prose."""
+    d = read(spark, sf, "documents")
+    ending = F.get(F.array(*[F.lit(e) for e in ("rs", "py", "md", "sql", "txt", "lua")]), (F.col("doc_id") % 6).cast("int"))
+    word = F.coalesce(F.regexp_extract("text", "[a-z]+", 0), F.lit("x"))
+    lines = [
+        F.concat(F.lit("x = deferred(1) // for now "), word), F.lit("# not implemented yet"), F.lit("a /* tbd"), F.lit("still deferred */ for now"), F.lit("TODOs and todo_x, no marker; Todo: one"),
+        F.lit("bug in prose, Bug: real"), F.lit("mybug(x) HACK_1 XXX"), F.lit("  - [ ] open item"), F.lit("-- follow-up and more"), F.lit("fixme lineagelake:ignore"), F.lit("call todo!()"), F.lit("; returns a placeholder"), word,
+    ]
+    content = F.array_join(F.array(*lines), "\n")
+    return d.select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"), F.when(F.col("doc_id") % 11 == 0, F.concat(content, F.lit(" lineagelake:ignore-file"))).otherwise(content).alias("content"))
+
+
+# categories of the lines of _sources by ending, told by hand from the rules
+_SOURCE_MARKS = {
+    "rs": {1: "deferred", 3: "deferred", 4: "deferred", 5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 11: "stub"},
+    "py": {2: "stub", 5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 11: "stub"},
+    "md": {1: "deferred", 2: "stub", 3: "deferred", 4: "deferred", 5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 9: "deferred", 11: "stub", 12: "stub"},
+    "sql": {3: "deferred", 4: "deferred", 5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 9: "deferred", 11: "stub"},
+    "txt": {1: "deferred", 2: "stub", 3: "deferred", 4: "deferred", 5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 9: "deferred", 11: "stub", 12: "stub"},
+    "lua": {5: "todo", 6: "fixme", 7: "hack", 8: "deferred", 9: "deferred", 11: "stub"},
+}
+
+
+@query("with m(ending, line, category) as (values " + ", ".join(f"('{e}', {n}, '{c}')" for e, m in _SOURCE_MARKS.items() for n, c in m.items()) + """), d as (select doc_id, ['rs', 'py', 'md', 'sql', 'txt', 'lua'][doc_id % 6 + 1] as ending from documents where doc_id % 11 <> 0)
+  select concat('src/', doc_id, '.', ending) as path, cast(line as bigint) as line, category from d join m using (ending)""")
+def marker_modes(spark, sf):
+    return lenses.markers(_sources(spark, sf)).select("path", "line", "category")
 
 
 @query(_MARKERS + "select path, count(*) as markers, any_value(lines) as lines, round(round(count(*) / any_value(lines) * 1000 * 100) / 100, 2) as per_kloc from k where lines >= 5 group by path")
 def debt_density(spark, sf):
     f = files(spark, sf)
-    return lenses.density(lenses.markers(f, _RULES), f, 5).drop("rate").withColumn("per_kloc", F.round("per_kloc", 2))
+    return lenses.density(lenses.markers(f, _RULES, items=False), f, 5).drop("rate", "by_category").withColumn("per_kloc", F.round("per_kloc", 2))
 
 
 @query(_MARKERS + """, p as (select path, any_value(lines) as lines, count(*) as markers from k group by path) select count(*) filter (where lines >= 5) as ranked, count(*) filter (where lines < 5) as short, count(*) filter (where lines is null) as unknown,
   cast(coalesce(sum(markers) filter (where lines >= 5), 0) as bigint) as markers, cast(coalesce(sum(lines) filter (where lines >= 5), 0) as bigint) as lines, round(sum(markers) filter (where lines >= 5) * 1000 / sum(lines) filter (where lines >= 5) * 100) / 100 as per_kloc from p""")
 def debt_density_totals(spark, sf):
     f = files(spark, sf)
-    return lenses.density_totals(lenses.markers(f, _RULES), f, 5)
+    return lenses.density_totals(lenses.markers(f, _RULES, items=False), f, 5)
 
 
 def _part_keys(spark, sf):
@@ -233,13 +301,40 @@ def config_keys(spark, sf):
     return _part_keys(spark, sf).withColumn("value_known", F.col("value").isNotNull())
 
 
-@query(_KEYS + """, s as (select *, regexp_matches(regexp_replace(lower(key), '[^a-z0-9]', '', 'g'), 'password|passwd|secret|token|apikey|privatekey|accesskey|credential|auth|passphrase') as secret from keys)
-  select file, count(*) as keys, count(*) filter (where secret) as secrets, count(*) filter (where secret and value is null) as declared, count(*) filter (where secret and value = '') as empty, count(*) filter (where secret and value <> '') as present from s group by file""")
+_STATES = (
+    _KEYS
+    + """, more as (select * from keys union all select concat('part/', p_brand), concat('Author.', p_partkey), case when p_size % 7 = 0 then '<redacted>' else p_type end from part union all select 'env', concat('PWD_', p_partkey), p_name from part where p_size % 2 = 0),
+  n as (select *, regexp_matches(lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g')), 'secret|password|passwd|passphrase|token|apikey|credential|privatekey|accesskey|pwd') as secret from more),
+  s as (select file, key, secret, case when value is null then 'declared' when value = '<redacted>' or (secret and file <> 'env') then 'redacted' else 'present' end as state from n) """
+)
+_SECRETS = "count(*) as keys, count(*) filter (where secret) as secrets, count(*) filter (where secret and state = 'declared') as declared, count(*) filter (where secret and state = 'redacted') as redacted, count(*) filter (where secret and state = 'present') as present, count(*) filter (where not secret and state = 'redacted') as redacted_other, count(distinct file) filter (where secret) as files from s"
+
+
+def _kept_keys(spark, sf):
+    """The keys as they are stored: values of secret-named ones redacted, but for those of one file that came in otherwise."""
+    p = read(spark, sf, "part")
+    ident = F.col("p_partkey").cast("string")
+    more = p.select(F.concat(F.lit("part/"), "p_brand").alias("file"), F.concat(F.lit("Author."), ident).alias("key"), F.when(F.col("p_size") % 7 == 0, text.REDACTED).otherwise(F.col("p_type")).alias("value"))
+    stored = _part_keys(spark, sf).unionByName(more).withColumn("value", text.redacted(F.col("key"), F.col("value")))
+    return stored.unionByName(p.filter("p_size % 2 = 0").select(F.lit("env").alias("file"), F.concat(F.lit("PWD_"), ident).alias("key"), F.col("p_name").alias("value")))
+
+
+@query(_STATES + "select file, " + _SECRETS + " group by file")
 def config_secrets(spark, sf):
-    return lenses.secret_report(_part_keys(spark, sf))
+    return lenses.secret_report(_kept_keys(spark, sf), ["file"])
+
+
+@query(_STATES + "select " + _SECRETS)
+def config_secret_totals(spark, sf):
+    return lenses.secret_report(_kept_keys(spark, sf))
+
+
+@query(_STATES + "select file, key, state from s where secret")
+def config_secret_items(spark, sf):
+    return lenses.secret_items(_kept_keys(spark, sf))
 
 
-@query(_KEYS + "select key, trim(regexp_replace(lower(key), '[^a-z0-9]+', '.', 'g'), '.') as normalised, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canonical from keys")
+@query(_KEYS + "select key, lower(trim(regexp_replace(key, '[^A-Za-z0-9]+', '.', 'g'), '.')) as normalised, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canonical from keys")
 def key_normal_forms(spark, sf):
     k = F.col("key")
     return _part_keys(spark, sf).select("key", text.normalised_key(k).alias("normalised"), text.canonical_key(k).alias("canonical"))
@@ -248,7 +343,8 @@ def key_normal_forms(spark, sf):
 @query("""with r as (select key, direction, kind, row_number() over (partition by key, direction, kind order by other, provenance) as turn, count(*) over (partition by key, direction, kind) as of_kind from ends),
   p as (select *, row_number() over (partition by key, direction order by turn, kind) as place from r) select key, direction, kind, count(*) as kept, max(of_kind) - count(*) as omitted from p where place <= 50 group by key, direction, kind""")
 def capped_context(spark, sf):
-    return lenses.round_robin(lenses.endpoints(edges(spark, sf)), 50)
+    kept = lenses.round_robin(lenses.endpoints(edges(spark, sf)), 50)
+    return kept.groupBy("key", "direction", "kind").agg(F.count("*").alias("kept"), F.max("omitted").alias("omitted"))
 
 
 # ---- search
@@ -300,18 +396,9 @@ def content_search(spark, sf):
 @query("""with e as (select distinct key, other from ends), h1 as (select distinct other as key from e where key = 'nation:3'), h2 as (select distinct other as key from e join h1 using (key)),
   a as (select 'nation:3' as key, 0 as hops union all select key, 1 from h1 union all select key, 2 from h2) select key, min(hops) as hops from a group by key""")
 def k_hop(spark, sf):
-    return traverse.k_hop(edges(spark, sf, ("contains", "related", "references")), ["nation:3"], 2)
-
-
-@query()
-def k_hop_all(spark, sf):
     return traverse.k_hop(edges(spark, sf), ["nation:3"], 2)
 
 
-SQL["k_hop_all"] = SQL["k_hop"]  # every edge; that of k_hop leaves out one kind
-SQL["k_hop"] = SQL["k_hop"].replace("distinct key, other from ends", "distinct key, other from ends where kind <> 'calls'")
-
-
 @query("""with e as (select distinct key, other from ends), h0 as (select 'supplier:5' as key), h1 as (select distinct other as key from e join h0 using (key)), h2 as (select distinct other as key from e join h1 using (key)),
   h3 as (select distinct other as key from e join h2 using (key)), h4 as (select distinct other as key from e join h3 using (key)), a as (select key, 0 as hop from h0 union all select key, 1 from h1 union all select key, 2 from h2 union all select key, 3 from h3 union all select key, 4 from h4)
   select cast(min(hop) as bigint) as hops from a where key = 'order:1'""")
@@ -516,6 +603,25 @@ def cache_eviction(spark, sf):
     return memory.evicted(c, 20000).select("key", "applies", "evict")
 
 
+_PINS = _CACHE + """, o as (select *, hits % 3 > 0 as applies, last_used % 5 as generation from c), w as (select *, key = (select arg_max(key, last_used) from o) or (generation >= 3 and applies) as pinned from o),
+  s as (select *, (select sum(bytes) from o) as total, coalesce(sum(bytes) over (order by pinned, applies, last_used, key rows between unbounded preceding and 1 preceding), 0) as gone from w), v as (select *, not pinned and total - gone > 20000 as evict from s) """
+
+
+def _pinned(spark, sf):
+    return memory.cache_state(_log(spark, sf)).withColumn("applies", F.col("hits") % 3 > 0).withColumn("generation", F.col("last_used") % 5)
+
+
+@query(_PINS + "select key, pinned, evict from v")
+def cache_pins(spark, sf):
+    return memory.evicted(_pinned(spark, sf), 20000, 3).select("key", "pinned", "evict")
+
+
+@query(_PINS + """select count(*) as scanned, count(*) filter (where pinned) as pinned, count(*) filter (where evict) as evicted, cast(coalesce(sum(bytes) filter (where evict), 0) as bigint) as freed_bytes, cast(sum(bytes) - coalesce(sum(bytes) filter (where evict), 0) as bigint) as retained_bytes,
+  sum(bytes) - coalesce(sum(bytes) filter (where evict), 0) > 20000 as over_budget, 4 as generation from v""")
+def cache_swept(spark, sf):
+    return memory.cache_swept(_pinned(spark, sf), 20000, 3)
+
+
 @query(_CACHE + "select count(*) as entries, cast(sum(bytes) as bigint) as bytes, cast(sum(hits) as bigint) as hits from c")
 def cache_stats(spark, sf):
     return memory.cache_state(_log(spark, sf)).agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.sum("hits").alias("hits"))
@@ -523,13 +629,13 @@ def cache_stats(spark, sf):
 
 # ---- cross-project links
 
-_LINKED = """with hub as (select p_partkey as seq, concat('Part.', p_partkey % 97, '.', p_name) as key, cast(p_size as varchar) as value from part where p_partkey % 2 = 0),
+_LINKED = """with hub as (select p_partkey as seq, concat('h/', p_brand) as file, concat('Part.', p_partkey % 97, '.é', p_name) as key, cast(p_size as varchar) as value from part where p_partkey % 2 = 0),
   spoke as (select concat('s/', p_brand) as file, concat('part-', p_partkey % 89, '-', p_name) as key, cast(p_size as varchar) as value from part where p_partkey % 2 = 1),
-  norm as (select *, trim(regexp_replace(lower(key), '[^a-z0-9]+', '.', 'g'), '.') as norm, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canon from hub),
-  t1 as (select norm, arg_min(key, seq) as key, arg_min(value, seq) as value from norm group by norm), t2 as (select canon, arg_min(key, seq) as key, arg_min(value, seq) as value from norm group by canon having count(distinct key) = 1),
-  t3 as (select regexp_extract(norm, '[^.]*$') as last, arg_min(key, seq) as key from norm group by 1 having count(*) = 1),
-  s as (select *, trim(regexp_replace(lower(key), '[^a-z0-9]+', '.', 'g'), '.') as norm, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canon from spoke),
-  m as (select s.file, s.key, coalesce(t1.key, t2.key, t3.key) as target, cast(case when t1.key is not null then 1 when t2.key is not null then 2 when t3.key is not null then 3 end as integer) as tier,
+  norm as (select *, lower(trim(regexp_replace(key, '[^A-Za-z0-9]+', '.', 'g'), '.')) as norm, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canon from hub),
+  t1 as (select norm, arg_min(key, seq) as key, arg_min(value, seq) as value, arg_min(file, seq) as file from norm group by norm), t2 as (select canon, arg_min(key, seq) as key, arg_min(value, seq) as value, arg_min(file, seq) as file from norm group by canon having count(distinct key) = 1),
+  t3 as (select regexp_extract(norm, '[^.]*$') as last, arg_min(key, seq) as key, arg_min(file, seq) as file from norm group by 1 having count(*) = 1),
+  s as (select *, lower(trim(regexp_replace(key, '[^A-Za-z0-9]+', '.', 'g'), '.')) as norm, array_to_string(list_filter(list_transform(string_split(lower(key), '.'), lambda s: regexp_replace(s, '[^a-z0-9]', '', 'g')), lambda s: s <> ''), '.') as canon from spoke),
+  m as (select s.file, s.key, coalesce(t1.key, t2.key, t3.key) as target, coalesce(t1.file, t2.file, t3.file) as hub_file, cast(case when t1.key is not null then 1 when t2.key is not null then 2 when t3.key is not null then 3 end as integer) as tier,
   case when t1.key is not null then case when t1.value = s.value then 0.98 else 0.90 end when t2.key is not null then case when t2.value = s.value then 0.95 else 0.85 end when t3.key is not null then 0.55 end as confidence
   from s left join t1 on s.norm = t1.norm left join t2 on s.canon = t2.canon left join t3 on regexp_extract(s.norm, '[^.]*$') = t3.last) """
 
@@ -537,21 +643,27 @@ _LINKED = """with hub as (select p_partkey as seq, concat('Part.', p_partkey % 9
 def _linked(spark, sf):
     p = read(spark, sf, "part").withColumn("value", F.col("p_size").cast("string"))
     i = F.col("p_partkey")
-    hub = p.filter(i % 2 == 0).select(i.alias("seq"), F.concat(F.lit("Part."), (i % 97).cast("string"), F.lit("."), "p_name").alias("key"), "value")
+    hub = p.filter(i % 2 == 0).select(i.alias("seq"), F.concat(F.lit("h/"), "p_brand").alias("file"), F.concat(F.lit("Part."), (i % 97).cast("string"), F.lit(".é"), "p_name").alias("key"), "value")
     spoke = p.filter(i % 2 == 1).select(F.concat(F.lit("s/"), "p_brand").alias("file"), F.concat(F.lit("part-"), (i % 89).cast("string"), F.lit("-"), "p_name").alias("key"), "value")
     return hub, spoke
 
 
-@query(_LINKED + "select file, key, target, coalesce(tier, 0) as tier, round(confidence, 2) as confidence from m")
+@query(_LINKED + "select file, key, target, hub_file, coalesce(tier, 0) as tier, round(confidence, 2) as confidence from m")
 def tiered_match(spark, sf):
     hub, spoke = _linked(spark, sf)
     return links.match_keys(spoke, hub).withColumn("confidence", F.round("confidence", 2)).fillna(0, ["tier"])
 
 
-@query(_LINKED + "select concat('cfgkey:', file, '#', key) as src, concat('hub::cfgkey:', target) as dst, 'references' as kind, 'inferred' as provenance, round(confidence, 2) as confidence from m where target is not null")
+@query(_LINKED + "select concat('cfgkey:', file, '#', key) as src, concat('extref:hub::cfgkey:', hub_file, '#', target) as dst, 'references' as kind, 'inferred' as provenance, round(confidence, 2) as confidence, 'import:links' as src_ref from m where target is not null")
 def inferred_links(spark, sf):
     hub, spoke = _linked(spark, sf)
-    return links.link_facts(links.match_keys(spoke, hub), "hub").withColumn("confidence", F.round("confidence", 2))
+    return links.link_facts(links.match_keys(spoke, hub), "hub")[1].withColumn("confidence", F.round("confidence", 2))
+
+
+@query(_LINKED + "select distinct concat('extref:hub::cfgkey:', hub_file, '#', target) as key, 'external_ref' as kind, concat('hub::cfgkey:', hub_file, '#', target) as name, 'inferred' as provenance from m where target is not null")
+def link_placeholders(spark, sf):
+    hub, spoke = _linked(spark, sf)
+    return links.link_facts(links.match_keys(spoke, hub), "hub")[0]
 
 
 @query(_LINKED + "select file as project, count(*) as keys, count(target) as links, count(*) filter (where target is null) as drift from m group by file")
@@ -602,18 +714,10 @@ def hub_by_keys(spark, sf):
     return links.hub_by_keys(read(spark, sf, "part").select(F.col("p_brand").alias("project")))
 
 
-@query("""with p as (select concat('a', o_custkey) as src, o_orderstatus as target, 0.9 as confidence from orders where o_orderkey % 10 = 0), l as (select concat('a', o_custkey) as src, o_orderpriority as target, 0.5 as confidence from orders where o_orderkey % 3 = 0)
-  select distinct src, target, confidence, true as persisted from p union all select distinct src, target, confidence, false from l where src not in (select src from p)""")
-def correspondence(spark, sf):
-    o = read(spark, sf, "orders")
-    src = F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("src")
-    return links.correspond(o.filter("o_orderkey % 10 = 0").select(src, F.col("o_orderstatus").alias("target"), F.lit(0.9).alias("confidence")), o.filter("o_orderkey % 3 = 0").select(src, F.col("o_orderpriority").alias("target"), F.lit(0.5).alias("confidence")))
-
-
 @query("""with o as (select concat('a', o_custkey, '/', month(o_orderdate)) as src, o_orderpriority as target, o_orderstatus is not distinct from 'F' as persisted from orders),
   p as (select src, target, 0.9 as confidence from o where persisted), l as (select src, target, 0.5 as confidence from o where not persisted)
   select distinct src, target, confidence, true as persisted from p union all select distinct src, target, confidence, false from l where src not in (select src from p)""")
-def correspondence_all(spark, sf):
+def correspondence(spark, sf):
     src = F.concat(F.lit("a"), F.col("o_custkey").cast("string"), F.lit("/"), F.month("o_orderdate").cast("string")).alias("src")
     o = read(spark, sf, "orders").select(src, F.col("o_orderpriority").alias("target"), F.col("o_orderstatus").eqNullSafe("F").alias("persisted"))
     return links.correspond(o.filter("persisted").select("src", "target", F.lit(0.9).alias("confidence")), o.filter("not persisted").select("src", "target", F.lit(0.5).alias("confidence")))
@@ -621,23 +725,12 @@ def correspondence_all(spark, sf):
 
 # ---- review and checks
 
-_REVIEW = """with r as (select o_orderkey as id, concat('sha', o_custkey % 20) as sha, o_orderstatus as path, cast(floor(o_totalprice) as bigint) % 400 as line, case when o_orderkey % 3 = 0 then 'false' else 'real' end as verdict, o_orderpriority as class from orders where o_orderkey % 40 = 0),
-  f as (select l_orderkey * 10 + l_linenumber as id, concat('sha', l_suppkey % 20) as sha, l_linestatus as path, cast(floor(l_extendedprice) as bigint) % 400 as line from lineitem where l_orderkey % 20 = 0) """
-
-
-def _review(spark, sf):
-    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
-    rows = o.filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("sha"), (F.col("o_custkey") % 20).cast("string")).alias("sha"), F.col("o_orderstatus").alias("path"), (F.floor("o_totalprice") % 400).alias("line"), F.when(F.col("o_orderkey") % 3 == 0, "false").otherwise("real").alias("verdict"), F.col("o_orderpriority").alias("class"))
-    found = l.filter("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("sha"), (F.col("l_suppkey") % 20).cast("string")).alias("sha"), F.col("l_linestatus").alias("path"), (F.floor("l_extendedprice") % 400).alias("line"))
-    return rows, found
-
-
-#: The whole tables; a commit is a twentieth of the orders and a path one supplier or fifteen customers, so groups keep their size as the tables grow.
-_REVIEW_ALL = """with r as (select o_orderkey as id, concat('sha', o_orderkey % 20) as sha, concat('f', o_custkey // 15) as path, cast(floor(o_totalprice) as bigint) % 400 as line, case when o_orderkey % 3 = 0 then 'false' else 'real' end as verdict, o_orderpriority as class from orders),
+#: A commit is a twentieth of the orders and a path one supplier or fifteen customers, so groups keep their size as the tables grow.
+_REVIEW = """with r as (select o_orderkey as id, concat('sha', o_orderkey % 20) as sha, concat('f', o_custkey // 15) as path, cast(floor(o_totalprice) as bigint) % 400 as line, case when o_orderkey % 3 = 0 then 'false' else 'real' end as verdict, o_orderpriority as class from orders),
   f as (select l_orderkey * 10 + l_linenumber as id, concat('sha', l_orderkey % 20) as sha, concat('f', l_suppkey) as path, cast(floor(l_extendedprice) as bigint) % 400 as line from lineitem) """
 
 
-def _review_all(spark, sf):
+def _review(spark, sf):
     o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
     sha = lambda c: F.concat(F.lit("sha"), (F.col(c) % 20).cast("string")).alias("sha")
     rows = o.select(F.col("o_orderkey").alias("id"), sha("o_orderkey"), F.concat(F.lit("f"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("path"), (F.floor("o_totalprice") % 400).alias("line"), F.when(F.col("o_orderkey") % 3 == 0, "false").otherwise("real").alias("verdict"), F.col("o_orderpriority").alias("class"))
@@ -652,7 +745,7 @@ def band_join(spark, sf):
 
 @query()
 def greedy_match(spark, sf):
-    return review.greedy_match(review.band_pairs(*_review_all(spark, sf)))
+    return review.greedy_match(review.band_pairs(*_review(spark, sf)))
 
 
 @query(_REVIEW + """, m as (select distinct r.id from r join f on r.sha = f.sha and r.path = f.path and abs(r.line - f.line) <= 10), c as (select distinct o_orderpriority as class from orders)
@@ -679,53 +772,12 @@ def chance_baseline(spark, sf):
     return review.chance_baseline(*_review(spark, sf)).withColumn("chance", F.round("chance", 6))
 
 
-# The SQL of the four above names subsets of the tables; these are the same over all rows.
-
-
-def _whole(sql):
-    return sql.replace(_REVIEW, _REVIEW_ALL)
-
-
-@query(_whole(SQL["band_join"]))
-def band_join_all(spark, sf):
-    return review.band_pairs(*_review_all(spark, sf)).select("row", "finding", "distance")
-
-
-@query(_whole(SQL["class_recall"]))
-def class_recall_all(spark, sf):
-    rows, found = _review_all(spark, sf)
-    return review.class_recall(rows, review.band_pairs(rows, found), read(spark, sf, "orders").select(F.col("o_orderpriority").alias("class")).distinct())
-
-
-@query(_whole(SQL["merged_intervals"]))
-def merged_intervals_all(spark, sf):
-    found = _review_all(spark, sf)[1]
-    return review.merged_intervals(found.select("sha", "path", (F.col("line") - 10).alias("start"), (F.col("line") + 10).alias("end")), ["sha", "path"])
-
-
-@query(_whole(SQL["chance_baseline"]))
-def chance_baseline_all(spark, sf):
-    return review.chance_baseline(*_review_all(spark, sf)).withColumn("chance", F.round("chance", 6))
-
-
-@query("""with s as (select o_orderkey as site, concat('sha', o_custkey % 50) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features, cast(null as varchar) as toolchain from orders where o_orderkey % 10 = 0),
-  r as (select concat('sha', l_suppkey % 60) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, concat('job', l_orderkey) as job from lineitem where l_returnflag = 'R' and l_orderkey % 7 = 0),
-  j as (select site, job, (platform is null or p is null or platform = p) as on_p, (features is null or f is null or features = f) as on_f from s left join r using (sha)),
-  a as (select site, min(job) filter (where on_p and on_f) as job, count(job) as runs, count(job) filter (where on_p) as plat from j group by site)
-  select site, job, case when job is not null then 'covered' when runs = 0 then 'no_green_run' when plat = 0 then 'platform' else 'features_or_toolchain' end as reason from a""")
-def claim_coverage(spark, sf):
-    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
-    sites = o.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("site"), F.concat(F.lit("sha"), (F.col("o_custkey") % 50).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("platform"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("features"), F.lit(None).cast("string").alias("toolchain"))
-    runs = l.filter("l_orderkey % 7 = 0").select(F.concat(F.lit("sha"), (F.col("l_suppkey") % 60).cast("string")).alias("sha"), F.col("l_linestatus").alias("platform"), F.when(F.col("l_linenumber") % 2 == 0, "1-URGENT").alias("features"), F.lit(None).cast("string").alias("toolchain"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failure").alias("conclusion"), F.concat(F.lit("job"), F.col("l_orderkey").cast("string")).alias("job"))
-    return review.claim_coverage(sites, runs)
-
-
 @query("""with s as (select o_orderkey as site, concat('sha', o_custkey // 15) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features from orders),
   r as (select concat('sha', l_suppkey) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, concat('job', l_orderkey) as job from lineitem where l_returnflag = 'R'),
   j as (select site, job, (platform is null or p is null or platform = p) as on_p, (features is null or f is null or features = f) as on_f from s left join r using (sha)),
   a as (select site, min(job) filter (where on_p and on_f) as job, count(job) as runs, count(job) filter (where on_p) as plat from j group by site)
   select site, job, case when job is not null then 'covered' when runs = 0 then 'no_green_run' when plat = 0 then 'platform' else 'features_or_toolchain' end as reason from a""")
-def claim_coverage_all(spark, sf):
+def claim_coverage(spark, sf):
     o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
     sites = o.select(F.col("o_orderkey").alias("site"), F.concat(F.lit("sha"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("platform"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("features"), F.lit(None).cast("string").alias("toolchain"))
     runs = l.select(F.concat(F.lit("sha"), F.col("l_suppkey").cast("string")).alias("sha"), F.col("l_linestatus").alias("platform"), F.when(F.col("l_linenumber") % 2 == 0, "1-URGENT").alias("features"), F.lit(None).cast("string").alias("toolchain"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failure").alias("conclusion"), F.concat(F.lit("job"), F.col("l_orderkey").cast("string")).alias("job"))
@@ -757,29 +809,21 @@ def version_drift(spark, sf):
     return checks.version_breaks(o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("place"), F.month("o_orderdate").alias("major"), F.dayofmonth("o_orderdate").alias("minor")))
 
 
-@query("""with s as (select conv_id as rendering, turn as place, role, text, regexp_extract_all(text, '[a-z]*ing') as cites from conversations), f as (select 'ing' as key union select regexp_extract(text, '[a-z]*ing') from documents)
+@query("""with s as (select conv_id as rendering, turn as place, role, case when role <> 'system' then text when conv_id % 4 = 0 then concat(' In  summary:', chr(10)) when conv_id % 4 = 1 then 'findings:' when conv_id % 4 = 2 then 'No findings.' else text end as text, regexp_extract_all(text, '[a-z]*ing') as cites from conversations), f as (select 'ing' as key union select regexp_extract(text, '[a-z]*ing') from documents)
   select rendering, place, 'uncited' as defect from s where role = 'assistant' and len(cites) = 0 union all select distinct rendering, place, 'dangling' from (select rendering, place, unnest(cites) as c from s where role = 'assistant') where c not in (select key from f)
-  union all select rendering, place, 'empty' from s where role = 'assistant' and trim(text) = '' union all select rendering, place, 'unlisted' from s where role = 'system' and lower(trim(text)) not in ('summary', 'findings', 'no findings', 'details', 'notes', 'end of report')""")
+  union all select rendering, place, 'empty' from s where role = 'assistant' and trim(text) = '' union all select rendering, place, 'unlisted' from s where role = 'system' and trim(regexp_replace(text, '\\s+', ' ', 'g')) not in ('Findings:', 'Here are the findings:', 'In summary:', 'Summary:', 'Details:', 'Recommended next steps:')""")
 def faithfulness(spark, sf):
     c = read(spark, sf, "conversations").filter("role in ('assistant', 'system')")
-    segments = c.select(F.col("conv_id").alias("rendering"), F.col("turn").alias("place"), F.when(F.col("role") == "assistant", "claim").otherwise("structural").alias("kind"), "text", F.regexp_extract_all("text", F.lit("[a-z]*ing"), 0).alias("citations"))
+    nth = F.col("conv_id") % 4
+    told = F.when(F.col("role") == "assistant", F.col("text")).when(nth == 0, " In  summary:\n").when(nth == 1, "findings:").when(nth == 2, "No findings.").otherwise(F.col("text"))
+    segments = c.select(F.col("conv_id").alias("rendering"), F.col("turn").alias("place"), F.when(F.col("role") == "assistant", "claim").otherwise("structural").alias("kind"), told.alias("text"), F.regexp_extract_all("text", F.lit("[a-z]*ing"), 0).alias("citations"))
     found = read(spark, sf, "documents").select(F.regexp_extract("text", "[a-z]*ing", 0).alias("key")).unionByName(spark.range(1).select(F.lit("ing").alias("key"))).distinct()
     return checks.faithfulness(segments, found)
 
 
-@query("""with p as (select l_orderkey * 10 + l_linenumber as id, concat('f', l_suppkey) as path, cast(floor(l_extendedprice) as bigint) % 5000 as pos from lineitem where l_orderkey % 5 = 0), s as (select concat('o', o_orderkey) as key, concat('f', o_custkey % 100) as path, cast(floor(o_totalprice) as bigint) % 4000 as a, 100 + o_orderkey % 900 as n from orders)
-  select id, s.key from p join s on p.path = s.path and pos >= a and pos < a + n qualify row_number() over (partition by id order by n, s.key) = 1""")
-def innermost_span(spark, sf):
-    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
-    points = l.filter("l_orderkey % 5 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), (F.floor("l_extendedprice") % 5000).alias("at"))
-    start = F.floor("o_totalprice") % 4000
-    spans = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.concat(F.lit("f"), (F.col("o_custkey") % 100).cast("string")).alias("path"), start.alias("start"), (start + 100 + F.col("o_orderkey") % 900).alias("end"))
-    return checks.innermost(points, spans)
-
-
 @query("""with p as (select l_orderkey * 10 + l_linenumber as id, concat('f', l_suppkey, '/', l_orderkey % 8) as path, cast(floor(l_extendedprice) as bigint) % 5000 as pos from lineitem), s as (select concat('o', o_orderkey) as key, concat('f', o_custkey // 15, '/', o_orderkey % 8) as path, cast(floor(o_totalprice) as bigint) % 4000 as a, 100 + o_orderkey % 900 as n from orders)
   select id, s.key from p join s on p.path = s.path and pos >= a and pos < a + n qualify row_number() over (partition by id order by n, s.key) = 1""")
-def innermost_span_all(spark, sf):
+def innermost_span(spark, sf):
     o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
     path = lambda one, order: F.concat(F.lit("f"), one.cast("string"), F.lit("/"), (F.col(order) % 8).cast("string")).alias("path")
     points = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), path(F.col("l_suppkey"), "l_orderkey"), (F.floor("l_extendedprice") % 5000).alias("at"))
@@ -911,10 +955,10 @@ def report_faults(spark, sf):
     return reports.faults(rows.unionByName(more)).select("id", "rule", "fault")
 
 
-@query("select concat('check:', o_orderkey) as rule, case o_orderstatus when 'F' then 'high' when 'O' then 'medium' else 'low' end as severity, concat('d/', o_custkey) as path, o_orderkey % 100 as line from orders")
+@query("""select concat('check:', o_orderkey) as rule, ['high', 'high', 'medium', 'medium', 'low', 'info', 'info', 'critical', 'odd'][o_orderkey % 9 + 1] as severity, concat('d/', o_custkey) as path, o_orderkey % 100 as line from orders""")
 def report_adapter(spark, sf):
     o = read(spark, sf, "orders")
-    level = F.when(F.col("o_orderstatus") == "F", "ERROR").when(F.col("o_orderstatus") == "O", "WARNING").otherwise("NOTE")
+    level = F.get(F.array(*[F.lit(w) for w in ("ERROR", "HIGH", "WARNING", "Medium", "LOW", "INFO", "information", "CRITICAL", "Odd")]), (F.col("o_orderkey") % 9).cast("int"))
     entry = F.struct(F.concat(F.lit("check:"), F.col("o_orderkey").cast("string")).alias("check_id"), F.concat(F.lit("d/"), F.col("o_custkey").cast("string")).alias("path"), F.struct((F.col("o_orderkey") % 100).alias("line")).alias("start"), F.struct(F.lit("m").alias("message"), level.alias("severity")).alias("extra"))
     json = o.select(F.to_json(F.struct(F.array(entry).alias("results"))).alias("json"))
     return reports.semgrep(json).select("rule", "severity", "path", "line")
@@ -976,12 +1020,23 @@ def content_by_blob(spark, sf):
     return media.by_blob(nodes(spark, sf, ("part",)), rec).select("key", "producer", "created")
 
 
-@query("""with k as (select case when o_orderkey % 9 = 0 then concat('odd', o_orderkey) else concat(md5(cast(o_orderkey as varchar)), '-ff-v', o_custkey % 12, '-e1') end as key from orders), v as (select key, try_cast(nullif(regexp_extract(key, '-v(\\d+)-e', 1), '') as integer) as v from k)
-  select key, case when v is null then 'unrecognised' when v = 8 then 'current' when v > 8 then 'ahead' when v >= 5 then 'recent' else 'superseded' end as fate from v""")
+@query("""with k as (select case when o_orderkey % 9 = 0 then concat('odd', o_orderkey) else concat(md5(cast(o_orderkey as varchar)), '-v99-ff-v', o_orderkey % 3 * 100 + o_custkey % 12, '-e', case when o_orderkey % 10 = 0 then '1' else substring(md5(cast(o_custkey as varchar)), 1, 16) end) end as key from orders), v as (select key, try_cast(nullif(regexp_extract(key, '-v([0-9]+)-e[0-9A-Fa-f]{16}$', 1), '') as bigint) % 100 as v from k),
+  f as (select key, case when v is null then 'unrecognised' when v = 8 then 'current' when v > 8 then 'ahead' when v >= 5 then 'recent' else 'superseded' end as fate from v) select key, fate from f""")
 def cache_sweep(spark, sf):
+    return sync.sweep(_cache_keys(spark, sf), 8, 3)
+
+
+def _cache_keys(spark, sf):
     o = read(spark, sf, "orders")
-    key = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("odd"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("-ff-v"), (F.col("o_custkey") % 12).cast("string"), F.lit("-e1")))
-    return sync.sweep(o.select(key.alias("key")), 8, 3)
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    tag = F.when(i % 10 == 0, "1").otherwise(F.substring(F.md5(c.cast("string")), 1, 16))
+    key = F.concat(F.md5(i.cast("string")), F.lit("-v99-ff-v"), (i % 3 * 100 + c % 12).cast("string"), F.lit("-e"), tag)
+    return o.select(F.when(i % 9 == 0, F.concat(F.lit("odd"), i.cast("string"))).otherwise(key).alias("key"))
+
+
+@query(SQL["cache_sweep"].replace("select key, fate from f", "select count(*) filter (where fate = 'current') as current, count(*) filter (where fate = 'recent') as recent, count(*) filter (where fate = 'ahead') as ahead, count(*) filter (where fate = 'unrecognised') as unrecognised, count(*) filter (where fate = 'superseded') as superseded, count(*) as scanned from f"))
+def cache_sweep_totals(spark, sf):
+    return sync.swept(_cache_keys(spark, sf), 8, 3)
 
 
 @query("""with ch as (select concat('part/', p_brand) as path from part where p_partkey < 5), own as (select key, path from nodes where kind = 'part' and path in (select path from ch)),
@@ -998,21 +1053,25 @@ def incremental_sync(spark, sf):
     n, e = nodes(spark, sf, ("part", "supplier")), edges(spark, sf, ("calls",))
     e = e.join(n.select("key"), e["src"] == n["key"], "left_semi")
     touched = spark.createDataFrame([("part/Brand#3",)], "path string")
-    new_node = n.limit(1).select(F.lit("part:new").alias("key"), *[F.lit("part/Brand#3" if c == "path" else None).cast("string").alias(c) for c in n.columns[1:]])
-    new_edge = e.limit(1).select(F.lit("part:new").alias("src"), F.lit("supplier:1").alias("dst"), "kind", "provenance", "confidence", "src_ref")
+    new_node = spark.createDataFrame([("part:new", "part", None, "part/Brand#3", None, None, "derived")], ", ".join(f"{c} string" for c in n.columns))
+    new_edge = spark.createDataFrame([("part:new", "supplier:1", "calls", "derived", None, None)], "src string, dst string, kind string, provenance string, confidence double, src_ref string")
     return sync.incremental(n, e, touched, new_node, new_edge)[1].select("src", "dst", "kind")
 
 
-@query("""with im as (select p_brand as project, concat('v', p_size) as tag from part), re as (select cast(p_partkey as varchar) as name, concat('u', p_partkey) as url from part where p_partkey between 40 and 60), ur as (select p_brand as project, concat('u', p_partkey) as url from part where p_partkey % 10 = 0),
-  a as (select project, min(name) as by_url from ur join re using (url) group by project), b as (select project, min(name) as by_tag from im join re on substring(im.tag, 2) = re.name group by project)
-  select p as project, coalesce(by_url, by_tag) as revision from (select distinct project as p from im union select project from ur) x left join a on x.p = a.project left join b on x.p = b.project""")
+@query("""with im as (select p_brand as project, p_partkey as seq, case p_size % 3 when 0 then 'reg.io/acme/hub' when 1 then 'hub' else 'reg.io/hub/app' end as image, concat(p_size, '.0') as tag from part), re as (select concat(case when p_partkey % 3 = 0 then 'v' when p_partkey % 3 = 1 then 'rel-' else '' end, p_partkey, '.0') as name from part where p_partkey <= 30),
+  su as (select p_brand as project, p_partkey as seq, case p_partkey % 4 when 0 then 'https://H.io/a/hub.git' when 1 then 'git@h.io:b/hub' when 2 then 'https://h.io/a/other/' else 'https://h.io/up/Stream.git/' end as url, md5(p_name) as sha, concat('vendor/', p_partkey) as path from part where p_partkey % 5 = 0 and p_size > 25),
+  a as (select project, arg_min(sha, seq) as revision, concat('submodule ', arg_min(path, seq)) as via from su where regexp_extract(regexp_replace(regexp_replace(url, '/+$', ''), '(\\.git)+$', ''), '[^/:]*$') = 'hub' or lower(regexp_replace(regexp_replace(url, '/+$', ''), '(\\.git)+$', '')) = 'https://h.io/up/stream' group by project),
+  t as (select project, seq, image, tag, unnest([0, 1, 2]) as turn, unnest([concat('rel-', tag), tag, concat('v', tag)]) as name from im where regexp_extract(image, '[^/]*$') = 'hub'),
+  b as (select project, name as revision, concat('image ', image, ':', tag) as via from t where name in (select name from re) qualify row_number() over (partition by project order by seq, turn) = 1)
+  select * from a union all select * from b where project not in (select project from a)""")
 def project_pins(spark, sf):
     p = read(spark, sf, "part")
-    i = F.col("p_partkey")
-    images = p.select(F.col("p_brand").alias("project"), F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("tag"))
-    urls = p.filter(i % 10 == 0).select(F.col("p_brand").alias("project"), F.concat(F.lit("u"), i.cast("string")).alias("url"))
-    revisions = p.filter(i.between(40, 60)).select(i.cast("string").alias("name"), F.concat(F.lit("u"), i.cast("string")).alias("url"))
-    return sync.pinned(images, urls, revisions)
+    i, size = F.col("p_partkey"), F.col("p_size")
+    images = p.select(F.col("p_brand").alias("project"), i.alias("seq"), F.when(size % 3 == 0, "reg.io/acme/hub").when(size % 3 == 1, "hub").otherwise("reg.io/hub/app").alias("image"), F.concat(size.cast("string"), F.lit(".0")).alias("tag"))
+    names = p.filter(i <= 30).select(F.concat(F.when(i % 3 == 0, "v").when(i % 3 == 1, "rel-").otherwise(""), i.cast("string"), F.lit(".0")).alias("name"))
+    url = F.get(F.array(*[F.lit(u) for u in ("https://H.io/a/hub.git", "git@h.io:b/hub", "https://h.io/a/other/", "https://h.io/up/Stream.git/")]), (i % 4).cast("int"))
+    modules = p.filter((i % 5 == 0) & (size > 25)).select(F.col("p_brand").alias("project"), i.alias("seq"), url.alias("url"), F.md5("p_name").alias("sha"), F.concat(F.lit("vendor/"), i.cast("string")).alias("path"))
+    return sync.pinned(modules, images, names, "hub", "https://h.io/up/stream", "rel-{tag}")
 
 
 @query()
@@ -1037,7 +1096,7 @@ def language_guard(spark, sf):
     size = F.col("p_size")
     a = F.concat(F.when(size % 3 == 0, "sym:rust:").when(size % 3 == 1, "sym:go:").otherwise("file:"), F.col("p_partkey").cast("string"))
     b = F.concat(F.when(size % 2 == 0, "sym:rust:").otherwise("sym:go:"), F.col("p_name"))
-    return p.select(a.alias("a"), b.alias("b")).select("a", "b", context.same_language(F.col("a"), F.col("b")).alias("allowed"))
+    return p.select(a.alias("a"), b.alias("b")).select("a", "b", lenses.same_language(F.col("a"), F.col("b")).alias("allowed"))
 
 
 @query("""with r as (select concat('Brand#', p_size % 30, '::', p_name) as ref from part), k as (select distinct p_brand as project, p_name as key from part where p_partkey % 2 = 0)
@@ -1084,3 +1143,8 @@ def findings_totals(spark, sf):
 def newest_layers(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_orderstatus").alias("analyzer"), (F.col("o_custkey") % 50).alias("worktree"), F.col("o_orderdate").alias("started"), F.col("o_orderkey").alias("run"))
     return context.ranked_layers(o).drop("started")
+
+
+#: Names under which whole-table forms were first registered.
+for _name in ("k_hop", "correspondence", "claim_coverage", "innermost_span", "band_join", "class_recall", "merged_intervals", "chance_baseline"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

@@ -130,7 +130,7 @@ def test_extraction(spark):
 
 
 def test_faithfulness_and_validity(spark):
-    segments = spark.createDataFrame([(1, 0, "claim", "a", ["k"]), (1, 1, "claim", " ", ["k"]), (1, 2, "claim", "b", []), (1, 3, "claim", "c", ["no"]), (1, 4, "structural", "Summary", None), (1, 5, "structural", "Odd", None)], "rendering bigint, place bigint, kind string, text string, citations array<string>")
+    segments = spark.createDataFrame([(1, 0, "claim", "a", ["k"]), (1, 1, "claim", " ", ["k"]), (1, 2, "claim", "b", []), (1, 3, "claim", "c", ["no"]), (1, 4, "structural", "Summary:", None), (1, 5, "structural", "Odd", None)], "rendering bigint, place bigint, kind string, text string, citations array<string>")
     got = {(r.place, r.defect) for r in checks.faithfulness(segments, spark.createDataFrame([("k",)], "key string")).collect()}
     assert got == {(1, "empty"), (2, "uncited"), (3, "dangling"), (5, "unlisted")}
     rows = spark.createDataFrame([("inferred", 0.5), ("inferred", None), ("inferred", 1.5), ("derived", None), ("derived", 0.1), ("other", None)], "provenance string, confidence double")
@@ -143,7 +143,7 @@ def test_limit_zero_is_no_limit(spark):
 
 
 def test_links(spark):
-    hub = spark.createDataFrame([(1, "a.b", "1"), (2, "A-B", "2"), (3, "x.only", "3")], "seq int, key string, value string")
+    hub = spark.createDataFrame([(1, "h", "a.b", "1"), (2, "h", "A-B", "2"), (3, "h", "x.only", "3")], "seq int, file string, key string, value string")
     spokes = spark.createDataFrame([("f", "a_b", "1"), ("f", "a.B", "9"), ("f", "ab", "2"), ("f", "other.only", "3"), ("f", "none", None)], "file string, key string, value string")
     got = {r.key: (r.target, r.tier, r.confidence) for r in links.match_keys(spokes, hub).collect()}
     assert got == {"a_b": ("a.b", 1, 0.98), "a.B": ("a.b", 1, 0.90), "ab": ("A-B", 2, 0.95), "other.only": ("x.only", 3, 0.55), "none": (None, None, None)}

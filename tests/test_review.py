@@ -21,7 +21,7 @@ def greedy(pairs):
 
 
 def test_every_row_reaches_the_review(spark):
-    rows, found = queries._review_all(spark, SF)
+    rows, found = queries._review(spark, SF)
     assert rows.count() == read(spark, SF, "orders").count() and found.count() == read(spark, SF, "lineitem").count()
     want = greedy([tuple(r) for r in review.band_pairs(rows, found).select("sha", "path", "row", "finding", "row_line", "line", "distance").collect()])
     got = [tuple(r) for r in queries.QUERIES["greedy_match"](spark, SF).select("row", "finding", "distance").collect()]
