@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 SHORT = 32
 NO_RANK = np.int32(2**31 - 1)
 #: Cached pieces per Python worker; past it the older half is forgotten.
@@ -53,6 +55,34 @@ def byte_alphabet() -> dict[str, int]:
     return stand_in | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Characters of a text that are coded at once; longer texts go in parts.
+PART = 1_000_000
+_SAFE = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+
+
+def parts(text: str, size: int | None = None) -> list[str]:
+    """``text`` in parts of about ``size`` characters, cut only where a word of the pattern begins.
+
+    That is at a space between two letters or digits, and between a letter and a digit. Where none is in reach the part grows to the next one,
+    so only an unbroken run of letters, or of digits, or of other characters is held as a whole, however long it is.
+    """
+    out, at, size = [], 0, size or PART
+    while len(text) - at > size:
+        cut = at + size
+        near = max(at + 1, cut - 4096)
+        places = [m.start() for m in _SAFE.finditer(text, near, cut)]
+        if places and places[-1] > at:
+            cut = places[-1]
+        else:
+            m = _SAFE.search(text, cut)
+            if m is None:
+                break
+            cut = m.start()
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -77,6 +107,7 @@ class ByteBPE:
         self._fill(key, np.arange(len(key), dtype=np.int32))
         self.pairs = dict(zip(key.tolist(), range(len(key)), strict=True))
         self.split = regex.compile(PATTERN)
+        self.whole = any(_SAFE.search(f"a{a}a") for a in self.added)  # then a cut might fall into an added token
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
 
@@ -236,6 +267,8 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if any(len(t or "") > PART for t in texts) and not self.whole:
+            return [b"".join(self._encode([p])[0] for p in parts(t)) if len(t or "") > PART else self._encode([t])[0] for t in texts]
         out: list[bytes] = []
         for at in self._portions(texts):
             out += self._encode(at)
@@ -294,13 +327,13 @@ def load(path: str) -> ByteBPE:
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` (array of int) and ``decoded`` text, or only their digests if not ``keep_ids``.
 
-    Narrow: no shuffle. An empty table gives an empty result; further columns of ``docs`` are not read.
+    Narrow: no shuffle. Texts over ``PART`` characters are coded in parts, which end where a word begins. An empty table gives an empty result; further columns of ``docs`` are not read.
     """
     path = path or vocabulary_path()
 
     def run(batches):
         coder = load(path)
-        for batch in batches:
+        for batch in portions(batches):
             key, texts = batch.column(0), batch.column(1).to_pylist()
             ids = coder.encode_batch(texts)
             decoded = [coder.decode(x) for x in ids]

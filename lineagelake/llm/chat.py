@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, flat, group_bounds
+from .common import by_group, flat, group_bounds, per_row
 
 #: Strings that mark turns here or in other common templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
 _FIXED = (b"<|", b"|>\n", b"</s>\n")
+#: Output bytes that are gathered at once, and bytes of turns that a task holds, if no single conversation has more.
+BLOCK, HELD = 1_000_000, 16_000_000
 _TURN = re.compile(r"<\|(.*?)\|>\n(.*?)</s>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -61,15 +63,22 @@ def assemble(role: pa.Array, text: pa.Array, bounds: np.ndarray) -> tuple[pa.Arr
     begin[:, 3], length[:, 3] = len(fixed) + len(roles) + text_at[:-1], np.diff(text_at)
     begin, length = begin.ravel(), length.ravel()
     to = np.append(0, np.cumsum(length))
-    index = np.repeat(begin - to[:-1], length)
-    index += np.arange(len(index))
-    out = source[index]
+    out = np.empty(to[-1], np.uint8)
+    a = 0
+    while a < len(length):  # the indices take eight bytes for one, so they are made for a block of segments at once; a longer segment is copied
+        b = max(a + 1, int(np.searchsorted(to, to[a] + BLOCK, "right")) - 1)
+        if b == a + 1:
+            out[to[a] : to[b]] = source[begin[a] : begin[a] + length[a]]
+        else:
+            index = np.repeat(begin[a:b] - (to[a:b] - to[a]), length[a:b])
+            index += np.arange(len(index))
+            out[to[a] : to[b]] = source[index]
+        a = b
     offsets = to[5 * bounds]
-    points = np.append(0, np.cumsum((out & 0xC0) != 0x80))
-    first = np.repeat(points[offsets[:-1]], np.diff(bounds))
-    text_begin = to[np.arange(n) * 5 + 3]
+    points = np.append(0, np.cumsum(per_row((out & 0xC0) != 0x80, to)))  # at the ends of segments
+    first = np.repeat(points[5 * bounds[:-1]], np.diff(bounds))
     formatted = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out))
-    return formatted, points[text_begin] - first, points[text_begin + length[3::5]] - first
+    return formatted, points[3:-1:5] - first, points[4::5] - first
 
 
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
@@ -87,7 +96,7 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["conv"]
-    out = by_group(rows, "conv", ["turn", "role", "text"], work, f"conv {kind}, n_turns bigint, formatted string, loss_spans array<struct<start:bigint,end:bigint>>", size=10_000)
+    out = by_group(rows, "conv", ["turn", "role", "text"], work, f"conv {kind}, n_turns bigint, formatted string, loss_spans array<struct<start:bigint,end:bigint>>", size=10_000, held=HELD)
     return out.withColumnRenamed("conv", conv_col)
 
 

@@ -58,6 +58,7 @@ _SPACE[list(WHITE)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER = np.random.default_rng(21).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -81,11 +82,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range of ``data``."""
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+    """64-bit hash of each byte range of ``data``; another table of byte ``value`` gives an independent one."""
     forth, back = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * forth[:-1], out=sums[1:])
+    np.cumsum(value[data] * forth[:-1], out=sums[1:])
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -103,7 +104,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, start and end of each word. Long portions are hashed in blocks of whole words, which bounds the memory."""
     start, end, row = word_bounds(data, offsets)
     out = np.empty(len(start), np.uint64)
@@ -116,31 +117,45 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 4_000_000) -
     return out, row, start, end
 
 
+def per_row(marked: np.ndarray, offsets: np.ndarray, block: int = 1_000_000) -> np.ndarray:
+    """How many of the marked bytes each row has."""
+    before, at, total = np.zeros(len(offsets), np.int64), 0, 0
+    for low in range(0, len(marked) + 1, block):  # sums of a block at a time take little
+        sums = np.append(0, np.cumsum(marked[low : low + block], dtype=np.int32))
+        to = int(np.searchsorted(offsets, low + block)) if low + block <= len(marked) else len(offsets)
+        before[at:to] = total + sums[offsets[at:to] - low]
+        at, total = to, total + int(sums[-1])
+    return np.diff(before)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def by_group(df: DataFrame, key: str, order: list[str], work, schema: str, count: int | None = None, size: int = 60_000) -> DataFrame:
+def by_group(df: DataFrame, key: str, order: list[str], work, schema: str, count: int | None = None, size: int = 60_000, held: int = 64_000_000) -> DataFrame:
     """``work(record batch) -> iterator of record batches`` over the rows of ``df``, dealt by ``key`` and sorted by ``[key, *order]``.
 
-    Each call gets whole groups, as many as make about ``size`` rows, so small groups cost little. A group larger than
+    Each call gets whole groups, as many as make about ``size`` rows or ``held`` bytes, so small groups cost little. A group larger than
     that comes in one call; callers bound the size of their groups.
     """
+    limit = held
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = used = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n >= size:
+            used += batch.get_total_buffer_size()
+            if n >= size or used >= limit:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
                 at = last_group(whole.column(0))
                 if at:
                     yield from work(whole.slice(0, at))
-                held, n = [whole.slice(at)], whole.num_rows - at
+                held, n = [_own(whole.slice(at))], whole.num_rows - at
+                used = held[0].get_total_buffer_size()
         if n:
             yield from work(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0])
 
@@ -148,6 +163,11 @@ def by_group(df: DataFrame, key: str, order: list[str], work, schema: str, count
     return df.select(*names).repartition(count or partitions(df), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A copy that holds no more than its rows."""
+    return batch.take(pa.array(np.arange(batch.num_rows)))
+
+
 def group_bounds(keys: pa.Array) -> np.ndarray:
     """Where the groups of a sorted column begin, and its length at the end."""
     if len(keys) < 2:

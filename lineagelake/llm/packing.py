@@ -1,17 +1,17 @@
 """Packing token sequences by first-fit decreasing (operator 10).
 
 Every document becomes token ids and an end id; it is cut into pieces of at
-most ``capacity`` ids. Full pieces are sequences of their own. The rest of a
+most ``capacity`` ids, which travel with their pieces and are laid into the sequences. Full pieces are sequences of their own. The rest of a
 random group of documents is packed by first-fit decreasing: a tournament
 tree over the bins holds the most room in each subtree, so the first bin with
-room is found in a walk from the root. Groups are drawn by hash and hold about
+room is found in a walk from the root. Groups are drawn by a hash of the row's place in the table and hold about
 ``GROUP`` documents each, so they are packed independently and no skew of
-sources or texts reaches them.
+sources, texts or repeated rows reaches them. A task packs as many groups at once as make ``HELD`` bytes of ids.
 
 The ids are those of the ``tokenizers`` library for the vocabulary file,
 computed by the rank coder of ``tiktoken`` for the same vocabulary (tests hold
-both against each other); texts over ``LONG`` characters go through
-:mod:`.bpe`, whose time doesn't grow with the square of a word.
+both against each other). Long texts are coded in parts that end where a word begins; a part over ``LONG`` characters, which is one
+unbroken word, goes through :mod:`.bpe`, whose time doesn't grow with the square of a word.
 
 Defined results: null text is empty and gives the end id alone. Rows that
 repeat an id are packed as documents of their own, also those with a null id.
@@ -34,6 +34,8 @@ from .common import by_group, group_bounds, portions
 CAPACITY = 1024
 GROUP = 4096
 LONG = 500_000
+#: Bytes of ids that a task holds at once, if no single group has more.
+HELD = 16_000_000
 
 
 @lru_cache(maxsize=2)
@@ -46,42 +48,45 @@ def coder(path: str):
     ranks = {b: i for i, b in enumerate(slow.token_bytes) if b and i not in added.values()}
     fast = tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
-    def ids(text: str) -> np.ndarray:
+    def part_ids(text: str) -> np.ndarray:
         if len(text) > LONG:
             return np.frombuffer(slow.encode_batch([text])[0], "<u4")
         return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
+    def ids(text: str) -> np.ndarray:
+        if len(text) <= LONG or slow.whole:
+            return part_ids(text)
+        return np.concatenate([part_ids(p) for p in bpe.parts(text, LONG)])
+
     return ids
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: ``id, draw, start, length, ids_crc32, doc_tokens`` and with ``keep_ids`` the ``ids``."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of at most ``capacity`` ids: ``id, draw, start, length, doc_tokens, ids``."""
     path = path or bpe.vocabulary_path()
 
     def run(batches):
         for batch in portions(batches):
             code = coder(path)
-            row, start, length, crc, total, kept = [], [], [], [], [], []
+            row, start, total, kept = [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(code(text), end_id).astype("<u4")
-                raw = memoryview(ids.view(np.uint8))
-                for a in range(0, len(ids), capacity):
-                    n = min(capacity, len(ids) - a)
-                    row.append(r)
-                    start.append(a)
-                    length.append(n)
-                    crc.append(zlib.crc32(raw[4 * a : 4 * (a + n)]))
-                    total.append(len(ids))
-                    if keep_ids:
-                        kept.append(ids[a : a + n].astype(np.int32))
-            row = pa.array(row, pa.int64())
-            cols = [batch.column(0).take(row), batch.column(2).take(row), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
-            names = ["id", "draw", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
-
-    kind = dict(docs.dtypes)[id_col]
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
-    return text.mapInArrow(run, f"id {kind}, draw bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids)
+                ids = np.append(code(text), end_id).astype(np.int32)
+                cuts = range(0, len(ids), capacity)
+                row += [r] * len(cuts)
+                start += cuts
+                total += [len(ids)] * len(cuts)
+                kept.append(ids)
+            row, start, total = pa.array(row, pa.int64()), np.array(start, np.int64), np.array(total, np.int64)
+            length = np.minimum(capacity, total - start)
+            every = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(start), pa.array(length), pa.array(total), lists], names=["id", "draw", "start", "length", "doc_tokens", "ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    # the row's own number, so that rows that repeat id and text are drawn apart
+    draw = F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id())
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), draw.alias("draw"))
+    return text.mapInArrow(run, f"id {kind}, draw bigint, start bigint, length bigint, doc_tokens bigint, ids array<int>")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +111,10 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with ``sequence_id`` and ``offset``; see :func:`sequences` for the sequences' ids."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """The pieces of all documents with ``sequence_id`` and ``offset``, the ``ids_crc32`` of their ids as packed and, if asked for, the ``ids``; :func:`sequences` lays these out."""
     groups = max(1, round(docs.count() / group))
-    cut = pieces(docs, path, capacity, 0, id_col, text_col, keep_ids).withColumn("group", F.pmod(F.xxhash64("draw", F.lit(10)), F.lit(groups))).drop("draw")
+    cut = pieces(docs, path, capacity, 0, id_col, text_col).withColumn("group", F.pmod(F.xxhash64("draw", F.lit(10)), F.lit(groups)))
 
     def work(batch):
         column = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
@@ -125,15 +130,20 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
             used = int(bins.max()) + 1 if len(bins) else 0
             part[full] = used + np.arange(int(full.sum()))
             where[a:b] = (column["group"][a].as_py() << 32) + part
-        names = [c for c in batch.schema.names if c != "group"]
-        yield pa.RecordBatch.from_arrays([*[column[c] for c in names], pa.array(where), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+        ids = column["ids"].flatten().to_numpy().astype("<u4")
+        ends = np.append(0, np.cumsum(length))
+        raw = memoryview(ids.view(np.uint8))
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        names = ["id", "start", "length", "doc_tokens"]
+        yield pa.RecordBatch.from_arrays([*[column[c] for c in names], pa.array(where), pa.array(offset), pa.array(crc, pa.int64()), column["ids"]], names=[*names, "sequence_id", "offset", "ids_crc32", "ids"])
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids + ", sequence_id bigint, offset bigint"
-    return by_group(cut, "group", ["length", "id", "start", "ids_crc32"], work, schema).withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint, ids array<int>"
+    out = by_group(cut, "group", ["length", "id", "start", "draw"], work, schema, held=HELD)
+    return (out if keep_ids else out.drop("ids")).withColumnRenamed("id", id_col)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """``sequence_id, ids`` of pieces that were packed with ``keep_ids``; at most one capacity of ids a row."""
+    """``sequence_id, ids``: the ids of each sequence in their order, at most one capacity a row."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

@@ -1,16 +1,18 @@
 """Quality rules with tokeniser fertility (operator 7).
 
-A public multilingual vocabulary encodes each whole text; characters per token,
-the share of tokens that are a lone byte of a longer character, and the entropy of
-the tokens (over its greatest value for as many) are held against bands. A
-band belongs to a language and a length class (octaves of tokens), as entropy falls
-with length: ``WIDTH`` interquartile ranges about the median over all documents
-that pass the base rules. Classes with under ``ENOUGH`` documents use the
-language's band, small languages that of all documents, and where even these
-are too few nothing is rejected.
+Two public vocabularies encode each whole text: a multilingual byte-level one gives characters per
+token and the entropy of the tokens (over its greatest value for as many), one with byte fallback
+the share of tokens that are a lone byte. Each measure is held against a band of its language.
+
+Entropy falls with length, so a band is a line over the logarithm of the number of tokens, fitted to the
+documents of the language that pass the base rules, and reaches ``WIDTH`` interquartile ranges of
+their distances from it. Line and range of a language are averaged with those of all documents, which weigh as much as
+``PRIOR`` documents, so bands change smoothly with the size of a language and of the table; nothing switches at
+a size. A band is never narrower than ``LEAST``.
 
 Defined results: a null or empty text has no words and fails the base rules. A null
-language is a language. Repeated rows are judged each. Further columns are not read.
+language is a language. Repeated rows are judged each. Without documents that pass the base rules there is nothing to judge. Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import WHITE, flat, mix, portions, settle, word_hashes
+from .common import WHITE, flat, mix, per_row, portions, settle, word_hashes
 
-WIDTH, ENOUGH = 3.0, 50
+WIDTH, PRIOR = 5.0, 50
 #: Least half widths of the bands, in the measures' own units.
-LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.08}
-LONG = 500_000
+LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.06}
 #: Fixed value: the characters that count as symbols.
-_SYMBOLS = np.zeros(256, np.int64)
-_SYMBOLS[list(b"#*$%&|<>")] = 1
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[list(b"#*$%&|<>")] = True
 _BLANK = WHITE.decode()
 
 
@@ -43,40 +44,47 @@ def _coder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    lone = np.zeros(max(ranks.values()) + 1, bool)
-    lone[[i for b, i in ranks.items() if len(b) == 1 and b[0] >= 128]] = True
-    return tiktoken.Encoding("fertility", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}), lone
-
-
-def fertility(text: str, path: str) -> tuple[int, float, float, float]:
-    """Number of tokens, characters per token, share of lone bytes, entropy over log2 of the number."""
-    coder, lone = _coder(path)
-    # long texts in parts that end before a space; a word of the pattern never spans that place
-    parts, at = [], 0
-    while len(text) - at > LONG:
-        cut = text.rfind(" ", at + 1, at + LONG)
-        cut = cut if cut > at else at + LONG
-        parts.append(text[at:cut])
-        at = cut
-    ids = [coder.encode_to_numpy(p, disallowed_special=()) for p in [*parts, text[at:]]]
-    ids = ids[0] if len(ids) == 1 else np.concatenate(ids)
-    n = len(ids)
+    return tiktoken.Encoding("fertility", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def _pieces(path: str):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    lone = np.fromiter((model.is_byte(i) for i in range(model.get_piece_size())), bool, model.get_piece_size())
+    return model, lone
+
+
+def fertility(text: str, path: str, fallback: str | None = None) -> tuple[int, float, float, float]:
+    """Number of tokens, characters per token, share of byte-fallback tokens of the other vocabulary, entropy over log2 of the number."""
+    coder, (model, lone) = _coder(path), _pieces(fallback or bpe.vocabulary_path("piece_bpe_32k.model"))
+    counts, n, pieces, bytes_ = np.zeros(coder.n_vocab, np.int64), 0, 0, 0
+    for k, part in enumerate(bpe.parts(text)):
+        ids = coder.encode_to_numpy(part, disallowed_special=())
+        n += len(ids)
+        counts += np.bincount(ids, minlength=len(counts))
+        # the model itself puts a space before what it is given
+        other = np.asarray(model.encode(part[1:] if k and part[0] == " " else part), np.int64)
+        pieces += len(other)
+        bytes_ += int(lone[other].sum())
     if not n:
         return 0, 0.0, 0.0, 1.0
-    p = np.unique(ids, return_counts=True)[1] / n
-    return n, len(text) / n, float(lone[ids].mean()), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
+    p = counts[counts > 0] / n
+    return n, len(text) / n, bytes_ / max(1, pieces), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
 
 
 def base_counts(values: pa.Array, texts: list[str]) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
     rows = len(values)
     data, offsets = flat(values)
-    words, row, start, end = word_hashes(data, offsets)
+    words, row, _, _ = word_hashes(data, offsets)
     n_words = np.bincount(row, minlength=rows)
-    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    word_chars = np.bincount(row, weights=points[end] - points[start], minlength=rows).astype(np.int64)
-    symbols = np.append(0, np.cumsum(_SYMBOLS[data]))
-    n_symbols = symbols[offsets[1:]] - symbols[offsets[:-1]]
+    white = np.zeros(256, bool)
+    white[list(WHITE)] = True
+    white[0x80:0xC0] = True  # nor do bytes within a character begin one
+    word_chars = per_row(~white[data], offsets)
+    n_symbols = per_row(_SYMBOLS[data], offsets)
     n_repeat = np.zeros(rows, np.int64)
     if len(words) > 2:
         own = mix(row.astype(np.uint64) + np.uint64(1))
@@ -91,7 +99,7 @@ def base_counts(values: pa.Array, texts: list[str]) -> list[np.ndarray]:
         for k in range(3):
             covered[k : len(words) - 2 + k] |= twice
         n_repeat = np.bincount(row[covered], minlength=rows)
-    lines = [[x for x in t.split("\n") if x.strip(_BLANK)] for t in texts]
+    lines = [[x for x in t.split("\n") if x.strip(_BLANK)] if "\n" in t else [] for t in texts]
     n_dup = np.array([len(x) - len(set(x)) for x in lines], np.int64)
     return [n_words, word_chars, n_symbols, n_dup, n_repeat]
 
@@ -100,12 +108,12 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _MEASURES = ("chars_per_token", "byte_share", "entropy")
 
 
-def measured(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def measured(docs: DataFrame, path: str, fallback: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     def run(batches):
         for batch in portions(batches):
             texts = batch.column(1).to_pylist()
             counts = base_counts(batch.column(1), texts)
-            n, *rest = zip(*[fertility(t, path) for t in texts], strict=True)
+            n, *rest = zip(*[fertility(t, path, fallback) for t in texts], strict=True)
             cols = [batch.column(0), batch.column(2), *[pa.array(np.asarray(c, np.int64)) for c in (*counts, n)], *[pa.array(r, pa.float64()) for r in rest]]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", *_COUNTS, "n_tokens", *_MEASURES])
 
@@ -114,25 +122,47 @@ def measured(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: s
     return rows.mapInArrow(run, f"id {kind}, lang string, {', '.join(f'{c} bigint' for c in (*_COUNTS, 'n_tokens'))}, {', '.join(f'{m} double' for m in _MEASURES)}")
 
 
-def judged(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, enough: int = ENOUGH) -> DataFrame:
+def bands(rows: DataFrame, width: float, prior: float) -> DataFrame:
+    """Per language (``of``): ``slope``, ``middle`` and ``half`` of the band of each measure; ``middle`` is where its line is at ``size`` 0.
+
+    All sums combine before the shuffle; a row for each language, and one for all of them under a language of their own.
+    """
+    good = rows.filter("not base_failed")
+    # every document counts for its language and for all
+    both = good.select(F.explode(F.array(F.struct(F.lit(False).alias("all"), "lang"), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang")))).alias("of"), "size", *_MEASURES)
+    line = [F.struct(F.coalesce(F.regr_slope(m, "size"), F.lit(0.0)).alias("slope"), F.avg(m).alias("mean")).alias(m) for m in _MEASURES]
+    lines = settle(both.groupBy("of").agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("at"), *line))
+    # the languages' own lines, drawn towards that of all
+    told = lines.filter("not of.all").crossJoin(F.broadcast(lines.filter("of.all").select(F.col("at").alias("at0"), *[F.col(m).alias(f"{m}0") for m in _MEASURES])))  # one row
+    own = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    mixed = lambda a, b: own * a + (1 - own) * b
+    start = lambda m, k, at: F.col(f"{m}{k}.mean") - F.col(f"{m}{k}.slope") * F.col(at)
+    lined = told.select(F.col("of.lang").alias("of"), own.alias("own"), *[F.struct(mixed(F.col(f"{m}.slope"), F.col(f"{m}0.slope")).alias("slope"), mixed(start(m, "", "at"), start(m, 0, "at0")).alias("start")).alias(m) for m in _MEASURES])
+    off = good.join(F.broadcast(lined), F.col("lang").eqNullSafe(F.col("of"))).select("lang", *[(good[m] - lined[m]["start"] - lined[m]["slope"] * F.col("size")).alias(m) for m in _MEASURES])
+    spread = lambda df, *by: df.groupBy(*by).agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{m}_q") for m in _MEASURES])
+    off = settle(off)
+    each, every = spread(off, "lang"), spread(off).select(*[F.col(f"{m}_q").alias(f"{m}_q0") for m in _MEASURES])
+    q = lined.join(each, F.col("of").eqNullSafe(F.col("lang"))).drop("lang").crossJoin(F.broadcast(every))  # one row
+
+    def band(m: str):
+        at = lambda k: mixed_by(F.get(f"{m}_q", k), F.get(f"{m}_q0", k))
+        mixed_by = lambda a, b: F.col("own") * a + (1 - F.col("own")) * b
+        half = F.greatest(F.lit(LEAST[m]), F.lit(width) * (at(2) - at(0)))
+        return F.struct(F.col(f"{m}.slope").alias("slope"), (F.col(f"{m}.start") + at(1)).alias("middle"), half.alias("half")).alias(f"{m}_band")
+
+    return settle(q.select("of", *[band(m) for m in _MEASURES]))
+
+
+def judged(docs: DataFrame, path: str | None = None, fallback: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``docs``: id, the base counts, ``base_failed``, ``kept`` and the measures."""
-    path = path or bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    path, fallback = path or bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken"), fallback or bpe.vocabulary_path("piece_bpe_32k.model")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = settle(measured(docs, path, id_col, text_col, lang_col).withColumn("base_failed", failed).withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")))
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(m) for m in _MEASURES]
-    half = lambda q, m: F.greatest(F.lit(LEAST[m]), F.lit(width) * (F.get(q, 2) - F.get(q, 0)))
-
-    def bands(*keys: str) -> DataFrame:
-        got = rows.filter("not base_failed").groupBy(*keys).agg(F.count("*").alias("count"), *quartiles).filter(F.col("count") >= enough)
-        parts = [F.struct((F.get(m, 1) - half(F.col(m), m)).alias("low"), (F.get(m, 1) + half(F.col(m), m)).alias("high")).alias(m) for m in _MEASURES]
-        return settle(got.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.struct(*parts).alias("band")))
-
-    out = rows
-    for name, keys in (("near", ("lang", "octave")), ("wide", ("lang",))):
-        on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
-        out = out.join(bands(*keys).withColumnRenamed("band", name), on, "left").drop(*[f"b_{k}" for k in keys])
-    every = bands().first()
-    out = out.withColumn("band", F.coalesce("near", "wide", *([F.struct(*[F.struct(F.lit(every.band[m].low).alias("low"), F.lit(every.band[m].high).alias("high")).alias(m) for m in _MEASURES])] if every else [])))
-    inside = (F.col("chars_per_token").between(F.col("band.chars_per_token.low"), F.col("band.chars_per_token.high"))) & (F.col("byte_share") <= F.col("band.byte_share.high")) & (F.col("entropy") >= F.col("band.entropy.low"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    rows = measured(docs, path, fallback, id_col, text_col, lang_col).withColumn("base_failed", failed)
+    rows = settle(rows.withColumn("size", F.log2(F.greatest("n_tokens", F.lit(1)))))
+    out = rows.join(F.broadcast(bands(rows, width, prior)), F.col("lang").eqNullSafe(F.col("of")), "left")  # one row for each language
+    middle = lambda m: F.col(f"{m}_band.middle") + F.col(f"{m}_band.slope") * F.col("size")
+    below = lambda m: F.col(m) < middle(m) - F.col(f"{m}_band.half")
+    above = lambda m: F.col(m) > middle(m) + F.col(f"{m}_band.half")
+    outside = below("chars_per_token") | above("chars_per_token") | above("byte_share") | below("entropy")
+    kept = ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))
     return out.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", kept.alias("kept"), "n_tokens", *_MEASURES)

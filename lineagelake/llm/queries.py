@@ -27,7 +27,8 @@ def op2_exact_dedup(spark, sf_dir):
 def op3_secrets(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"))
     live = F.size(F.filter("spans", lambda s: s["live"]))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.described("spans").alias("spans"), live.alias("n_live"))
+    per = lambda f: F.array_join(F.transform("spans", lambda s: s[f].cast("string")), ",").alias(f)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.described("spans").alias("spans"), live.alias("n_live"), per("repositories"), per("owners"))
 
 
 def op4_chat(spark, sf_dir):
@@ -58,7 +59,7 @@ def op9_near_dedup(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing)}

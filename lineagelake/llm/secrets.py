@@ -2,17 +2,17 @@
 
 Each text is scanned once for assignments, access keys and hexadecimal runs,
 and for long mixed tokens as further candidates. Every candidate value is
-hashed, and the hashes are counted by distinct repositories (documents) and
-owners (sources). Values that at least ``COPIED`` owners hold are widely
-copied examples; the others are owner-specific and look live. Long tokens
-become spans only where they are owner-specific; the base spans always stay.
+hashed, and the hashes are counted by distinct repositories (documents, by their ids) and
+distinct owners (sources). A value is a widely copied example if ``COPIED`` owners hold it, or if more than one
+does and ``WIDE`` repositories do; every other is owner-specific and looks live, in however many of its owner's repositories
+it stands. Long tokens become spans only where they are owner-specific; the base spans always stay.
 
-Counts are summed by hash and owner before hashes meet, so a value that a
-third of all rows hold costs a row for each task and owner.
+Pairs of value and repository, and of value and owner, are made distinct before values meet, so a value that a
+third of all rows hold is counted in all tasks and costs its own a row for each of them.
 
-Defined results: null text counts as empty. Rows whose repository is null
-count as one each, and a null owner is an owner. Positions are code points,
-ends are exclusive. Further columns are not read.
+Defined results: null text counts as empty. Rows whose id is null
+are repositories of their own, and a null owner is an owner. Positions are code points,
+ends are exclusive. Further columns are not read by :func:`scan`; :func:`redacted` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import portions, settle
 
-COPIED = 3
+COPIED, WIDE = 3, 20
 KINDS = ("assign", "access", "hex", "token")
 # The patterns of the base kinds and the words that an assignment needs.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -63,8 +63,8 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def _scanned(docs: DataFrame, keep: list[str], text_col: str, owner_col: str) -> DataFrame:
-    """The columns ``keep`` (as c0, c1, ...) with ``owner``, base counts and digest, and ``found`` candidates."""
+def _scanned(docs: DataFrame, keep: list[str], id_col: str, text_col: str, owner_col: str | None) -> DataFrame:
+    """The columns ``keep`` (as c0, c1, ...) with ``repository``, ``owner``, base counts and digest, and ``found`` candidates."""
 
     def run(batches):
         span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.binary())])
@@ -76,29 +76,38 @@ def _scanned(docs: DataFrame, keep: list[str], text_col: str, owner_col: str) ->
             cols.append(pa.array([[(a, k, b, hashlib.md5(v.encode()).digest()) for a, k, b, v in r] for r in rows], pa.list_(span)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *[f"n_{k}" for k in KINDS[:3]], "base_sha256", "found"])
 
-    kinds = dict(docs.dtypes)
-    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    kept = [docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(keep)]
     schema = ", ".join(f"c{k} {kinds[c]}" for k, c in enumerate(keep))
-    return docs.select(F.col(text_col).alias("text"), *kept, F.col(owner_col).cast("string").alias("owner")).mapInArrow(
-        run, f"{schema}, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:bigint,kind:int,end:bigint,value:binary>>"
+    owner = docs[owner_col].cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
+    return docs.select(docs[text_col].alias("text"), *kept, docs[id_col].alias("repository"), owner.alias("owner")).mapInArrow(
+        run, f"{schema}, repository {kinds[id_col]}, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:bigint,kind:int,end:bigint,value:binary>>"
     )
 
 
-def _judged(scanned: DataFrame, copied: int) -> DataFrame:
+_SPAN = "struct<start:bigint,kind:int,end:bigint,repositories:bigint,owners:bigint,live:boolean>"
+
+
+def _judged(scanned: DataFrame, copied: int, wide: int) -> DataFrame:
     """``row`` and ``spans`` (start, kind, end, repositories, owners, live) of rows with candidates."""
-    each = scanned.filter("size(found) > 0").select("row", "owner", F.explode("found").alias("f")).select("row", "owner", "f.*")
-    once = scanned.filter("size(found) > 0").select("owner", F.explode(F.array_distinct(F.transform("found", lambda f: f["value"]))).alias("value"))
-    counts = once.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
-    counts = settle(counts)
-    judged = each.join(counts, "value").withColumn("live", F.col("owners") < copied)
+    held = scanned.filter("size(found) > 0")
+    each = held.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    values = F.explode(F.array_distinct(F.transform("found", lambda f: f["value"])))
+    repository = F.coalesce(F.col("repository").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    once = held.select(repository.alias("repository"), F.col("repository").isNull().alias("own"), "owner", values.alias("value"))
+    repositories = once.select("value", "own", "repository").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
+    owners = once.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    counts = settle(repositories.join(owners, "value"))
+    many = (F.col("owners") >= copied) | ((F.col("owners") > 1) & (F.col("repositories") >= wide))
+    judged = each.join(counts, "value").withColumn("live", ~many)
     return judged.filter("kind < 3 or live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "repositories", "owners", "live"))).alias("spans"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED, wide: int = WIDE) -> DataFrame:
     """One row per row of ``docs``: id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` and ``spans``."""
-    scanned = settle(_scanned(docs, [id_col], text_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
-    out = scanned.drop("found", "owner").join(_judged(scanned, copied), "row", "left")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,repositories:bigint,owners:bigint,live:boolean>>")
+    scanned = settle(_scanned(docs, [id_col], id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
+    out = scanned.drop("found", "owner", "repository").join(_judged(scanned, copied, wide), "row", "left")
+    none = F.array().cast(f"array<{_SPAN}>")
     return out.select(F.col("c0").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", none).alias("spans"))
 
 
@@ -108,30 +117,31 @@ def described(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every owner-specific span replaced by ``mark``; rows without one are passed on as they are."""
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED, wide: int = WIDE, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every owner-specific span replaced by ``mark``; texts without one are as they were.
+
+    The candidates are found once and settled with the rows; a second pass over these replaces. Without a column ``owner_col`` all rows have one owner.
+    """
     keep = docs.columns
-    scanned = settle(_scanned(docs, keep, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
-    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep)]
-    at = f"c{keep.index(text_col)}"
+    scanned = settle(_scanned(docs, keep, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
+    at = keep.index(text_col)
 
     def replace(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
                 parts, done = [], 0
-                for s in spans:
+                for s in spans or ():
                     if s["live"] and s["start"] >= done:
                         parts += [text[done : s["start"]], mark]
                     if s["live"]:
                         done = max(done, s["end"])
-                texts.append("".join(parts) + text[done:])
-            names = [n for n in batch.schema.names if n != "spans"]
-            yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string())).select(names)
+                texts.append("".join(parts) + text[done:] if parts else text)
+            yield batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string())).select(list(range(len(keep))))
 
     names = [f"c{k}" for k in range(len(keep))]
-    held = scanned.filter("size(found) > 0").select("row", *names).join(_judged(scanned, copied), "row").withColumnRenamed(at, "text").select(*["text" if c == at else c for c in names], "spans")
-    schema = ", ".join(f"`{c}` {t}" for c, t in held.dtypes if c != "spans")
-    changed = held.mapInArrow(replace, schema).withColumnRenamed("text", at).select(*back)
-    only_copied = scanned.filter("size(found) > 0").select("row", *names).join(_judged(scanned, copied), "row", "left_anti").select(*back)
-    return scanned.filter("size(found) = 0").select(*back).unionByName(changed).unionByName(only_copied)
+    # rows that have candidates go through the join and the replacement, the others through neither
+    held = scanned.filter("size(found) > 0").select("row", *names).join(_judged(scanned, copied, wide), "row", "left").select(*names, "spans")
+    schema = ", ".join(f"{n} {docs.schema[k].dataType.simpleString()}" for k, n in enumerate(names))
+    out = scanned.filter("size(found) = 0").select(*names).unionByName(held.mapInArrow(replace, schema))
+    return out.toDF(*keep)

@@ -3,9 +3,9 @@
 A record's key puts the hash of its text above a hash of its id, so equal
 texts lie side by side and a large group of copies can still be divided. A
 sample of keys is drawn with chances in proportion to size; its quantiles
-split the keys into ranges. Ranges that hold over twice their share, and those
-in which a shard ends, are subdivided by splitters of their own, until each
-shard can end within ``TOLERANCE`` of its share. Shards are unions of
+split the keys into ranges, about one for ``RANGE`` rows and no fewer than ``RANGES``. Ranges that hold over twice their share, and those
+in which a shard ends, are subdivided by splitters of their own, all of a round from one sample, until each
+shard can end within ``TOLERANCE`` of its share or nothing more can be divided. Shards are unions of
 whole ranges; slots number each range on its own from the sum of those before
 it, so no shard is sorted in one task.
 
@@ -29,7 +29,9 @@ from .common import settle
 
 TOLERANCE = 1e-3
 WHOLE = 0.02
-SAMPLE, RANGES = 20_000, 512
+RANGES, RANGE = 512, 1_000_000
+#: Sampled keys for each range that is made.
+DRAWN = 40
 LOW = 24  # bits of the key that come from the id
 
 
@@ -52,53 +54,65 @@ def range_of(splitters: list[int]):
     return find
 
 
-def _sampled(rows: DataFrame, total: int, low: int | None, high: int | None, count: int, sample: int) -> list[int]:
-    """Quantiles of a size-weighted sample of at most about ``sample`` keys in [low, high)."""
-    inside = rows
-    if low is not None:
-        inside = inside.filter(F.col("key") >= F.lit(low))
-    if high is not None:
-        inside = inside.filter(F.col("key") < F.lit(high))
-    chance = F.col("size") * F.lit(sample / max(1, total))
-    draw = F.xxhash64("key", F.lit(88)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    # rows larger than one sampling step are drawn once for each step, up to the number of ranges
-    times = F.least(F.floor(chance + draw), F.lit(count)).cast("int")
-    keys = np.sort([r[0] for r in inside.filter(times > 0).select(F.explode(F.array_repeat("key", times)).alias("key")).collect()])
-    if not len(keys):
-        return []
-    at = keys[(np.arange(1, count) * len(keys)) // count]
-    whole, times = np.unique(at >> LOW << LOW, return_counts=True)
-    # where several quantiles fall on one text, its copies are divided; elsewhere ranges begin with a text
-    inner = at[np.isin(at >> LOW << LOW, whole[times > 1])]
-    return sorted({int(x) for x in (*whole, *inner)})
-
-
-def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE, tolerance: float = TOLERANCE) -> DataFrame:
+def _sampled(rows: DataFrame, splitters: list[int], held: list[tuple[int, int]], wanted: dict[int, int]) -> list[int]:
+    """New splitters for some ranges: ``wanted`` says into how many parts each is to be cut. One job samples all of them.
+
+    Keys are drawn with chances in proportion to size, about ``DRAWN`` for each part, so as many come to the driver as there are parts, times that.
+    """
+    rate = [DRAWN * wanted.get(k, 0) / max(1, size) for k, (size, _) in enumerate(held)]
+    most = max(wanted.values(), default=1)
+    at, rates = np.array(splitters, np.int64), np.array(rate)
+
+    @F.pandas_udf("double")
+    def chance(key: pd.Series) -> pd.Series:
+        return pd.Series(rates[np.searchsorted(at, key.to_numpy(), "right")])
+
+    draw = F.xxhash64("key", F.lit(88 + len(splitters))).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    # rows larger than one sampling step are drawn once for each step, up to the number of draws of a range
+    times = F.least(F.floor(F.col("size") * chance("key") + draw), F.lit(DRAWN * most)).cast("int")
+    drawn = rows.select("key", times.alias("times")).filter("times > 0").collect()
+    keys = np.repeat(np.array([r[0] for r in drawn], np.int64), [r[1] for r in drawn])
+    keys.sort()
+    out: set[int] = set()
+    edges = np.concatenate(([0], np.searchsorted(keys, at, "left"), [len(keys)]))
+    for k, parts in wanted.items():
+        mine = keys[edges[k] : edges[k + 1]]
+        if not len(mine):
+            continue
+        cuts = mine[(np.arange(1, parts) * len(mine)) // parts]
+        whole, count = np.unique(cuts >> LOW << LOW, return_counts=True)
+        # where several quantiles fall on one text, its copies are divided; elsewhere ranges begin with a text
+        inner = cuts[np.isin(cuts >> LOW << LOW, whole[count > 1])]
+        out |= {int(x) for x in (*whole, *inner)}
+    return sorted(out)
+
+
+def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per row of ``docs``: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``."""
     rows = settle(keyed(docs, id_col, text_col))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = total / n_shards
-    splitters = _sampled(rows, total, None, None, ranges, sample)
-    for _ in range(4):
-        held, cut = _held(rows, splitters), []
-        before = np.cumsum([0, *[b for b, _ in held]])
-        edges = [-(2**63), *splitters, 2**63 - 1]
-        for k, (size, _) in enumerate(held):
-            ends = np.floor(before[k + 1] / share) > np.floor(before[k] / share) if share else False
-            over = size > 2 * total / ranges
-            if size > tolerance * share and (ends or over) and edges[k + 1] - edges[k] > 2:
-                cut += _sampled(rows, size, edges[k] if k else None, edges[k + 1] if k < len(splitters) else None, 32, 2000)
-        new = sorted({*splitters, *cut})
+    splitters: list[int] = []
+    held = _held(rows, splitters)
+    (total, n), share = held[0], held[0][0] / n_shards
+    ranges = max(ranges, -(-n // RANGE))
+    wanted = {0: ranges}
+    while wanted:
+        new = sorted({*splitters, *_sampled(rows, splitters, held, wanted)})
         if len(new) == len(splitters):
             break
         splitters = new
-    held = _held(rows, splitters)
+        held, wanted = _held(rows, splitters), {}
+        before = np.cumsum([0, *[b for b, _ in held]])
+        edges = [-(2**63), *splitters, 2**63 - 1]
+        for k, (size, count) in enumerate(held):
+            ends = np.floor(before[k + 1] / share) > np.floor(before[k] / share) if share else False
+            if count > 1 and edges[k + 1] - edges[k] > 1 and ((ends and size > tolerance * share) or size > 2 * total / ranges):
+                wanted[k] = 32
     shard = _assign(held, splitters, n_shards)
     first = pd.Series([n for _, n in held]).groupby(shard).transform(lambda s: s.cumsum() - s).tolist() if held else []
     placed = rows.withColumn("range", range_of(splitters)("key"))
     known = docs.sparkSession.createDataFrame([(k, int(s), int(f)) for k, (s, f) in enumerate(zip(shard, first, strict=True))], "range int, shard int, first bigint")
     slot = F.row_number().over(Window.partitionBy("range").orderBy("key", "id", "size", "crc")) - 1
-    placed = placed.withColumn("at", slot).join(F.broadcast(known), "range")  # one row a range, a few thousand at most
+    placed = placed.withColumn("at", slot).join(F.broadcast(known), "range")  # one row a range, of at most about RANGE rows each
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

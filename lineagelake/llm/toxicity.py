@@ -30,53 +30,74 @@ GRAMS = (3, 4, 5, 6)
 BITS, WIDTH, WORDS = 20, 12, 3
 SAMPLE, SAMPLE_BYTES, ROW_BYTES = 1500, 6_000_000, 100_000
 EPOCHS, RATE = 30, 0.1
+#: Bytes whose n-grams are scored at once; a text of any length needs about thirty bytes for each of these, and few for its others.
+BLOCK = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes with one space before each row and at the end, and the places of the rows."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = np.full(len(data) + len(offsets), 32, np.uint8)
     low = _LOWER[data]
     low[_SPACE[data]] = 32
-    out[np.arange(len(data)) + rows + 1] = low
-    return out, offsets + np.arange(len(offsets))
+    return np.insert(low, offsets, 32), offsets + np.arange(len(offsets))
 
 
-class Grams:
-    """The segments of some texts and, for each n, the buckets of their n-grams in segment order."""
+class Segments:
+    """The segments of some texts: the row of each and where it begins. Their n-grams are made for a block of bytes at a time."""
 
     def __init__(self, values: pa.Array):
-        data, offsets = flat(values)
-        text, place = _spaced(data, offsets)
-        space = text == 32
+        self.text, place = _spaced(*flat(values))
+        space = self.text == 32
         start = np.flatnonzero(~space[1:] & space[:-1]) + 1
         row = np.searchsorted(place, start, "right") - 1
         nth = (np.arange(len(start)) - np.searchsorted(start, place[:-1])[row]) // WORDS
         new = np.ones(len(start), bool)
         new[1:] = (np.diff(row) != 0) | (np.diff(nth) != 0)
-        self.row, begin = row[new], start[new] - 1  # an n-gram belongs where its second byte is
+        self.row, self.begin = row[new], start[new] - 1  # an n-gram belongs where its second byte is
+
+    def grams(self, low: int, high: int):
+        """Places (from ``low``, in order) and buckets of the n-grams that begin in [low, high), for each n."""
+        text = self.text[low : high + max(GRAMS) - 1]
         spaces = np.zeros(len(text) + 1, np.int32)
-        np.cumsum(space, out=spaces[1:])
+        np.cumsum(text == 32, out=spaces[1:])
         h = np.zeros(len(text), np.uint64)
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, max(GRAMS) + 1):
             size = max(0, len(text) - n + 1)
             h = h[:size]
             h *= np.uint64(257)
             h += text[n - 1 :][:size]
             if n in GRAMS:  # white space only at the ends
+                size = min(size, high - low)
                 at = np.flatnonzero(spaces[n - 1 : n - 1 + size] == spaces[1 : 1 + size])
-                bounds = np.append(np.searchsorted(at, begin), len(at))
                 bucket = h[at]
-                del at
                 bucket += np.uint64(n)
                 bucket *= _PRIME
                 bucket >>= np.uint64(64 - BITS)
-                self.parts.append((bucket.astype(np.int32), bounds))
+                yield at, bucket.astype(np.int32)
 
     def means(self, of_bucket: np.ndarray) -> np.ndarray:
         """Per segment: the average of its n-grams' values."""
+        total, count = np.zeros(len(self.row)), np.zeros(len(self.row), np.int64)
+        for low in range(0, len(self.text), BLOCK):
+            a = max(0, int(np.searchsorted(self.begin, low, "right")) - 1)  # the segment that reaches into the block
+            b = int(np.searchsorted(self.begin, low + BLOCK))
+            for at, bucket in self.grams(low, low + BLOCK):
+                bounds = np.append(np.searchsorted(at, self.begin[a:b] - low), len(at))
+                sums = np.zeros(len(bucket) + 1)
+                np.cumsum(of_bucket[bucket], dtype=np.float64, out=sums[1:])
+                total[a:b] += sums[bounds[1:]] - sums[bounds[:-1]]
+                count[a:b] += np.diff(bounds)
+        return total / np.maximum(count, 1)
+
+
+class Grams(Segments):
+    """The segments of a bounded sample of texts and, for each n, the buckets of all their n-grams in segment order, as training reads them again and again."""
+
+    def __init__(self, values: pa.Array):
+        super().__init__(values)
+        self.parts = [(bucket, np.append(np.searchsorted(at, self.begin), len(at))) for at, bucket in self.grams(0, len(self.text))]
+
+    def means(self, of_bucket: np.ndarray) -> np.ndarray:
         total, count = np.zeros(len(self.row)), np.zeros(len(self.row), np.int64)
         for bucket, bounds in self.parts:
             sums = np.zeros(len(bucket) + 1)
@@ -181,14 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scores(values: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
     table, bias = model
     out = np.full(len(values), -np.inf)
-    grams = Grams(values)
-    np.maximum.at(out, grams.row, grams.means(table))
+    segments = Segments(values)
+    np.maximum.at(out, segments.row, segments.means(table))
     out = np.where(np.isfinite(out), out, 0) + bias
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (id only, or the columns ``keep``) with ``score``; narrow, no shuffle."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score: str = "score") -> DataFrame:
+    """``docs`` (id only, or the columns ``keep``) with a column ``score``; narrow, no shuffle."""
     keep = keep or [id_col]
     names = [f"c{k}" for k in range(len(keep))]
 
@@ -196,10 +217,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
         for batch in portions(batches, text=0):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores(batch.column(0), model))], names=[*names, "score"])
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    rows = docs.select(docs[text_col].alias("text"), *[docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)])
     out = rows.mapInArrow(run, ", ".join(f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)) + ", score double")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("score").alias(score))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

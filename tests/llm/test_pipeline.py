@@ -74,6 +74,40 @@ def test_stages_like_brute_force(spark):
     assert {r.doc_id: r.doc_tokens for r in packed} == {i: len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in texts.items()}
 
 
+CLASHES = ["score", "text_sha256", "_doc_id", "dropped_0", "text_before", "text_digest", "c0", "row", "spans", "owner", "repository", "id", "label"]
+
+
+def test_other_columns_stay(spark):
+    docs, _ = fixture(spark)
+    wide = docs
+    for c in CLASHES:
+        wide = wide.withColumn(c, docs["doc_id"] * 1000)
+    for name, stage in pipeline.STAGES[:-1]:
+        narrow = sorted(map(str, stage(spark, docs, SF).collect()))
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert sorted(str(r) for r in out.select(*docs.columns).collect()) == narrow, name
+        assert all(r[c] == (None if r.doc_id is None else r.doc_id * 1000) for r in rows for c in CLASHES), name
+    assert sorted(map(str, pipeline.pack(spark, wide, SF).drop("sequence_id", "offset").collect())) == sorted(map(str, pipeline.pack(spark, docs, SF).drop("sequence_id", "offset").collect()))
+
+
+def test_empty_tables_and_no_sources(spark):
+    docs, _ = fixture(spark)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    out = pipeline.redact_secrets(spark, docs.drop("source", "n_chars"), SF)
+    assert out.columns == ["doc_id", "text", "lang"] and out.count() == docs.count()
+    kept = {r.doc_id: r.n_chars for r in pipeline.redact_secrets(spark, docs, SF).collect()}
+    assert kept[900] == 1 and kept[903] == len("x [SECRET] [SECRET]") and kept[904] is None
+
+
+def test_repeats_of_ids(spark):
+    rows = [(1, "a b", None, "s", 1), (1, "A b", None, "s", 1), (2, "a b", None, "s", 1), (2, "a b", None, "s", 1), (None, "a b", None, "s", 1), (3, "", None, "s", 1), (4, None, None, "s", 1)]
+    out = pipeline.drop_copies(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(2, "a b"), (4, "")]
+
+
 def test_toxic_documents_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.01")

@@ -33,10 +33,31 @@ def test_counts(spark):
 
 
 def test_long_texts_in_parts(monkeypatch):
-    text = " ".join(f"wörd{i}, it's" for i in range(3000))
-    whole = fertility(text, quality.bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken"))
-    monkeypatch.setattr(quality, "LONG", 1000)
-    assert fertility(text, quality.bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")) == pytest.approx(whole)
+    path = quality.bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    for text in (" ".join(f"wörd{i}, it's" for i in range(3000)), "abcdefghij" * 300, "語" * 5000, "a1" * 4000, " " * 3000 + "x" * 3000 + "  \n" * 999, "-= " * 2000):
+        whole = fertility(text, path)
+        with monkeypatch.context() as m:
+            m.setattr(quality.bpe, "PART", 1000)
+            assert fertility(text, path) == pytest.approx(whole), text[:20]
+
+
+def test_bands_move_smoothly(spark):
+    """A language of 49 documents and one of 50 are judged alike, and so is the same table twice over."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(200)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    schema = "doc_id bigint, text string, lang string"
+    for n in (49, 50):
+        part = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows[:n], schema)).collect()}
+        more = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows[: n + 1], schema)).collect()}
+        assert sum(part[i] != more[i] for i in part) <= 1
+    once = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows, schema)).collect()}
+    twice = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows + [(i + 10_000, t, x) for i, t, x in rows], schema)).collect()}
+    assert all(twice[i] == k for i, k in once.items())
+
+
+def test_fallback_bytes():
+    path = quality.bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    assert fertility("plain words", path)[2] == 0 and fertility("\U0001f9ff\U0001f9ff", path)[2] > 0.5
 
 
 def test_verdicts(spark):

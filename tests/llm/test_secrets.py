@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from lineagelake.llm.secrets import described, redacted, scan
+from lineagelake.llm.secrets import COPIED as COPIED_BY
+from lineagelake.llm.secrets import WIDE, described, find, redacted, scan
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -45,10 +46,26 @@ def test_base_spans_and_verdicts(spark):
 
 def test_whole_table_like_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    repositories, owners = {}, {}
+    for i, r in rows.items():
+        for *_, value in find(r.text or ""):
+            repositories.setdefault(value, set()).add(i)
+            owners.setdefault(value, set()).add(r.source)
+    live = lambda v: len(owners[v]) < COPIED_BY and not (len(owners[v]) > 1 and len(repositories[v]) >= WIDE)
     for r in scan(docs).collect():
-        base = brute(texts[r.doc_id])
-        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] == base
+        text = rows[r.doc_id].text or ""
+        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] == brute(text)
+        want = [(a, k, b, len(repositories[v]), len(owners[v]), live(v)) for a, k, b, v in find(text) if k < 3 or live(v)]
+        assert [tuple(s) for s in r.spans] == want
+
+
+def test_repositories_are_distinct_documents(spark):
+    """Rows that repeat a document don't make it more widely copied; many repositories of two owners do."""
+    hot, own, twice = "token=abcdefgh1234", "token=zyxwvuts9876", "secret=only-one-place"
+    rows = [(i, hot, f"o{i % 2}") for i in range(WIDE)] + [(100 + i, own, "o1") for i in range(WIDE + 5)] + [(500, twice, "o1")] * 3 + [(None, twice, "o1")] * 2
+    found = {r.doc_id: r.spans[0] for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert tuple(found[0])[3:] == (WIDE, 2, False) and tuple(found[100])[3:] == (WIDE + 5, 1, True) and tuple(found[500])[3:] == (3, 1, True)
 
 
 def test_redacted(spark):
