@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share."""
-    context = df.sparkSession.sparkContext
+    """``df`` written to the checkpoint folder that all executors share.
+
+    That is the folder already set, else ``spark.checkpoint.dir``. Where neither is there, a folder in the warehouse is taken on a cluster, and a
+    temporary one only where driver and executors are one process.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4()}")
     return df.checkpoint()
