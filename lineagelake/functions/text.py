@@ -25,7 +25,8 @@ def canonical_key(key: Column) -> Column:
 
 
 def slug(heading: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(heading), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
+    """ASCII letters and digits of a heading, lower case, dashes between."""
+    return F.lower(F.trim(F.regexp_replace(heading, "[^A-Za-z0-9]+", "-"), F.lit("-")))
 
 
 def collapsed(text: Column) -> Column:
@@ -97,3 +98,72 @@ def normal_url(url: Column) -> Column:
 def repository(url: Column) -> Column:
     """Name of the repository in a git url: what follows the last slash or colon."""
     return F.regexp_extract(F.regexp_replace(F.regexp_replace(url, r"/+\z", ""), r"(\.git)+\z", ""), r"([^/:]*)\z", 1)
+
+
+# Endings and names that tell what a file is.
+CONFIG_ENDINGS = ("toml", "json", "yaml", "yml", "env")
+TOOLING_NAMES = ("cargo.toml", "cargo.lock", "rust-toolchain", "rust-toolchain.toml", "rustfmt.toml", ".rustfmt.toml", "clippy.toml", "deny.toml", "release-plz.toml", ".gitlab-ci.yml")
+PROSE_ENDINGS, AUDIO_ENDINGS, IMAGE_ENDINGS = ("md", "markdown", "txt", "rst", "adoc"), ("wav", "mp3", "flac"), ("png", "jpg", "jpeg")
+#: Fixed value: characters of captured content.
+CONTENT = 1500
+
+
+def _ending(path: Column) -> Column:
+    """Lower-case ending of the file's name as a path has it: a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(basename(path), r"^.+\.([^.]*)\z", 1))
+
+
+def config_path(path: Column) -> Column:
+    """Whether a file holds configuration, by its ending or as ``.env`` or ``.env.<x>``; nothing below ``.github`` does."""
+    name = F.lower(basename(path))
+    return ~((path == ".github") | path.startswith(".github/")) & (_ending(path).isin(*CONFIG_ENDINGS) | (name == ".env") | name.startswith(".env."))
+
+
+def tooling_path(path: Column) -> Column:
+    """Whether a configuration is that of tools: below ``.github`` or ``.config``, cargo's own in ``.cargo``, or of a known name anywhere."""
+    parts = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    name = F.lower(F.coalesce(F.try_element_at(parts, F.lit(-1)), path))
+    own = (F.try_element_at(parts, F.lit(-2)) == ".cargo") & name.isin("config", "config.toml")
+    return F.exists(parts, lambda s: s.isin(".github", ".config")) | F.coalesce(own, F.lit(False)) | name.isin(*TOOLING_NAMES)
+
+
+def path_kind(path: Column) -> Column:
+    """prose, audio, image, or null, by the ending."""
+    e = _ending(path)
+    return F.when(e.isin(*PROSE_ENDINGS), "prose").when(e.isin(*AUDIO_ENDINGS), "audio").when(e.isin(*IMAGE_ENDINGS), "image")
+
+
+def captured(text: Column) -> Column:
+    """Content as it is kept: white space collapsed, :data:`CONTENT` characters, trimmed."""
+    return F.trim(F.substring(collapsed(text), 1, CONTENT))
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the UTF-8 bytes."""
+    return F.floor(F.octet_length(text) / 4).cast("bigint")
+
+
+def snippet_hash(text: Column) -> Column:
+    """The first 16 hex digits of the SHA-256 of a snippet without the white space around it."""
+    return F.substring(F.sha2(F.regexp_replace(text, r"^\s+|\s+\z", ""), 256), 1, 16)
+
+
+def canonical_parts(parts: list[Column]) -> Column:
+    """Parts one after another, each after its length in bytes and a colon, so no part can pass for the end of another."""
+    return F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts])
+
+
+def json_field(json: Column, paths: list[str]) -> Column:
+    """The first of some JSON paths that has a value, as text."""
+    return F.coalesce(*[F.get_json_object(json, p) for p in paths])
+
+
+def without_code(text: Column) -> Column:
+    """Text without its code spans: what stands between two runs of as many backticks goes, with them."""
+    return F.regexp_replace(text, r"(?s)(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)", "")
+
+
+def wiki_links(text: Column) -> Column:
+    """What stands in ``[[...]]`` outside code spans, trimmed."""
+    found = F.regexp_extract_all(without_code(text), F.lit(r"\[\[(.*?)\]\]"), 1)
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")

@@ -56,3 +56,53 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     asked = points.join(one.select("path", "level").distinct(), "path").withColumn("block", block("at"))
     inside = asked.join(held, ["path", "level", "block"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     return inside.groupBy("id").agg(F.min_by("key", F.struct(n.alias("n"), "key")).alias("key"))
+
+
+def version_drift(docs: DataFrame, history: DataFrame, notes: DataFrame) -> DataFrame:
+    """Contradictions in documents' versions: ``path, rule, said, other``.
+
+    ``docs``: path, front and summary versions, modified date; ``history``: path, place, version, date; ``notes``: path, line, version. Versions are
+    structs of major and minor, so 1.10 follows 1.9. Rules: the front matter differs from the summary; a history row isn't above the one before it;
+    a note names a version that the history lacks; the front matter differs from the history's highest; the document was last modified before a
+    change that it lists. The last three need a history.
+    """
+    told = lambda v: F.concat_ws(".", v["major"].cast("string"), v["minor"].cast("string"))
+    row = lambda df, rule, said, other: df.select("path", F.lit(rule).alias("rule"), said.cast("string").alias("said"), other.cast("string").alias("other"))
+    summary = row(docs.filter("front is not null and summary is not null and front <> summary"), "summary", told(F.col("front")), told(F.col("summary")))
+    before = F.lag("version").over(Window.partitionBy("path").orderBy("place"))
+    order = row(history.withColumn("before", before).filter("before is not null and version <= before"), "order", told(F.col("version")), told(F.col("before")))
+    known = history.select("path", "version").distinct()
+    with_history = history.groupBy("path").agg(F.max("version").alias("highest"), F.max("date").alias("newest"))
+    note = row(notes.join(with_history, "path").join(known, ["path", "version"], "left_anti"), "note", told(F.col("version")), F.col("line"))
+    both = docs.join(with_history, "path")
+    behind = row(both.filter("front is not null and front <> highest"), "history", told(F.col("front")), told(F.col("highest")))
+    late = row(both.filter("modified < newest"), "modified", F.col("modified"), F.col("newest"))
+    return summary.unionByName(order).unionByName(note).unionByName(behind).unionByName(late)
+
+
+#: The kinds of violations.
+VIOLATIONS = ("malformed-adr", "broken-link", "unknown-adr", "inactive-adr", "duplicate-adr-id", "adr-version-drift", "malformed-site-page", "duplicate-site-slug", "unjustified-allow")
+
+
+def violations(**frames: DataFrame) -> DataFrame:
+    """``kind, path, what`` of frames (path, what) under the names of :data:`VIOLATIONS`, dashes as underscores."""
+    out = None
+    for name, df in frames.items():
+        kind = name.replace("_", "-")
+        if kind not in VIOLATIONS:
+            raise ValueError(f"no kind of violation: {kind}")
+        one = df.select(F.lit(kind).alias("kind"), "path", F.col("what").cast("string").alias("what"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def enclosing(spans: DataFrame) -> DataFrame:
+    """For each definition (key, path, start, end) the smallest other one of its path that holds it and is larger, ties by key: ``key, parent``."""
+    begin = spans.select(F.col("key").alias("id"), "path", F.col("start").alias("at"), F.col("end").alias("upto"))
+    level = F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0)
+    block = lambda place: F.expr(f"shiftright(cast({place} as bigint), cast(level as int))")
+    one = spans.withColumn("n", F.col("end") - F.col("start")).filter("n > 0").withColumn("level", level)
+    held = one.withColumn("block", F.explode(F.array_distinct(F.array(block("start"), block("end - 1")))))
+    asked = begin.join(one.select("path", "level").distinct(), "path").withColumn("block", block("at"))
+    inside = asked.join(held, ["path", "level", "block"]).filter((F.col("start") <= F.col("at")) & (F.col("end") >= F.col("upto")) & (F.col("n") > F.col("upto") - F.col("at")))
+    return inside.groupBy(F.col("id").alias("key")).agg(F.min_by("key", F.struct("n", "key")).alias("parent"))

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import image_reference, slug
+from ..functions import yaml
+from ..functions.text import REDACTED, image_reference, slug
 from ..plans.lineage import settle
 
 
@@ -30,37 +31,85 @@ def json_keys(rows: DataFrame, ident: str, column: str) -> DataFrame:
         left = settle(deep.select("file", F.when(F.col("outer") == "", F.col("inner")).otherwise(F.concat_ws(".", "outer", "inner")).alias("key"), "value"))
 
 
+#: Where a workload's pod is, by kind.
+_PODS = {"Pod": ("spec",), **dict.fromkeys(("Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job"), ("spec", "template", "spec")), "CronJob": ("spec", "jobTemplate", "spec", "template", "spec")}
+
+
+def _resource(doc: dict) -> dict:
+    """Settings of a Kubernetes resource: a ConfigMap's data, a Secret's with their values redacted, images and literal variables of a workload's containers."""
+    out: dict = {}
+    kind = doc["kind"]
+    if kind in ("ConfigMap", "Secret"):
+        for field in ("data", "stringData")[: 1 + (kind == "Secret")]:
+            data = doc.get(field)
+            for k, v in data.items() if isinstance(data, dict) else ():
+                if kind == "Secret" or isinstance(v, str):
+                    out[k] = REDACTED if kind == "Secret" else v
+        return out
+    pod = doc
+    for step in _PODS.get(kind, ("",)):
+        pod = pod.get(step) if isinstance(pod, dict) else None
+    for c in [c for f in ("containers", "initContainers") for c in ((pod or {}).get(f) or []) if isinstance(c, dict)] if isinstance(pod, dict) else ():
+        if isinstance(c.get("image"), str):
+            out[f"container.{c.get('name', 'container')}.image"] = c["image"]
+        for e in c.get("env") or []:
+            if isinstance(e, dict) and isinstance(e.get("name"), str) and isinstance(e.get("value"), str):
+                out[e["name"]] = e["value"]
+    return out
+
+
 def config_keys(files: DataFrame) -> DataFrame:
-    """``path, key, value`` of TOML, JSON and ``.env`` contents; the last value of a key wins."""
+    """``path, key, value`` of TOML, JSON, YAML and ``.env`` contents; keys dotted, the last value of a key wins, arrays are one value each.
+
+    Of Kubernetes resources only what a deployment sets is taken. A file that can't be read has no keys. Values of keys that are named like secrets are redacted by
+    :func:`..functions.text.redacted`.
+    """
+
+    def shown(value, gap: str) -> str | None:
+        import json
 
-    def flatten(prefix: str, value, out: dict) -> None:
+        return None if value is None else value if isinstance(value, str) else json.dumps(value, separators=(gap, ":"), ensure_ascii=False, default=str)
+
+    def flatten(prefix: str, value, out: dict, gap: str) -> None:
         if isinstance(value, dict):
             for k, v in value.items():
-                flatten(f"{prefix}.{k}" if prefix else str(k), v, out)
+                flatten(f"{prefix}.{k}" if prefix else str(k), v, out, gap)
+        elif gap == "yaml" and isinstance(value, list):
+            out[prefix] = f"[{', '.join(value)}]" if all(isinstance(v, str) for v in value) else f"[<{len(value)} items>]"
         else:
-            out[prefix] = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+            out[prefix] = shown(value, gap)
 
-    def read(batches):
+    def keys(path: str, content: str) -> dict:
         import json
         import tomllib
 
+        out: dict = {}
+        ending = path.rpartition("/")[2].rpartition(".")[2].lower()
+        if ending == "toml":
+            flatten("", tomllib.loads(content), out, ", ")
+        elif ending == "json":
+            flatten("", json.loads(content or "{}"), out, ",")
+        elif ending in ("yaml", "yml"):
+            for doc in yaml.documents(content):
+                if isinstance(doc, dict) and "apiVersion" in doc and isinstance(doc.get("kind"), str):
+                    out |= _resource(doc)
+                else:
+                    flatten("", doc, out, "yaml")
+        else:
+            for line in map(str.strip, content.splitlines()):
+                name, eq, value = line.removeprefix("export ").partition("=")
+                if eq and name.strip() and not line.startswith("#"):
+                    out[name.strip()] = value.strip().strip('"').strip("'")
+        return out
+
+    def read(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                out: dict = {}
                 try:
-                    if path.endswith(".toml"):
-                        flatten("", tomllib.loads(content or ""), out)
-                    elif path.endswith(".json"):
-                        flatten("", json.loads(content or "{}"), out)
-                    else:
-                        for line in (content or "").splitlines():
-                            name, eq, value = line.removeprefix("export ").partition("=")
-                            if eq and name.strip() and not name.lstrip().startswith("#"):
-                                out[name.strip()] = value.strip().strip("\"'")
-                except ValueError:
-                    continue  # a file that can't be parsed has no keys
-                rows += [(path, k, v) for k, v in out.items() if k]
+                    rows += [(path, k, v) for k, v in keys(path, content or "").items() if k]
+                except (ValueError, RecursionError):
+                    continue  # a file that can't be read has no keys
             yield pd.DataFrame(rows, columns=["path", "key", "value"])
 
     return files.select("path", "content").mapInPandas(read, "path string, key string, value string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..sources.graph import valid
 
 
@@ -72,29 +73,58 @@ def corroborated(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def correspondences(findings: DataFrame) -> DataFrame:
-    """``row, group`` of findings that share an identifier within (package, version), transitively.
+    """``row, group`` of findings that share an identifier within (package, version), transitively; the group is named by its least row.
 
-    Groups are small: an advisory has a few identifiers; those of a package and version go to one task.
+    Rows and identifiers are the two sides of a graph whose components are the groups, so a package that holds a third of all rows is no single task's work.
     """
-    import pandas as pd
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}
-
-        def root(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for row, ids in zip(pdf["row"], pdf["ids"], strict=True):
-            for i in ids if ids is not None else ():
-                a, b = root(("row", row)), root(("id", i))
-                up[max(a, b, key=str)] = min(a, b, key=str)
-        groups: dict = {}
-        for row in pdf["row"]:
-            groups.setdefault(root(("row", row)), []).append(row)
-        first = {row: min(rows) for rows in groups.values() for row in rows}
-        return pd.DataFrame({"row": pdf["row"], "group": [first[r] for r in pdf["row"]]})
-
-    return findings.select("package", "version", "row", "ids").groupBy("package", "version").applyInPandas(unite, "row bigint, group bigint")
+    named = F.concat_ws("\x1f", F.lit("i"), F.col("package").cast("string"), F.col("version").cast("string"), F.col("i"))
+    told = findings.select("row", "package", "version", F.explode("ids").alias("i")).filter("i is not null")
+    links = told.select(F.concat(F.lit("r"), F.lpad(F.col("row").cast("string"), 20, "0")).alias("u"), named.alias("v"), "row")
+    of = components(links.select("u", "v"))
+    labelled = links.select("u", "row").distinct().join(of, F.col("u") == F.col("node")).select("row", "label")
+    groups = labelled.groupBy("label").agg(F.min("row").alias("group"))
+    found = labelled.join(groups, "label").select("row", "group").distinct()
+    return findings.select("row").distinct().join(found, "row", "left").select("row", F.coalesce("group", "row").alias("group"))
+
+
+def apply_facts(nodes: DataFrame, edges: DataFrame, facts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after a set of facts: its nodes replace those of their keys, and its valid edges are added where there is none of their (src, dst, kind, provenance).
+
+    ``facts`` and ``links`` carry ``seq``; of nodes the last, of edges the first counts. Edges whose ends are missing then are an error of the
+    caller, told by :func:`dangling`.
+    """
+    fresh = upsert(facts, ["key"], "seq").select(*nodes.columns)
+    quad = ["src", "dst", "kind", "provenance"]
+    new = insert_edges(links, "seq").select(*edges.columns)
+    return nodes.join(fresh.select("key"), "key", "left_anti").select(*nodes.columns).unionByName(fresh), edges.unionByName(new.join(edges.select(*quad), quad, "left_anti").select(*edges.columns))
+
+
+def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end that is no node."""
+    keys = nodes.select("key")
+    there = edges.join(keys, edges["src"] == keys["key"], "left_semi").join(keys, edges["dst"] == keys["key"], "left_semi")
+    return edges.join(there.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(*edges.columns)
+
+
+def reapply_imports(nodes: DataFrame, edges: DataFrame, layer_nodes: DataFrame, layer_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph with all import layers applied again, and one row: layers, nodes, edges applied and pruned.
+
+    All layers' nodes come first, so layers may refer to each other; of a key in several layers that of the last ``src_ref`` counts. A node tagged
+    ``derived`` becomes ``authored``, as no layer derives. Edges whose ends are missing are pruned.
+    """
+    told = F.when(F.col("provenance") == "derived", "authored").otherwise(F.col("provenance"))
+    fresh = upsert(layer_nodes.withColumn("provenance", told), ["key"], "src_ref").select(*nodes.columns)
+    every = nodes.join(fresh.select("key"), "key", "left_anti").select(*nodes.columns).unionByName(fresh)
+    keys = every.select("key")
+    kept = layer_edges.join(keys, layer_edges["src"] == keys["key"], "left_semi").join(keys, layer_edges["dst"] == keys["key"], "left_semi")
+    refs = layer_nodes.select("src_ref").unionByName(layer_edges.select("src_ref")).agg(F.countDistinct("src_ref").alias("layers"))
+    counts = refs.crossJoin(layer_nodes.agg(F.count("*").alias("nodes"))).crossJoin(layer_edges.agg(F.count("*").alias("all"))).crossJoin(kept.agg(F.count("*").alias("applied")))  # one row each
+    return every, edges.unionByName(kept.select(*edges.columns)), counts.select("layers", "nodes", "applied", (F.col("all") - F.col("applied")).alias("pruned"))
+
+
+def across_analyzers(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Correspondences with any number of analyzers, those that most confirm first; none unless two analyzers occur at all."""
+    preferred = F.min(F.when(F.col("rule").startswith("RUSTSEC-"), F.col("rule")))
+    out = findings.groupBy(*by).agg(F.countDistinct("analyzer").alias("confirmed_by"), F.array_sort(F.collect_set("rule")).alias("aliases"), F.coalesce(preferred, F.min("rule")).alias("canonical"))
+    several = findings.agg((F.countDistinct("analyzer") >= 2).alias("several"))
+    return out.crossJoin(F.broadcast(several)).filter("several").drop("several").orderBy(F.desc("confirmed_by"), *by)  # one row

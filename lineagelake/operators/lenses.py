@@ -19,10 +19,10 @@ def window(df: DataFrame, order: list[Column], limit: int = 0, offset: int = 0)
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    """Both ends of every edge: ``key, other, kind, provenance, confidence, direction``."""
-    rest = ["kind", "provenance", "confidence"]
-    out = edges.select(F.col("src").alias("key"), F.col("dst").alias("other"), *rest, F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(F.col("dst").alias("key"), F.col("src").alias("other"), *rest, F.lit("in").alias("direction")))
+    """Both ends of every edge: ``key, other, kind, provenance, confidence, direction``. The edges are read once."""
+    end = lambda a, b, direction: F.struct(F.col(a).alias("key"), F.col(b).alias("other"), F.lit(direction).alias("direction"))
+    both = edges.select("kind", "provenance", "confidence", F.explode(F.array(end("src", "dst", "out"), end("dst", "src", "in"))).alias("e"))
+    return both.select("e.key", "e.other", "kind", "provenance", "confidence", "e.direction")
 
 
 def listing(nodes: DataFrame, kinds: list[str], needle: str = "", provenance: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -71,15 +71,21 @@ def coupling_order(by: str = "total") -> list[Column]:
     return [F.desc(by), F.asc("key")]
 
 
+def counted(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``what, kind, n``: rows of each frame by a column of it, in one listing."""
+    out = [df.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n") for what, (df, kind) in frames.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edge ends per node over all kinds, self loops twice, nodes without edges 0."""
-    ends = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("key"))
     return nodes.select("key", "kind").join(ends.groupBy("key").agg(F.count("*").alias("degree")), "key", "left").fillna(0, ["degree"])
 
 
 def neighbours(edges: DataFrame, keys: list[str], direction: str = "both") -> DataFrame:
     """Keys one edge away from some keys."""
-    ends = endpoints(edges).filter(F.col("key").isin(*keys))
+    ends = endpoints(edges.filter(F.col("src").isin(*keys) | F.col("dst").isin(*keys))).filter(F.col("key").isin(*keys))
     if direction != "both":
         ends = ends.filter(F.col("direction") == direction)
     return ends.select(F.col("other").alias("key")).distinct()
@@ -173,7 +179,7 @@ MARKER_TEXT = 200
 def marker_items(found: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
     """Markers by path, line and key, of some categories or all."""
     found = found.filter(F.col("category").isin(*categories)) if categories else found
-    return found.select(F.concat(F.lit("marker:"), "path", F.lit("#"), F.col("line").cast("string")).alias("key"), F.coalesce("category", F.lit("other")).alias("category"), "text", "path", "line").orderBy("path", "line", "key")
+    return found.select(F.concat(F.lit("marker:"), "path", F.lit("#"), F.col("line").cast("string")).alias("key"), F.coalesce("category", F.lit("other")).alias("category"), "text", "path", "line").orderBy(F.asc_nulls_first("path"), F.asc_nulls_first("line"), "key")
 
 
 def marker_inventory(found: DataFrame) -> DataFrame:

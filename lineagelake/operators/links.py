@@ -75,9 +75,11 @@ def hub_by_references(refs: DataFrame, projects: DataFrame) -> DataFrame:
     return counts.agg(F.max_by("target", F.struct("n", "target")).alias("hub"))
 
 
-def hub_by_keys(keys: DataFrame) -> DataFrame:
-    """The project with most keys, ties to the smallest name; none unless two projects have keys."""
+def hub_by_keys(keys: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """The project with most keys, ties to the smallest name; none unless two projects have keys, nor where there are external references at all."""
     counts = keys.groupBy("project").agg(F.count("*").alias("n"))
+    if refs is not None:
+        counts = counts.crossJoin(F.broadcast(refs.agg(F.count("*").alias("refs")))).filter("refs = 0")  # one row
     return counts.agg(F.when(F.count("*") >= 2, F.min_by("project", F.struct((-F.col("n")).alias("n"), "project"))).alias("hub"))
 
 

@@ -102,3 +102,43 @@ def cache_state(log: DataFrame) -> DataFrame:
     gets = log.groupBy("key").agg(F.max("tick").alias("last_used"))
     hits = log.filter("op = 'get'").join(puts.select("key", "first_put"), "key").filter("tick > first_put").groupBy("key").agg(F.count("*").alias("hits"))
     return puts.join(gets, "key").join(hits, "key", "left").fillna(0, ["hits"]).select("key", "bytes", "hits", "last_used")
+
+
+#: Bytes of a scope and of a body at most.
+MAX_SCOPE, MAX_BODY = 128, 64 * 1024
+
+
+def write_fault(scope: Column, body: Column, confidence: Column) -> Column:
+    """Why a memory can't be recorded, or null: its scope, its body or its confidence."""
+    scoped = (F.octet_length(scope) > 0) & (F.octet_length(scope) <= MAX_SCOPE) & ~scope.rlike(r"^\s|\s\z|\p{Cntrl}")
+    said = ~body.rlike(r"^\s*\z") & (F.octet_length(body) <= MAX_BODY)
+    sure = confidence.isNull() | (confidence.between(0, 1) & ~F.isnan(confidence))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(~ok(scoped), "scope").when(~ok(said), "body").when(~ok(sure), "confidence")
+
+
+def recorded(memory: DataFrame, writes: DataFrame, nodes: DataFrame, tree: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``memory`` after ``writes`` (id, scope, kind, anchor_key, body, confidence, supersedes), and the writes with their ``fault``.
+
+    A write with a fault changes nothing: its own, ``not_found`` for a memory to supersede that isn't there, ``superseded`` for one that already is or
+    that an earlier write supersedes. Blob and path of the anchor come from the graph, null where it names no node.
+    """
+    old = memory.select(F.col("id").alias("supersedes"), F.col("superseded_by").alias("by"), F.lit(True).alias("there"))
+    own = write_fault(F.col("scope"), F.col("body"), F.col("confidence"))
+    told = writes.withColumn("own", own).join(old, "supersedes", "left")
+    first = told.filter("own is null and supersedes is not null").groupBy("supersedes").agg(F.min("id").alias("first"))
+    told = told.join(first, "supersedes", "left")
+    late = F.col("by").isNotNull() | (F.col("first") != F.col("id"))
+    fault = F.coalesce("own", F.when(F.col("supersedes").isNotNull() & F.col("there").isNull(), "not_found").when(F.col("supersedes").isNotNull() & late, "superseded"))
+    told = told.select(*writes.columns, fault.alias("fault"))
+    good = told.filter("fault is null")
+    anchors = nodes.select(F.col("key").alias("anchor_key"), F.col("blob_hash").alias("anchor_blob"), F.col("path").alias("anchor_path"))
+    fresh = good.join(anchors, "anchor_key", "left").withColumn("tree", F.lit(tree).cast("string")).withColumn("superseded_by", F.lit(None).cast(memory.schema["superseded_by"].dataType))
+    over = good.filter("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("now"))
+    kept = memory.join(over, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "now")).select(*memory.columns)
+    return kept.unionByName(fresh.select(*memory.columns)), told
+
+
+def cached(cache: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cache entries (key, anchor_key, anchor_blob) with the ``state`` of their anchor and whether it ``applies``."""
+    return resolved(cache, nodes).withColumn("applies", applies(F.col("state")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layers import severity_rank
@@ -159,3 +159,40 @@ def coverage(adapters: DataFrame, assets: DataFrame, programs: DataFrame) -> Dat
     out = adapters.join(count, "asset", "left").join(programs.select("program", F.lit(True).alias("there")), "program", "left").fillna(0, ["assets"])
     there = F.coalesce("there", F.lit(False))
     return out.select("adapter", "assets", there.alias("there"), ((F.col("assets") > 0) & there).alias("ready"))
+
+
+#: Findings of a report at most, its schema, and the pattern of an analyzer's id.
+MAX_FINDINGS, SCHEMA, ANALYZER = 100_000, "findings-report/v1", r"[a-z0-9._-]{1,64}"
+_REPORT = (
+    "schema string, analyzer string, analyzer_version string, started_at string, ended_at string, "
+    "findings array<struct<rule:string,severity:string,title:string,path:string,span:struct<start:bigint,end:bigint>,identity:array<string>>>"
+)
+
+
+def normalised(reports: DataFrame, ident: str = "report") -> DataFrame:
+    """Reports in the normalised shape from JSON in column ``json``: the id and the parsed fields, all null where it can't be read."""
+    return reports.select(ident, F.from_json("json", _REPORT).alias("r")).select(ident, "r.*")
+
+
+def report_faults(reports: DataFrame, requested: str, ident: str = "report") -> DataFrame:
+    """Each report's first fault, or null: its schema, its analyzer's id or that another was asked for, empty fields, too many findings."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    fault = F.when(~F.col("schema").eqNullSafe(F.lit(SCHEMA)), "schema").when(~F.coalesce(F.col("analyzer").rlike(rf"^{ANALYZER}\z"), F.lit(False)), "analyzer_id").when(F.col("analyzer") != requested, "analyzer_mismatch")
+    for c in ("analyzer_version", "started_at", "ended_at"):
+        fault = fault.when(blank(F.col(c)), c)
+    return reports.select(ident, fault.when(F.size("findings") > MAX_FINDINGS, "too_many").alias("fault"))
+
+
+def report_findings(reports: DataFrame, ident: str = "report") -> DataFrame:
+    """Findings of normalised reports with their rendered ``key`` and first ``fault``, or null: rule, title, path, span, identity or a key that occurs before in its report."""
+    rows = reports.select(ident, "analyzer", F.posexplode("findings").alias("place", "f")).select(ident, "analyzer", "place", "f.*")
+    each = F.transform("identity", lambda p: F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")))
+    key = F.concat(F.lit("finding:"), "analyzer", F.lit(":"), F.array_join(each, ":"))
+    first = F.min("place").over(Window.partitionBy(ident, "key"))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    unnamed = (F.coalesce(F.size("identity"), F.lit(0)) <= 0) | F.exists("identity", lambda p: F.trim(p) == "")
+    fault = (
+        F.when(blank("rule"), "rule").when(blank("title"), "title").when(F.col("path").isNotNull() & ~safe_path(F.col("path")), "path").when(F.col("span.end") < F.col("span.start"), "span")
+        .when(unnamed, "identity").when(F.col("place") > first, "duplicate")
+    )
+    return rows.withColumn("key", key).withColumn("fault", fault)

@@ -86,3 +86,64 @@ def budget_fit(parts: DataFrame, by: list[str], cap: int) -> DataFrame:
         return F.struct(F.when(fits, s["used"] + p["tokens"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["kept"], F.array(p["part"]))).otherwise(s["kept"]).alias("kept"))
 
     return parts.groupBy(*by).agg(F.aggregate(ordered, start, step).alias("r")).select(*by, F.col("r.used").alias("used"), F.array_join("r.kept", ",").alias("kept"))
+
+
+def class_scores(rows: DataFrame, matched: DataFrame, findings: DataFrame, classes: DataFrame) -> DataFrame:
+    """:func:`class_recall` with the found rows whose finding (id, class) names another class; a finding without a class is none of those."""
+    names = findings.groupBy(F.col("id").alias("finding")).agg(F.min("class").alias("said"))
+    said = matched.select("row", "finding").join(names, "finding", "left")
+    told = rows.filter("verdict = 'real'").select(F.col("id").alias("row"), "class").join(said, "row")
+    wrong = told.filter(F.col("said") != F.col("class")).groupBy("class").agg(F.count("*").alias("misclassified"))
+    return class_recall(rows, matched, classes).join(wrong, "class", "left").fillna(0, ["misclassified"])
+
+
+def score(rows: DataFrame, matched: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: real and false rows, how many of each were matched, findings that match none, and precision over what the corpus judges (null if that is nothing)."""
+    told = rows.select(F.col("id").alias("row"), "verdict").join(matched.select("row", F.lit(True).alias("hit")).distinct(), "row", "left")
+    is_ = lambda v: F.col("verdict") == v
+    sums = told.agg(F.count_if(is_("real")).alias("real"), F.count_if(is_("false")).alias("known_false"), F.count_if(is_("real") & F.col("hit")).alias("found"), F.count_if(is_("false") & F.col("hit")).alias("known_false_reproduced"))
+    left = findings.agg(F.count("*").alias("findings")).crossJoin(matched.agg(F.count("*").alias("matches")))  # one row each
+    out = sums.crossJoin(left).withColumn("unadjudicated", F.col("findings") - F.col("matches")).drop("findings", "matches")
+    return out.withColumn("corpus_precision", F.try_divide("found", F.col("found") + F.col("known_false_reproduced")))
+
+
+def preconditions(attempted: DataFrame, findings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``error, sha`` of what forbids a score: no commit attempted, attempted or found ones that the corpus lacks, and findings of commits that were not attempted."""
+    known, tried = corpus.select("sha").distinct(), attempted.select("sha").distinct()
+    shas = findings.select("sha").distinct()
+    none = tried.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("nothing_attempted").alias("error"), F.lit(None).cast("string").alias("sha"))
+    unknown = tried.unionByName(shas).distinct().join(known, "sha", "left_anti").select(F.lit("unknown_sha").alias("error"), "sha")
+    undeclared = shas.join(known, "sha", "left_semi").join(tried, "sha", "left_anti").select(F.lit("undeclared_sha").alias("error"), "sha")
+    return none.unionByName(unknown).unionByName(undeclared)
+
+
+def jobs_covering(sites: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per claim site the distinct jobs, green or not, whose platform, features, test targets and toolchain match or are open; sites without any are left out."""
+    axes = [a for a in ("platform", "features", "targets", "toolchain") if a in sites.columns and a in runs.columns]
+    profiles = runs.select("sha", *[F.col(a).alias(f"_{a}") for a in axes], "job").distinct()
+    fits = [F.col(a).isNull() | F.col(f"_{a}").isNull() | (F.col(a) == F.col(f"_{a}")) for a in axes]
+    joined = sites.join(profiles, "sha")
+    for f in fits:
+        joined = joined.filter(f)
+    return joined.groupBy("site").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
+
+
+#: Tokens of context at most, in all and for each token of a diff.
+CONTEXT, CONTEXT_BY_DIFF = 4000, 2
+
+
+def context_cap(diff_tokens: Column) -> Column:
+    return F.least(F.lit(CONTEXT), diff_tokens * CONTEXT_BY_DIFF)
+
+
+def context_fit(items: DataFrame) -> DataFrame:
+    """Per file the items (file, place, part, tokens, diff_tokens) in order that fit the cap of its diff, each whole, and how many were dropped; later smaller ones may fit."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "part", "tokens")))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("kept"))
+    per = items.groupBy("file").agg(ordered.alias("items"), context_cap(F.max("diff_tokens")).cast("bigint").alias("cap"))
+
+    def step(s, p):
+        fits = s["used"] + p["tokens"] <= F.col("cap")
+        return F.struct(F.when(fits, s["used"] + p["tokens"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["kept"], F.array(p["part"]))).otherwise(s["kept"]).alias("kept"))
+
+    return per.withColumn("r", F.aggregate("items", start, step)).select("file", "cap", F.col("r.used").alias("used"), F.col("r.kept").alias("kept"), (F.size("items") - F.size("r.kept")).alias("dropped"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DIMENSIONS, features, fnv1a
+from ..functions.text import stem
 
 
 def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,3 +77,26 @@ def not_connected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (src, dst) without an edge in either direction."""
     known = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.join(known, (F.least(pairs["src"], pairs["dst"]) == known["a"]) & (F.greatest(pairs["src"], pairs["dst"]) == known["b"]), "left_anti")
+
+
+def node_text(name: Column, path: Column, content: Column) -> Column:
+    """What of a node is embedded: its name, its file's stem and its content."""
+    return F.concat_ws(" ", name, stem(path), content)
+
+
+def embedded(docs: DataFrame, key: str, text: str, embed=hashed) -> DataFrame:
+    """``id, vector`` of texts by an embedder: a function of (docs, key, text) that returns ``key, bucket, weight``. Texts without a weight have no vector."""
+    sparse = embed(docs, key, text).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    return sparse.select(F.col("key").alias("id"), F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0))).alias("vector"))
+
+
+def top_and_total(rows: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, DataFrame]:
+    """The best ``limit`` rows, and one row with the number of all; a limit of 0 gives no rows, but the number."""
+    return (rows.orderBy(*order).limit(limit) if limit else rows.filter("false")), rows.agg(F.count("*").alias("total"))
+
+
+def near_duplicates(vectors: DataFrame, asked: DataFrame, least: float = 0.9, k: int = 50) -> DataFrame:
+    """Pairs (a, b, similarity) of the asked for vectors with any others, at ``least`` or more, each pair once, the best ``k`` of each asked for one."""
+    found = neighbours_of(asked, vectors, k, least)
+    return found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "similarity").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_url, repository
 from .layers import tree_diff
+from .lenses import endpoints
 
 
 def to_extract(blobs: DataFrame, cached: DataFrame) -> DataFrame:
@@ -48,15 +49,60 @@ def swept(keys: DataFrame, current: int, recent: int) -> DataFrame:
 
 
 def reviewed(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per changed path: its symbols, their distinct callers and callees, and documents that govern them."""
-    own = nodes.join(changes.select("path"), "path", "left_semi").select("key", "path")
+    """Per changed path: its symbols (no file or marker), their distinct callers and callees, documents that govern them, and what is related."""
+    own = nodes.filter("kind not in ('file', 'marker')").join(changes.select("path"), "path", "left_semi").select("key", "path")
     calls = edges.filter("kind = 'calls'")
     outs = calls.join(own, calls["src"] == own["key"]).select("path", F.col("dst").alias("o"), F.lit("callee").alias("what"))
     ins = calls.join(own, calls["dst"] == own["key"]).select("path", F.col("src").alias("o"), F.lit("caller").alias("what"))
     laws = edges.filter("provenance = 'authored'").join(own, edges["dst"] == own["key"]).select("path", F.col("src").alias("o"), F.lit("law").alias("what"))
-    ends = outs.unionByName(ins).unionByName(laws).groupBy("path").agg(*[F.countDistinct(F.when(F.col("what") == w, F.col("o"))).alias(n) for w, n in (("caller", "callers"), ("callee", "callees"), ("law", "governed_by"))])
+    alike = edges.filter("kind = 'related'")
+    near = [alike.join(own, alike[a] == own["key"]).select("path", F.col(b).alias("o"), F.lit("related").alias("what")) for a, b in (("src", "dst"), ("dst", "src"))]
+    names = (("caller", "callers"), ("callee", "callees"), ("law", "governed_by"), ("related", "related"))
+    ends = outs.unionByName(ins).unionByName(laws).unionByName(near[0]).unionByName(near[1]).distinct()
+    ends = ends.groupBy("path").agg(*[F.count_if(F.col("what") == w).alias(n) for w, n in names])
     symbols = own.groupBy("path").agg(F.count("*").alias("symbols"))
-    return symbols.join(ends, "path", "left").fillna(0, ["callers", "callees", "governed_by"])
+    return symbols.join(ends, "path", "left").fillna(0, [n for _, n in names])
+
+
+def decided(state: dict | None, tree: str, env: str, worktree: str) -> str:
+    """What a committed sync has to do, from the state of the last one (tree, env, worktree): nothing, the changes, or all."""
+    if not state or state.get("env") != env or state.get("worktree") != worktree:
+        return "full"
+    return "none" if state.get("tree") == tree else "incremental"
+
+
+def overlaid(tree: DataFrame, dirty: DataFrame) -> DataFrame:
+    """A listing (path, blob) with uncommitted changes over it: ``dirty`` has the blob of each changed path, null where it is deleted."""
+    return tree.join(dirty.select("path"), "path", "left_anti").unionByName(dirty.filter("blob is not null").select("path", "blob"))
+
+
+def changed_files(base: DataFrame, head: DataFrame, dirty: DataFrame | None = None) -> DataFrame:
+    """Changes from a base to a head, or with ``dirty`` to the working tree over it."""
+    return tree_diff(base, head if dirty is None else overlaid(head, dirty))
+
+
+def submodules(files: DataFrame, links: DataFrame) -> DataFrame:
+    """``path, url, sha`` of submodules: sections of ``.gitmodules`` contents with the commits of the tree's links (path, sha), either side alone too."""
+    section = F.explode(F.split("content", r"(?m)^\s*(?=\[)"))
+    parts = files.select(section.alias("s")).filter(F.col("s").startswith("[submodule"))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("s", rf"(?m)^\s*{name}\s*=(.*)$", 1)), F.lit(""))
+    told = parts.select(field("path").alias("path"), field("url").alias("url")).filter("path is not null and url is not null").dropDuplicates(["path"])
+    return told.join(links.select("path", "sha"), "path", "full_outer")
+
+
+def impact(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``key, name, kind`` of nodes one edge from the symbols of changed paths that still exist, but for what lies in a changed path itself."""
+    own = nodes.filter("kind not in ('file', 'marker')").join(changes.filter("status <> 'deleted'").select("path"), "path", "left_semi").select("key")
+    near = endpoints(edges).join(own, "key", "left_semi").select(F.col("other").alias("key")).distinct()
+    return nodes.join(near, "key", "left_semi").join(changes.select("path"), "path", "left_anti").select("key", "name", "kind")
+
+
+def touched(violations: DataFrame, changes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Violations (kind, path, what) of a changed path, or whose subject is a node in one."""
+    paths = changes.select("path").distinct()
+    subject = nodes.join(paths, "path", "left_semi").select(F.col("key").alias("what"))
+    direct = violations.join(paths, "path", "left_semi").select("kind", "path", "what")
+    return direct.unionByName(violations.join(paths, "path", "left_anti").join(subject, "what", "left_semi").select("kind", "path", "what"))
 
 
 def pinned(submodules: DataFrame, images: DataFrame, revisions: DataFrame, hub: str, origin: str | None = None, template: str | None = None) -> DataFrame:
@@ -80,4 +126,4 @@ def pinned(submodules: DataFrame, images: DataFrame, revisions: DataFrame, hub:
     return by_url.unionByName(by_tag.join(by_url, "project", "left_anti"))
 
 
-__all__ = ["generation", "incremental", "pinned", "reviewed", "sweep", "swept", "to_extract", "tree_diff"]
+__all__ = ["changed_files", "decided", "generation", "impact", "incremental", "overlaid", "pinned", "reviewed", "submodules", "sweep", "swept", "to_extract", "touched", "tree_diff"]

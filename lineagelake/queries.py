@@ -784,7 +784,10 @@ def claim_coverage(spark, sf):
     return review.claim_coverage(sites, runs)
 
 
-@query()
+@query("""with recursive i as (select l_orderkey, l_linenumber as place, cast(l_partkey as varchar) as part, cast(floor(l_quantity) as bigint) as tokens from lineitem), p as (select *, row_number() over (partition by l_orderkey order by place, part, tokens) as n from i),
+  w as (select l_orderkey, n, case when tokens <= 60 then tokens else 0 end as used, case when tokens <= 60 then part else '' end as kept from p where n = 1
+  union all select p.l_orderkey, p.n, case when used + tokens <= 60 then used + tokens else used end, case when used + tokens <= 60 then (case when kept = '' then part else concat(kept, ',', part) end) else kept end from w join p on w.l_orderkey = p.l_orderkey and p.n = w.n + 1)
+  select l_orderkey, used, kept from w qualify row_number() over (partition by l_orderkey order by n desc) = 1""")
 def budget_fit(spark, sf):
     l = read(spark, sf, "lineitem")  # noqa: E741
     parts = l.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("place"), F.col("l_partkey").cast("string").alias("part"), F.floor("l_quantity").alias("tokens"))
@@ -849,7 +852,13 @@ def fnv_hash(spark, sf):
     return names.select("text", hashing.fnv1a_hex(F.col("text")).alias("fnv"))
 
 
-@query()
+@query("""with w as (select doc_id as key, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as word from documents where text is not null),
+  f as (select key, word as feature from w union all select key, substring(word, cast(i as bigint), 3) from (select key, word, unnest(generate_series(1, length(word) - 2)) as i from w where length(word) >= 3)),
+  c as (select key, feature, count(*) as n from f group by key, feature), t as (select distinct feature as text from c),
+  h as (select text, list_reduce(list_concat([14695981039346656037::uhugeint], list_transform(generate_series(1, cast(length(hex(encode(text))) / 2 as bigint)), lambda i: cast(concat('0x', substring(hex(encode(text)), cast(2 * i - 1 as bigint), 2)) as uhugeint))),
+  lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as v from t),
+  b as (select key, cast(v % 256 as bigint) as bucket, cast(sum(case when v >= 9223372036854775808::uhugeint then -n else n end) as bigint) as s from c join h on feature = text group by 1, 2)
+  select key, bucket, round(s / sqrt(sum(s * s) over (partition by key)), 6) as weight from b where s <> 0""")
 def hashed_embedding(spark, sf):
     return similar.hashed(read(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
@@ -880,18 +889,22 @@ def json_config(spark, sf):
     return extract.json_keys(read(spark, sf, "events"), "event_id", "props")
 
 
-@query()
+@query("""with l as (select concat('d/', doc_id) as path, unnest(string_split(concat('# see @ref:doc', source, chr(10), text), chr(10))) as line from documents where text is not null)
+  select distinct path, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '@ref:([A-Za-z0-9_.#-]+)', 1)) as id from l where regexp_matches(line, '^\\s*(//|#|--|\\*|/\\*)')""")
 def annotations(spark, sf):
     d = read(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("# see @ref:doc"), F.col("source"), F.lit("\n"), F.col("text")).alias("content"))
     return extract.annotations(d)
 
 
-@query()
+@query("""with l as (select concat('d/', doc_id) as path, string_split(concat('# ', source, chr(10), '## ', lang, chr(10), text), chr(10)) as ls from documents where text is not null), e as (select path, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as place from l),
+  h as (select path, cast(place as integer) as place, cast(length(regexp_extract(line, '^(#+) ', 1)) as integer) as level, trim(regexp_replace(line, '^#+ ', '')) as title from e where regexp_matches(line, '^#{1,6} ')),
+  p as (select h.path, h.place, arg_max(a.title, a.place) as parent from h join h a on h.path = a.path and a.place < h.place and a.level < h.level group by h.path, h.place)
+  select h.path, h.place, level, title, lower(trim(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g'), '-')) as slug, parent from h left join p on h.path = p.path and h.place = p.place""")
 def headings(spark, sf):
     return extract.headings(read(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("# "), F.col("source"), F.lit("\n## "), F.col("lang"), F.lit("\n"), F.col("text")).alias("content")))
 
 
-@query("""select key, substring(regexp_extract(path, '[^/]*$'), 1, length(regexp_extract(path, '[^/]*$'))) as base, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') as stem, trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '-', 'g'), '-') as slug, sha256(key) as sha,
+@query("""select key, substring(regexp_extract(path, '[^/]*$'), 1, length(regexp_extract(path, '[^/]*$'))) as base, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') as stem, lower(trim(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), '-')) as slug, sha256(key) as sha,
   case when length(name) > 10 then concat(substring(name, 1, 9), '…') else name end as cut from nodes""")
 def scalar_paths(spark, sf):
     p = F.col("path")
@@ -1041,7 +1054,7 @@ def cache_sweep_totals(spark, sf):
 
 @query("""with ch as (select concat('part/', p_brand) as path from part where p_partkey < 5), own as (select key, path from nodes where kind = 'part' and path in (select path from ch)),
   s as (select path, count(*) as symbols from own group by path), c as (select path, count(distinct src) as callers from edges join own on dst = own.key where edges.kind = 'calls' group by path), o as (select path, count(distinct dst) as callees from edges join own on src = own.key where edges.kind = 'calls' group by path)
-  select path, symbols, coalesce(callers, 0) as callers, coalesce(callees, 0) as callees, cast(0 as bigint) as governed_by from s left join c using (path) left join o using (path)""")
+  select path, symbols, coalesce(callers, 0) as callers, coalesce(callees, 0) as callees, cast(0 as bigint) as governed_by, cast(0 as bigint) as related from s left join c using (path) left join o using (path)""")
 def change_review(spark, sf):
     changes = read(spark, sf, "part").filter("p_partkey < 5").select(F.concat(F.lit("part/"), "p_brand").alias("path")).distinct()
     return sync.reviewed(changes, nodes(spark, sf, ("part",)), edges(spark, sf, ("calls", "references")))
@@ -1074,14 +1087,26 @@ def project_pins(spark, sf):
     return sync.pinned(modules, images, names, "hub", "https://h.io/up/stream", "rel-{tag}")
 
 
+def _embeddable(spark, sf):
+    """Files with the text that is embedded of each."""
+    f = files(spark, sf)
+    return f.select(F.substring_index("key", ":", -1).cast("bigint").alias("doc_id"), similar.node_text(F.col("name"), F.col("path"), F.col("content")).alias("text"))
+
+
+@query()
+def near_duplicate_files(spark, sf):
+    """Every hundredth file against all, at 0.9 or more."""
+    dense = similar.embedded(_embeddable(spark, sf), "doc_id", "text")
+    return similar.near_duplicates(dense, dense.filter("id % 100 = 0")).withColumn("similarity", F.round("similarity", 4))
+
+
 @query()
 def inferred_edges(spark, sf):
     """Related files by hashed embedding: every hundredth against all, at 0.4 or more, the best five."""
-    d = read(spark, sf, "documents")
-    sparse = similar.hashed(d, "doc_id", "text").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = sparse.select(F.col("key").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(hashing.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0))).alias("vector"))
+    dense = similar.embedded(_embeddable(spark, sf), "doc_id", "text")
     found = similar.neighbours_of(dense.filter("id % 100 = 0"), dense, 5, 0.4)
-    return found.select(graph.keyed("file", "src").alias("src"), graph.keyed("file", "dst").alias("dst"), F.lit("related").alias("kind"), F.lit("inferred").alias("provenance"), F.round("similarity", 4).alias("confidence"), F.lit("embedding:hash/v1").alias("src_ref"))
+    found = found.select(graph.keyed("file", "src").alias("src"), graph.keyed("file", "dst").alias("dst"), "similarity")
+    return similar.not_connected(found, edges(spark, sf)).select("src", "dst", F.lit("related").alias("kind"), F.lit("inferred").alias("provenance"), F.round("similarity", 4).alias("confidence"), F.lit("embedding:hash/v1").alias("src_ref"))
 
 
 # ---- contexts
@@ -1148,3 +1173,5 @@ def newest_layers(spark, sf):
 #: Names under which whole-table forms were first registered.
 for _name in ("k_hop", "correspondence", "claim_coverage", "innermost_span", "band_join", "class_recall", "merged_intervals", "chance_baseline"):
     QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
+
+from . import queries_rules  # noqa: E402, F401
