@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
+from ..plans.skew import counted_join
 from .common import by_group, flat, group_bounds, lowered, mix, partitions, portions, settle, word_hashes
 
 PERMUTATIONS, ROWS = 40, 4
@@ -116,34 +118,6 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, hashes binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` of every end of ``edges(u, v)``: the least node that is reachable. Alternates large and small stars until all are stars."""
-
-    def least(e):
-        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-
-    def told(e, low, rows):
-        """Edges with the ``m`` of their ``u``. A node with a thousandth of all edges is one of at most a thousand and goes by broadcast, so no task gets a large star."""
-        hot = F.col("n") * 1000 > rows
-        many = F.broadcast(low.filter(hot).select("u", "m"))
-        rest = e.join(F.broadcast(low.filter(hot).select("u")), "u", "left_anti")
-        return e.join(many, "u").unionByName(rest.join(low.filter(~hot).select("u", "m"), "u"))
-
-    def all_stars(e):  # no node has two partners below it, or is itself below another
-        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), "v").unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(None).cast(e.schema["v"].dataType).alias("v")))
-        return ends.groupBy("n").agg(F.max("up").alias("a"), F.min("up").alias("b"), F.min("v").alias("c"), F.max("v").alias("d")).filter("a <> b or c <> d").isEmpty()
-
-    e = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    while not all_stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(least(both).select("u", F.least("u", "m").alias("m"), "n"))
-        e = settle(told(both, low, 2 * e.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = settle(least(e))
-        near = told(e, low, e.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -213,12 +187,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.drop("bands")
     members = settle(components(stars).select(F.col("node").alias("digest"), F.col("label").alias("cluster")).join(nodes, "digest"))
     totals = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    totals = totals.withColumn("large", (F.col("size") > BLOCK) | ((F.col("size") > 2) & (F.col("total") > BLOCK_HASHES)))
+    totals = settle(totals).withColumn("large", (F.col("size") > BLOCK) | ((F.col("size") > 2) & (F.col("total") > BLOCK_HASHES)))
+    many = members.count()
     ids = members.select("id").distinct()
-    wanted = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
+    wanted = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     sets = _sets(texts, "id", "text", k).dropDuplicates(["digest"])
-    sets = settle(members.join(totals, "cluster").join(sets, "digest"))
+    sets = settle(counted_join(members, totals, "cluster", "size", many).join(sets, "digest"))
     label = _small(sets.filter("not large").select("cluster", "digest", "hashes"), percent)
     if not totals.filter("large").isEmpty():
         label = label.unionByName(_large(sets.filter("large").select("cluster", "digest", "n", "size", "total", "hashes"), stars, percent))
@@ -299,10 +274,11 @@ def _huge_links(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     links = settle(pairs.mapInArrow(confirm, "u binary, v binary"))
     first = components(links).select(F.col("node").alias("digest"), "label")
     first = settle(sets.drop("hashes").join(first, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
-    main = first.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    first = first.join(main, "cluster").withColumn("outer", F.col("label") != F.col("main"))
+    main = first.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("held"))
+    main, many = settle(main), first.count()
+    first = settle(counted_join(first, main, "cluster", "held", many).withColumn("outer", F.col("label") != F.col("main")).drop("main", "held"))
     outer = first.filter("outer").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("rows"))
-    grid = first.join(outer, "cluster")
+    grid = counted_join(first, settle(outer.join(main.select("cluster", "held"), "cluster")), "cluster", "held", many)
     across = grid.filter("outer").select("digest", F.lit(True).alias("outer"), _at("digest", 1, "rows").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "cluster")
     down = grid.select("digest", F.lit(False).alias("outer"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), _at("digest", 2, "blocks").alias("j"), "cluster")
     cells = across.unionByName(down).select(_cell("i", "j").alias("cell"), "digest", "outer")
