@@ -17,6 +17,7 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -47,27 +48,56 @@ def _coder(path: str):
     return tiktoken.Encoding("fertility", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Words whose pieces a Python worker remembers; past it all are forgotten.
+CACHE = 400_000
+
+
 @lru_cache(maxsize=2)
 def _pieces(path: str):
+    """Function from a text to its number of pieces and of byte pieces.
+
+    No piece spans a space but those of spaces alone, so words between single spaces are coded once each and counted; texts with several spaces in a row are coded whole.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     lone = np.fromiter((model.is_byte(i) for i in range(model.get_piece_size())), bool, model.get_piece_size())
-    return model, lone
+    known: dict[str, tuple[int, int]] = {}
+
+    def counted(ids: list[int]) -> tuple[int, int]:
+        return len(ids), int(lone[np.asarray(ids, np.int64)].sum())
+
+    def pieces(text: str) -> tuple[int, int]:
+        words = Counter(text.split(" "))
+        if "" in words:
+            return counted(model.encode(text))
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(words)
+        known.update(zip(new, map(counted, model.encode(new)), strict=True))
+        n = lone_ = 0
+        for w, times in words.items():
+            a, b = known[w]
+            n += times * a
+            lone_ += times * b
+        return n, lone_
+
+    return pieces
 
 
 def fertility(text: str, path: str, fallback: str | None = None) -> tuple[int, float, float, float]:
     """Number of tokens, characters per token, share of byte-fallback tokens of the other vocabulary, entropy over log2 of the number."""
-    coder, (model, lone) = _coder(path), _pieces(fallback or bpe.vocabulary_path("piece_bpe_32k.model"))
+    coder, of = _coder(path), _pieces(fallback or bpe.vocabulary_path("piece_bpe_32k.model"))
     counts, n, pieces, bytes_ = np.zeros(coder.n_vocab, np.int64), 0, 0, 0
     for k, part in enumerate(bpe.parts(text)):
         ids = coder.encode_to_numpy(part, disallowed_special=())
         n += len(ids)
         counts += np.bincount(ids, minlength=len(counts))
         # the model itself puts a space before what it is given
-        other = np.asarray(model.encode(part[1:] if k and part[0] == " " else part), np.int64)
-        pieces += len(other)
-        bytes_ += int(lone[other].sum())
+        told, lone = of(part[1:] if k and part[0] == " " else part)
+        pieces += told
+        bytes_ += lone
     if not n:
         return 0, 0.0, 0.0, 1.0
     p = counts[counts > 0] / n

@@ -79,3 +79,16 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(ODD)] + [(None, "x y", "en", 1)] * 2, "doc_id bigint, text string, lang string, band int")
     assert len(judged(df).collect()) == len(ODD) + 2
     assert judged(df.limit(0)).collect() == []
+
+
+def test_pieces_by_word_like_whole_texts():
+    import duckdb
+    import sentencepiece
+
+    path = quality.bpe.vocabulary_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb c\n\nd", "\u2581x \u2581", "é ﬁ Ⅳ \u00a0x", "\t\tx y", "\U0001f9ff 語 語語", "a\u2003b c", "\u0301 e \u0301"]
+    for t in texts:
+        ids = model.encode(t)
+        assert quality._pieces(path)(t) == (len(ids), sum(model.is_byte(i) for i in ids)), t[:40]
