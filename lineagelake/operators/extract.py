@@ -167,3 +167,42 @@ def wav_facts(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "rate", "channels", "depth", "frames", "ms"])
 
     return rows.select("path", "content").mapInPandas(read, "path string, rate bigint, channels bigint, depth bigint, frames bigint, ms bigint")
+
+
+#: Fixed value: structs within structs that are followed.
+STRUCT_DEPTH = 16
+
+
+def struct_keys(fields: DataFrame) -> DataFrame:
+    """``path, key, struct`` of the configuration keys that root structs declare: a field of a struct's type is followed, any other is a leaf.
+
+    ``fields``: path, struct, root (whether it is one), field, type (null where no struct of the file). A struct that holds itself is not followed again, nor is one
+    deeper than :data:`STRUCT_DEPTH`; the field is a leaf then. Of a key from several roots the first by name stays.
+    """
+    held = fields.select("path", F.col("struct").alias("type"), F.col("field").alias("inner"), F.col("type").alias("next"))
+    known = fields.select("path", F.col("struct").alias("type"), F.lit(True).alias("known")).distinct()
+    now = settle(fields.filter("root").select("path", F.col("struct").alias("from"), F.col("field").alias("key"), "type", F.array("struct").alias("seen")))
+    found = None
+    for depth in range(STRUCT_DEPTH + 1):
+        told = now.join(known, ["path", "type"], "left")
+        go = F.coalesce(F.col("known") & ~F.array_contains("seen", F.col("type")), F.lit(False)) if depth < STRUCT_DEPTH else F.lit(False)
+        leaves = told.filter(~go).select("path", "key", "from")
+        found = leaves if found is None else found.unionByName(leaves)
+        deeper = told.filter(go).drop("known")
+        if deeper.isEmpty():
+            break
+        now = settle(deeper.join(held, ["path", "type"]).select("path", "from", F.concat_ws(".", "key", "inner").alias("key"), F.col("next").alias("type"), F.concat("seen", F.array("type")).alias("seen")))
+    return found.groupBy("path", "key").agg(F.min("from").alias("struct"))
+
+
+#: How a blueprint is told by its path and its first heading, and the field of a published page.
+BLUEPRINT, PLAN, PAGE = "docs/blueprint", "— Technical Implementation Plan", "site-page"
+
+
+def document_kinds(files: DataFrame) -> DataFrame:
+    """``path, kind`` of Markdown contents: an ``adr`` (a record with an id before its title in the file's name, below ``docs/adr``), a ``blueprint``, a ``page`` that names itself in its front matter, or ``plain``."""
+    front = F.regexp_extract("content", r"\A---\n([\s\S]*?)\n---(?:\n|\z)", 1)
+    page = F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{PAGE}:(.*)$", 1)), F.lit("")).isNotNull()
+    title = F.regexp_extract(F.regexp_replace("content", r"(?s)```.*?(?:```|\z)", ""), r"(?m)^# +(.+)$", 1)
+    kind = F.when(F.col("path").rlike(r"^docs/adr/[0-9]+-[^/]*\.md\z"), "adr").when(page, "page").when(F.lower("path").startswith(BLUEPRINT) | title.contains(PLAN), "blueprint").otherwise("plain")
+    return files.select("path", kind.alias("kind"))

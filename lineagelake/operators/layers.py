@@ -128,3 +128,22 @@ def across_analyzers(findings: DataFrame, by: list[str]) -> DataFrame:
     out = findings.groupBy(*by).agg(F.countDistinct("analyzer").alias("confirmed_by"), F.array_sort(F.collect_set("rule")).alias("aliases"), F.coalesce(preferred, F.min("rule")).alias("canonical"))
     several = findings.agg((F.countDistinct("analyzer") >= 2).alias("several"))
     return out.crossJoin(F.broadcast(several)).filter("several").drop("several").orderBy(F.desc("confirmed_by"), *by)  # one row
+
+
+def without_layer(edges: DataFrame, src_ref: str) -> DataFrame:
+    """Edges but for those of one layer."""
+    return edges.filter(~F.col("src_ref").eqNullSafe(F.lit(src_ref)))
+
+
+def listed_layers(findings: DataFrame, analyzer: str | None = None) -> DataFrame:
+    """Findings of an analyzer or all, by layer and key."""
+    return (findings if analyzer is None else findings.filter(F.col("analyzer") == analyzer)).orderBy("layer", "key")
+
+
+def replaced_layer(stored: DataFrame, layer: str, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings with those of a layer replaced, and one row: how many went, how many came, and how many keys are in both."""
+    old, rest = stored.filter(F.col("layer") == layer), stored.filter(~F.col("layer").eqNullSafe(F.lit(layer)))
+    new = fresh.select(*stored.columns)
+    both = old.select("key").join(new.select("key"), "key", "left_semi")
+    counts = old.agg(F.count("*").alias("removed")).crossJoin(new.agg(F.count("*").alias("inserted"))).crossJoin(both.agg(F.count("*").alias("replaced")))  # one row each
+    return rest.unionByName(new), counts

@@ -243,3 +243,14 @@ def round_robin(ends: DataFrame, cap: int) -> DataFrame:
     kept = first.withColumn("place", place).filter(F.col("place") <= cap).withColumn("kept", F.count("*").over(Window.partitionBy(*kind)))
     of_kind = ends.groupBy(*kind).agg(F.count("*").alias("of_kind"))
     return kept.join(of_kind, kind).select(*kind, "other", "provenance", "turn", (F.col("of_kind") - F.col("kept")).alias("omitted"))
+
+
+def merged_ignore(layers: list[tuple[list[str] | None, bool]]) -> list[str] | None:
+    """Glob lists of nearer and nearer layers in one, each pattern once, inherited first; a layer that resets drops what it inherits. None if no layer has a list."""
+    out: list[str] | None = None
+    for globs, reset in layers:
+        if reset:
+            out = None if globs is None else list(globs)
+        elif globs is not None:
+            out = list(dict.fromkeys([*(out or []), *globs]))
+    return out

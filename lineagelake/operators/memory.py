@@ -97,7 +97,9 @@ def cache_swept(cache: DataFrame, budget: int, generation: int) -> DataFrame:
 
 
 def cache_state(log: DataFrame) -> DataFrame:
-    """Cache entries from a log of ``key, tick, op, bytes``: the latest put with the gets since the first put."""
+    """Cache entries from a log of ``key, tick, op, bytes``: the latest put with the gets since the first put. What comes before a key's last ``forget`` doesn't count."""
+    gone = log.filter("op = 'forget'").groupBy("key").agg(F.max("tick").alias("gone"))
+    log = log.filter("op <> 'forget'").join(gone, "key", "left").filter("gone is null or tick > gone").drop("gone")
     puts = log.filter("op = 'put'").groupBy("key").agg(F.max_by("bytes", "tick").alias("bytes"), F.min("tick").alias("first_put"))
     gets = log.groupBy("key").agg(F.max("tick").alias("last_used"))
     hits = log.filter("op = 'get'").join(puts.select("key", "first_put"), "key").filter("tick > first_put").groupBy("key").agg(F.count("*").alias("hits"))
@@ -142,3 +144,11 @@ def recorded(memory: DataFrame, writes: DataFrame, nodes: DataFrame, tree: str |
 def cached(cache: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cache entries (key, anchor_key, anchor_blob) with the ``state`` of their anchor and whether it ``applies``."""
     return resolved(cache, nodes).withColumn("applies", applies(F.col("state")))
+
+
+def filtered(memory: DataFrame, scope=None, kind: str | None = None, anchor: str | None = None, superseded: bool = False) -> DataFrame:
+    """Memories newest first, of a scope, kind and anchor where given; superseded ones only if asked for."""
+    out = memory if superseded else memory.filter("superseded_by is null")
+    for column, value in (("scope", scope), ("kind", kind), ("anchor_key", anchor)):
+        out = out if value is None else out.filter(F.col(column) == value)
+    return out.orderBy(F.desc("id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import fnv1a_hex
 from ..functions.text import normal_url, repository
 from .layers import tree_diff
 from .lenses import endpoints
@@ -25,6 +26,11 @@ def incremental(nodes: DataFrame, edges: DataFrame, touched: DataFrame, new_node
     return kept.join(loose, "key", "left_anti"), rest
 
 
+def cache_key(path: Column, oid: Column, version: int, env: Column) -> Column:
+    """Key of a blob's facts at a path: its oid, a hash of the path, the extractor's version and its environment (a 64-bit number)."""
+    return F.concat(oid, F.lit("-"), fnv1a_hex(path), F.lit(f"-v{version}-e"), F.lpad(F.lower(F.hex(env)), 16, "0"))
+
+
 #: Fixed value: versions count features in steps of this above the generation.
 STRIDE = 100
 

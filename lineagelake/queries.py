@@ -495,7 +495,7 @@ def import_layer(spark, sf):
 
 @query("select src, dst, kind from edges where src_ref is distinct from 'embedding:hash/v1'")
 def layer_delete(spark, sf):
-    return edges(spark, sf).filter(~F.col("src_ref").eqNullSafe(F.lit("embedding:hash/v1"))).select("src", "dst", "kind")
+    return layers.without_layer(edges(spark, sf), "embedding:hash/v1").select("src", "dst", "kind")
 
 
 def _findings(spark, sf):
@@ -578,7 +578,7 @@ def memory_counts(spark, sf):
 
 @query(_MEMORY + "select id, scope, kind from r where superseded_by is null and kind = 'click' and scope = 7 and anchor_key is not null order by id desc")
 def memory_filter(spark, sf):
-    return _memory(spark, sf).filter("superseded_by is null and kind = 'click' and scope = 7 and anchor_key is not null").select("id", "scope", "kind").orderBy(F.desc("id"))
+    return memory.filtered(_memory(spark, sf), 7, "click").filter("anchor_key is not null").select("id", "scope", "kind")
 
 
 def _log(spark, sf):
@@ -1148,10 +1148,10 @@ def search_channels(spark, sf):
     return context.channels(10, graph=search.graph_search(_searchable(spark, sf), "widget"), content=turns)
 
 
-@query("with g as (" + _search_sql("widget") + """), top as (select key, score from g where key like 'part:%' order by score desc, key limit 10)
+@query("with g as (" + _search_sql("widget") + """), best as (select key, score from g order by score desc, key limit 30), top as (select key, score from best where key like 'part:%' order by score desc, key limit 10)
   select t.key, t.score, (select count(distinct dst) from edges where kind = 'calls' and src = t.key) as calls, (select count(distinct src) from edges where kind = 'calls' and dst = t.key) as callers, (select min(src) from edges where kind = 'contains' and dst = t.key) as container from top t""")
 def topic_context(spark, sf):
-    return context.topic(_searchable(spark, sf), edges(spark, sf, ("calls", "contains")), "widget", ("part",), 10)
+    return context.topic(_searchable(spark, sf), edges(spark, sf, ("calls", "contains")), "widget", ("part",), 10).drop("authored_by")
 
 
 @query()

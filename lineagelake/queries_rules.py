@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import checks, extract, layers, lenses, links, media, memory, reports, review, sync
-from .queries import _MEMORY, _REVIEW, _anchors, _findings, _memory, _review, query
+from .operators import checks, context, extract, layers, lenses, links, media, memory, reports, review, sync
+from .queries import _CACHE, _FINDINGS, _MEMORY, _REVIEW, _anchors, _findings, _log, _memory, _review, _search_sql, _searchable, query
 from .sources import graph
 from .sources.graph import edges, nodes, read
 
@@ -400,3 +400,58 @@ def yaml_config(spark, sf):
     )
     out = extract.config_keys(d.select(F.concat(lit("k/"), _text("doc_id"), lit(".yaml")).alias("path"), content.alias("content")))
     return out.withColumn("value", text.redacted(col("key"), col("value")))
+
+
+# ---- hub contexts, cache keys, layers, documents
+
+
+@query("""with r as (select key, direction, kind, other, provenance, row_number() over (partition by key, direction, kind order by other, provenance) as turn from ends), p as (select *, row_number() over (partition by key, direction order by turn, kind) as place from r)
+  select key, direction, kind, other, provenance from p where place <= 20""")
+def capped_edges(spark, sf):
+    return lenses.round_robin(lenses.endpoints(edges(spark, sf)), 20).select("key", "direction", "kind", "other", "provenance")
+
+
+@query("""with t as (select distinct p_partkey, concat('src/', p_brand) as text, md5(p_name) as oid, p_size * 4294967297 as env from part), h as (select *, lower(lpad(to_hex(cast(list_reduce(list_concat([14695981039346656037::uhugeint], list_transform(
+  generate_series(1, cast(length(hex(encode(text))) / 2 as bigint)), lambda i: cast(concat('0x', substring(hex(encode(text)), cast(2 * i - 1 as bigint), 2)) as uhugeint))), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as uhugeint)), 16, '0')) as fnv from t)
+  select p_partkey, concat(oid, '-', fnv, '-v107-e', lower(lpad(to_hex(env), 16, '0'))) as key, 7 as generation from h""")
+def cache_keys(spark, sf):
+    p = read(spark, sf, "part")
+    key = sync.cache_key(F.concat(lit("src/"), "p_brand"), F.md5("p_name"), 107, col("p_size") * lit(4294967297))
+    return p.select("p_partkey", key.alias("key")).withColumn("generation", sync.generation(col("key")))
+
+
+@query(_CACHE.replace("with g as (select concat", "with l as (select concat").replace("as bytes from events),", """as bytes, event_id % 17 = 0 as forget from events), lost as (select key, max(tick) as gone from l where forget group by key),
+  g as (select l.key, tick, op, bytes from l left join lost on l.key = lost.key where not forget and (gone is null or tick > gone)),""") + "select key, bytes, hits, last_used from c")
+def cache_forgotten(spark, sf):
+    log = _log(spark, sf).withColumn("op", F.when(col("tick") % 17 == 0, "forget").otherwise(col("op")))
+    return memory.cache_state(log)
+
+
+@query(_FINDINGS + ", n as (select 'labels/1' as layer, concat('finding:', doc_id * 3) as key, 'low' as severity from labels where doc_id % 2 = 0) select layer, key, severity from f where layer <> 'labels/1' union all select * from n")
+def replaced_layer(spark, sf):
+    new = read(spark, sf, "labels").filter("doc_id % 2 = 0").select(lit("labels/1").alias("layer"), F.concat(lit("finding:"), (col("doc_id") * 3).cast("string")).alias("key"), lit("low").alias("severity"))
+    return layers.replaced_layer(_findings(spark, sf), "labels/1", new)[0]
+
+
+@query("""select concat(case doc_id % 4 when 0 then 'docs/adr/0001-x' when 1 then 'Docs/Blueprints/b' else 'notes/n' end, doc_id, '.md') as path, case when doc_id % 4 = 0 then 'adr' when doc_id % 3 = 0 then 'page' when doc_id % 4 = 1 or doc_id % 5 = 0 then 'blueprint' else 'plain' end as kind from documents""")
+def document_kinds(spark, sf):
+    i = col("doc_id")
+    path = F.concat(F.when(i % 4 == 0, "docs/adr/0001-x").when(i % 4 == 1, "Docs/Blueprints/b").otherwise("notes/n"), i.cast("string"), lit(".md"))
+    body = F.concat(F.when(i % 3 == 0, "---\nsite-page: slug\n---\n").otherwise("---\nsite-page:\n---\nsite-page: no\n"), lit("```\n# Code — Technical Implementation Plan\n```\n"), F.when(i % 5 == 0, "# X — Technical Implementation Plan\n").otherwise("# X\n"))
+    return extract.document_kinds(read(spark, sf, "documents").select(path.alias("path"), body.alias("content")))
+
+
+@query("""with recursive f as (select distinct concat('f', l_suppkey) as path, concat('S', l_linenumber) as struct, l_linenumber <= 2 as root, concat('k', l_partkey % 7) as field, case when l_partkey % 7 < 3 then concat('S', l_linenumber + 1 + l_partkey % 7) when l_partkey % 7 = 3 then concat('S', l_linenumber - 1) end as type from lineitem),
+  s as (select distinct path, struct from f), n as (select path, struct as src, field as key, type, [struct] as seen from f where root
+  union all select n.path, src, concat(key, '.', field), f.type, list_append(seen, n.type) from n join f on n.path = f.path and n.type = f.struct and not list_contains(seen, n.type)),
+  leaf as (select n.* from n left join s on n.path = s.path and n.type = s.struct where s.struct is null or list_contains(seen, n.type)) select path, key, min(src) as struct from leaf group by path, key""")
+def struct_keys(spark, sf):
+    n, k = col("l_linenumber"), col("l_partkey") % 7
+    named = lambda x: F.concat(lit("S"), x.cast("string"))
+    fields = read(spark, sf, "lineitem").select(F.concat(lit("f"), _text("l_suppkey")).alias("path"), named(n).alias("struct"), (n <= 2).alias("root"), F.concat(lit("k"), k.cast("string")).alias("field"), F.when(k < 3, named(n + 1 + k)).when(k == 3, named(n - 1)).alias("type"))
+    return extract.struct_keys(fields.distinct())
+
+
+@query("with g as (" + _search_sql("widget") + "), best as (select key, score from g order by score desc, key limit 30) select key, score from best where key like 'file:%' order by score desc, key limit 10")
+def topic_documents(spark, sf):
+    return context.topic_documents(_searchable(spark, sf), "widget", ("file",), 10)
