@@ -108,3 +108,12 @@ def test_pack(spark):
     made = {r.sequence_id: r.ids for r in sequences(pack(df, group=64, keep_ids=True)).collect()}
     assert all(made[k] == sum((r.ids for r in rows), []) for k, rows in by_seq.items())
     assert pack(df.limit(0)).collect() == []
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "same text", 0), (1, "same text", 0), (None, None, 0), (None, None, 0)], "doc_id bigint, text string, n_tokens int")
+    rows = encode_decode(df).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in rows) == [(0, 0, "")] * 2 + [(1, 2, "same text")] * 2
+    many = spark.range(3000).selectExpr("1L as doc_id", "'same text' as text")
+    packed = pack(many, group=64).collect()
+    assert len(packed) == 3000 and len({r.sequence_id >> 32 for r in packed}) > 20

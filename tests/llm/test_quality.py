@@ -92,3 +92,35 @@ def test_pieces_by_word_like_whole_texts():
     for t in texts:
         ids = model.encode(t)
         assert quality._pieces(path)(t) == (len(ids), sum(model.is_byte(i) for i in ids)), t[:40]
+
+
+def test_bands_like_numpy(spark):
+    """Lines, ranges and verdicts recomputed in numpy from the measures."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = judged(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    good = out[~out.base_failed].copy()
+    good["size"], good["lang"] = np.log2(np.maximum(good.n_tokens, 1)), good.lang.fillna("none")
+
+    def line(rows, m):
+        x, y = rows["size"], rows[m]
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum() if x.nunique() > 1 else 0.0
+        return slope, y.mean() - slope * x.mean()
+
+    want = good.base_failed == False  # noqa: E712
+    for m, least in quality.LEAST.items():
+        off, half = good[m] * 0.0, good[m] * 0.0
+        every = line(good, m)
+        for lang, rows in good.groupby("lang"):
+            own = len(rows) / (len(rows) + quality.PRIOR)
+            slope, start = [own * a + (1 - own) * b for a, b in zip(line(rows, m), every, strict=True)]
+            off[rows.index] = rows[m] - start - slope * rows["size"]
+        total = off.quantile([0.25, 0.5, 0.75], interpolation="lower").to_numpy()
+        for lang, rows in good.groupby("lang"):
+            own = len(rows) / (len(rows) + quality.PRIOR)
+            q = own * off[rows.index].quantile([0.25, 0.5, 0.75], interpolation="lower").to_numpy() + (1 - own) * total
+            half[rows.index] = max(least, quality.WIDTH * (q[2] - q[0]))
+            off[rows.index] -= q[1]
+        want &= ~((off.abs() > half) if m == "chars_per_token" else (off > half) if m == "byte_share" else (off < -half))
+    assert (want != good.kept).sum() <= 2  # quantiles of Spark are those of a sketch
