@@ -47,6 +47,13 @@ def import_layer(edges: DataFrame, nodes: DataFrame, layer: DataFrame, src_ref:
     return out, counts.select("kept", (F.col("total") - F.col("kept")).alias("pruned"))
 
 
+def import_facts(nodes: DataFrame, edges: DataFrame, facts: DataFrame, layer: DataFrame, src_ref: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`import_layer` with the layer's own nodes, which replace those of their keys before its edges are judged."""
+    every = nodes.join(facts.select("key"), "key", "left_anti").select(*nodes.columns).unionByName(facts.select(*nodes.columns).dropDuplicates(["key"]))
+    out, counts = import_layer(edges, every, layer, src_ref)
+    return every, out, counts
+
+
 #: Severities from worst to least.
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 

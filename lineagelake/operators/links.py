@@ -43,10 +43,12 @@ def link_facts(matches: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Distinct (caller, callee) of calls that name one function, alone or within their qualifier's scope.
+    """Distinct (caller, callee) of calls that name one function, alone or within their qualifier's scope; ``Self`` is the caller's own.
 
     ``functions``: key, name, scope; ``calls``: caller, name, qualifier.
     """
+    own = functions.groupBy(F.col("key").alias("caller")).agg(F.min("scope").alias("own"))
+    calls = calls.join(own, "caller", "left").withColumn("qualifier", F.when(F.col("qualifier") == "Self", F.col("own")).otherwise(F.col("qualifier"))).drop("own")
     one = functions.groupBy("name").agg(F.count("*").alias("n"), F.min("key").alias("alone")).withColumn("alone", F.when(F.col("n") == 1, F.col("alone"))).drop("n")
     scoped = functions.groupBy(F.col("scope").alias("qualifier"), "name").agg(F.count("*").alias("n"), F.min("key").alias("inside")).filter("n = 1").drop("n")
     found = calls.join(one, "name").join(scoped, ["qualifier", "name"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
@@ -64,16 +64,33 @@ def chance_baseline(rows: DataFrame, findings: DataFrame, band: int = BAND) -> D
     return rows.filter("verdict = 'real'").join(covered, ["sha", "path"], "left").join(span, ["sha", "path"], "left").select("id", share.alias("chance"))
 
 
+#: What a claim's site may ask of a run; ``tests`` is whether it is test code, and whether a run compiles that.
+AXES = ("platform", "features", "toolchain", "tests")
+
+
+def _fits(sites: DataFrame, runs: DataFrame) -> tuple[list[str], Column]:
+    """The axes that both frames have, and whether a site and a run (its columns with ``_`` before them) fit: equal, or open on either side; for test code a run of tests."""
+    axes = [a for a in AXES if a in sites.columns and a in runs.columns]
+    fit = F.lit(True)
+    for a in axes:
+        own, other = F.col(a), F.col(f"_{a}")
+        fit = fit & (F.coalesce(~own | other, F.lit(False)) if a == "tests" else own.isNull() | other.isNull() | (own == other))
+    return axes, fit
+
+
 def claim_coverage(sites: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per claim site the least green job whose platform, features and toolchain match or are open, and the reason if there is none. Sites meet the distinct profiles of a sha's runs, not the runs."""
-    green = runs.filter("conclusion = 'success'").select("sha", F.col("platform").alias("p"), F.col("features").alias("f"), F.col("toolchain").alias("t"), "job")
-    green = green.groupBy("sha", "p", "f", "t").agg(F.min("job").alias("job"))
-    fits = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-    joined = sites.join(green, "sha", "left")
-    ok = F.col("job").isNotNull() & fits("platform", "p") & fits("features", "f") & fits("toolchain", "t")
-    per = joined.groupBy("site").agg(F.min(F.when(ok, F.col("job"))).alias("job"), F.count("job").alias("runs"), F.count_if(F.col("job").isNotNull() & fits("platform", "p")).alias("on_platform"))
-    reason = F.when(F.col("job").isNotNull(), "covered").when(F.col("runs") == 0, "no_green_run").when(F.col("on_platform") == 0, "platform").otherwise("features_or_toolchain")
-    return per.select("site", "job", reason.alias("reason"))
+    """Per claim site the least green job at its commit that compiled it, else why there is none: ``site, job, reason``.
+
+    Reasons: ``covered``; ``no_run`` at this commit at all; ``not_compiled`` by any of them; ``not_green`` where those that did compile it failed. Sites meet the
+    distinct profiles of a sha's runs, not the runs.
+    """
+    axes, fit = _fits(sites, runs)
+    profiles = runs.groupBy("sha", *[F.col(a).alias(f"_{a}") for a in axes], (F.col("conclusion") == "success").alias("green")).agg(F.min("job").alias("job"))
+    joined = sites.join(profiles, "sha", "left")
+    ran = F.col("job").isNotNull()
+    per = joined.groupBy("site").agg(F.min(F.when(ran & fit & F.col("green"), F.col("job"))).alias("found"), F.count_if(ran).alias("runs"), F.count_if(ran & fit).alias("fitting"))
+    reason = F.when(F.col("found").isNotNull(), "covered").when(F.col("runs") == 0, "no_run").when(F.col("fitting") == 0, "not_compiled").otherwise("not_green")
+    return per.select("site", F.col("found").alias("job"), reason.alias("reason"))
 
 
 def budget_fit(parts: DataFrame, by: list[str], cap: int) -> DataFrame:
@@ -118,14 +135,10 @@ def preconditions(attempted: DataFrame, findings: DataFrame, corpus: DataFrame)
 
 
 def jobs_covering(sites: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per claim site the distinct jobs, green or not, whose platform, features, test targets and toolchain match or are open; sites without any are left out."""
-    axes = [a for a in ("platform", "features", "targets", "toolchain") if a in sites.columns and a in runs.columns]
+    """Per claim site the distinct jobs at its commit, green or not, that compile it; sites without any are left out."""
+    axes, fit = _fits(sites, runs)
     profiles = runs.select("sha", *[F.col(a).alias(f"_{a}") for a in axes], "job").distinct()
-    fits = [F.col(a).isNull() | F.col(f"_{a}").isNull() | (F.col(a) == F.col(f"_{a}")) for a in axes]
-    joined = sites.join(profiles, "sha")
-    for f in fits:
-        joined = joined.filter(f)
-    return joined.groupBy("site").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
+    return sites.join(profiles, "sha").filter(fit).groupBy("site").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
 
 
 #: Tokens of context at most, in all and for each token of a diff.

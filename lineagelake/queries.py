@@ -772,15 +772,15 @@ def chance_baseline(spark, sf):
     return review.chance_baseline(*_review(spark, sf)).withColumn("chance", F.round("chance", 6))
 
 
-@query("""with s as (select o_orderkey as site, concat('sha', o_custkey // 15) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features from orders),
-  r as (select concat('sha', l_suppkey) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, concat('job', l_orderkey) as job from lineitem where l_returnflag = 'R'),
-  j as (select site, job, (platform is null or p is null or platform = p) as on_p, (features is null or f is null or features = f) as on_f from s left join r using (sha)),
-  a as (select site, min(job) filter (where on_p and on_f) as job, count(job) as runs, count(job) filter (where on_p) as plat from j group by site)
-  select site, job, case when job is not null then 'covered' when runs = 0 then 'no_green_run' when plat = 0 then 'platform' else 'features_or_toolchain' end as reason from a""")
+@query("""with s as (select o_orderkey as site, concat('sha', o_custkey // 15) as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then o_orderpriority end as features, o_orderkey % 5 = 0 as tests from orders),
+  r as (select concat('sha', l_suppkey) as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then '1-URGENT' end as f, l_linenumber % 3 = 0 as t, l_returnflag = 'R' as green, concat('job', l_orderkey) as job from lineitem),
+  j as (select site, job, green, (platform is null or p is null or platform = p) and (features is null or f is null or features = f) and (not tests or t) as fit from s left join r using (sha)),
+  a as (select site, min(job) filter (where fit and green) as job, count(job) as runs, count(job) filter (where fit) as fitting from j group by site)
+  select site, job, case when job is not null then 'covered' when runs = 0 then 'no_run' when fitting = 0 then 'not_compiled' else 'not_green' end as reason from a""")
 def claim_coverage(spark, sf):
     o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
-    sites = o.select(F.col("o_orderkey").alias("site"), F.concat(F.lit("sha"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("platform"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("features"), F.lit(None).cast("string").alias("toolchain"))
-    runs = l.select(F.concat(F.lit("sha"), F.col("l_suppkey").cast("string")).alias("sha"), F.col("l_linestatus").alias("platform"), F.when(F.col("l_linenumber") % 2 == 0, "1-URGENT").alias("features"), F.lit(None).cast("string").alias("toolchain"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failure").alias("conclusion"), F.concat(F.lit("job"), F.col("l_orderkey").cast("string")).alias("job"))
+    sites = o.select(F.col("o_orderkey").alias("site"), F.concat(F.lit("sha"), F.floor(F.col("o_custkey") / 15).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("platform"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("features"), F.lit(None).cast("string").alias("toolchain"), (F.col("o_orderkey") % 5 == 0).alias("tests"))
+    runs = l.select(F.concat(F.lit("sha"), F.col("l_suppkey").cast("string")).alias("sha"), F.col("l_linestatus").alias("platform"), F.when(F.col("l_linenumber") % 2 == 0, "1-URGENT").alias("features"), F.lit(None).cast("string").alias("toolchain"), (F.col("l_linenumber") % 3 == 0).alias("tests"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failure").alias("conclusion"), F.concat(F.lit("job"), F.col("l_orderkey").cast("string")).alias("job"))
     return review.claim_coverage(sites, runs)
 
 

@@ -247,13 +247,13 @@ def score_preconditions(spark, sf):
     return review.preconditions(o.filter("o_custkey % 50 > 5").select(sha("o_custkey", 50)), read(spark, sf, "lineitem").select(sha("l_suppkey", 60)), o.select(sha("o_custkey", 40)))
 
 
-@query("""with s as (select o_orderkey as site, o_custkey // 15 as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, case when o_orderkey % 2 = 0 then 'tests' end as targets from orders), r as (select distinct l_suppkey as sha, l_linestatus as p, case when l_linenumber % 2 = 0 then 'tests' else 'lib' end as t, concat('job', l_orderkey % 5) as job from lineitem)
-  select site, string_agg(distinct job, '|' order by job) as jobs from s join r on s.sha = r.sha and (platform is null or p is null or platform = p) and (targets is null or t is null or targets = t) group by site""")
+@query("""with s as (select o_orderkey as site, o_custkey // 15 as sha, case when o_orderkey % 3 > 0 then o_orderstatus end as platform, o_orderkey % 2 = 0 as tests from orders), r as (select distinct l_suppkey as sha, l_linestatus as p, l_linenumber % 2 = 0 as t, concat('job', l_orderkey % 5) as job from lineitem)
+  select site, string_agg(distinct job, '|' order by job) as jobs from s join r on s.sha = r.sha and (platform is null or p is null or platform = p) and (not tests or t) group by site""")
 def jobs_covering(spark, sf):
     o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
     i = col("o_orderkey")
-    sites = o.select(i.alias("site"), F.floor(col("o_custkey") / 15).alias("sha"), F.when(i % 3 > 0, col("o_orderstatus")).alias("platform"), F.when(i % 2 == 0, "tests").alias("targets"))
-    runs = l.select(col("l_suppkey").alias("sha"), col("l_linestatus").alias("platform"), F.when(col("l_linenumber") % 2 == 0, "tests").otherwise("lib").alias("targets"), F.concat(lit("job"), (col("l_orderkey") % 5).cast("string")).alias("job"))
+    sites = o.select(i.alias("site"), F.floor(col("o_custkey") / 15).alias("sha"), F.when(i % 3 > 0, col("o_orderstatus")).alias("platform"), (i % 2 == 0).alias("tests"))
+    runs = l.select(col("l_suppkey").alias("sha"), col("l_linestatus").alias("platform"), (col("l_linenumber") % 2 == 0).alias("tests"), F.concat(lit("job"), (col("l_orderkey") % 5).cast("string")).alias("job"))
     return review.jobs_covering(sites, runs).withColumn("jobs", F.array_join("jobs", "|"))
 
 

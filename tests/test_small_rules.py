@@ -1,6 +1,6 @@
 import pytest
 
-from lineagelake.operators import checks, context, lenses, media, sync
+from lineagelake.operators import checks, context, layers, lenses, links, media, sync
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,19 @@ def test_trust_and_plans(spark):
     assert {(r.blob, r.step) for r in media.planned(c, have, "p").collect()} == {("x", "existing"), ("y", "generate")}
     assert {(r.blob, r.step, r.reason) for r in media.planned(c, have, "q").collect()} == {("x", "gated", "silence"), ("y", "existing", None)}
     assert {r.step for r in media.planned(c, have, "p", force=True).collect()} == {"generate"}
+
+
+def test_self_is_the_callers_scope(spark):
+    functions = spark.createDataFrame([("a1", "new", "A"), ("b1", "new", "B"), ("a2", "go", "A"), ("b2", "run", "B"), ("c", "only", None)], "key string, name string, scope string")
+    calls = spark.createDataFrame([("a2", "new", "Self"), ("b2", "new", "Self"), ("c", "new", "Self"), ("c", "new", "B"), ("b2", "new", None), ("a2", "only", "X")], "caller string, name string, qualifier string")
+    assert {tuple(r) for r in links.resolve_calls(functions, calls).collect()} == {("a2", "a1"), ("b2", "b1"), ("c", "b1"), ("a2", "c")}
+
+
+def test_imports_bring_their_nodes(spark):
+    nodes = spark.createDataFrame([("a", "old"), ("b", "b")], "key string, name string")
+    edges = spark.createDataFrame([("a", "b", "import:x"), ("a", "b", None)], "src string, dst string, src_ref string")
+    facts = spark.createDataFrame([("a", "new"), ("c", "c")], nodes.schema)
+    layer = spark.createDataFrame([("a", "c", "import:x"), ("c", "d", "import:x")], edges.schema)
+    n, e, counts = layers.import_facts(nodes, edges, facts, layer, "import:x")
+    assert {tuple(r) for r in n.collect()} == {("a", "new"), ("b", "b"), ("c", "c")} and {tuple(r) for r in e.collect()} == {("a", "b", None), ("a", "c", "import:x")}
+    assert tuple(counts.first()) == (1, 1)

@@ -32,8 +32,8 @@ def test_innermost_like_a_scan(spark):
 
 
 def test_sites_meet_profiles_not_runs(spark):
-    sites = spark.createDataFrame([(1, "s", "x", None, None), (2, "s", "y", "f", None), (3, "s", "z", None, None), (4, "t", None, None, None)], "site bigint, sha string, platform string, features string, toolchain string")
+    sites = spark.createDataFrame([(1, "s", "x", None, None), (2, "s", "y", "f", None), (3, "s", "z", None, None), (4, "t", None, None, None), (5, "u", "x", None, None)], "site bigint, sha string, platform string, features string, toolchain string")
     runs = spark.createDataFrame([("s", "x", "f", None, "success", f"j{i}") for i in range(100, 300)] + [("s", "y", "g", None, "success", "a"), ("t", None, None, None, "failure", "b")], "sha string, platform string, features string, toolchain string, conclusion string, job string")
     out = review.claim_coverage(sites, runs)
-    assert {r.site: (r.job, r.reason) for r in out.collect()} == {1: ("j100", "covered"), 2: (None, "features_or_toolchain"), 3: (None, "platform"), 4: (None, "no_green_run")}
+    assert {r.site: (r.job, r.reason) for r in out.collect()} == {1: ("j100", "covered"), 2: (None, "not_compiled"), 3: (None, "not_compiled"), 4: (None, "not_green"), 5: (None, "no_run")}
     assert "agg" in out._jdf.queryExecution().optimizedPlan().toString().lower().split("join")[-1]  # below the join
