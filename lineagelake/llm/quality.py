@@ -2,7 +2,7 @@
 
 Two public vocabularies encode each whole text: a multilingual byte-level one gives characters per
 token and the entropy of the tokens (over its greatest value for as many), one with byte fallback
-the share of tokens that are a lone byte. Each measure is held against a band of its language.
+the share of bytes that it can only give as byte pieces, those of characters without a piece. Each measure is held against a band of its language.
 
 Entropy falls with length, so a band is a line over the logarithm of the number of tokens, fitted to the
 documents of the language that pass the base rules, and reaches ``WIDTH`` interquartile ranges of
@@ -17,7 +17,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +29,7 @@ from .common import WHITE, flat, mix, per_row, portions, settle, word_hashes
 
 WIDTH, PRIOR = 5.0, 50
 #: Least half widths of the bands, in the measures' own units.
-LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.06}
+LEAST = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.06}
 #: Fixed value: the characters that count as symbols.
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -48,60 +47,40 @@ def _coder(path: str):
     return tiktoken.Encoding("fertility", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Words whose pieces a Python worker remembers; past it all are forgotten.
-CACHE = 400_000
-
-
 @lru_cache(maxsize=2)
-def _pieces(path: str):
-    """Function from a text to its number of pieces and of byte pieces.
-
-    No piece spans a space but those of spaces alone, so words between single spaces are coded once each and counted; texts with several spaces in a row are coded whole.
-    """
+def _fallback(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its UTF-8 bytes, and how many of them the vocabulary can only give as byte pieces: all, if it has no piece for the character, else none."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    lone = np.fromiter((model.is_byte(i) for i in range(model.get_piece_size())), bool, model.get_piece_size())
-    known: dict[str, tuple[int, int]] = {}
-
-    def counted(ids: list[int]) -> tuple[int, int]:
-        return len(ids), int(lone[np.asarray(ids, np.int64)].sum())
-
-    def pieces(text: str) -> tuple[int, int]:
-        words = Counter(text.split(" "))
-        if "" in words:
-            return counted(model.encode(text))
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(words)
-        known.update(zip(new, map(counted, model.encode(new)), strict=True))
-        n = lone_ = 0
-        for w, times in words.items():
-            a, b = known[w]
-            n += times * a
-            lone_ += times * b
-        return n, lone_
-
-    return pieces
+    point = np.arange(0x110000)
+    width = (1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)).astype(np.uint8)
+    lost = width.copy()
+    # the piece of a space is U+2581
+    lost[[ord(p) for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) == 1] + [ord(" ")]] = 0
+    return width, lost
 
 
 def fertility(text: str, path: str, fallback: str | None = None) -> tuple[int, float, float, float]:
-    """Number of tokens, characters per token, share of byte-fallback tokens of the other vocabulary, entropy over log2 of the number."""
-    coder, of = _coder(path), _pieces(fallback or bpe.vocabulary_path("piece_bpe_32k.model"))
-    counts, n, pieces, bytes_ = np.zeros(coder.n_vocab, np.int64), 0, 0, 0
-    for k, part in enumerate(bpe.parts(text)):
+    """Number of tokens, characters per token, share of bytes that fall back to byte pieces in the other vocabulary, entropy over log2 of the number."""
+    coder, (width, lost) = _coder(path), _fallback(fallback or bpe.vocabulary_path("piece_bpe_32k.model"))
+    found, n, size, fell = [], 0, 0, 0
+    for part in bpe.parts(text):
         ids = coder.encode_to_numpy(part, disallowed_special=())
         n += len(ids)
-        counts += np.bincount(ids, minlength=len(counts))
-        # the model itself puts a space before what it is given
-        told, lone = of(part[1:] if k and part[0] == " " else part)
-        pieces += told
-        bytes_ += lone
+        found.append(np.unique(ids, return_counts=True))
+        points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+        size += int(width[points].sum(dtype=np.int64))
+        fell += int(lost[points].sum(dtype=np.int64))
     if not n:
         return 0, 0.0, 0.0, 1.0
-    p = counts[counts > 0] / n
-    return n, len(text) / n, bytes_ / max(1, pieces), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
+    if len(found) > 1:
+        counts = np.zeros(coder.n_vocab, np.int64)
+        for ids, times in found:
+            counts[ids] += times
+        found = [(None, counts[counts > 0])]
+    p = found[0][1] / n
+    return n, len(text) / n, fell / size, float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 1.0
 
 
 def base_counts(values: pa.Array, texts: list[str]) -> list[np.ndarray]:

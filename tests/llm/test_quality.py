@@ -81,17 +81,17 @@ def test_odd_rows(spark):
     assert judged(df.limit(0)).collect() == []
 
 
-def test_pieces_by_word_like_whole_texts():
+def test_fallback_bytes_like_the_library():
     import duckdb
     import sentencepiece
 
-    path = quality.bpe.vocabulary_path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    path, other = quality.bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken"), quality.bpe.vocabulary_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=other)
     texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
-    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb c\n\nd", "\u2581x \u2581", "é ﬁ Ⅳ \u00a0x", "\t\tx y", "\U0001f9ff 語 語語", "a\u2003b c", "\u0301 e \u0301"]
+    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb c\n\nd", "\u2581x \u2581", "é ﬁ Ⅳ \u00a0x", "\t\tx y", "\U0001f9ff 語 語語", "a\u2003b c", "\u0301 e \u0301", "\r\n\x00\x7f"]
     for t in texts:
-        ids = model.encode(t)
-        assert quality._pieces(path)(t) == (len(ids), sum(model.is_byte(i) for i in ids)), t[:40]
+        want = sum(model.is_byte(i) for i in model.encode(t))
+        assert round(fertility(t, path)[2] * len(t.encode())) == want, t[:40]
 
 
 def test_bands_like_numpy(spark):
