@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not totals.filter("large").isEmpty():
         label = label.unionByName(_large(sets.filter("large").select("cluster", "digest", "n", "size", "total", "hashes"), stars, percent))
     labelled = settle(nodes.select("digest", "id").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component")), "label").select("digest", "component")
+    per = settle(labelled.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("held")))
+    named = counted_join(labelled, per, "label", "held", labelled.count()).select("digest", "component")
     out = sketch.filter("digest is not null and id is not null").select("id", "n_shingles", "digest").join(named, "digest").select("id", "n_shingles", "component")
     alone = sketch.filter("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     kept = F.col("id").isNull() | (F.col("id") == F.col("component"))
