@@ -8,6 +8,7 @@ from . import chat, secrets
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_duplicates
+from .filter_audit import audit
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judged
@@ -62,7 +63,11 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing)}
+def op12_filter_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op12_filter_audit)}
 
 
 def _escaped(column: str) -> str:
@@ -85,4 +90,20 @@ SQL = {
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)
     """,
+    "op12_filter_audit": """
+        with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+        b as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+          coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails from d),
+        l as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+        m as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from b left join l using (doc_id) group by part, fails),
+        f as (select unnest(range(1, 6)) as i),
+        o as (select [a.i, b.i, c.i, d.i, e.i] as fs from f a, f b, f c, f d, f e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s as (select array_to_string([substr('ABCDE', x, 1) for x in fs], '') as filter_order, step, fs[step] as f, fs[1 : step - 1] as past from o, (select unnest(range(1, 6)) as step)),
+        r as (select part, filter_order, step, f, n, good, toxic, fails[f] as fail, len([x for x in past if fails[x]]) > 0 as gone, len([x for x in fails if x]) as many from m, s),
+        t as (select part, filter_order, step, f, sum(case when not fail and not gone then n else 0 end) as kept, sum(case when fail and not gone then n else 0 end) as removed,
+          sum(case when fail and gone then n else 0 end) as redundant, sum(case when fail and many = 1 then n else 0 end) as unique_fails,
+          sum(case when fail and not gone then good else 0 end) as good_lost, sum(case when fail and not gone then toxic else 0 end) as toxic_lost from r group by all)
+        select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+          cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from t
+    """,
 }
