@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_duplicates
 from .filter_audit import audit
+from .hard_negatives import hard_negatives, quantised
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judged
@@ -67,7 +68,13 @@ def op12_filter_audit(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op12_filter_audit)}
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = quantised(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives(rows, rows.filter(F.col("id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op12_filter_audit, op13_hard_negatives)}
 
 
 def _escaped(column: str) -> str:
@@ -106,4 +113,13 @@ SQL = {
         select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
           cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from t
     """,
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+          where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, v.vec_id as other, a.label = v.label as same, cast(list_inner_product(a.q, v.q) as bigint) as score from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0),
+        p as (select anchor_id, other, score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+        n as (select p.anchor_id, p.other as positive_id, row_number() over (partition by p.anchor_id, p.other order by s.score desc, s.other) as rank, s.other as negative_id, p.score as positive_score, s.score as negative_score
+          from p join s using (anchor_id) where not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+    """,
 }
