@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .filter_audit import audit
 from .hard_negatives import hard_negatives, quantised
+from .language import languages
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judged
@@ -64,6 +65,10 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_language_id(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,7 +79,7 @@ def op13_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, rows.filter(F.col("id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op12_filter_audit, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op11_language_id, op12_filter_audit, op13_hard_negatives)}
 
 
 def _escaped(column: str) -> str:
