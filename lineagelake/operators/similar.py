@@ -3,66 +3,87 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DIMENSIONS, features, fnv1a
 from ..functions.text import stem
+from ..plans.blocks import held_against, packed
+from ..plans.components import components
+from ..plans.lineage import settle
+from ..plans.skew import counted_join
 
 
-def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, bucket, weight``: the signed feature counts of each text, scaled to length 1; sparse, without zeros."""
+def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, bucket, sum``: the signed feature counts of each text, without zeros."""
     words = docs.select(F.col(key).alias("key"), F.explode(features(F.col(text))).alias("feature"))
     counts = words.groupBy("key", "feature").agg(F.count("*").alias("n"))
     h = counts.withColumn("h", fnv1a(F.col("feature")))
     sign = F.when(F.col("h.hi") >= 2**31, -1).otherwise(1)
-    parts = h.groupBy("key", F.col("h.lo").bitwiseAND(F.lit(DIMENSIONS - 1)).alias("bucket")).agg(F.sum(sign * F.col("n")).alias("sum")).filter("sum <> 0")
+    return h.groupBy("key", F.col("h.lo").bitwiseAND(F.lit(DIMENSIONS - 1)).alias("bucket")).agg(F.sum(sign * F.col("n")).alias("sum")).filter("sum <> 0")
+
+
+def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, bucket, weight``: the signed feature counts of each text, scaled to length 1; sparse, without zeros."""
     length = F.sqrt(F.sum(F.col("sum").cast("double") * F.col("sum")).over(Window.partitionBy("key")))
-    return parts.select("key", "bucket", (F.col("sum") / length).alias("weight"))
+    return signed(docs, key, text).select("key", "bucket", (F.col("sum") / length).alias("weight"))
 
 
-#: Query vectors that are held against the base in one pass; 256 floats each make 50 MB.
-PORTION = 50_000
+def _unit(parts: np.ndarray) -> np.ndarray:
+    return parts / np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-12)
+
+
+def _pairs(queries: DataFrame, base: DataFrame, numbers: list[str], chosen, schema: str) -> DataFrame:
+    """``chosen(asked block, stream of (block, similarities))`` of unit vectors; a row's similarity with its own id is -1."""
+
+    def work(asked, others):
+        for b in asked:
+            b.parts = _unit(b.parts)
+        held = [chosen(b) for b in asked]
+        for other in others:
+            other.parts = _unit(other.parts)
+            for b, h in zip(asked, held, strict=True):
+                sim = np.clip(b.products(other), 0, 1).astype(np.float64)
+                sim[b.numbers[0][:, None] == other.numbers[0]] = -1
+                yield from h.met(other, sim)
+        for h in held:
+            yield from h.told()
+
+    return held_against(packed(queries, numbers), packed(base, numbers), work, schema)
 
 
 def neighbours_of(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFrame:
     """For each query vector the ``k`` most similar base vectors other than itself, exactly.
 
-    Both: ``id, vector``. Queries are the stated small side and go in portions of about ``PORTION``, one pass over the base each. A
-    task holds a portion against its base vectors in blocks and keeps its own best ``k`` of each query, so tasks times queries times
-    ``k`` rows meet, not all pairs.
+    Both: ``id, vector``. Queries are the stated side and meet all rows block to block; a cell keeps the best ``k`` of each of its queries, so
+    shares times queries times ``k`` rows meet, not all pairs.
     """
-    n = max(1, -(-queries.count() // PORTION))
-    found = None
-    for part in range(n):
-        one = _portion(queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == part) if n > 1 else queries, base, k, least)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _portion(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFrame:
-    rows = queries.select("id", "vector").collect()  # a portion
-    ids = np.array([r[0] for r in rows], np.int64)
-    mine = np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1)
-    mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
-
-    def best(batches):
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            other = np.stack(pdf["vector"].to_numpy()).astype(np.float32)
-            other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
-            that = pdf["id"].to_numpy()
-            for a in range(0, len(ids), 1000):
-                sim = np.clip(mine[a : a + 1000] @ other.T, 0, 1).astype(np.float64)
-                sim[ids[a : a + 1000, None] == that[None, :]] = -1
-                order = np.lexsort((np.broadcast_to(that, sim.shape), -sim), axis=1)[:, :k]
-                q = np.repeat(ids[a : a + 1000], order.shape[1])
-                out = pd.DataFrame({"src": q, "dst": that[order.ravel()], "similarity": np.take_along_axis(sim, order, 1).ravel()})
-                yield out[out["similarity"] >= least]
-
-    found = base.select("id", "vector").mapInPandas(best, "src bigint, dst bigint, similarity double")
+
+    class Best:
+        def __init__(self, block):
+            self.ids = block.numbers[0]
+            self.sim, self.dst = np.full((len(self.ids), k), -1.0), np.zeros((len(self.ids), k), np.int64)
+
+        def met(self, other, sim):
+            floor = np.maximum(self.sim[:, -1], np.partition(sim, -k, axis=1)[:, -k]) if sim.shape[1] > k else self.sim[:, -1]
+            row, column = np.nonzero((sim >= floor[:, None]) & (sim >= least))
+            more = np.unique(row)
+            old = np.repeat(more, k)
+            owner, value = np.concatenate((old, row)), np.concatenate((self.sim[more].ravel(), sim[row, column]))
+            which = np.concatenate((self.dst[more].ravel(), other.numbers[0][column]))
+            order = np.lexsort((which, -value, owner))
+            owner, value, which = owner[order], value[order], which[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            keep = place < k
+            self.sim[owner[keep], place[keep]], self.dst[owner[keep], place[keep]] = value[keep], which[keep]
+            return ()
+
+        def told(self):
+            row, place = np.nonzero(self.sim >= max(least, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.dst[row, place]), pa.array(self.sim[row, place])], names=["src", "dst", "similarity"])
+
+    found = _pairs(queries, base, ["id"], Best, "src bigint, dst bigint, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
@@ -96,7 +117,122 @@ def top_and_total(rows: DataFrame, order: list[Column], limit: int) -> tuple[Dat
     return (rows.orderBy(*order).limit(limit) if limit else rows.filter("false")), rows.agg(F.count("*").alias("total"))
 
 
-def near_duplicates(vectors: DataFrame, asked: DataFrame, least: float = 0.9, k: int = 50) -> DataFrame:
-    """Pairs (a, b, similarity) of the asked for vectors with any others, at ``least`` or more, each pair once, the best ``k`` of each asked for one."""
-    found = neighbours_of(asked, vectors, k, least)
-    return found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "similarity").distinct()
+def near_duplicates(vectors: DataFrame, asked: DataFrame, least: float = 0.9) -> DataFrame:
+    """``a, b, similarity, a_copies, b_copies``: the distinct vectors of ``asked``, rows of ``vectors``, with each distinct vector at ``least`` or more, each pair once.
+
+    A vector is named by the least id that has it, and its copies are counted; a vector of several rows is also paired with itself. No
+    partner is left out; :func:`members` tells the rows of each vector.
+    """
+    classes = settle(vectors.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    own = classes.join(asked.select("vector"), "vector", "left_semi")
+
+    class Every:
+        def __init__(self, block):
+            self.ids, self.copies = block.numbers
+
+        def met(self, other, sim):
+            row, column = np.nonzero((sim >= least) | ((sim < 0) & (self.copies > 1)[:, None]))
+            columns = [self.ids[row], other.numbers[0][column], np.abs(sim[row, column]), self.copies[row], other.numbers[1][column]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["src", "dst", "similarity", "mine", "other"])
+
+        def told(self):
+            return ()
+
+    found = _pairs(own, classes, ["id", "copies"], Every, "src bigint, dst bigint, similarity double, mine bigint, other bigint")
+    first = F.col("src") <= F.col("dst")
+    ends = found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "similarity", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("a_copies"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("b_copies"))
+    return ends.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("similarity", "a_copies", "b_copies")])
+
+
+def members(vectors: DataFrame) -> DataFrame:
+    """``id, name``: each row with the least id of its vector."""
+    rows = settle(vectors.select("id", F.sha2(F.array_join("vector", ","), 256).alias("vector")))
+    per = settle(rows.groupBy("vector").agg(F.min("id").alias("name"), F.count("*").alias("copies")))
+    return counted_join(rows, per, "vector", "copies", rows.count()).select("id", "name")
+
+
+def duplicates(docs: DataFrame, percent: int = 90) -> DataFrame:
+    """Near duplicates of all against all: ``key, links, exact, component`` for every row of ``docs(key, text, blob)``.
+
+    Two rows are linked if they have the same blob, or if the cosine of their hashed embeddings is at least ``percent`` / 100, told from the
+    whole counts without rounding. ``links`` is the number of rows linked with this one, ``exact`` those of them with its blob, ``component`` the
+    least key that links lead to, its own included. Rows of equal vector and blob are one class, counted, never paired; classes meet block to
+    block. A null blob is no one's; a null text, or one without words, is like no other.
+    """
+    told = docs.select("key", F.coalesce("text", F.lit("")).alias("text"), "blob")
+    sparse = signed(told, "key", "text").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "sum"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0).cast("bigint")))
+    rows = docs.select("key", "blob").join(sparse, "key", "left").select("key", "blob", vector.alias("vector"))
+    half = lambda n: F.conv(F.substring(F.md5("blob"), 1 + 15 * n, 15), 16, 10).cast("bigint")
+    rows = settle(rows.withColumn("class", F.sha2(F.concat_ws("|", F.array_join("vector", ","), F.coalesce("blob", F.concat(F.lit("key "), "key"))), 256)))
+    classes = rows.groupBy("class").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.first("vector").alias("vector"), F.coalesce(F.min(half(0)), F.lit(-1)).alias("b1"), F.coalesce(F.min(half(1)), F.lit(-1)).alias("b2"))
+    classes = settle(classes.withColumn("number", F.monotonically_increasing_id()))
+    side = packed(classes, ["number", "copies", "b1", "b2"], "int64")
+
+    def work(asked, others):
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        links = [np.zeros((2, len(b.numbers[0])), np.int64) for b in asked]
+        for other in others:
+            for b, n in zip(asked, links, strict=True):
+                same = (b.numbers[2][:, None] == other.numbers[2]) & (b.numbers[3][:, None] == other.numbers[3]) & (b.numbers[2] >= 0)[:, None]
+                linked = _alike(b.parts, other.parts, percent) | same
+                linked &= b.numbers[0][:, None] != other.numbers[0]
+                n += np.stack((linked @ other.numbers[1], (linked & same) @ other.numbers[1]))
+                for x, y in _forest(linked):
+                    x, y = root(int(b.numbers[0][x])), root(int(other.numbers[0][y]))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+        for b, n in zip(asked, links, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(b.numbers[0]), pa.array(n[0]), pa.array(n[1]), pa.nulls(n.shape[1], pa.int64())], names=["number", "links", "exact", "root"])
+        ends = [(x, root(x)) for x in up if root(x) != x]
+        none = pa.array(np.zeros(len(ends), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), none, none, pa.array([r for _, r in ends], pa.int64())], names=["number", "links", "exact", "root"])
+
+    found = settle(held_against(side, side, work, "number bigint, links bigint, exact bigint, root bigint", "int64"))
+    counts = found.groupBy("number").agg(F.sum("links").alias("links"), F.sum("exact").alias("exact"))
+    label = components(found.filter("root is not null").select(F.col("number").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("number"), "label")
+    named = settle(classes.select("number", "class", "least", "copies").join(label, "number", "left").withColumn("label", F.coalesce("label", "number")))
+    per = settle(named.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("held")))
+    whole = counted_join(named, per, "label", "held", named.count()).join(counts, "number").select("class", "copies", "links", "exact", "component")
+    out = counted_join(rows.select("key", "blob", "class"), settle(whole), "class", "copies", rows.count())
+    more = F.col("copies") - 1
+    return out.select("key", (F.col("links") + more).alias("links"), (F.col("exact") + more).alias("exact"), "component")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the cosine of rows is at least ``percent`` / 100, exactly, for whole numbers."""
+    fa, fb = a.astype(np.float64), b.astype(np.float64)
+    na, nb = (fa**2).sum(axis=1), (fb**2).sum(axis=1)
+    dot = fa @ fb.T
+    ratio = dot / np.sqrt(np.maximum(na[:, None] * nb, 1))
+    out = (ratio >= percent / 100) & (dot > 0)
+    for i, j in zip(*np.nonzero(np.abs(ratio - percent / 100) < 1e-9), strict=True):  # too near for floats
+        x, y = a[i].tolist(), b[j].tolist()
+        d = sum(p * q for p, q in zip(x, y, strict=True))
+        out[i, j] = d > 0 and 10_000 * d * d >= percent * percent * sum(p * p for p in x) * sum(q * q for q in y)
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that ``linked`` joins: a row with its first column, and each column with the least row that leads to it."""
+    rows = np.flatnonzero(linked.any(axis=1))
+    m = linked[rows][:, columns] if len(columns := np.flatnonzero(linked.any(axis=0))) else linked[:0, :0]
+    label, out = np.arange(len(rows)), []
+    while len(rows):
+        low = np.where(m, label[:, None], len(rows)).min(axis=0)
+        new = np.where(m, low, len(rows)).min(axis=1)
+        if (new == label).all():
+            first = np.full(len(rows), -1)
+            np.maximum.at(first, low, np.arange(len(columns)))  # a column of each group of rows
+            out = [(int(rows[i]), int(columns[first[g]])) for i, g in enumerate(label)] + [(int(rows[g]), int(columns[c])) for c, g in enumerate(low)]
+            break
+        label = new
+    return out

@@ -1095,11 +1095,45 @@ def _embeddable(spark, sf):
 
 @query()
 def near_duplicate_files(spark, sf):
-    """Every hundredth file against all, at 0.9 or more."""
+    """Every hundredth file with all vectors at 0.9 or more."""
     dense = similar.embedded(_embeddable(spark, sf), "doc_id", "text")
     return similar.near_duplicates(dense, dense.filter("id % 100 = 0")).withColumn("similarity", F.round("similarity", 4))
 
 
+_DUPLICATES = """with d as (select doc_id, md5(coalesce(text, '')) as blob, concat_ws(' ', concat(doc_id, '.txt'), doc_id, text) as text from documents),
+  w as (select doc_id as key, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as word from d),
+  f as (select key, word as feature from w union all select key, substring(word, cast(i as bigint), 3) from (select key, word, unnest(generate_series(1, length(word) - 2)) as i from w where length(word) >= 3)),
+  c as (select key, feature, count(*) as n from f group by key, feature), t as (select distinct feature as text from c),
+  h as (select text, list_reduce(list_concat([14695981039346656037::uhugeint], list_transform(generate_series(1, cast(length(hex(encode(text))) / 2 as bigint)), lambda i: cast(concat('0x', substring(hex(encode(text)), cast(2 * i - 1 as bigint), 2)) as uhugeint))),
+  lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as v from t),
+  s as (select key, cast(v % 256 as bigint) as bucket, cast(sum(case when v >= 9223372036854775808::uhugeint then -n else n end) as bigint) as s from c join h on feature = text group by 1, 2),
+  v as (select key, list_transform(generate_series(0, 255), lambda i: cast(coalesce(map_from_entries(list({'k': bucket, 'v': s}))[i], 0) as double)) as v from s group by key),
+  k as (select doc_id, blob, v, list_inner_product(v, v) as n from d join v on doc_id = key),
+  l as (select a.doc_id as a, b.doc_id as b, a.blob = b.blob as exact from k a join k b on a.doc_id <> b.doc_id and (a.blob = b.blob or list_inner_product(a.v, b.v) >= 0.9 * sqrt(a.n * b.n))) """
+
+
+def _duplicates(spark, sf):
+    f = files(spark, sf)
+    return similar.duplicates(f.select("key", similar.node_text(F.col("name"), F.col("path"), F.col("content")).alias("text"), F.col("blob_hash").alias("blob")))
+
+
+@query(_DUPLICATES + """select concat('file:', doc_id) as key, count(b) as links, count(b) filter (where exact) as exact from d left join l on doc_id = a group by doc_id""")
+def duplicate_links(spark, sf):
+    return _duplicates(spark, sf).drop("component")
+
+
+@query(_DUPLICATES.replace("with d as", "with recursive d as", 1) + """, r as (select distinct a as node, a as reach from l union select r.node, l.b from r join l on r.reach = l.a)
+  select concat('file:', doc_id) as key, coalesce(min('file:' || reach), concat('file:', doc_id)) as component from d left join r on doc_id = node group by doc_id""")
+def duplicate_components(spark, sf):
+    return _duplicates(spark, sf).select("key", "component")
+
+
+@query(_DUPLICATES + "select cast(count(*) / 2 as bigint) as total, cast(count(*) filter (where exact) / 2 as bigint) as exact from l")
+def duplicate_total(spark, sf):
+    """How many pairs there are; they are not laid out."""
+    return _duplicates(spark, sf).agg((F.sum("links") / 2).cast("bigint").alias("total"), (F.sum("exact") / 2).cast("bigint").alias("exact"))
+
+
 @query()
 def inferred_edges(spark, sf):
     """Related files by hashed embedding: every hundredth against all, at 0.4 or more, the best five."""
