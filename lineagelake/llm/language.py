@@ -23,7 +23,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _SPACE, flat, mix, portions, powers, settle
@@ -36,6 +36,7 @@ LEAST = 2
 #: Bytes of a long text that are read at once.
 BLOCK = 1_000_000
 BITS, SPACE = 20, 32
+_RANGE = 1 << 30
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -196,18 +197,23 @@ def _held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> Model:
     """A model of the rows that are not held out and have a language. Texts are fetched once the sample is chosen by their sizes."""
     told = docs.filter(~_held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     sizes = told.select("lang", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash")).filter("size > 0")
     each = settle(sizes.groupBy("lang", "hash").agg(F.max("size").alias("size"), F.count("*").alias("n")))
-    langs = [r.lang for r in each.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.when(F.col("size") > ROW_BYTES, F.col("size")).otherwise(0), "hash")  # over-long rows last
-    least = each.filter(F.col("lang").isin(langs)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
-    chosen, used = [], dict.fromkeys(langs, 0)
-    for r in least.orderBy("lang", "place").toLocalIterator():
-        if used[r.lang] + r["size"] <= sample_bytes // len(langs) and (r["size"] <= ROW_BYTES or not used[r.lang]):
+    short = F.col("size") <= row_bytes
+    many = each.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(short).alias("short"), F.count("*").alias("all")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    langs = [r.lang for r in many]
+    # of a language's texts the part whose hashes are expected to hold twice the sample; each is taken where it lies
+    bounds = [(r.lang, r.short > 0, min(_RANGE, 2 * sample * _RANGE // (r.short or r.all) + 1)) for r in many]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, shorter boolean, bound bigint"))
+    least = each.join(bounds, "lang").filter((short | ~F.col("shorter")) & (F.pmod("hash", F.lit(_RANGE)) < F.col("bound"))).select("lang", "size", "hash")
+    chosen, used, held = [], dict.fromkeys(langs, 0), dict.fromkeys(langs, 0)
+    for r in sorted(least.collect(), key=lambda r: (r.lang, r["size"] if r["size"] > row_bytes else 0, r.hash % _RANGE, r.hash)):
+        if held[r.lang] < sample and used[r.lang] + r["size"] <= sample_bytes // len(langs):
             used[r.lang] += r["size"]
+            held[r.lang] += 1
             chosen.append((r.lang, r.hash))
     if not chosen:
         return Model([], [])

@@ -105,7 +105,7 @@ def test_learns_only_from_its_rows(spark):
     assert model.langs == moved.langs and np.array_equal(model.grams, moved.grams) and np.array_equal(model.gram_logs, moved.gram_logs)
 
 
-@pytest.mark.parametrize("bound", [{}, {"sample": 3}, {"sample_bytes": 200}])
+@pytest.mark.parametrize("bound", [{}, {"sample": 3}, {"sample_bytes": 200}, {"row_bytes": 10}])
 def test_rows(spark, bound):
     rows = [(k, t, lang, "s") for k, (t, lang) in enumerate(zip(TEXTS * 5, ["de", "en", None, "de"] * 5, strict=True))]
     rows += [(100, None, "de", "s"), (101, "", "en", "s"), (102, "1 2 3", "en", None), (None, "the dog", "en", "s"), (103, "Der Hund", None, "s"), (103, "Der Hund", None, "s")]
