@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import yaml
-from ..functions.text import REDACTED, image_reference, slug
+from ..functions.text import REDACTED, image_reference, slug, wiki_links, without_code
 from ..plans.lineage import settle
 
 
@@ -115,22 +117,78 @@ def config_keys(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, key string, value string")
 
 
+#: How a comment line begins.
+COMMENT_STARTS = ("//", "#", "*", "/*", "<!--", ";", "--")
+
+
 def annotations(files: DataFrame, tag: str = "@ref") -> DataFrame:
     """``path, id`` of ``@ref:<id>`` in comment lines, outside code spans."""
-    lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).filter(F.col("line").rlike(r"^\s*(//|#|--|\*|/\*)"))
-    plain = F.regexp_replace("line", "`[^`]*`", "")
-    return lines.select("path", F.explode(F.regexp_extract_all(plain, F.lit(rf"{tag}:([A-Za-z0-9_.#-]+)"), 1)).alias("id")).distinct()
+    start = "|".join(re.escape(c) for c in COMMENT_STARTS)
+    lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).filter(F.col("line").rlike(rf"(?U)^\s*(?:{start})"))
+    return lines.select("path", F.explode(F.regexp_extract_all(without_code(F.col("line")), F.lit(rf"{tag}:([A-Za-z0-9_-]+)"), 1)).alias("id")).distinct()
 
 
-def headings(files: DataFrame) -> DataFrame:
-    """``path, place, level, title, slug, parent`` of Markdown headings; the parent is the nearest shallower heading before."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("place", "line"))
-    found = lines.filter(F.col("line").rlike(r"^#{1,6} ")).select("path", "place", F.length(F.regexp_extract("line", "^(#+) ", 1)).alias("level"), F.trim(F.regexp_replace("line", "^#+ ", "")).alias("title"))
-    before = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == n, F.struct("place", "title")), ignorenulls=True).over(before).alias(f"l{n}") for n in range(1, 7)]
-    wide = found.select("*", *last)
+def _outline(files: DataFrame) -> DataFrame:
+    """Headings and lines with ``[[`` of Markdown contents, outside code fences: ``path, place, line, level, title, parent, within``.
+
+    ``level`` is null for lines that are no headings; ``parent`` is the nearest shallower heading before (title and place), ``within`` the nearest heading before.
+    """
+    lines = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("place", "line"))
+    fence, heading = F.col("line").rlike(r"(?U)^\s*```"), F.col("line").rlike("^#{1,6} ")
+    marks = lines.withColumn("fence", fence).filter(F.col("fence") | heading | F.col("line").contains("[["))
+    upto = Window.partitionBy("path").orderBy("place")
+    open_ = F.count_if("fence").over(upto.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
+    found = marks.withColumn("open", open_).filter(~F.col("fence") & ~F.col("open")).select("path", "place", "line", F.when(heading, F.length(F.regexp_extract("line", "^(#+) ", 1))).alias("level"))
+    found = found.withColumn("title", F.when(F.col("level").isNotNull(), F.regexp_replace(F.regexp_replace("line", "^#+ ", ""), r"(?U)^\s+|\s+\z", "")))
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct("place", "title")
+    last = [F.last(F.when(F.col("level") == n, own), ignorenulls=True).over(before).alias(f"l{n}") for n in range(1, 7)]
+    wide = found.select("*", *last, F.last(F.when(F.col("level").isNotNull(), own), ignorenulls=True).over(before).alias("within"))
     above = [F.when(F.col("level") > n, F.col(f"l{n}")) for n in range(1, 7)]
-    return wide.select("path", "place", "level", "title", slug(F.col("title")).alias("slug"), F.array_max(F.array(*above))["title"].alias("parent"))
+    return wide.select("path", "place", "line", "level", "title", F.array_max(F.array(*above)).alias("parent"), "within")
+
+
+def headings(files: DataFrame) -> DataFrame:
+    """``path, place, level, title, slug, parent`` of Markdown headings outside code fences; the parent is the nearest shallower heading before."""
+    found = _outline(files).filter("level is not null")
+    return found.select("path", "place", "level", "title", slug(F.col("title")).alias("slug"), F.col("parent.title").alias("parent"))
+
+
+#: The prefix of section keys and their kind.
+SECTION, SECTION_KIND = "lat", "lat_section"
+
+
+def _stem(name: Column) -> Column:
+    """Lower-case name without directories and the last ending."""
+    return F.lower(F.regexp_replace(F.substring_index(name, "/", -1), r"(?s)^(.*)\.[^.]*\z", "$1"))
+
+
+def sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and authored edges of Markdown files (path, content) and their sections.
+
+    A file contains its sections, a section those below it. ``[[stem]]`` and ``[[stem#Section]]`` name a file of these, the first by path of its
+    stem, or its deepest section; ``[[path#Symbol]]`` and ``[[path]]`` name code. A link is that of the section around it, or of the file before the first.
+    Of sections with one slug the last gives the name.
+    """
+    of = lambda path, title=None: F.concat(F.lit(f"{SECTION}:"), path, *([] if title is None else [F.lit("#"), slug(title)]))
+    rows = settle(_outline(files))
+    found = rows.filter("level is not null").select("path", "place", "title", of(F.col("path"), F.col("title")).alias("key"), F.when(F.col("parent").isNull(), of(F.col("path"))).otherwise(of(F.col("path"), F.col("parent.title"))).alias("above"))
+    inner = found.groupBy("key").agg(F.max_by("title", "place").alias("name"), F.first("path").alias("path")).select("key", F.lit(SECTION_KIND).alias("kind"), "name", "path")
+    first = found.groupBy("path").agg(F.min_by("title", "place").alias("title"))
+    docs = files.select("path").join(first, "path", "left").select(of(F.col("path")).alias("key"), F.lit("doc").alias("kind"), F.coalesce("title", _stem(F.col("path"))).alias("name"), "path")
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    links = rows.filter("level is null").select(F.when(F.col("within").isNull(), of(F.col("path"))).otherwise(of(F.col("path"), F.col("within.title"))).alias("src"), F.explode(wiki_links(F.col("line"))).alias("raw"))
+    parts = links.select("src", trimmed(F.substring_index("raw", "#", 1)).alias("head"), F.when(F.col("raw").contains("#"), trimmed(F.regexp_replace("raw", r"(?s)^[^#]*#", ""))).alias("rest"))
+    plain = ~F.col("head").contains("/") & F.lower("head").rlike(r"^(?:[^.]*|.*\.md)\z")
+    index = files.groupBy(_stem(F.col("path")).alias("stem")).agg(F.min("path").alias("there"))
+    named = parts.withColumn("stem", F.when(plain, _stem(F.col("head")))).join(index, "stem", "left")
+    ending = F.lower(F.regexp_extract("head", r"\.([^.]*)\z", 1))
+    lang = F.when(~F.col("head").contains("."), "text").when(ending == "rs", "rust").otherwise(ending)
+    code = F.when(F.col("head") == "", None).when(F.coalesce("rest", F.lit("")) != "", F.concat(F.lit("sym:"), lang, F.lit(":"), "head", F.lit("#"), "rest")).otherwise(F.concat(F.lit("file:"), "head"))
+    inside = F.when(F.col("rest").isNull(), of(F.col("there"))).otherwise(of(F.col("there"), trimmed(F.substring_index("rest", "#", -1))))
+    refs = named.select("src", F.when(F.col("there").isNotNull(), inside).otherwise(code).alias("dst"), F.lit("references").alias("kind")).filter("dst is not null")
+    edges = found.select(F.col("above").alias("src"), F.col("key").alias("dst"), F.lit("contains").alias("kind")).unionByName(refs).distinct()
+    return docs.unionByName(inner).withColumn("provenance", F.lit("authored")), edges.withColumn("provenance", F.lit("authored"))
 
 
 def base_images(files: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def markers(files: DataFrame, rules: tuple[tuple, ...] = MARKER_RULES, ignore: t
     told = F.transform(F.arrays_zip(*parts), lambda line, at: F.struct((at + 1).cast("bigint").alias("line"), category(line).alias("category"), line["text"].alias("text")))
     # the outer form, as the plain one would evaluate the array once more to pass over empty ones
     rows = found.select("path", F.explode_outer(F.filter(told, lambda m: m["category"].isNotNull())).alias("m")).filter("m is not null").select("path", "m.*")
-    text = F.trim(F.regexp_replace("text", r"\r\z", ""))
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+\z", "")
     return rows.withColumn("text", F.when(F.char_length(text) > MARKER_TEXT, F.concat(F.substring(text, 1, MARKER_TEXT), F.lit("…"))).otherwise(text))
 
 

@@ -55,13 +55,37 @@ def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return found.select("caller", F.coalesce("alone", "inside").alias("callee")).filter("callee is not null").distinct()
 
 
+def override_cells(hub: DataFrame, matches: DataFrame) -> DataFrame:
+    """One cell per hub key and spoke: ``key, spoke, value, spoke_key, confidence, provenance, differs, baseline, baseline_unknown``.
+
+    ``hub``: key, value; ``matches``: spoke, key, value, seq and, where known, spoke_key, confidence, provenance, and ``measured`` with ``unknown``: the
+    hub's value at the spoke's own revision, and whether it could not be read. Without ``measured`` a cell is held against the hub's value, which is empty where the hub lacks it.
+    What is unknown differs from nothing; a null value of the hub is unknown. ``baseline`` is told where it is another than the hub's. Of several
+    matches the first that differs counts, else the first.
+    """
+    for name, kind in (("measured", "string"), ("unknown", "boolean"), ("spoke_key", "string"), ("confidence", "double"), ("provenance", "string")):
+        matches = matches if name in matches.columns else matches.withColumn(name, F.lit(None).cast(kind))
+    own = hub.select("key", F.coalesce("value", F.lit("")).alias("hub_value"), F.col("value").isNull().alias("hub_unknown"))
+    cells = matches.join(own, "key", "left").withColumn("hub_value", F.coalesce("hub_value", F.lit("")))
+    unknown = F.coalesce("unknown", F.lit(False)) | (F.col("measured").isNull() & F.coalesce("hub_unknown", F.lit(False)))
+    against = F.coalesce("measured", "hub_value")
+    cells = cells.select("key", "spoke", "seq", "value", "spoke_key", "confidence", "provenance", (~unknown & ~against.eqNullSafe(F.col("value"))).alias("differs"), F.when(~unknown & (against != F.col("hub_value")), against).alias("baseline"), unknown.alias("baseline_unknown"))
+    fields = ["value", "spoke_key", "confidence", "provenance", "differs", "baseline", "baseline_unknown"]
+    best = F.min_by(F.struct(*fields), F.struct((~F.col("differs")).alias("same"), "seq"))
+    return cells.groupBy("key", "spoke").agg(best.alias("c")).select("key", "spoke", *[F.col(f"c.{f}").alias(f) for f in fields])
+
+
+def override_rows(hub: DataFrame, matches: DataFrame) -> DataFrame:
+    """``key, hub_value, file, overrides``: each hub key that a spoke sets with its file, empty where matches name several, and the number of its matches."""
+    named = F.when(F.col("file") != "", F.col("file"))
+    per = matches.groupBy("key").agg(F.min(named).alias("least"), F.max(named).alias("most"), F.count("*").alias("overrides"))
+    one = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("")
+    return per.join(hub.select("key", "value"), "key", "left").select("key", F.coalesce("value", F.lit("")).alias("hub_value"), F.coalesce(one, F.lit("")).alias("file"), "overrides")
+
+
 def override_matrix(hub: DataFrame, spokes: DataFrame) -> DataFrame:
-    """One cell per hub key and spoke: whether the spoke's value differs; a differing row replaces one that does not, else the first wins."""
-    cells = hub.select("key", F.col("value").alias("hub_value")).join(spokes, "key")
-    differs = ~F.col("value").eqNullSafe(F.col("hub_value"))
-    cells = cells.withColumn("differs", differs)
-    best = F.min_by(F.struct("value", "differs"), F.struct((~F.col("differs")).alias("same"), "seq"))
-    return cells.groupBy("key", "spoke").agg(best.alias("c")).select("key", "spoke", F.col("c.value").alias("value"), F.col("c.differs").alias("differs"))
+    """The cells of keys that the hub has: ``key, spoke, value, differs``."""
+    return override_cells(hub, spokes.join(hub.select("key"), "key", "left_semi")).select("key", "spoke", "value", "differs")
 
 
 def drift_rows(hub: DataFrame, spokes: DataFrame) -> DataFrame:

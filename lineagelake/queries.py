@@ -934,9 +934,10 @@ def called_parts(spark, sf):
     return nodes(spark, sf, ("part",)).select("key").intersect(edges(spark, sf, ("calls",)).select("dst"))
 
 
-@query("select key from nodes where kind in ('customer', 'part') except select src from edges where kind = 'calls'")
+@query("select key from nodes where kind in ('customer', 'part', 'supplier') except select src from edges where kind = 'calls'")
 def never_calling(spark, sf):
-    return nodes(spark, sf, ("customer", "part")).select("key").exceptAll(edges(spark, sf, ("calls",)).select(F.col("src").alias("key")).distinct().join(nodes(spark, sf, ("customer", "part")).select("key"), "key", "left_semi"))
+    of = nodes(spark, sf, ("customer", "part", "supplier")).select("key")
+    return of.exceptAll(edges(spark, sf, ("calls",)).select(F.col("src").alias("key")).distinct().join(of, "key", "left_semi"))
 
 
 @query("select time_bucket(interval '1 hour', ts) as \"start\", time_bucket(interval '1 hour', ts) + interval '1 hour' as \"end\", event_type, count(*) as events, round(sum(value), 2) as total from events group by 1, 2, 3")
@@ -1208,4 +1209,4 @@ def newest_layers(spark, sf):
 for _name in ("k_hop", "correspondence", "claim_coverage", "innermost_span", "band_join", "class_recall", "merged_intervals", "chance_baseline"):
     QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
 
-from . import queries_rules  # noqa: E402, F401
+from . import queries_rules, queries_told  # noqa: E402, F401

@@ -452,6 +452,6 @@ def struct_keys(spark, sf):
     return extract.struct_keys(fields.distinct())
 
 
-@query("with g as (" + _search_sql("widget") + "), best as (select key, score from g order by score desc, key limit 30) select key, score from best where key like 'file:%' order by score desc, key limit 10")
+@query("with g as (" + _search_sql("txt") + "), best as (select key, score from g order by score desc, key limit 30) select key, score from best where key like 'file:%' order by score desc, key limit 10")
 def topic_documents(spark, sf):
-    return context.topic_documents(_searchable(spark, sf), "widget", ("file",), 10)
+    return context.topic_documents(_searchable(spark, sf), "txt", ("file",), 10)
