@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import counted_join
 from .common import portions, settle
 
 COPIED, WIDE = 3, 20
@@ -97,9 +98,10 @@ def _judged(scanned: DataFrame, copied: int, wide: int) -> DataFrame:
     once = held.select(repository.alias("repository"), F.col("repository").isNull().alias("own"), "owner", values.alias("value"))
     repositories = once.select("value", "own", "repository").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
     owners = once.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    counts = settle(repositories.join(owners, "value"))
+    held_by = each.groupBy("value").agg(F.count("*").alias("held"))
+    counts = settle(repositories.join(owners, "value").join(held_by, "value"))
     many = (F.col("owners") >= copied) | ((F.col("owners") > 1) & (F.col("repositories") >= wide))
-    judged = each.join(counts, "value").withColumn("live", ~many)
+    judged = counted_join(each, counts, "value", "held", each.count()).withColumn("live", ~many)
     return judged.filter("kind < 3 or live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "repositories", "owners", "live"))).alias("spans"))
 
 
