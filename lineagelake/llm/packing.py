@@ -1,7 +1,7 @@
 """Packing token sequences by first-fit decreasing (operator 10).
 
 Every document becomes token ids and an end id; it is cut into pieces of at
-most ``capacity`` ids, which travel with their pieces and are laid into the sequences. Full pieces are sequences of their own. The rest of a
+most ``capacity`` ids, which travel with their pieces and are laid into the sequences. Full pieces are sequences of their own; their ids travel only if they are asked for. The rest of a
 random group of documents is packed by first-fit decreasing: a tournament
 tree over the bins holds the most room in each subtree, so the first bin with
 room is found in a walk from the root. Groups are drawn by a hash of the row's place in the table and hold about
@@ -61,8 +61,11 @@ def coder(path: str):
     return ids
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids: ``id, draw, start, length, doc_tokens, ids``."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: ``id, draw, start, length, doc_tokens, crc, ids``.
+
+    A full piece is a sequence as it is: it has its checksum here, and without ``keep_ids`` no ids. The others have none until they are packed.
+    """
     path = path or bpe.vocabulary_path()
 
     def run(batches):
@@ -79,14 +82,23 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             row, start, total = pa.array(row, pa.int64()), np.array(start, np.int64), np.array(total, np.int64)
             length = np.minimum(capacity, total - start)
             every = np.concatenate(kept) if kept else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(start), pa.array(length), pa.array(total), lists], names=["id", "draw", "start", "length", "doc_tokens", "ids"])
+            ends = np.append(0, np.cumsum(length))
+            full = length == capacity
+            raw = memoryview(every.astype("<u4").view(np.uint8))
+            crc = np.zeros(len(length), np.int64)
+            for k in np.flatnonzero(full).tolist():
+                crc[k] = zlib.crc32(raw[4 * ends[k] : 4 * ends[k + 1]])
+            carried = length if keep_ids else np.where(full, 0, length)
+            every = every if keep_ids else every[np.repeat(~full, length)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(carried)).astype(np.int32)), pa.array(every))
+            columns = [batch.column(0).take(row), batch.column(2).take(row), pa.array(start), pa.array(length), pa.array(total), pa.array(crc), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "draw", "start", "length", "doc_tokens", "crc", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     # the row's own number, so that rows that repeat id and text are drawn apart
     draw = F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id())
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), draw.alias("draw"))
-    return text.mapInArrow(run, f"id {kind}, draw bigint, start bigint, length bigint, doc_tokens bigint, ids array<int>")
+    return text.mapInArrow(run, f"id {kind}, draw bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids array<int>")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +126,9 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """The pieces of all documents with ``sequence_id`` and ``offset``, the ``ids_crc32`` of their ids as packed and, if asked for, the ``ids``; :func:`sequences` lays these out."""
     groups = max(1, round(docs.count() / group))
-    cut = pieces(docs, path, capacity, 0, id_col, text_col).withColumn("group", F.pmod(F.xxhash64("draw", F.lit(10)), F.lit(groups)))
+    cut = pieces(docs, path, capacity, 0, id_col, text_col, keep_ids)
+    # a very long document is in several groups
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("draw", F.floor(F.col("start") / (group * capacity)), F.lit(10)), F.lit(groups)))
 
     def work(batch):
         column = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
@@ -131,9 +145,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
             part[full] = used + np.arange(int(full.sum()))
             where[a:b] = (column["group"][a].as_py() << 32) + part
         ids = column["ids"].flatten().to_numpy().astype("<u4")
-        ends = np.append(0, np.cumsum(length))
+        full = length == capacity
+        ends = np.append(0, np.cumsum(length if keep_ids else np.where(full, 0, length)))
         raw = memoryview(ids.view(np.uint8))
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        crc = column["crc"].to_numpy().copy()
+        for k in np.flatnonzero(~full).tolist():
+            crc[k] = zlib.crc32(raw[4 * ends[k] : 4 * ends[k + 1]])
         names = ["id", "start", "length", "doc_tokens"]
         yield pa.RecordBatch.from_arrays([*[column[c] for c in names], pa.array(where), pa.array(offset), pa.array(crc, pa.int64()), column["ids"]], names=[*names, "sequence_id", "offset", "ids_crc32", "ids"])
 
