@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import tomllib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,63 +62,72 @@ def _resource(doc: dict) -> dict:
     return out
 
 
-def config_keys(files: DataFrame) -> DataFrame:
-    """``path, key, value`` of TOML, JSON, YAML and ``.env`` contents; keys dotted, the last value of a key wins, arrays are one value each.
+def _shown(value, gap: str) -> str | None:
+    return None if value is None else value if isinstance(value, str) else json.dumps(value, separators=(gap, ":"), ensure_ascii=False, default=str)
 
-    Of Kubernetes resources only what a deployment sets is taken. A file that can't be read has no keys. Values of keys that are named like secrets are redacted by
-    :func:`..functions.text.redacted`.
-    """
 
-    def shown(value, gap: str) -> str | None:
-        import json
-
-        return None if value is None else value if isinstance(value, str) else json.dumps(value, separators=(gap, ":"), ensure_ascii=False, default=str)
-
-    def flatten(prefix: str, value, out: dict, gap: str) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                flatten(f"{prefix}.{k}" if prefix else str(k), v, out, gap)
-        elif gap == "yaml" and isinstance(value, list):
-            out[prefix] = f"[{', '.join(value)}]" if all(isinstance(v, str) for v in value) else f"[<{len(value)} items>]"
-        else:
-            out[prefix] = shown(value, gap)
-
-    def keys(path: str, content: str) -> dict:
-        import json
-        import tomllib
-
-        out: dict = {}
-        ending = path.rpartition("/")[2].rpartition(".")[2].lower()
-        if ending == "toml":
-            flatten("", tomllib.loads(content), out, ", ")
-        elif ending == "json":
-            flatten("", json.loads(content or "{}"), out, ",")
-        elif ending in ("yaml", "yml"):
-            for doc in yaml.documents(content):
-                if isinstance(doc, dict) and "apiVersion" in doc and isinstance(doc.get("kind"), str):
-                    out |= _resource(doc)
-                else:
-                    flatten("", doc, out, "yaml")
-        else:
-            for line in map(str.strip, content.splitlines()):
-                name, eq, value = line.removeprefix("export ").partition("=")
-                if eq and name.strip() and not line.startswith("#"):
-                    out[name.strip()] = value.strip().strip('"').strip("'")
-        return out
+def _flatten(prefix: str, value, out: dict, gap: str) -> None:
+    if isinstance(value, dict):
+        for k, v in value.items():
+            _flatten(f"{prefix}.{k}" if prefix else str(k), v, out, gap)
+    elif gap == "yaml" and isinstance(value, list):
+        out[prefix] = f"[{', '.join(value)}]" if all(isinstance(v, str) for v in value) else f"[<{len(value)} items>]"
+    else:
+        out[prefix] = _shown(value, gap)
+
+
+def file_keys(path: str, content: str) -> dict[str, str | None]:
+    """The keys of one configuration file and their values; ``ValueError`` or ``RecursionError`` where it can't be read."""
+    out: dict = {}
+    ending = path.rpartition("/")[2].rpartition(".")[2].lower()
+    if ending == "toml":
+        _flatten("", tomllib.loads(content), out, ", ")
+    elif ending == "json":
+        _flatten("", json.loads(content or "{}"), out, ",")
+    elif ending in ("yaml", "yml"):
+        for doc in yaml.documents(content):
+            if isinstance(doc, dict) and "apiVersion" in doc and isinstance(doc.get("kind"), str):
+                out |= _resource(doc)
+            else:
+                _flatten("", doc, out, "yaml")
+    else:
+        for line in map(str.strip, content.splitlines()):
+            name, eq, value = line.removeprefix("export ").partition("=")
+            if eq and name.strip() and not line.startswith("#"):
+                out[name.strip()] = value.strip().strip('"').strip("'")
+    return {k: v for k, v in out.items() if k}
+
+
+def config_facts(files: DataFrame) -> DataFrame:
+    """:func:`config_keys`, and a row without a key for each file that can't be read, with the reason as its value."""
 
     def read(batches):
         for pdf in batches:
-            rows = []
+            rows: list = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, k, v) for k, v in keys(path, content or "").items() if k]
-                except (ValueError, RecursionError):
-                    continue  # a file that can't be read has no keys
+                    rows += [(path, k, v) for k, v in file_keys(path, content or "").items()]
+                except (ValueError, RecursionError) as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "key", "value"])
 
     return files.select("path", "content").mapInPandas(read, "path string, key string, value string")
 
 
+def config_keys(files: DataFrame) -> DataFrame:
+    """``path, key, value`` of TOML, JSON, YAML and ``.env`` contents; keys dotted, the last value of a key wins, arrays are one value each.
+
+    Of Kubernetes resources only what a deployment sets is taken. A file that can't be read has no keys; :func:`unread` names it. Values of keys that are named like secrets are redacted by
+    :func:`..functions.text.redacted`.
+    """
+    return config_facts(files).filter("key is not null")
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """``path, reason`` of the configuration files that can't be read."""
+    return config_facts(files).filter("key is null").select("path", F.col("value").alias("reason"))
+
+
 #: How a comment line begins.
 COMMENT_STARTS = ("//", "#", "*", "/*", "<!--", ";", "--")
 

@@ -5,20 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    That is the folder already set, else ``spark.checkpoint.dir``. Where neither is there, a folder in the warehouse is taken on a cluster, and a
-    temporary one only where driver and executors are one process.
+    That is the folder already set, else ``spark.checkpoint.dir``. Where neither is there, a folder in the warehouse is taken on a cluster, which must not be a
+    machine's own then, and a temporary one only where driver and executors are one process.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="checkpoints")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4()}")
+        if not folder:
+            home = spark.conf.get("spark.sql.warehouse.dir")
+            if home.startswith("file:"):
+                raise ValueError(f"set spark.checkpoint.dir: the warehouse is a local folder, {home}")
+            folder = f"{home}/checkpoints-{uuid.uuid4()}"
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes what nothing refers to any more."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, for a table."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4()}"

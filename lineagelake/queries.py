@@ -1209,4 +1209,4 @@ def newest_layers(spark, sf):
 for _name in ("k_hop", "correspondence", "claim_coverage", "innermost_span", "band_join", "class_recall", "merged_intervals", "chance_baseline"):
     QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
 
-from . import queries_rules, queries_told  # noqa: E402, F401
+from . import queries_rules, queries_stored, queries_told  # noqa: E402, F401

@@ -13,7 +13,18 @@ def test_documents():
     want = [{"a": "1", "b": ["x", {"y": "2", "z": "q # r"}], "c": {"k": "v", "l": ["1", "p, q"]}, "d": "line1\n line2 # no comment\n", "e": "a\nb", "f": ["1", "2"], "g": "null", "h": "http://x:1/y"}, ["1", {"k": "v"}], "just"]
     assert documents(text) == want
     assert documents("# only\n---\n") == []
-    for bad in ("a: &x 1", "a: [1, 2", "a:\n  b: 1\n    c: 2", "a: *x"):
+    for bad in ("a: [1, 2", "a:\n  b: 1\n    c: 2", "a: *x"):
+        with pytest.raises(ValueError):
+            documents(bad)
+
+
+def test_anchors_and_tags():
+    text = "a: &x 1\nb: *x\nc: &m\n  k: !!str v\n  l: &s [p, *x, &q {r: *x}]\nd: *m\ne: !tag\n- &i one\n- *i\n- &j\n  z: *s\n- *j\nf: &t |\n  text\ng: *t\nh: *q\n"
+    seq = ["p", "1", {"r": "1"}]
+    m = {"k": "v", "l": seq}
+    assert documents(text) == [{"a": "1", "b": "1", "c": m, "d": m, "e": ["one", "one", {"z": seq}, {"z": seq}], "f": "text\n", "g": "text\n", "h": {"r": "1"}}]
+    assert documents("&top\na: 1\n") == [{"a": "1"}] and documents("x: &e\ny: *e") == [{"x": "null", "y": "null"}]
+    for bad in ("a: *none", "---\na: &x 1\n---\nb: *x", "*a : 1"):
         with pytest.raises(ValueError):
             documents(bad)
 
@@ -41,7 +52,9 @@ def test_resources(spark):
         "x.json": '{"l": ["a", 1, true], "o": {"p": 1.5}}',
         "x.toml": 'l = ["a", "b"]\nt = true\n',
     }
-    got = {(r.path, r.key): r.value for r in extract.config_keys(spark.createDataFrame(list(files.items()), "path string, content string")).collect()}
+    frame = spark.createDataFrame(list(files.items()), "path string, content string")
+    assert [tuple(r) for r in extract.unread(frame).collect()] == [("bad.yaml", "ValueError: not closed: [1")]
+    got = {(r.path, r.key): r.value for r in extract.config_keys(frame).collect()}
     assert got == {
         ("m.yaml", "A"): "x", ("m.yaml", "A2"): "3", ("s.yml", "list"): "<redacted>", ("s.yml", "user"): "<redacted>", ("p.yaml", "container.container.image"): "i:1", ("p.yaml", "E"): "v",
         ("plain.yaml", "a.b"): "true", ("plain.yaml", "a.l"): "[1, 2]", ("plain.yaml", "a.m"): "[<2 items>]", ("plain.yaml", "a2"): "2", ("x.json", "l"): '["a",1,true]', ("x.json", "o.p"): "1.5", ("x.toml", "l"): '["a", "b"]', ("x.toml", "t"): "true",
