@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -30,6 +30,10 @@ from .common import WHITE, flat, mix, per_row, portions, settle, word_hashes
 WIDTH, PRIOR = 5.0, 50
 #: Least half widths of the bands, in the measures' own units.
 LEAST = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.06}
+#: Steps of the quartiles' grid in a measure's unit.
+GRID = 1 << 14
+#: Bytes of a row for each language, and of all of them that are sent to every task at most.
+ROW_BYTES, BROADCAST_BYTES = 200, 8_000_000
 #: Fixed value: the characters that count as symbols.
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -131,6 +135,23 @@ def measured(docs: DataFrame, path: str, fallback: str, id_col: str, text_col: s
     return rows.mapInArrow(run, f"id {kind}, lang string, {', '.join(f'{c} bigint' for c in (*_COUNTS, 'n_tokens'))}, {', '.join(f'{m} double' for m in _MEASURES)}")
 
 
+def _small(per_language: DataFrame) -> DataFrame:
+    """One row for each language, sent to every task if there are few enough; the same join by a shuffle otherwise."""
+    return F.broadcast(per_language) if per_language.count() * ROW_BYTES <= BROADCAST_BYTES else per_language
+
+
+def _quartiles(off: DataFrame, by: list[str]) -> DataFrame:
+    """``<measure>_q``: the three quartiles of each measure, told by counts on a grid, so that they are the same however the rows are dealt."""
+    values = off.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.floor(F.col(m) * GRID).alias("at")) for m in _MEASURES])).alias("v")).select(*by, "v.m", "v.at")
+    counts = values.filter("at is not null").groupBy(*by, "m", "at").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*by, "m")
+    upto = F.sum("n").over(whole.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))  # a row for each step of the grid that is met
+    placed = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole))
+    quarter = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("at"))) / GRID
+    told = placed.groupBy(*by, "m").agg(F.array(quarter(1), quarter(2), quarter(3)).alias("q"))
+    return told.groupBy(*by).agg(*[F.max_by(F.when(F.col("m") == m, F.col("q")), F.col("m") == m).alias(f"{m}_q") for m in _MEASURES])
+
+
 def bands(rows: DataFrame, width: float, prior: float) -> DataFrame:
     """Per language (``of``): ``slope``, ``middle`` and ``half`` of the band of each measure; ``middle`` is where its line is at ``size`` 0.
 
@@ -147,10 +168,9 @@ def bands(rows: DataFrame, width: float, prior: float) -> DataFrame:
     mixed = lambda a, b: own * a + (1 - own) * b
     start = lambda m, k, at: F.col(f"{m}{k}.mean") - F.col(f"{m}{k}.slope") * F.col(at)
     lined = told.select(F.col("of.lang").alias("of"), own.alias("own"), *[F.struct(mixed(F.col(f"{m}.slope"), F.col(f"{m}0.slope")).alias("slope"), mixed(start(m, "", "at"), start(m, 0, "at0")).alias("start")).alias(m) for m in _MEASURES])
-    off = good.join(F.broadcast(lined), F.col("lang").eqNullSafe(F.col("of"))).select("lang", *[(good[m] - lined[m]["start"] - lined[m]["slope"] * F.col("size")).alias(m) for m in _MEASURES])
-    spread = lambda df, *by: df.groupBy(*by).agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"{m}_q") for m in _MEASURES])
+    off = good.join(_small(lined), F.col("lang").eqNullSafe(F.col("of"))).select("lang", *[(good[m] - lined[m]["start"] - lined[m]["slope"] * F.col("size")).alias(m) for m in _MEASURES])
     off = settle(off)
-    each, every = spread(off, "lang"), spread(off).select(*[F.col(f"{m}_q").alias(f"{m}_q0") for m in _MEASURES])
+    each, every = _quartiles(off, ["lang"]), _quartiles(off, []).select(*[F.col(f"{m}_q").alias(f"{m}_q0") for m in _MEASURES])
     q = lined.join(each, F.col("of").eqNullSafe(F.col("lang"))).drop("lang").crossJoin(F.broadcast(every))  # one row
 
     def band(m: str):
@@ -168,7 +188,7 @@ def judged(docs: DataFrame, path: str | None = None, fallback: str | None = None
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = measured(docs, path, fallback, id_col, text_col, lang_col).withColumn("base_failed", failed)
     rows = settle(rows.withColumn("size", F.log2(F.greatest("n_tokens", F.lit(1)))))
-    out = rows.join(F.broadcast(bands(rows, width, prior)), F.col("lang").eqNullSafe(F.col("of")), "left")  # one row for each language
+    out = rows.join(_small(bands(rows, width, prior)), F.col("lang").eqNullSafe(F.col("of")), "left")
     middle = lambda m: F.col(f"{m}_band.middle") + F.col(f"{m}_band.slope") * F.col("size")
     below = lambda m: F.col(m) < middle(m) - F.col(f"{m}_band.half")
     above = lambda m: F.col(m) > middle(m) + F.col(f"{m}_band.half")

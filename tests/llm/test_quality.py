@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import pyarrow as pa
 
@@ -124,3 +125,17 @@ def test_bands_like_numpy(spark):
             off[rows.index] -= q[1]
         want &= ~((off.abs() > half) if m == "chars_per_token" else (off > half) if m == "byte_share" else (off < -half))
     assert (want != good.kept).sum() <= 2  # quantiles of Spark are those of a sketch
+
+
+def test_quartiles_like_sorted_values(spark):
+    """However the rows are dealt, the quartiles are those of the sorted values, to a step of the grid."""
+    rng = np.random.default_rng(8)
+    rows = [(["de", None, "x"][k % 3], *[float(v) for v in rng.normal(0, 1, 3)]) for k in range(500)] + [("one", 0.5, 0.5, -0.5)]
+    df = spark.createDataFrame(rows, "lang string, chars_per_token double, byte_share double, entropy double")
+    one = {r.lang: r for r in quality._quartiles(df.repartition(1), ["lang"]).collect()}
+    assert one == {r.lang: r for r in quality._quartiles(df.repartition(7), ["lang"]).collect()} and len(one) == 4
+    for lang, r in one.items():
+        for c, m in enumerate(quality._MEASURES):
+            own = np.sort([row[c + 1] for row in rows if row[0] == lang])
+            want = [own[-(-len(own) * k // 4) - 1] for k in (1, 2, 3)]
+            assert np.allclose(r[f"{m}_q"], want, atol=1.1 / quality.GRID)
