@@ -20,6 +20,14 @@ from lineagelake.llm.common import settle, table
 #: Keys of dropped rows that are sent to every task rather than joined by a shuffle of texts, at most.
 BROADCAST_BYTES = 8_000_000
 SHINGLE, PERCENT = 5, 80
+#: Bytes of a batch of rows on its way to a Python worker, where the cluster's own setting says nothing.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bounded(spark: SparkSession) -> None:
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -43,6 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the score of the bias alone and stay where that is under one half. Repeated rows are scored alike. An empty table gives an empty one.
     """
+    _bounded(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score = _free(docs, "score")
     return toxicity.scored(docs, model, keep=docs.columns, score=score).filter(F.col(score) < 0.5).drop(score)
@@ -53,6 +62,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat both id and text one stays. An empty table gives an empty one.
     """
+    _bounded(spark)
     found = settle(exact_dedup.exact_duplicates(docs))
     if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
         return _without(docs, found.filter("not kept"), {"doc_id": docs["doc_id"]}, 8)
@@ -67,6 +77,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null ids, and texts that are null or have no word, are near to nothing and stay. Rows that repeat an id stay together if one of them stays. An empty table gives an empty one.
     """
+    _bounded(spark)
     found = settle(near_dedup.near_duplicates(docs, k=SHINGLE, percent=PERCENT))
     gone = found.filter("not kept").select("doc_id").join(found.filter("kept and doc_id is not null").select("doc_id"), "doc_id", "left_anti").distinct()
     return _without(docs, gone, {"doc_id": docs["doc_id"]}, 8)
@@ -77,6 +88,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts stay as they are, repeated rows are treated alike, a null source is an owner, and without a column of sources there is one owner. An empty table gives an empty one.
     """
+    _bounded(spark)
     before = _free(docs, "text_before")
     out = secrets.redacted(docs.withColumn(before, F.xxhash64("text")))
     if "n_chars" in docs.columns:
@@ -90,6 +102,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts give the end id alone, rows that repeat are packed each, an empty table gives no piece.
     """
+    _bounded(spark)
     return packing.pack(docs)
 
 

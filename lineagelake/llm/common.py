@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -29,6 +31,14 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def give_back() -> None:
+    """Hands memory that a worker no longer uses back to the system, as workers stay for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def portions(batches, text: int = 1, size: int = PORTION):
     """Slices of record batches that hold about ``size`` bytes of text, or one row if it is longer. Column ``text`` is a string without nulls then."""
     for batch in batches:
@@ -41,6 +51,7 @@ def portions(batches, text: int = 1, size: int = PORTION):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +169,8 @@ def by_group(df: DataFrame, key: str, order: list[str], work, schema: str, count
                 used = held[0].get_total_buffer_size()
         if n:
             yield from work(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0])
+        held.clear()
+        give_back()
 
     names = [key, *[c for c in df.columns if c != key]]
     return df.select(*names).repartition(count or partitions(df), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
