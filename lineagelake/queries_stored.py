@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .operators import bundles, dispatch, extract, incremental
 from .plans.lineage import shared_path
-from .queries import query
+from .queries import _CACHE, _log, query
 from .queries_told import _cases, _says
-from .sources import graph, layers
+from .sources import graph, layers, snapshot
 from .sources.graph import edges, nodes, read
+from .streaming import recency
 
 col, lit = F.col, F.lit
 
@@ -150,3 +151,62 @@ def contexts_refreshed(spark, sf):
     bundles.store(n, e, path)
     now = n.withColumn("blob_hash", F.when(col("key") == "nation:3", F.md5(lit("new"))).otherwise(col("blob_hash"))).withColumn("name", F.when(col("key") == "nation:3", "new").otherwise(col("name")))
     return bundles.refresh(now, e, spark.createDataFrame([("nation:3",)], "key string"), path)
+
+
+# ---- a cache's log as a stream
+
+
+@query(_CACHE + "select key, bytes, hits, last_used from c")
+def cache_recency(spark, sf):
+    """The entries of a cache from its log as a stream in three batches, each continuing the state of the one before."""
+    log, path = _log(spark, sf).select("key", "tick", "op", "bytes"), shared_path(spark, "log")
+    ends = log.agg(F.percentile_approx("tick", F.array(lit(0.3), lit(0.7)), 100).alias("q")).first()[0] or [0, 0]
+    setting, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(setting, recency.PROVIDER)
+    try:
+        for low, high in ((-(2**62), ends[0]), (ends[0], ends[1]), (ends[1], 2**62)):
+            log.filter((col("tick") > low) & (col("tick") <= high)).write.mode("append").parquet(f"{path}/log")
+            stream = recency.recency(spark.readStream.schema(log.schema).parquet(f"{path}/log"))
+            stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/entries").awaitTermination()
+    finally:
+        spark.conf.unset(setting) if was is None else spark.conf.set(setting, was)
+    return recency.latest(spark.read.parquet(f"{path}/entries"))
+
+
+# ---- snapshots of another tool
+
+
+def _snapshot(spark, sf) -> str:
+    """A snapshot in which customers and suppliers are symbols of their nation's files."""
+    path = shared_path(spark, "snapshot")
+    n = read(spark, sf, "nation")
+    files = n.select(col("n_nationkey").cast("bigint").alias("id"), F.concat(lit("src/"), "n_name", F.get(F.array(lit(".rs"), lit(".RS"), lit(".py")), col("n_nationkey") % 3)).alias("path"))
+
+    def symbols(name: str, key: str, nation: str, ident):
+        kind = F.get(F.array(*[lit(k) for k in ("function", "function", "struct", "constant", "trait")]), (col(key) % 5).cast("int"))
+        return read(spark, sf, name).select(ident.cast("bigint").alias("id"), col(nation).cast("bigint").alias("file_id"), kind.alias("type"), F.concat(lit(f"{name}_"), col(key).cast("string")).alias("name"), F.when(col(key) % 4 > 0, F.concat(lit("a.b."), col(key).cast("string"))).alias("qualified_name"))
+
+    own = symbols("customer", "c_custkey", "c_nationkey", col("c_custkey") * 2).unionByName(symbols("supplier", "s_suppkey", "s_nationkey", col("s_suppkey") * 2 + 1))
+    o = read(spark, sf, "orders").select(col("o_orderkey").alias("id"), (col("o_custkey") * 2).alias("source_id"), ((col("o_orderkey") % 90 + 1) * 2 + 1).alias("target_id"), F.when(col("o_orderkey") % 3 > 0, "calls").otherwise("imports").alias("relation"))
+    snapshot.write(files, own, o, path, "abc123")
+    return path
+
+
+_SNAPSHOT = """with n as (select c_custkey * 2 as id, c_nationkey as file, c_custkey as k, 'customer' as t from customer union all select s_suppkey * 2 + 1, s_nationkey, s_suppkey, 'supplier' from supplier),
+  y as (select id, ['function', 'function', 'struct', 'constant', 'trait'][k % 5 + 1] as type, concat('src/', n_name, case n_nationkey % 3 when 0 then '.rs' else '.RS' end) as path, case when k % 4 > 0 then concat('a::b::', k) else concat(t, '_', k) end as name from n join nation on file = n_nationkey where n_nationkey % 3 < 2 and k % 5 <> 3),
+  z as (select distinct concat('sym:rust:', a.path, '#', a.name) as src, concat('sym:rust:', b.path, '#', b.name) as dst from orders join y a on a.id = o_custkey * 2 join y b on b.id = (o_orderkey % 90 + 1) * 2 + 1 where o_orderkey % 3 > 0 and a.type = 'function' and b.type = 'function') """
+
+
+@query(_SNAPSHOT + "select id, type, path, name, concat('sym:rust:', path, '#', name) as key from y")
+def snapshot_symbols(spark, sf):
+    path = _snapshot(spark, sf)
+    return snapshot.symbols(snapshot.table(spark, path, "files"), snapshot.table(spark, path, "nodes"))
+
+
+@query(_SNAPSHOT + "select (select count(*) from z where length(src) % 2 = 0) as matched, (select count(distinct dst) from z where length(src) % 2 = 0) as only_ours, (select count(*) from z where length(src) % 2 = 1) as only_theirs")
+def call_agreement(spark, sf):
+    """Calls of a snapshot against ours, which lack some of them and have others."""
+    path = _snapshot(spark, sf)
+    theirs = snapshot.calls(snapshot.symbols(snapshot.table(spark, path, "files"), snapshot.table(spark, path, "nodes")), snapshot.table(spark, path, "edges"))
+    some = theirs.filter(F.length("src") % 2 == 0)
+    return snapshot.call_agreement(some.unionByName(some.select(lit("sym:rust:ours.rs#f").alias("src"), "dst")), theirs)
