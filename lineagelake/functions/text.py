@@ -167,3 +167,34 @@ def wiki_links(text: Column) -> Column:
     """What stands in ``[[...]]`` outside code spans, trimmed."""
     found = F.regexp_extract_all(without_code(text), F.lit(r"\[\[(.*?)\]\]"), 1)
     return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def unix_seconds(text: Column) -> Column:
+    """Seconds since 1970 of ``YYYY-MM-DD`` or of a time ``YYYY-MM-DDThh:mm:ss`` with an offset, ``Z`` or neither; fractions are dropped. Null for any other text."""
+    shape = r"\A(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2})[^\n](\d{2})[^\n](\d{2})(?:\.\d*)?([Zz]|([+-])(\d{2}):?(\d{2}))?)?\z"
+    part = lambda n: F.regexp_extract(text, shape, n)
+    number = lambda n: part(n).try_cast("bigint")
+    timed, away = part(4) != "", part(8) != ""
+    year, month, day = number(1), number(2), number(3)
+    ok = text.rlike(shape) & month.between(1, 12) & day.between(1, 31)
+    ok = ok & (~timed | ((number(4) <= 23) & (number(5) <= 59) & (number(6) <= 60)))
+    # days of months that are shorter run on into the next one
+    first = F.datediff(F.make_date(year.cast("int"), month.cast("int"), F.lit(1)), F.lit("1970-01-01").cast("date")).cast("bigint")
+    clock = F.when(timed, number(4) * 3600 + number(5) * 60 + number(6)).otherwise(0)
+    offset = F.when(away, (number(9) * 3600 + number(10) * 60) * F.when(part(8) == "-", -1).otherwise(1)).otherwise(0)
+    return F.when(ok, (first + day - 1) * 86_400 + clock - offset)
+
+
+def rfc3339(seconds: Column) -> Column:
+    """The UTC time of seconds since 1970, ``YYYY-MM-DDThh:mm:ssZ``; times before are 1970 itself."""
+    at = F.greatest(seconds, F.lit(0))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / 86_400).cast("int")), "yyyy-MM-dd")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rest = at % 86_400
+    return F.when(seconds.isNotNull(), F.concat(day, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest % 3600 / 60)), F.lit(":"), two(rest % 60), F.lit("Z")))
+
+
+def age_in_days(since: Column, until: Column) -> Column:
+    """Whole days between two such texts, cut towards zero; null if either is none."""
+    seconds = unix_seconds(until) - unix_seconds(since)
+    return F.when(seconds < 0, F.ceil(seconds / 86_400)).otherwise(F.floor(seconds / 86_400))

@@ -1,7 +1,7 @@
 """Facts of files by one table function, and only of files whose facts are not there yet.
 
 The function is called laterally, once for each file, and tells by the path what to do: configuration gives its keys, a Dockerfile the images
-it starts from, a WAV file its stream, anything else a file with its lines. What it finds has one form, ``kind, name, value``.
+it starts from, a WAV, FLAC or MP3 file its stream (channels, rate, milliseconds; an estimate after ``~``), anything else a file with its lines. What it finds has one form, ``kind, name, value``.
 """
 
 from __future__ import annotations
@@ -59,14 +59,46 @@ def _wave(data: bytes):
         yield "audio_stream", f"{form[1]}x{form[2]}", str(size // form[4] * 1000 // form[2])
 
 
+def _flac(data: bytes):
+    """The stream of a FLAC file as its first block states it."""
+    if len(data) >= 26 and data[:4] == b"fLaC" and data[4] & 0x7F == 0:
+        packed = int.from_bytes(data[18:26], "big")
+        rate, channels, frames = packed >> 44, (packed >> 41 & 7) + 1, packed & (1 << 36) - 1
+        if rate:
+            yield "audio_stream", f"{channels}x{rate}", str(frames * 1000 // rate) if frames else None
+
+
+def _mpeg(data: bytes):
+    """The stream of an MPEG layer 3 file; its length is an estimate and only told where the file counts its frames."""
+    at = 10 + sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(data[6:10])) if data[:3] == b"ID3" and len(data) > 10 else 0
+    while at + 4 <= len(data) and not (data[at] == 0xFF and data[at + 1] & 0xE6 == 0xE2 and data[at + 2] >> 2 & 3 < 3):
+        at += 1
+    if at + 4 > len(data):
+        return
+    version = data[at + 1] >> 3 & 3  # 3: MPEG 1, 2: MPEG 2, 0: MPEG 2.5
+    if version == 1:
+        return
+    rate = (44_100, 48_000, 32_000)[data[at + 2] >> 2 & 3] >> {3: 0, 2: 1, 0: 2}[version]
+    mono = data[at + 3] >> 6 == 3
+    side = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}[version == 3, mono]
+    tag = at + 4 + side
+    counted = data[tag : tag + 4] in (b"Xing", b"Info") and data[tag + 7] & 1 if len(data) >= tag + 12 else False
+    frames = int.from_bytes(data[tag + 8 : tag + 12], "big") * (1152 if version == 3 else 576) if counted else 0
+    yield "audio_stream", f"{2 - mono}x{rate}", f"~{frames * 1000 // rate}" if frames else None
+
+
+#: What reads the head of an audio file, by its ending.
+AUDIO = {"wav": _wave, "flac": _flac, "mp3": _mpeg}
+
+
 class Facts:
     """``eval(path, content)``: rows of :data:`FACTS` of one file, whose bytes are ``content``."""
 
     def eval(self, path: str, content: bytes):
         data = bytes(content or b"")
         yield "file", _base(path), str(data.count(b"\n"))
-        if path.lower().endswith(".wav"):
-            yield from _wave(data)
+        if (read := AUDIO.get(_base(path).rpartition(".")[2])) is not None:
+            yield from read(data)
             return
         text = data.decode("utf-8", "replace")
         if is_config(path):

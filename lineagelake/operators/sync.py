@@ -70,6 +70,30 @@ def reviewed(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return symbols.join(ends, "path", "left").fillna(0, [n for _, n in names])
 
 
+def review_items(changes: DataFrame, nodes: DataFrame, edges: DataFrame, markers: DataFrame) -> DataFrame:
+    """``path, status, key, relation, other, confidence``: all that a review of changed paths (path, status) shows, one row each, however long a list is.
+
+    Of each symbol (no file or marker) of a path that is there its ``caller``, ``callee``, ``governed_by`` and ``related`` ends, ``symbol`` for itself, and ``marker`` for the texts of ``markers`` (path, text), which are those
+    that the inventory retains. A path that was deleted is a row of its own.
+    """
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    there = changes.filter("status <> 'deleted'").select("path", "status")
+    own = nodes.filter("kind not in ('file', 'marker')").select("key", "path").join(there, "path")
+    entry = lambda name, confidence: F.struct(F.lit(name).alias("relation"), confidence.alias("confidence"))
+    ends, inward = endpoints(edges).join(own, "key"), F.col("direction") == "in"
+    told = F.array_compact(
+        F.array(
+            F.when(inward & (F.col("kind") == "calls"), entry("caller", none)), F.when(~inward & (F.col("kind") == "calls"), entry("callee", none)),
+            F.when(inward & (F.col("provenance") == "authored"), entry("governed_by", none)), F.when(F.col("kind") == "related", entry("related", F.col("confidence"))),
+        )
+    )
+    around = ends.select("path", "status", "key", "other", F.explode(told).alias("t")).select("path", "status", "key", "t.relation", "other", "t.confidence")
+    selves = own.select("path", "status", "key", F.lit("symbol").alias("relation"), text.alias("other"), none.alias("confidence"))
+    debt = markers.join(there, "path").select("path", "status", text.alias("key"), F.lit("marker").alias("relation"), F.col("text").alias("other"), none.alias("confidence"))
+    gone = changes.filter("status = 'deleted'").select("path", "status", text.alias("key"), F.lit("deleted").alias("relation"), text.alias("other"), none.alias("confidence"))
+    return around.unionByName(selves).unionByName(debt).unionByName(gone)
+
+
 def decided(state: dict | None, tree: str, env: str, worktree: str) -> str:
     """What a committed sync has to do, from the state of the last one (tree, env, worktree): nothing, the changes, or all."""
     if not state or state.get("env") != env or state.get("worktree") != worktree:

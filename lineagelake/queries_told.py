@@ -6,9 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from .operators import context, extract, imports, lenses, links
+from .functions import text
+from .operators import context, extract, imports, lenses, links, sync
 from .queries import _search_sql, _searchable, query
-from .sources.graph import edges, read
+from .sources.graph import edges, nodes, places, read
 
 col, lit = F.col, F.lit
 
@@ -246,3 +247,29 @@ def topic_records(spark, sf):
     """Records of a topic of orders, with files as its records."""
     e, n = edges(spark, sf), _searchable(spark, sf)
     return context.topic_records(context.topic(n, e, "urgent", ("order",), 10), context.topic_documents(n, "txt", ("file",), 10).withColumn("kind", lit("adr")), e)
+
+
+# ---- dates and reviews
+
+_DATES = ["2025-08-15T09:00:00Z", "2025-08-15", "1970-01-01 00:00:01", "2024-02-30", "2024-13-01", "2025-8-15", "2025-08-15T24:00:00Z", "2025-08-15Tx", "1969-12-31T23:59:59Z", "2025-08-15T11:00:00.5+02:00"]
+_DATES_SAY = [(0, 1755248400, "2025-08-15T09:00:00Z"), (1, 1755216000, "2025-08-15T00:00:00Z"), (2, 1, "1970-01-01T00:00:01Z"), (3, 1709251200, "2024-03-01T00:00:00Z"), (4, None, None), (5, None, None), (6, None, None), (7, None, None), (8, -1, "1970-01-01T00:00:00Z"), (9, 1755248400, "2025-08-15T09:00:00Z")]
+
+
+@query(_says(10, "seconds, again", _DATES_SAY, "doc_id, cast(seconds as varchar) as seconds, again, cast(cast(trunc((1755248400 - seconds) / 86400) as bigint) as varchar) as age"))
+def date_texts(spark, sf):
+    d = _cases(spark, sf, _DATES, "date")
+    at = text.unix_seconds(col("date"))
+    return d.select("doc_id", at.cast("string").alias("seconds"), text.rfc3339(at).alias("again"), text.age_in_days(col("date"), lit("2025-08-15T09:00:00Z")).cast("string").alias("age"))
+
+
+@query("""with ch as (select concat(r_name, '/', n_name, '/supplier') as path, case when n_nationkey % 4 = 0 then 'deleted' else 'modified' end as status from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0),
+  own as (select key, path, status from nodes join ch using (path)), e as (select own.*, e.other, e.kind, e.provenance, e.confidence, e.direction from own join ends e on own.key = e.key where status <> 'deleted')
+  select path, status, key, 'caller' as relation, other, cast(null as double) as confidence from e where direction = 'in' and kind = 'calls' union all select path, status, key, 'callee', other, null from e where direction = 'out' and kind = 'calls'
+  union all select path, status, key, 'governed_by', other, null from e where direction = 'in' and provenance = 'authored' union all select path, status, key, 'related', other, confidence from e where kind = 'related'
+  union all select path, status, key, 'symbol', null, null from own where status <> 'deleted' union all select path, status, null, 'deleted', null, null from ch where status = 'deleted'
+  union all select path, status, null, 'marker', concat('TODO ', n_name), null from ch join nation on path like concat('%/', n_name, '/supplier') where status <> 'deleted' and n_nationkey % 3 = 0""")
+def review_items(spark, sf):
+    p = places(spark, sf).select("n_nationkey", "n_name", F.concat_ws("/", "r_name", "n_name", lit("supplier")).alias("path"))
+    changes = p.filter("n_nationkey % 2 = 0").select("path", F.when(col("n_nationkey") % 4 == 0, "deleted").otherwise("modified").alias("status"))
+    sources = p.filter("n_nationkey % 3 = 0").select("path", F.concat(lit("x\n  TODO "), "n_name", lit("\t")).alias("content"))
+    return sync.review_items(changes, nodes(spark, sf), edges(spark, sf), lenses.markers(sources))

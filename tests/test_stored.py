@@ -100,11 +100,13 @@ def test_graph_again(spark):
 
 def test_table_function_in_sql(spark):
     wave = b"RIFF\x00\x00\x00\x00WAVEfmt \x10\x00\x00\x00" + struct.pack("<HHIIHH", 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", 16000) + b"\0" * 16000
-    rows = [("s/a.wav", wave), ("s/bad.wav", b"RIFFxxxx"), ("Dockerfile.dev", b"FROM a:1"), ("x/.github", None), ("n.txt", b"\xff \xc3\xa9"), (".github/a.json", b'{"a": 1}')]
+    flac = b"fLaC\x00\x00\x00\x22" + b"\0" * 10 + ((16000 << 44) | (1 << 41) | (15 << 36) | 4096).to_bytes(8, "big") + b"\0" * 16
+    mp3 = b"ID3\x03\x00\x00\x00\x00\x00\x05hello" + b"\xff\xfb\x90\xc0" + b"\0" * 17 + b"Xing\x00\x00\x00\x01" + (100).to_bytes(4, "big") + b"\0" * 50
+    rows = [("a.flac", flac), ("b.FLAC", b"fLaC"), ("c.mp3", mp3), ("d.mp3", mp3[:17]), ("e.mp3", b"\xff\xf3\x90\x00" + b"\0" * 40), ("s/a.wav", wave), ("s/bad.wav", b"RIFFxxxx"), ("Dockerfile.dev", b"FROM a:1"), ("x/.github", None), ("n.txt", b"\xff \xc3\xa9"), (".github/a.json", b'{"a": 1}')]
     spark.createDataFrame(rows, "path string, content binary").createOrReplaceTempView("told_files")
     name = dispatch.register(spark)
     got = {tuple(r) for r in spark.sql(f"select path, f.* from told_files, lateral {name}(path, content) f where kind <> 'file'").collect()}
-    assert got == {("s/a.wav", "audio_stream", "2x8000", "500"), ("Dockerfile.dev", "image_ref", "a:1", None), ("n.txt", "content", "n.txt", "� é")}
+    assert got == {("a.flac", "audio_stream", "2x16000", "256"), ("c.mp3", "audio_stream", "1x44100", "~2612"), ("e.mp3", "audio_stream", "2x22050", None), ("s/a.wav", "audio_stream", "2x8000", "500"), ("Dockerfile.dev", "image_ref", "a:1", None), ("n.txt", "content", "n.txt", "� é")}
 
 
 def test_cached_facts_are_not_extracted_again(spark):
