@@ -79,7 +79,17 @@ def op13_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, rows.filter(F.col("id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op11_language_id, op12_filter_audit, op13_hard_negatives)}
+def secret_counts(spark, sf_dir):
+    """The base counts of operator 3, which SQL can express."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_counts(spark, sf_dir):
+    """The base rules of operator 7, which SQL can express."""
+    return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secrets, op4_chat, op5_span_dedup, op6_bpe, op7_quality, op8_sharding, op9_near_dedup, op10_packing, op11_language_id, op12_filter_audit, op13_hard_negatives, secret_counts, quality_counts)}
 
 
 def _escaped(column: str) -> str:
@@ -127,4 +137,17 @@ SQL = {
           from p join s using (anchor_id) where not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
         select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3
     """,
+    "secret_counts": """
+        with d as (select doc_id, coalesce(text, '') as t from documents)
+        select doc_id, cast(len(list_filter(regexp_extract_all(t, '(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 'i'), lambda v: length(v) >= 8)) as bigint) as n_assign,
+          cast(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16)) as bigint) as n_access, cast(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 32)) as bigint) as n_hex from d
+    """,
+    "quality_counts": """
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        l as (select r, unnest(string_split(t, chr(10))) as line from d), k as (select r, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+        s as (select r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
+        m as (select r, i from s qualify count(*) over (partition by r, g) > 1), p as (select r, count(distinct i + j) as n_repeat_words from m, (select unnest([0, 1, 2]) as j) group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+          coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(w) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * len(w) as base_failed from d left join k using (r) left join p using (r)
+    """,
 }
