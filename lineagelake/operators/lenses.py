@@ -110,11 +110,11 @@ MARKER_RULES = (
 OPEN_ITEM = ("deferred", r"^\s*[-*+] \[ \]")
 #: Extensions of code by the start of a line comment and whether ``/* */`` are comments too; other files are prose.
 COMMENTS = {
-    ("//", True): "rs c h cc cpp cxx hpp hh js jsx mjs cjs ts tsx go java kt kts swift scala cs php m mm rust dart zig v",
-    ("#", False): "py rb sh bash zsh pl pm tcl r nim",
-    ("--", True): "sql",
-    ("--", False): "lua hs elm adb ads",
-    (";", False): "el lisp clj cljs cljc scm ss rkt",
+    ("//", True): ("rs", "c", "h", "cc", "cpp", "cxx", "hpp", "hh", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java", "kt", "kts", "swift", "scala", "cs", "php", "m", "mm", "rust", "dart", "zig", "v"),
+    ("#", False): ("py", "rb", "sh", "bash", "zsh", "pl", "pm", "tcl", "r", "nim"),
+    ("--", True): ("sql",),
+    ("--", False): ("lua", "hs", "elm", "adb", "ads"),
+    (";", False): ("el", "lisp", "clj", "cljs", "cljc", "scm", "ss", "rkt"),
 }
 IGNORE_LINE, IGNORE_FILE = "lineagelake:ignore", "lineagelake:ignore-file"
 
@@ -136,7 +136,7 @@ def comments_only(path: Column, content: Column) -> Column:
     for (line, block), names in COMMENTS.items():
         comment = f"({line}[^\\n]*)" + (r"|/\*([\s\S]*?)(?:\*/|\z)" if block else "|(\\b\\B)")
         first = re.escape(line[0]) + ("/" if block else "")
-        out = F.when(ending.isin(*names.split()), F.regexp_replace(content, f"{comment}|[^\\n{first}]+|[{first}]", "$1$2")).otherwise(out)
+        out = F.when(ending.isin(*names), F.regexp_replace(content, f"{comment}|[^\\n{first}]+|[{first}]", "$1$2")).otherwise(out)
     return out
 
 

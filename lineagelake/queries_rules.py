@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import checks, context, extract, layers, lenses, links, media, memory, reports, review, sync
-from .queries import _CACHE, _FINDINGS, _MEMORY, _REVIEW, _anchors, _findings, _log, _memory, _review, _search_sql, _searchable, query
+from .queries import SQL, _CACHE, _FINDINGS, _MEMORY, _REVIEW, _anchors, _findings, _log, _memory, _review, _search_sql, _searchable, query
 from .sources import graph
 from .sources.graph import edges, nodes, read
 
@@ -200,6 +200,13 @@ def media_plan(spark, sf):
     return media.planned(b.select("kind", "blob", level.alias("rms"), level.alias("variance")), media.narrowed(have, producer="p"), "p")
 
 
+@query(SQL["media_plan"].replace("select kind, blob, case when substring(blob, 2, 1)", ", p as (select kind, blob, case when substring(blob, 2, 1)", 1) + ") select count(*) as candidates, count(*) filter (where step = 'generate' and substring(blob, 3, 1) >= '4') as generated, count(*) filter (where step = 'existing') as existing, count(*) filter (where step = 'gated') as gated, count(*) filter (where step = 'generate' and substring(blob, 3, 1) < '4') as empty from p")
+def media_build(spark, sf):
+    plan, third = media_plan(spark, sf), F.substring("blob", 3, 1)
+    replies = plan.filter(third >= "2").select("kind", "blob", F.when(third >= "4", "a text").otherwise(" \n\t").alias("text"))
+    return media.build_counts(media.built(plan, replies))
+
+
 @query("select p_brand as producer, p_type as kind, concat('m', p_size % 3) as model, 'q4' as quantisation, count(*) as records, count(*) filter (where p_size % 4 = 0) as skips, max(p_partkey) as latest from part group by p_brand, p_type, p_size % 3")
 def producer_models(spark, sf):
     p = read(spark, sf, "part")
