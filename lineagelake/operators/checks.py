@@ -58,6 +58,28 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.groupBy("id").agg(F.min_by("key", F.struct(n.alias("n"), "key")).alias("key"))
 
 
+#: Fixed value: characters of a marker's name.
+MARKER_NAME = 80
+
+
+def marker_facts(files: DataFrame, found: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and ``contains`` edges of markers (path, line, category, text) in files (path, content).
+
+    A marker's span are its line's bytes. It lies in the innermost of the ``symbols`` (path, key, start, end) that holds its first byte that is no white space, or else in its file. Only the lengths of lines are moved.
+    """
+    told = F.transform(F.split("content", "\n"), lambda t: F.struct(F.octet_length(t).alias("n"), F.octet_length(F.regexp_extract(t, "^[ \\t\\f\\r]*", 0)).alias("lead")))
+    lines = files.select("path", F.posexplode(told).alias("place", "l")).select("path", (F.col("place") + 1).cast("bigint").alias("line"), "l.n", "l.lead")
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("n")).withColumn("anchor", F.col("start") + F.col("lead"))
+    key = F.concat(F.lit("marker:"), "path", F.lit("#"), F.col("line").cast("string"))
+    marks = found.join(placed, ["path", "line"]).withColumn("key", key)
+    name = F.when(F.char_length("text") > MARKER_NAME, F.concat(F.substring("text", 1, MARKER_NAME), F.lit("…"))).otherwise(F.col("text"))
+    nodes = marks.select("key", F.lit("marker").alias("kind"), name.alias("name"), "path", F.lit("derived").alias("provenance"), "category", "text", "line", "start", "end")
+    inside = innermost(marks.select(F.col("key").alias("id"), "path", F.col("anchor").alias("at")), symbols).select(F.col("id").alias("dst"), F.col("key").alias("container"))
+    edges = marks.select(F.col("key").alias("dst"), "path").join(inside, "dst", "left").select(F.coalesce("container", F.concat(F.lit("file:"), "path")).alias("src"), "dst", F.lit("contains").alias("kind"), F.lit("derived").alias("provenance"))
+    return nodes, edges
+
+
 def version_drift(docs: DataFrame, history: DataFrame, notes: DataFrame) -> DataFrame:
     """Contradictions in documents' versions: ``path, rule, said, other``.
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import context, extract, imports, lenses, links, sync
+from .operators import checks, context, extract, imports, lenses, links, sync
 from .queries import _search_sql, _searchable, query
 from .sources.graph import edges, nodes, places, read
 
@@ -273,3 +273,32 @@ def review_items(spark, sf):
     changes = p.filter("n_nationkey % 2 = 0").select("path", F.when(col("n_nationkey") % 4 == 0, "deleted").otherwise("modified").alias("status"))
     sources = p.filter("n_nationkey % 3 = 0").select("path", F.concat(lit("x\n  TODO "), "n_name", lit("\t")).alias("content"))
     return sync.review_items(changes, nodes(spark, sf), edges(spark, sf), lenses.markers(sources))
+
+
+# ---- markers as nodes
+
+# symbols of each text of _MARKED by bytes, and where its markers lie: line, name, start, end, container
+_SPANS = [(0, "s:a", 0, 20), (0, "s:b", 1, 13), (0, "s:c", 1, 13), (1, "s:d", 0, 1), (3, "s:e", 4, 40), (3, "s:f", 22, 30)]
+_MARKER_FACTS = [
+    (0, 1, "TODO tabbed", 0, 13, "s:b"), (1, 1, "FIXME x", 0, 14, None), (3, 2, "- [ ] open item", 3, 21, "s:e"), (3, 3, "TBD", 22, 27, "s:f"), (4, 1, "HACK " + "y" * 75 + "…", 0, 255, None),
+]
+
+
+def _marker_facts(spark, sf):
+    f = _cases(spark, sf, _MARKED).select("doc_id", F.concat(lit("n/"), col("doc_id").cast("string"), lit(".txt")).alias("path"), "content")
+    spans = F.broadcast(spark.createDataFrame(_SPANS, "n int, key string, start bigint, end bigint"))  # the cases above
+    symbols = f.join(spans, col("doc_id") % 5 == col("n")).select("path", "key", "start", "end")
+    return checks.marker_facts(f, lenses.markers(f), symbols)
+
+
+_MARKER_KEY = "concat('marker:n/', doc_id, '.txt#', line)"
+
+
+@query(_says(5, "line, name, s, e, container", _MARKER_FACTS, f"{_MARKER_KEY} as key, name, cast(s as bigint) as \"start\", cast(e as bigint) as \"end\""))
+def marker_nodes(spark, sf):
+    return _marker_facts(spark, sf)[0].select("key", "name", "start", "end")
+
+
+@query(_says(5, "line, name, s, e, container", _MARKER_FACTS, f"coalesce(container, concat('file:n/', doc_id, '.txt')) as src, {_MARKER_KEY} as dst"))
+def marker_edges(spark, sf):
+    return _marker_facts(spark, sf)[1].select("src", "dst")
