@@ -95,7 +95,15 @@ class Grams(Segments):
 
     def __init__(self, values: pa.Array):
         super().__init__(values)
-        self.parts = [(bucket, np.append(np.searchsorted(at, self.begin), len(at))) for at, bucket in self.grams(0, len(self.text))]
+        parts: list[tuple[list, list, int]] = [([], [], 0) for _ in GRAMS]
+        for low in range(0, len(self.text), BLOCK):  # what is made on the way is held for a block only
+            begin = self.begin[np.searchsorted(self.begin, low) : np.searchsorted(self.begin, low + BLOCK)]
+            for k, (at, bucket) in enumerate(self.grams(low, low + BLOCK)):
+                buckets, bounds, n = parts[k]
+                buckets.append(bucket)
+                bounds.append(np.searchsorted(at, begin - low) + n)
+                parts[k] = buckets, bounds, n + len(at)
+        self.parts = [(np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.int64), *bounds, [n]]).astype(np.int64)) for buckets, bounds, n in parts]
 
     def means(self, of_bucket: np.ndarray) -> np.ndarray:
         total, count = np.zeros(len(self.row)), np.zeros(len(self.row), np.int64)
@@ -132,7 +140,9 @@ def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 64, seed: int = 1) -> tuple[np.ndarray, float]:
     """Value of each bucket and bias: the trained embeddings times the difference of the softmax's columns."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
+    table = np.empty((1 << BITS, WIDTH), np.float32)
+    for part in np.split(table, 64):  # the numbers of one draw, without all of it in double precision
+        part[:] = rng.normal(0, 1 / WIDTH, part.shape)
     softmax, bias = rng.normal(0, 1, (WIDTH, 2)), np.array([2.0, -2.0])
     past = np.full(1 << BITS, 1e-4, np.float32)
     past_softmax, past_bias = 1e-4, 1e-4
