@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a_hex
 from ..functions.text import normal_url, repository
+from ..plans.lineage import settle
+from ..plans.skew import sifted
 from .layers import tree_diff
 from .lenses import endpoints
 
@@ -123,7 +125,8 @@ def submodules(files: DataFrame, links: DataFrame) -> DataFrame:
 def impact(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``key, name, kind`` of nodes one edge from the symbols of changed paths that still exist, but for what lies in a changed path itself."""
     own = nodes.filter("kind not in ('file', 'marker')").join(changes.filter("status <> 'deleted'").select("path"), "path", "left_semi").select("key")
-    near = endpoints(edges).join(own, "key", "left_semi").select(F.col("other").alias("key")).distinct()
+    own = settle(own)
+    near = sifted(endpoints(edges).select("key", "other"), "key", own).join(own, "key", "left_semi").select(F.col("other").alias("key")).distinct()
     return nodes.join(near, "key", "left_semi").join(changes.select("path"), "path", "left_anti").select("key", "name", "kind")
 
 
