@@ -248,19 +248,20 @@ def struct_keys(fields: DataFrame) -> DataFrame:
     ``fields``: path, struct, root (whether it is one), field, type (null where no struct of the file). A struct that holds itself is not followed again, nor is one
     deeper than :data:`STRUCT_DEPTH`; the field is a leaf then. Of a key from several roots the first by name stays.
     """
+    fields = settle(fields)  # read by every step
     held = fields.select("path", F.col("struct").alias("type"), F.col("field").alias("inner"), F.col("type").alias("next"))
     known = fields.select("path", F.col("struct").alias("type"), F.lit(True).alias("known")).distinct()
-    now = settle(fields.filter("root").select("path", F.col("struct").alias("from"), F.col("field").alias("key"), "type", F.array("struct").alias("seen")))
+    now = fields.filter("root").select("path", F.col("struct").alias("from"), F.col("field").alias("key"), "type", F.array("struct").alias("seen"))
     found = None
     for depth in range(STRUCT_DEPTH + 1):
-        told = now.join(known, ["path", "type"], "left")
         go = F.coalesce(F.col("known") & ~F.array_contains("seen", F.col("type")), F.lit(False)) if depth < STRUCT_DEPTH else F.lit(False)
-        leaves = told.filter(~go).select("path", "key", "from")
+        told = settle(now.join(known, ["path", "type"], "left").select("path", "from", "key", "type", "seen", go.alias("go")))
+        leaves = told.filter("not go").select("path", "key", "from")
         found = leaves if found is None else found.unionByName(leaves)
-        deeper = told.filter(go).drop("known")
+        deeper = told.filter("go").drop("go")
         if deeper.isEmpty():
             break
-        now = settle(deeper.join(held, ["path", "type"]).select("path", "from", F.concat_ws(".", "key", "inner").alias("key"), F.col("next").alias("type"), F.concat("seen", F.array("type")).alias("seen")))
+        now = deeper.join(held, ["path", "type"]).select("path", "from", F.concat_ws(".", "key", "inner").alias("key"), F.col("next").alias("type"), F.concat("seen", F.array("type")).alias("seen"))
     return found.groupBy("path", "key").agg(F.min("from").alias("struct"))
 
 
