@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, flat, portions, settle
+from .common import _LOWER, _SPACE, flat, give_back, portions, settle
 
 GRAMS = (3, 4, 5, 6)
 BITS, WIDTH, WORDS = 20, 12, 3
@@ -103,14 +103,22 @@ class Grams(Segments):
                 buckets.append(bucket)
                 bounds.append(np.searchsorted(at, begin - low) + n)
                 parts[k] = buckets, bounds, n + len(at)
-        self.parts = [(np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.int64), *bounds, [n]]).astype(np.int64)) for buckets, bounds, n in parts]
+        self.parts = []
+        for buckets, bounds, n in parts:
+            self.parts.append((np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.int64), *bounds, [n]]).astype(np.int64)))
+            buckets.clear()  # so that the n-grams of one n only are there twice
 
     def means(self, of_bucket: np.ndarray) -> np.ndarray:
         total, count = np.zeros(len(self.row)), np.zeros(len(self.row), np.int64)
         for bucket, bounds in self.parts:
-            sums = np.zeros(len(bucket) + 1)
-            np.cumsum(of_bucket[bucket], dtype=np.float64, out=sums[1:])
-            total += sums[bounds[1:]] - sums[bounds[:-1]]
+            a = 0
+            while a < len(self.row):  # segments with about BLOCK n-grams at a time
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + BLOCK, "right")) - 1)
+                own, cuts = bucket[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                sums = np.zeros(len(own) + 1)
+                np.cumsum(of_bucket[own], dtype=np.float64, out=sums[1:])
+                total[a:b] += sums[cuts[1:]] - sums[cuts[:-1]]
+                a = b
             count += np.diff(bounds)
         return total / np.maximum(count, 1)
 
@@ -206,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = docs.sparkSession.createDataFrame([(r.id, r.hash) for r in chosen], known.select("id", "hash").schema)
     texts = told.withColumn("hash", F.xxhash64("text")).join(F.broadcast(names), ["id", "hash"]).dropDuplicates(["id", "hash"])
     of = {(r.id, r.hash): r.text for r in texts.toLocalIterator()}
-    return fit([of[r.id, r.hash] for r in chosen], np.array([r.toxic for r in chosen], bool))
+    model = fit([of[r.id, r.hash] for r in chosen], np.array([r.toxic for r in chosen], bool))
+    give_back()
+    return model
 
 
 def scores(values: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
