@@ -83,19 +83,34 @@ def parts(text: str, size: int | None = None) -> list[str]:
     return [*out, text[at:]]
 
 
+def tokens(spec: dict) -> tuple[list[bytes], dict[str, int]]:
+    """The bytes of each id of a vocabulary file, and the ids of its added tokens."""
+    alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [b""] * (max([*vocab.values(), *added.values()]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(alphabet[c] for c in token)
+    for token, i in added.items():
+        out[i] = token.encode()
+    return out, added
+
+
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def never_cut(added: dict[str, int]) -> bool:
+    """Whether a cut of :func:`parts` might fall into an added token."""
+    return any(_SAFE.search(f"a{a}a") for a in added)
+
+
 class ByteBPE:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.added.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            self.token_bytes[i] = bytes(alphabet[c] for c in token)
-        for token, i in self.added.items():
-            self.token_bytes[i] = token.encode()
+        self.token_bytes, self.added = tokens(spec)
         self.byte_id = np.zeros(256, np.int32)
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
@@ -107,7 +122,7 @@ class ByteBPE:
         self._fill(key, np.arange(len(key), dtype=np.int32))
         self.pairs = dict(zip(key.tolist(), range(len(key)), strict=True))
         self.split = regex.compile(PATTERN)
-        self.whole = any(_SAFE.search(f"a{a}a") for a in self.added)  # then a cut might fall into an added token
+        self.whole = never_cut(self.added)
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
 

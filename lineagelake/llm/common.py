@@ -15,6 +15,8 @@ from ..plans.lineage import settle
 #: The white space that separates words, 0x20 and 0x09 to 0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 PORTION = 1_000_000
+#: Bytes of a batch of results on its way from a Python worker.
+SENT = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,21 +163,41 @@ def by_group(df: DataFrame, key: str, order: list[str], work, schema: str, count
             n += batch.num_rows
             used += batch.get_total_buffer_size()
             if n >= size or used >= limit:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+                del batch
+                whole = _joined(held)
                 at = last_group(whole.column(0))
-                if at:
-                    yield from work(whole.slice(0, at))
                 held, n = [_own(whole.slice(at))], whole.num_rows - at
                 used = held[0].get_total_buffer_size()
+                whole = whole.slice(0, at) if at else None
+                if at:
+                    for out in work(whole):
+                        yield from _sent(out)
+                        del out
+                del whole
         if n:
-            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0])
-        held.clear()
+            for out in work(_joined(held)):
+                yield from _sent(out)
+                del out
         give_back()
 
     names = [key, *[c for c in df.columns if c != key]]
     return df.select(*names).repartition(count or partitions(df), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The batches of a list as one; the list is empty then, so that they aren't held beside it."""
+    table = pa.Table.from_batches(held)
+    held.clear()
+    return table.combine_chunks().to_batches(max_chunksize=None)[0]
+
+
+def _sent(batch: pa.RecordBatch):
+    """Slices of about ``SENT`` bytes, as the JVM holds each batch that it gets as a whole, outside its heap."""
+    rows = max(1, batch.num_rows * SENT // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A copy that holds no more than its rows."""
     return batch.take(pa.array(np.arange(batch.num_rows)))

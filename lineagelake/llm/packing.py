@@ -43,18 +43,18 @@ def coder(path: str):
     """Function from text to an array of ids, once per Python worker."""
     import tiktoken
 
-    slow = bpe.load(path)
-    added = slow.added
-    ranks = {b: i for i, b in enumerate(slow.token_bytes) if b and i not in added.values()}
+    token_bytes, added = bpe.tokens(bpe.read_spec(path))
+    whole = bpe.never_cut(added)
+    ranks = {b: i for i, b in enumerate(token_bytes) if b and i not in added.values()}
     fast = tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def part_ids(text: str) -> np.ndarray:
         if len(text) > LONG:
-            return np.frombuffer(slow.encode_batch([text])[0], "<u4")
+            return np.frombuffer(bpe.load(path).encode_batch([text])[0], "<u4")  # its tables are made only where there is such a part
         return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
     def ids(text: str) -> np.ndarray:
-        if len(text) <= LONG or slow.whole:
+        if len(text) <= LONG or whole:
             return part_ids(text)
         return np.concatenate([part_ids(p) for p in bpe.parts(text, LONG)])
 
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
             used = int(bins.max()) + 1 if len(bins) else 0
             part[full] = used + np.arange(int(full.sum()))
             where[a:b] = (column["group"][a].as_py() << 32) + part
-        ids = column["ids"].flatten().to_numpy().astype("<u4")
+        ids = column["ids"].flatten().to_numpy()
         full = length == capacity
         ends = np.append(0, np.cumsum(length if keep_ids else np.where(full, 0, length)))
         raw = memoryview(ids.view(np.uint8))
