@@ -14,29 +14,41 @@ ENTRY = "key string, tick bigint, bytes bigint, hits bigint, last_used bigint, t
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt to this many buckets; a call folds what a batch brings to one of them.
+BUCKETS = 1024
+_FIELDS = "key string, bytes bigint, put boolean, hits bigint, last_used bigint"
+_STATE = ", ".join(f"{name} array<{kind}>" for name, kind in (f.split(" ") for f in _FIELDS.split(", ")))
+
+
 class Recency(StatefulProcessor):
-    """Keeps of each key the bytes of its latest put, the gets since its first put and its last use; a forget clears it."""
+    """Keeps of each key of a bucket the bytes of its latest put, the gets since its first put and its last use; a forget clears it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "bytes bigint, put boolean, hits bigint, last_used bigint")
+        self.entries = handle.getValueState("entries", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        size, put, hits, used = self.entry.get() if self.entry.exists() else (None, False, 0, None)
-        tick = 0
+        kept = self.entries.get() if self.entries.exists() else None
+        entries = {k: entry for k, *entry in zip(*kept, strict=True)} if kept else {}
+        met = {}
         batch = pd.concat(list(rows)).sort_values("tick")
-        for tick, op, own in zip(batch["tick"], batch["op"], batch["bytes"], strict=True):  # noqa: B007
+        for key, tick, op, own in zip(*[batch[c].tolist() for c in ("key", "tick", "op", "bytes")], strict=True):
+            met[key] = int(tick)
             if op == "forget":
-                size, put, hits, used = None, False, 0, None
+                entries.pop(key, None)
                 continue
-            hits += put and op == "get"
-            used = int(tick)
+            entry = entries.get(key)
+            if entry is None:
+                entry = entries[key] = [None, False, 0, None]
+            entry[2] += int(entry[1] and op == "get")
+            entry[3] = int(tick)
             if op == "put":
-                size, put = None if pd.isna(own) else int(own), True
-        if used is None:
-            self.entry.clear()
+                entry[0], entry[1] = None if pd.isna(own) else int(own), True
+        if entries:
+            self.entries.update(tuple(list(c) for c in zip(*[(k, *entry) for k, entry in entries.items()], strict=True)))
         else:
-            self.entry.update((size, bool(put), int(hits), used))
-        yield pd.DataFrame({"key": [key[0]], "tick": [int(tick)], "bytes": pd.array([size], "Int64"), "hits": [int(hits)], "last_used": pd.array([used], "Int64"), "there": [bool(put)]})
+            self.entries.clear()
+        size, there, hits, used = zip(*[entries.get(k, (None, False, 0, None)) for k in met], strict=True)
+        yield pd.DataFrame({"key": list(met), "tick": list(met.values()), "bytes": pd.array(size, "Int64"), "hits": hits, "last_used": pd.array(used, "Int64"), "there": there})
 
     def close(self) -> None:
         pass
@@ -47,7 +59,8 @@ def recency(log: DataFrame) -> DataFrame:
 
     Ticks of a key ascend from batch to batch, as a log's do; within a batch they may come in any order. The session's state store must be :data:`PROVIDER`.
     """
-    return log.select("key", "tick", "op", "bytes").groupBy("key").transformWithStateInPandas(Recency(), ENTRY, "Append", "None")
+    told = log.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket"), "key", "tick", "op", "bytes")
+    return told.groupBy("bucket").transformWithStateInPandas(Recency(), ENTRY, "Append", "None")
 
 
 def latest(entries: DataFrame) -> DataFrame:
