@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import resettled, settle
 from .skew import counted_join
 
 
@@ -19,12 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), "v").unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(None).cast(e.schema["v"].dataType).alias("v")))
         return ends.groupBy("n").agg(F.max("up").alias("a"), F.min("up").alias("b"), F.min("v").alias("c"), F.max("v").alias("d")).filter("a <> b or c <> d").isEmpty()
 
-    e = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    e = resettled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     while not all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = settle(least(both).select("u", F.least("u", "m").alias("m"), "n"))
-        e = settle(counted_join(both, low, "u", "n", 2 * e.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = resettled(counted_join(both, low, "u", "n", 2 * e.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = settle(least(e))
         near = counted_join(e, low, "u", "n", e.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = resettled(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
