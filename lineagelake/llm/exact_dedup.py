@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import resettled
 from .common import ascii_lower, settle
 
 BLOCK = 4096
@@ -65,7 +66,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # a last name without a partner: no name, as names of any round are never the least long
         pairs = pairs.select(*_DOC, F.col("pos2").alias("pos"), "a", F.coalesce("b", F.lit(-(2**63))).alias("b"))
         names = settle(_named(pairs.select("a", "b").distinct(), ["a", "b"]))
-        now = settle(pairs.join(names, ["a", "b"]).select(*_DOC, "pos", "name"))
+        now = resettled(pairs.join(names, ["a", "b"]).select(*_DOC, "pos", "name"))
         done = now.filter(f"n <= {1 << rounds}").select(*[F.col(c).alias(f"_{c}") for c in _DOC], "name")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _DOC]
         found.append(rest.filter(f"n <= {1 << rounds} and n > {1 << (rounds - 1)}").join(done, same).select(*_DOC, "copies", "sha", "name", F.lit(rounds).alias("rounds")))
